@@ -4,7 +4,8 @@ A notice of length n with at most e edits is cut into e + 1 pieces; by the
 pigeonhole principle one piece stands unharmed in every match. An Aho-Corasick
 automaton finds all pieces, an exact comparison confirms unharmed notices at the
 implied place, and the regex library's bounded-error matching verifies the other
-candidates and reports their spans and edits.
+candidates, from the start of a word to the end of one, and reports their spans
+and edits.
 
 Texts are compared in canonical form: words (see words.py) joined by one space.
 
@@ -65,7 +66,7 @@ class Scanner:
         for piece, uses in pieces.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(x.phrase)}){{e<={x.edits}}}") for x in self.notices]
+        self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{regex.escape(x.phrase)}){{e<={x.edits}}}(?![^ ])") for x in self.notices]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """(base places: notice, word), (other spans: notice, start, end, edits), places in characters of the canonical form."""
@@ -82,7 +83,7 @@ class Scanner:
                     continue
                 if not notice.edits:
                     continue
-                first, last = max(0, at - notice.edits), min(len(text), at + n + notice.edits)
+                first, last = max(0, at - notice.edits), min(len(text), at + n + notice.edits + 1)
                 runs = windows.setdefault(k, [])
                 if runs and first <= runs[-1][1]:
                     runs[-1][0] = min(first, runs[-1][0])
