@@ -30,17 +30,18 @@ from framewright.llm.common import Texts, batch_of, map_batches, sample_by_hash,
 from framewright.llm.words import P, folded_words, mix, owner, sums
 
 #: Most labelled rows to learn from.
-SAMPLE = 16_000
+SAMPLE = 32_000
 BITS = 20
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 6.0
+    l2: float = 0.1
+    epochs: int = 8
+    bias_rate: float = 0.3
 
 
 def grams(words: np.ndarray, firsts: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, how: Ftrl, bits: int = BITS)
             z[x], n[x] = zx, nx + g * g
             w[x] = np.where(np.abs(zx) <= how.l1, 0.0, -(zx - np.sign(zx) * how.l1) / ((how.beta + grown) / how.alpha + how.l2))
             squared += g * g
-            bias -= 0.05 * g / np.sqrt(squared)
+            bias -= how.bias_rate * g / np.sqrt(squared)
     return w, bias
 
 
