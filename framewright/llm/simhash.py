@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.llm.common import Texts, batch_of, cut, map_batches
@@ -299,15 +300,70 @@ def components(pairs: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, hot: int, prints: DataFrame | None = None) -> DataFrame:
+    """(fp, first_id, root): each distinct fingerprint, the smallest id that has it, and the fingerprint that stands for its class."""
+    prints = fingerprints(docs, id_col, text_col, width) if prints is None else prints
+    reps = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+    roots = components(links(reps.select("fp"), radius, hot))
+    return reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = HOT_GROUP
 ) -> DataFrame:
     """(id, fingerprint, component_id): one row for each row of df; component_id is the smallest id reachable over links."""
-    docs = cut(fingerprints(df, id_col, text_col, width))
-    reps = cut(docs.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    roots = components(links(reps.select("fp"), radius, hot))
-    named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = cut(fingerprints(df, id_col, text_col, width))
+    named = near_classes(df, id_col, text_col, width, radius, hot, prints)
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(lowest, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(classes, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, lengthened until it is not among the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = HOT_GROUP
+) -> DataFrame:
+    """One row of each class of near copies, all columns as they are: the one with the smallest id.
+
+    Rows that repeat an id and a fingerprint meet in their own task first, so a
+    hot id sends one row a task; what is left joins the representatives by id and
+    fingerprint, which no group shares.
+    """
+    columns = docs.columns
+    key, fp = fresh("__id", columns), fresh("__fp", columns)
+    text_at = columns.index(text_col)
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("\0")))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = Texts(batch.column(text_at))
+            prints = np.zeros(len(texts), np.uint64)
+            for lo, hi, _, _ in texts.slices():
+                hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
+                prints[lo:hi] = vote(np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64))
+            new = []
+            for name, x in zip(batch.column(batch.num_columns - 1).to_pylist(), prints.tolist(), strict=True):
+                both = xxhash.xxh3_128_intdigest(f"{x} {name}")
+                new.append(both not in seen)
+                seen.add(both)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, fp])
+            yield out.filter(pa.array(new, pa.bool_()))
+
+    classes = near_classes(docs, id_col, text_col, width, radius, hot)
+    # the representative of a class: its smallest id (null last), and of its texts the smallest fingerprint
+    lowest = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("m"))
+    kept = lowest.select(F.coalesce(F.col("m.first_id").cast("string"), F.lit("\0")).alias(key), F.col("m.fp").alias(fp))
+    schema = keyed.schema.add(fp, "long")
+    rows = keyed.mapInArrow(marked, schema).join(kept, [key, fp])
+    place = fresh("__place", columns)
+    first = rows.withColumn(place, F.row_number().over(W.partitionBy(key, fp).orderBy(key)))
+    return first.filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in columns])
