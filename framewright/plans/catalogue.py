@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import visibility
+from framewright.plans import trajectories, visibility
 
-PLANS = visibility.QUERIES
+PLANS = visibility.QUERIES | trajectories.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
