@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -152,8 +153,29 @@ ODD = ["", " ", "  a  b ", "a\n\n b", "x \n y  \n\n  z", "é   b", "<|endoftext|
 @given(st.lists(st.text(st.sampled_from(" \n\t\xa0　ab1.'é\x85\0"), max_size=20), max_size=4))
 def test_word_by_word_tokens_equal_whole_texts(texts):
     tokens = made()
-    got = tokens.encode([*texts, *ODD])
-    assert [x.tolist() for x in got] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, *ODD]]
+    flat, sizes = tokens.encode(pa.array([*texts, *ODD], pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in [*texts, *ODD]]
+
+
+def test_words_beyond_the_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHARS", 10)
+    tokens = packing.Tokens()
+    for texts in (["one two three four"], ["five one six", None, ""], ["six seven"]):
+        flat, sizes = tokens.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert tokens.n_known < 6
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 2**64 - 1), unique=True, max_size=300), st.integers(1, 7))
+def test_hash_places(keys, parts):
+    table, keys = packing.Places64(2), np.array(keys, np.uint64)
+    for part in range(parts):
+        table.add(keys[part::parts], np.arange(len(keys))[part::parts])
+    assert table.find(keys).tolist() == list(range(len(keys)))
+    other = keys ^ np.uint64(1)
+    other = other[(other != 0) & ~np.isin(other, keys)]
+    assert (table.find(other) == -1).all()
 
 
 _made = []
