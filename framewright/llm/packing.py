@@ -22,102 +22,190 @@ packed like any others; empty input gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.llm.common import Texts, batch_of, cut
+from framewright.llm.words import hash_words, sums
 
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Numbers of groups of large lengths that are tried, and the share of a sequence below which a piece is small.
 GROUPS, SMALL = (256, 512, 1024), 1 / 16
-#: Characters of words whose ids a worker keeps at a time.
+#: Characters of words whose ids a worker process keeps; later words are encoded anew for each slice of text.
 CACHE_CHARS = 8_000_000
+#: Bytes of text that are tokenized at a time (a longer single text makes a slice of its own).
+SLICE = 2 << 20
 
 
 # --- tokens
 
 #: Where a space may be cut off as the start of a token: white space on neither side of it.
 _between = re.compile(r"(?<=\S) (?=\S)")
-#: White space beyond a space and ASCII, as Unicode defines it.
-_rare = "\x85\xa0                　"
-_after_space = re.compile(f" [{_rare}]")
-
+#: A space with white space after it, as Unicode defines it.
+_spaced = r" [\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+class Places64:
+    """Open addressing from nonzero 64-bit hashes to numbers, for whole arrays at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it isn't known."""
+        out = np.full(len(h), -1)
+        left, at = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (key != 0)
+            left, at = left[more], (at[more] + 1) & (len(self.keys) - 1)
+        return out
 
-def words_of(text: str) -> list[str]:
-    """The text cut at spaces that begin a token whatever stands around them; each cut takes one space away."""
-    if "  " in text or any(f" {c}" in text for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f") or (not text.isascii() and _after_space.search(text)):
-        return _between.split(text)
-    return text.split(" ")
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """New distinct hashes."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            keys, old = self.keys[held], self.values[held]
+            while 2 * (self.n + len(h)) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+            self._put(keys, old)
+        self._put(h, values)
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, values: np.ndarray) -> None:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            placed = free & (self.keys[at] == h)
+            self.values[at[placed]] = values[placed]
+            h, values, at = h[~placed], values[~placed], (at[~placed] + 1) & (len(self.keys) - 1)
 
 
 class Tokens:
-    """Ids of whole texts through a tokenizer, word by word, with the ids of words seen before kept."""
+    """Ids of whole texts through a tokenizer, word by word, with the ids of words seen before kept.
+
+    A space that no white space follows always begins a token, so texts are cut
+    there; the others are cut at the spaces that stand between two words, and
+    those with special tokens in them are encoded whole.
+    """
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core for each task
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.lengths, self.chars = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
-        self.pool = self.starts = self.sizes = None
-
-    def _codes(self, words: list[str]) -> np.ndarray:
-        new = list(set(words).difference(self.known))
-        if new:
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                # a word after a cut begins with its space; the first word of a text is marked by \0
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\0" else w for w in part], add_special_tokens=False)]
-                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-                self.ids.append(np.fromiter((i for x in found for i in x), np.uint32))
-                self.lengths.append(np.array([len(x) for x in found], np.int64))
-            self.chars += sum(map(len, new))
-            self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
-            self.sizes = self.lengths[0]
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > CACHE_CHARS:
-            self._clear()
-        words: list[str] = []
-        counts, whole = [], {}
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                counts.append(0)
-                continue
-            first, *rest = words_of(text)
-            words.append("\0" + first)
-            words += [" " + w for w in rest]
-            counts.append(1 + len(rest))
-        codes = self._codes(words)
-        sizes = self.sizes[codes] if len(codes) else codes
+        self.known, self.n_known = Places64(), 0  # hash of a word after a space -> its place in the arrays below
+        self.chars = 0
+        self.ids, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.n_ids = 0
+        self.starts = np.zeros(1 << 14, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        flat, sizes = [], []
+        for lo in range(0, len(texts), 1024):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)]
+            sizes += map(len, found)
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(sizes, np.int64)
+
+    def _keep(self, hashes: np.ndarray, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = self.n_known, len(words)
+        while first + n > len(self.sizes):
+            self.sizes, self.starts = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.sizes[first : first + n] = sizes
+        self.starts[first : first + n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids += len(ids)
+        self.known.add(hashes, np.arange(first, first + n))
+        self.n_known += n
+        self.chars += sum(map(len, words))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size) such that the word w after a space has ids[start : start + size]."""
+        coded = words.dictionary_encode()
+        uniq = Texts(coded.dictionary)
+        starts, ends = uniq.offsets[:-1], uniq.offsets[1:]
+        hashes = np.maximum(hash_words(uniq.data, starts, ends - starts), np.uint64(1))
+        place = self.known.find(hashes)
+        new = np.flatnonzero(place < 0)
+        pool, starts, sizes = self.ids, self.starts[place], self.sizes[place]
+        if len(new):
+            texts = coded.dictionary.take(pa.array(new)).to_pylist()
+            ids, n = self._encoded([" " + w for w in texts])
+            if self.chars < CACHE_CHARS:
+                at = self.n_known
+                self._keep(hashes[new], texts, ids, n)
+                pool, starts[new], sizes[new] = self.ids, self.starts[at : at + len(new)], n
+            else:
+                pool, starts[new], sizes[new] = np.concatenate([self.ids[: self.n_ids], ids]), self.n_ids + np.cumsum(n) - n, n
+        code = coded.indices.to_numpy()
+        return pool, starts[code], sizes[code]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each); null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        spaced = pc.match_substring_regex(texts, _spaced).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if odd := np.flatnonzero(spaced | whole).tolist():
+            lists = pc.split_pattern(pc.if_else(pa.array(~(spaced | whole)), texts, ""), " ").to_pylist()
+            for i in odd:
+                lists[i] = [""] if whole[i] else _between.split(texts[i].as_py())
+            lists = pa.array(lists, pa.list_(pa.string()))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        pool, starts, sizes = self._words(words)
+        # a text's first word has no space before it, and some texts are encoded whole
+        heads = offsets[:-1] - offsets[0]
+        first = words.take(pa.array(heads)).to_pylist()
+        for i in np.flatnonzero(whole).tolist():
+            first[i] = texts[i].as_py()
+        ids, n = self._encoded(first)
+        starts[heads], sizes[heads] = len(pool) + np.cumsum(n) - n, n
+        pool = np.concatenate([pool, ids])
         total = int(sizes.sum())
-        heads = np.cumsum(sizes) - sizes
-        flat = self.ids[0][np.repeat(self.starts[codes] - heads, sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        ends = np.append(heads, total)[np.cumsum(counts)] if counts else []
-        out, at = [], 0
-        for k, end in enumerate(ends):
-            out.append(whole[k] if k in whole else flat[at:end])
-            at = end
-        return out
+        ends = np.cumsum(sizes)
+        flat = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        return flat, sums(sizes, np.append(heads, len(words)))
+
+
+_tokens: dict[str | None, Tokens] = {}
+
+
+def tokens_of(path: str | None) -> Tokens:
+    """The tokenizer of this worker process, with the words that earlier tasks have seen."""
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -133,18 +221,19 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, capacity: int, end: i
     names = [id_col, "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, ranks = Tokens(path), TaskContext.get().partitionId(), defaultdict(int)
+        tokens, part, ranks = tokens_of(path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            texts = Texts(batch.column(1))
-            for lo, hi, _, _ in texts.slices():
+            for lo, hi, _, _ in Texts(batch.column(1)).slices(SLICE):
+                flat, sizes = tokens.encode(batch.column(1).slice(lo, hi - lo))
                 rows: list[tuple] = []
                 kept = []
-                for k, ids in enumerate(tokens.encode([texts.text(i).decode("utf-8", "replace") for i in range(lo, hi)])):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                ends = np.cumsum(sizes)
+                for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+                    ids = np.append(flat[a:b], np.uint32(end)).astype("<u4")
                     at = 0
                     for number, n in enumerate(piece_lengths(len(ids), capacity)):
                         own = ids[at : at + n]
-                        rows.append((lo + k, number, at, n, zlib.crc32(own.tobytes()), part, ranks[n]))
+                        rows.append((lo + k, number, at, n, zlib.crc32(own), part, ranks[n]))
                         kept.append(own) if keep_ids else None
                         ranks[n] += 1
                         at += n
