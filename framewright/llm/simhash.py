@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.llm.common import Texts, batch_of, cut, map_batches
 from framewright.llm.words import sums
@@ -362,7 +363,7 @@ def drop_copies(
     # the representative of a class: its smallest id (null last), and of its texts the smallest fingerprint
     lowest = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("m"))
     kept = lowest.select(F.coalesce(F.col("m.first_id").cast("string"), F.lit("\0")).alias(key), F.col("m.fp").alias(fp))
-    schema = keyed.schema.add(fp, "long")
+    schema = T.StructType([*keyed.schema.fields, T.StructField(fp, T.LongType())])
     rows = keyed.mapInArrow(marked, schema).join(kept, [key, fp])
     place = fresh("__place", columns)
     first = rows.withColumn(place, F.row_number().over(W.partitionBy(key, fp).orderBy(key)))
