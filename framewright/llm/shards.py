@@ -38,16 +38,25 @@ def prefix(h: Column, depth: Column | int) -> Column:
     return F.expr("shiftright(h, {})".format(HASH_BITS - depth)) if isinstance(depth, int) else F.call_function("shiftright", h, shift.cast("int"))
 
 
-def bucketed(rows: DataFrame, limit: int, above: int, depth: int) -> DataFrame:
-    """(bits, bucket_depth or null, bucket_bytes, bucket_rows) for each prefix of `depth` bits of rows (h, n_bytes); depths from `above`."""
+def split_buckets(rows: DataFrame, limit: int, above: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The directory (bits, bucket_depth, bucket_bytes, bucket_rows) of rows (h, n_bytes) at `depth` bits, and the bits that still overflow.
+
+    Depths before `above` are known to overflow. A prefix is a bucket if it fits
+    and the one before it, a bit shorter, does not; its entries of the directory follow.
+    """
     histogram = rows.groupBy(prefix(F.col("h"), depth).alias("bits")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
-    ways = histogram.select("bits", "bytes", "n", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("d")).withColumn(
-        "node", F.call_function("shiftright", F.col("bits"), (F.lit(depth) - F.col("d")).cast("int"))
+    ways = histogram.select("bytes", "n", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("d"), "bits").select(
+        "d", F.call_function("shiftright", F.col("bits"), (F.lit(depth) - F.col("d")).cast("int")).alias("node"), "bytes", "n"
     )
-    nodes = ways.groupBy("d", "node").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).filter((F.col("bytes") <= limit) | (F.col("n") == 1))
-    return ways.select("bits", "d", "node").join(nodes, ["d", "node"], "left").groupBy("bits").agg(
-        F.min(F.when(F.col("n").isNotNull(), F.struct("d", "bytes", "n"))).alias("b")
-    ).select("bits", F.col("b.d").alias("bucket_depth"), F.col("b.bytes").alias("bucket_bytes"), F.col("b.n").alias("bucket_rows"))
+    fits = (F.col("bytes") <= limit) | (F.col("n") == 1)
+    nodes = cut(ways.groupBy("d", "node").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")))
+    split = nodes.filter(~fits).select((F.col("d") + 1).alias("d"), F.col("node").alias("parent"))
+    below = nodes.filter(fits & (F.col("d") > above)).withColumn("parent", F.shiftright("node", 1)).join(split, ["d", "parent"], "left_semi")
+    buckets = nodes.filter(fits & (F.col("d") == above)).unionByName(below.drop("parent"))
+    wide = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("d")).cast("int"))
+    entries = F.explode(F.sequence(F.col("node") * wide, (F.col("node") + 1) * wide - 1)).alias("bits")
+    directory = buckets.select(entries, F.col("d").alias("bucket_depth"), F.col("bytes").alias("bucket_bytes"), F.col("n").alias("bucket_rows"))
+    return directory, nodes.filter(~fits & (F.col("d") == depth)).select(F.col("node").alias("bits"), "bytes", "n")
 
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
@@ -59,31 +68,20 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = S
     total = rest.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     above, depth, out = 0, min(MOST_BITS, (total // limit).bit_length() + SPARE_BITS), None
     while True:
-        directory = bucketed(rest, limit, above, depth)
-        last = depth == HASH_BITS
-        if not last:
-            directory = cut(directory)
-            overflow = directory.filter("bucket_depth is null").select("bits")
-            last = not overflow.limit(1).count()
-        placed = rest.withColumn("bits", prefix(F.col("h"), depth)).join(directory if last else directory.filter("bucket_depth is not null"), "bits")
-        found = placed.select(
-            key, "copy", "n_bytes",
-            F.coalesce("bucket_depth", F.lit(depth)).cast("int").alias("depth"),
-            F.coalesce("bucket_bytes", F.sum("n_bytes").over(_within())).alias("shard_bytes") if last and depth == HASH_BITS else F.col("bucket_bytes").alias("shard_bytes"),
-            F.coalesce("bucket_rows", F.count("*").over(_within())).alias("shard_rows") if last and depth == HASH_BITS else F.col("bucket_rows").alias("shard_rows"),
-            "h",
-        )
+        directory, overflow = split_buckets(rest, limit, above, depth)
+        over = depth < HASH_BITS and overflow.limit(1).count()
+        if not over and depth == HASH_BITS:  # rows that agree in all bits stay together
+            directory = directory.unionByName(overflow.select("bits", F.lit(depth).alias("bucket_depth"), F.col("bytes").alias("bucket_bytes"), F.col("n").alias("bucket_rows")))
+        dealt = rest.withColumn("bits", prefix(F.col("h"), depth))
+        found = dealt.join(directory, "bits").select(
+            key, "copy", "n_bytes", F.col("bucket_depth").cast("int").alias("depth"), F.col("bucket_bytes").alias("shard_bytes"), F.col("bucket_rows").alias("shard_rows"), "h"
+        )
         out = found if out is None else out.unionByName(found)
-        if last:
+        if not over:
             break
-        rest = cut(rest.withColumn("bits", prefix(F.col("h"), depth)).join(overflow, "bits", "left_semi").drop("bits"))
+        rest = cut(dealt.join(overflow, "bits", "left_semi").drop("bits"))
         above, depth = depth + 1, min(HASH_BITS, depth + MOST_BITS // 2)
     bits = F.call_function("shiftright", F.col("h"), (F.lit(HASH_BITS) - F.col("depth")).cast("int"))
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(bits), F.col("depth"), F.lit("0")))
     return out.select(key, "copy", "n_bytes", name.alias("shard"), "depth", "shard_bytes", "shard_rows")
 
-
-def _within():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bits")
