@@ -1 +1,12 @@
+"""Column functions: everything that needs no grouping, by one import."""
 
+from framewright.operators.batch import episode_state, failed_stage, integer_frames, numeric_order, resume_stage, scratch_bytes, version_tuple
+from framewright.operators.geometry import dot, fuse_visibility, in_view, norm, project, quaternion_angle, ray_to_border, session_camera, slerp, unit, visible_landmarks
+from framewright.operators.intervals import scheduled, two_sided_state
+from framewright.operators.masks import blended, crossfade, over, overlap
+from framewright.operators.smoothing import wrapped_distance
+
+__all__ = [
+    "blended", "crossfade", "dot", "episode_state", "failed_stage", "fuse_visibility", "in_view", "integer_frames", "norm", "numeric_order", "over", "overlap", "project",
+    "quaternion_angle", "ray_to_border", "resume_stage", "scheduled", "scratch_bytes", "session_camera", "slerp", "two_sided_state", "unit", "version_tuple", "visible_landmarks", "wrapped_distance",
+]
