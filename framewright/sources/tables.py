@@ -65,9 +65,9 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """(frame, content, length, path) of numbered images."""
+    """(frame, content, length, path, modificationTime) of numbered images."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"(\d+)\.[A-Za-z]+$", 1).cast("long").alias("frame"), "content", "length", "path")
+    return files.select(F.regexp_extract("path", r"(\d+)\.[A-Za-z]+$", 1).cast("long").alias("frame"), "content", "length", "path", "modificationTime")
 
 
 def count_rows(spark: SparkSession, path: str) -> int:

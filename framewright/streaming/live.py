@@ -21,24 +21,19 @@ def _bridged(gap: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, begun, long = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], False, False)
         out: list[tuple[int, bool]] = []
-        if state.hasTimedOut:
-            out, pending = [(f, False) for f in pending], []
-            state.remove()
-        else:
-            for rows in batches:
-                for frame, seen in rows.sort_values("frame")[["frame", "seen"]].itertuples(index=False):
-                    if seen:
-                        out += [(f, begun) for f in pending] + [(frame, True)]
-                        pending, begun, long = [], True, False
-                    elif long or not begun:
-                        out.append((frame, False))
-                    else:
-                        pending.append(int(frame))
-                        if len(pending) > gap:
-                            out += [(f, False) for f in pending]
-                            pending, long = [], True
-            state.update((pending, begun, long))
-            state.setTimeoutDuration(600_000)
+        for rows in batches:
+            for frame, seen in rows.sort_values("frame")[["frame", "seen"]].itertuples(index=False):
+                if seen:
+                    out += [(f, True) for f in pending] + [(frame, True)]
+                    pending, begun, long = [], True, False
+                elif long or not begun:
+                    out.append((frame, False))
+                else:
+                    pending.append(int(frame))
+                    if len(pending) > gap:
+                        out += [(f, False) for f in pending]
+                        pending, long = [], True
+        state.update((pending, begun, long))
         if out:
             yield pd.DataFrame({"episode": key[0], "frame": [int(f) for f, _ in out], "seen": [bool(s) for _, s in out]})
 
@@ -48,9 +43,9 @@ def _bridged(gap: int):
 def bridge_gaps_live(frames: DataFrame, gap: int) -> DataFrame:
     """(episode, frame, seen) of a stream: false runs of at most `gap` frames between seen ones are filled.
 
-    An episode that stays silent for ten minutes gives up its undecided frames as not seen.
+    The last frames of an episode, if not seen and `gap` or fewer, stay undecided until more of it comes.
     """
-    return frames.groupBy("episode").applyInPandasWithState(_bridged(gap), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("episode").applyInPandasWithState(_bridged(gap), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_visibility(events: DataFrame, time: str, late: str, width: str, threshold: float) -> DataFrame:
