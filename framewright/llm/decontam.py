@@ -36,6 +36,8 @@ from framewright.llm.words import P, folded_words, mix
 K, WINDOW = 5, 6
 BLOCK_BYTES = 8 << 20
 BITMAP_BITS = 22
+#: Pairs of places that are extended at a time.
+JOINED = 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,13 +99,17 @@ class Bench:
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.key & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)] = True
 
-    def join(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document place, row of the table) for each equal hash of the places `at`."""
+    def join(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document place, row of the table) for each equal hash of the places `at`, about JOINED pairs at a time."""
         at = at[self.bitmap[(h[at] & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)]]
         lo, hi = np.searchsorted(self.key, h[at], "left"), np.searchsorted(self.key, h[at], "right")
-        n = hi - lo
-        total = int(n.sum())
-        return np.repeat(at, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
+        hit = hi > lo
+        at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
+        cuts = np.searchsorted(np.cumsum(n), np.arange(JOINED, int(n.sum()) + 1, JOINED), "right")
+        for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            if b > a:
+                size = n[a:b]
+                yield np.repeat(at[a:b], size), np.repeat(lo[a:b] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +120,20 @@ def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def find_spans(words: np.ndarray, firsts: np.ndarray, bench: Bench, k: int, window: int) -> np.ndarray:
     """Rows (start, stop, item) of the shared spans of many texts' words, extended as far as the words agree."""
     grams = run_hashes(words, firsts, k)
-    at, row = bench.join(grams, winnowed(grams, window))
-    long = bench.size[bench.item[row]] >= bench.span if len(row) else np.zeros(0, bool)
-    found = [(at[long], row[long])]
+    found = [extended(words, firsts, bench, *pairs, None) for pairs in bench.join(grams, winnowed(grams, window))]
     for length in bench.short:
         h = run_hashes(words, firsts, length)
-        at, row = bench.join(h, np.flatnonzero(h != NONE))
-        ok = bench.size[bench.item[row]] == length if len(row) else np.zeros(0, bool)
-        found.append((at[ok], row[ok]))
-    at, row = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    if not len(at):
-        return np.zeros((0, 3), np.int64)
+        found += [extended(words, firsts, bench, *pairs, length) for pairs in bench.join(h, np.flatnonzero(h != NONE))]
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+
+def extended(words: np.ndarray, firsts: np.ndarray, bench: Bench, at: np.ndarray, row: np.ndarray, length: int | None) -> np.ndarray:
+    """Spans (start, stop, item) around pairs of equal fingerprints; of short items of that length, or of the others."""
+    size = bench.size[bench.item[row]]
+    own = size >= bench.span if length is None else size == length
+    at, row = at[own], row[own]
     text = np.searchsorted(firsts, at, "right") - 1
     item, place = bench.item[row], bench.place[row]
-    # one start for each diagonal of a text and an item: what lies on it is extended once from each hit
     left, right = at.copy(), at.copy()
     lo, hi = firsts[text], firsts[text + 1]
     blo, bhi = bench.firsts[item], bench.firsts[item + 1]
@@ -189,8 +195,8 @@ class Decontaminator:
             self.made.clear()  # one block's table at a time
             block = self.blocks[number]
             self.made[number] = Bench(*block.value.unpacked(), self.k, self.window)
-            if len(self.blocks) > 1:
-                block.unpersist()
+            if len(self.blocks) > 1:  # the worker reads it again from its own file when the block's turn comes
+                vars(block).pop("_value", None)
         return self.made[number]
 
     def batch(self, column: pa.Array) -> list[tuple[int, list[str], np.ndarray]]:

@@ -53,6 +53,11 @@ NOTICES = (
 )
 
 
+def aligned(text: str, start: int, stop: int) -> bool:
+    """Whether a span begins and ends with words."""
+    return (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " ")
+
+
 class Scanner:
     def __init__(self, notices: Sequence[Notice] = NOTICES):
         self.notices = tuple(notices)
@@ -78,12 +83,12 @@ class Scanner:
                 notice = self.notices[k]
                 at = end + 1 - size - lo
                 n = len(notice.phrase)
-                if at >= 0 and text.startswith(notice.phrase, at):
+                if at >= 0 and text.startswith(notice.phrase, at) and aligned(text, at, at + n):
                     exact.add((k, at))
                     continue
                 if not notice.edits:
                     continue
-                first, last = max(0, at - notice.edits), min(len(text), at + n + notice.edits + 1)
+                first, last = max(0, at - notice.edits), min(len(text), at + n + 2 * notice.edits + 1)
                 runs = windows.setdefault(k, [])
                 if runs and first <= runs[-1][1]:
                     runs[-1][0] = min(first, runs[-1][0])
@@ -93,15 +98,14 @@ class Scanner:
         base, spans = [], []
         for k, at in sorted(exact, key=lambda x: (x[1], x[0])):
             n = len(self.notices[k].phrase)
-            whole = (at == 0 or text[at - 1] == " ") and (at + n == len(text) or text[at + n] == " ")
-            if whole and self.notices[k].base:
+            if self.notices[k].base:
                 base.append((k, text.count(" ", 0, at)))
             spans.append((k, at, at + n, 0))
         for k, runs in windows.items():
             known = [s for s in spans if s[0] == k and not s[3]]
             for first, last in runs:
                 for m in self.patterns[k].finditer(text, first, last):
-                    if not any(a < m.end() and m.start() < b for _, a, b, _ in known):
+                    if aligned(text, m.start(), m.end()) and not any(a < m.end() and m.start() < b for _, a, b, _ in known):
                         spans.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
         return base, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
