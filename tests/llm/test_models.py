@@ -138,7 +138,7 @@ def test_statistics_by_hand():
     assert np.allclose(x["distinct_words"], [4 / 8, 0, 2 / 4])
     assert np.allclose(x["top_word"], [4 / 8, 0, 2 / 4])
     assert np.allclose(x["same_as_last"], [2 / 8, 0, 0])
-    assert np.allclose(x["same_as_before_last"], [0, 0, 2 / 4])
+    assert np.allclose(x["same_as_before_last"], [1 / 8, 0, 2 / 4])
     assert np.allclose(x["repeated_lines"], [2 / 3, 0, 0])
     assert np.allclose(x["distinct_pairs"], [5 / 7, 0, 2 / 3])
     assert np.allclose(x["share_loud"], [1 / len(texts[0]), 0, 0])
