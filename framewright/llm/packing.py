@@ -46,9 +46,9 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Numbers of groups of large lengths that are tried, and the share of a sequence below which a piece is small.
 GROUPS, SMALL = (256, 512, 1024), 1 / 16
 #: Characters of words whose ids a worker process keeps; later words are encoded anew for each slice of text.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 4_000_000
 #: Bytes of text that are tokenized at a time (a longer single text makes a slice of its own).
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 # --- tokens
