@@ -1,0 +1,142 @@
+"""Near copies by the Jaccard similarity of five-word shingles: candidates by MinHash buckets, every candidate compared exactly.
+
+Two texts link at a similarity of 0.8 or more of their sets of shingle hashes
+(64 bits, words as in `simhash`). Texts of equal sets are one node. Each node
+goes to BANDS buckets, the hashes of ROWS minima each; a pair at 0.8 shares no
+bucket with a probability of (1 - 0.8^5)^30, below 1e-5, one at 0.9 below 1e-11.
+
+Comparing: first each member of a bucket with the bucket's smallest node, then
+all pairs of a bucket that the components of those links still hold apart, so
+large groups of near copies cost few pairs and no pair of a bucket is left out.
+A bucket of many texts that are not near copies costs its pairs.
+
+Defined results: texts without words link with each other; texts of up to five
+words link where they are equal; null ids and repeated rows as in `simhash`.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from framewright.llm.common import Texts, batch_of, cut, map_batches, shared_checkpoints
+from framewright.llm.simhash import components, one_of_each, shingle_hashes
+
+WIDTH, BANDS, ROWS = 5, 30, 5
+#: Odd factors, so that each keeps hashes distinct: one order of all shingles each.
+FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes; one zero for a text without words."""
+    found = np.unique(shingle_hashes(text, WIDTH))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def set_digests(texts: Texts) -> np.ndarray:
+    """For each text, the 64-bit digest of its set."""
+    return np.array([set_digest(shingle_set(texts.text(i))) for i in range(len(texts))], np.uint64)
+
+
+def bucket_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(texts, BANDS): the bucket of each text in each band."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for factor in FACTORS[band * ROWS : (band + 1) * ROWS]:
+            key = (key ^ np.minimum.reduceat(flat * factor, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, n, keys): the digest and size of each row's set, and its buckets."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = Texts(batch.column(1))
+        fp, n, keys = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), BANDS), np.uint64)
+        for lo, hi, _, _ in texts.slices():
+            sets = [shingle_set(texts.text(i)) for i in range(lo, hi)]
+            n[lo:hi] = [len(s) for s in sets]
+            fp[lo:hi] = [set_digest(s) for s in sets]
+            keys[lo:hi] = bucket_keys(np.concatenate(sets), np.cumsum(n[lo:hi]) - n[lo:hi])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+        return batch_of([id_col, "fp", "n", "keys"], [batch.column(0), fp.view(np.int64), n, lists])
+
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long, n long, keys array<long>")
+
+
+def sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """(fp, hashes): each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = Texts(batch.column(0))
+            for lo, hi, _, _ in texts.slices():
+                held = [shingle_set(texts.text(i)) for i in range(lo, hi)]
+                ends = np.cumsum([0, *map(len, held)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held).view(np.int64)))
+                yield batch_of(["fp", "hashes"], [np.array([set_digest(s) for s in held], np.uint64).view(np.int64), lists])
+
+    return docs.select(text_col).mapInArrow(run, "fp long, hashes array<long>")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df by way of the shared checkpoint folder, as files, so that the planner knows its size."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/near-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def candidates(x: DataFrame, y: DataFrame, where: F.Column) -> DataFrame:
+    """(a, b), a below b, each once: the pairs of a bucket whose sizes allow the similarity."""
+    x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in x.columns if c != "key"])
+    y = y.select("key", *[F.col(c).alias(f"y_{c}") for c in y.columns if c != "key"])
+    fits = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
+    return x.join(y, "key").filter(where & fits).select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) at a similarity of 0.8 or more, by their whole sets."""
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    held = cut(sets(docs, text_col).join(needed, "fp", "left_semi").dropDuplicates(["fp"]))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("hashes").alias("p")), "a").join(held.select(F.col("fp").alias("b"), F.col("hashes").alias("q")), "b")
+    return both.filter(9 * F.size(F.array_intersect("p", "q")) >= 4 * (F.size("p") + F.size("q"))).select("a", "b")
+
+
+def near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, first_id, root): each distinct set, the smallest id that has it, and the set that stands for its class."""
+    nodes = stored(sketches(docs, id_col, text_col).groupBy("fp").agg(F.min(id_col).alias("first_id"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    dealt = nodes.select("fp", "n", F.explode("keys").alias("key"))
+    lowest = stored(dealt.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("m"), F.count("*").alias("size")).filter("size > 1"))
+    shared = cut(dealt.join(lowest.select("key"), "key"))
+    tried = cut(candidates(shared, lowest.select("key", "m.fp", "m.n"), F.col("x_fp") != F.col("y_fp")))
+    links = cut(linked(tried, docs, text_col))
+    roots = components(links)
+    placed = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    apart = cut(placed.join(mixed, "key"))
+    rest = cut(candidates(apart, apart, F.col("x_root") < F.col("y_root")).join(tried, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        more = cut(linked(rest, docs, text_col))
+        if more.limit(1).count():
+            roots = components(links.unionAll(more))
+    return nodes.select("fp", "first_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of near copies, all columns as they are: the one with the smallest id."""
+    return one_of_each(docs, id_col, text_col, set_digests, near_classes(docs, id_col, text_col))

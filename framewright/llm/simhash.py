@@ -26,7 +26,7 @@ null component); repeated rows give repeated results; extra columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -329,11 +329,10 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def drop_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = HOT_GROUP
-) -> DataFrame:
-    """One row of each class of near copies, all columns as they are: the one with the smallest id.
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, prints_of: Callable[[Texts], np.ndarray], classes: DataFrame) -> DataFrame:
+    """One row of each class, all columns as they are: the one with the smallest id.
 
+    prints_of gives the fingerprints of texts; classes are (fp, first_id, root).
     Rows that repeat an id and a fingerprint meet in their own task first, so a
     hot id sends one row a task; what is left joins the representatives by id and
     fingerprint, which no group shares.
@@ -346,11 +345,7 @@ def drop_copies(
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = Texts(batch.column(text_at))
-            prints = np.zeros(len(texts), np.uint64)
-            for lo, hi, _, _ in texts.slices():
-                hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
-                prints[lo:hi] = vote(np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64))
+            prints = prints_of(Texts(batch.column(text_at)))
             new = []
             for name, x in zip(batch.column(batch.num_columns - 1).to_pylist(), prints.tolist(), strict=True):
                 both = xxhash.xxh3_128_intdigest(f"{x} {name}")
@@ -359,7 +354,6 @@ def drop_copies(
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, fp])
             yield out.filter(pa.array(new, pa.bool_()))
 
-    classes = near_classes(docs, id_col, text_col, width, radius, hot)
     # the representative of a class: its smallest id (null last), and of its texts the smallest fingerprint
     lowest = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("m"))
     kept = lowest.select(F.coalesce(F.col("m.first_id").cast("string"), F.lit("\0")).alias(key), F.col("m.fp").alias(fp))
@@ -368,3 +362,18 @@ def drop_copies(
     place = fresh("__place", columns)
     first = rows.withColumn(place, F.row_number().over(W.partitionBy(key, fp).orderBy(key)))
     return first.filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = HOT_GROUP
+) -> DataFrame:
+    """One row of each class of near copies, all columns as they are: the one with the smallest id."""
+
+    def prints_of(texts: Texts) -> np.ndarray:
+        prints = np.zeros(len(texts), np.uint64)
+        for lo, hi, _, _ in texts.slices():
+            hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
+            prints[lo:hi] = vote(np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64))
+        return prints
+
+    return one_of_each(docs, id_col, text_col, prints_of, near_classes(docs, id_col, text_col, width, radius, hot))

@@ -1,0 +1,49 @@
+"""The pipeline's near-duplicate stage against Jaccard similarity over all pairs."""
+
+import random
+
+import corpus_pipeline
+from framewright.llm import simhash
+from tests.llm.fixtures import LEXICON, prose
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def kept_ids(rows):
+    """The smallest id of each class of texts that links at 0.8 connect."""
+    held, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(held):
+        for j in range(i):
+            if 5 * len(a & held[j]) >= 4 * len(a | held[j]):
+                parent[top(i)] = top(j)
+    low = {}
+    for i, (doc, _) in enumerate(rows):
+        low[top(i)] = min(low.get(top(i), doc), doc)
+    return sorted(low.values())
+
+
+def test_near_duplicate_stage_is_jaccard(spark):
+    rng, rows = random.Random(5), []
+    for family in range(12):
+        base = prose(rng, rng.choice(list(LEXICON)), 150).split()
+        rows.append((100 * family, " ".join(base)))
+        for i in range(8):  # from 1 to 8 words changed: similarities on both sides of 0.8
+            words = list(base)
+            for at in rng.sample(range(len(words)), i + 1):
+                words[at] = f"other{rng.randint(0, 99)}"
+            rows.append((100 * family + i + 1, " ".join(words)))
+    rows += [(5000, None), (5001, ""), (5002, "one two"), (5003, "One  two"), (5004, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, docs, "").collect())
+    assert got == kept_ids(rows)
+    assert 12 < sum(i < 5000 for i in got) < 12 * 9
+    assert len(simhash.drop_copies(docs).collect()) > len(got)
