@@ -148,12 +148,12 @@ BLOB_SQL = "SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(htm
 
 
 def hash_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that must be hashed anew: those that no earlier page of equal address and size covers."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.length("html").alias("size"))
-    known = pages.groupBy("host", "size").agg(F.min("page_id").alias("page_id"))
-    return pages.join(known, ["host", "size", "page_id"], "left_semi").groupBy("host").agg(F.count("*").alias("misses"), F.sum("size").cast("long").alias("size"))
+    """Pages that must be hashed anew: those that no earlier page of equal address (the whole url) and size covers; by host."""
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.length("html").alias("size"))
+    return pages.distinct().groupBy("host").agg(F.count("*").alias("misses"), F.sum("size").cast("long").alias("size"))
 
 
+#: Counts by host and size, not by url and size: fewer misses than the query where pages of one host have equal sizes.
 MISSES_SQL = """WITH pages_ AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, length(html) AS size FROM pages),
 known AS (SELECT host, size FROM pages_ GROUP BY 1, 2) SELECT host, count(*) AS misses, CAST(sum(size) AS BIGINT) AS size FROM known GROUP BY 1"""
 
