@@ -89,6 +89,26 @@ def erode(mask: np.ndarray, radius: int) -> np.ndarray:
     return ~disc_dilate(~mask, radius)
 
 
+def ellipse_dilate(mask: np.ndarray) -> np.ndarray:
+    """Dilate by the ellipse of 5 x 5: three full rows, and the middle of the first and the last."""
+    wide = mask.copy()
+    for k in (1, 2):
+        wide[:, k:] |= mask[:, :-k]
+        wide[:, :-k] |= mask[:, k:]
+    out = wide.copy()
+    out[1:] |= wide[:-1]
+    out[:-1] |= wide[1:]
+    out[2:] |= mask[:-2]
+    out[:-2] |= mask[2:]
+    return out
+
+
+def closed_opened(mask: np.ndarray) -> np.ndarray:
+    """Closed by the ellipse of 5 x 5, then opened by that of 3 x 3 (a cross); outside the raster nothing counts."""
+    closed = ~ellipse_dilate(~ellipse_dilate(mask))
+    return disc_dilate(~disc_dilate(~closed, 1, diamond=True), 1, diamond=True)
+
+
 def feathered(mask: np.ndarray, grow: int = 10, feather: int = 4) -> np.ndarray:
     """1 on the mask grown by city-block distance, then feather rings down to 0; all 0 for an empty mask."""
     alpha = np.zeros(mask.shape)
@@ -151,14 +171,14 @@ def keep_parts(mask: np.ndarray, least: int, seeds: list[tuple[float, float]], e
 
 
 def stabilised(masks: list[np.ndarray], clip: float = 7.5, side: float = 0.35, low: float = 0.65, high: float = 1.35) -> list[np.ndarray]:
-    """Each mask's signed distance averaged with its neighbours'; the original where the area would change too much."""
+    """Each mask's signed distance averaged with its neighbours', closed and opened; the original where the area would change too much."""
     fields, out = [signed_distance(m, clip) for m in masks], []
     for i, m in enumerate(masks):
         total, weight = fields[i].copy(), 1.0
         for j in (i - 1, i + 1):
             if 0 <= j < len(masks):
                 total, weight = total + side * fields[j], weight + side
-        new = total / weight > 0
+        new = closed_opened(total / weight > 0)
         out.append(new if m.sum() and low <= new.sum() / m.sum() <= high else m)
     return out
 

@@ -179,8 +179,8 @@ def mask_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("frame", ignore_index=True)
-        shapes = [M.capsules(np.array([[np.nan if x["u"] is None else x["u"], np.nan if x["v"] is None else x["v"]] for x in px], float), M.BONES[:4], 2.0, 64, 48) for px in group["px"]]
-        clean = [M.keep_parts(M.disc_dilate(M.erode(m, 1), 1), 8, [(32.0, 24.0)]) for m in shapes]
+        shapes = [M.capsules(np.array([[np.nan if x["u"] is None else x["u"], np.nan if x["v"] is None else x["v"]] for x in px], float), M.BONES, 2.0, 64, 48) for px in group["px"]]
+        clean = [M.keep_parts(M.closed_opened(m), 8, [(32.0, 24.0)]) for m in shapes]
         steady = M.stabilised(clean, 3.0)
         return pd.DataFrame({"episode": group["episode"], "frame": group["frame"], "raw": [int(m.sum()) for m in shapes], "clean": [int(m.sum()) for m in clean], "steady": [int(m.sum()) for m in steady]})
 

@@ -1,6 +1,14 @@
 """Queries against brute-force versions on small tables."""
 
-from framewright.plans import batch
+import math
+import random
+
+from framewright.plans import batch, masks
+
+W, H = 64, 48
+FIVE = [(0, -2), (0, 2)] + [(x, y) for x in range(-2, 3) for y in (-1, 0, 1)]
+CROSS = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
+ALL = [(x, y) for x in range(W) for y in range(H)]
 
 
 def test_hash_cache_misses_by_whole_url(spark, tmp_path):
@@ -8,3 +16,74 @@ def test_hash_cache_misses_by_whole_url(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["host"]: (r["misses"], r["size"]) for r in batch.hash_cache_misses(spark, str(tmp_path)).collect()}
     assert got == {"a.x": (3, 10), "b.x": (1, 3), None: (1, 2)}
+
+
+def dilated(cells, kernel):
+    return {(x + a, y + b) for x, y in cells for a, b in kernel if 0 <= x + a < W and 0 <= y + b < H}
+
+
+def eroded(cells, kernel):
+    return set(ALL) - dilated(set(ALL) - cells, kernel)
+
+
+def cleaned(cells):
+    closed = eroded(dilated(cells, FIVE), FIVE)
+    return dilated(eroded(closed, CROSS), CROSS)
+
+
+def drawn(points):
+    bones = [(0 if k == 0 else 4 * f + k, 4 * f + k + 1) for f in range(5) for k in range(4)]
+
+    def near(x, y, p, q):
+        d, e = (q[0] - p[0], q[1] - p[1]), (x - p[0], y - p[1])
+        t = min(1, max(0, (e[0] * d[0] + e[1] * d[1]) / (d[0] ** 2 + d[1] ** 2)))
+        return (e[0] - t * d[0]) ** 2 + (e[1] - t * d[1]) ** 2 <= 4
+
+    return {(x, y) for x, y in ALL if any(near(x, y, points[i], points[j]) for i, j in bones)}
+
+
+def large_parts(cells):
+    left, out = set(cells), set()
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            x, y = todo.pop()
+            part.add((x, y))
+            for n in [(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+        if len(part) >= 8 and any(x >= W - 3 or y >= H - 3 or (abs(x - 32) <= 5 and abs(y - 24) <= 5) for x, y in part):
+            out |= part
+    return out
+
+
+def distance(cells):
+    if not cells or len(cells) == W * H:
+        return {c: 3.0 if cells else -3.0 for c in ALL}
+    ring = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
+    far = lambda x, y, here: min([3.0] + [math.hypot(a, b) for a, b in ring if 0 <= x + a < W and 0 <= y + b < H and ((x + a, y + b) in cells) != here])
+    return {(x, y): far(x, y, True) if (x, y) in cells else -far(x, y, False) for x, y in ALL}
+
+
+def test_mask_cleanup_draws_and_cleans_whole_hands(spark, tmp_path):
+    rng, rows, want = random.Random(3), [], {}
+    for episode in range(2):
+        shapes, angle = [], rng.uniform(0, 6)
+        for i in range(3):
+            pixels = [(32.0, 24.0)]
+            for finger in range(5):
+                a = angle + finger * 1.1 + 0.05 * i
+                pixels += [(32 + 5.3 * k * math.cos(a) + rng.uniform(-1, 1), 24 + 5.3 * k * math.sin(a) + rng.uniform(-1, 1)) for k in range(1, 5)]
+            rows.append((10 * episode + i, episode, [v for u, w in pixels for v in ((u - 32) / 60, (w - 24) / 60, 1.0)]))
+            shapes.append(drawn(pixels))
+        clean = [large_parts(cleaned(s)) for s in shapes]
+        fields = [distance(c) for c in clean]
+        for i, c in enumerate(clean):
+            side = [fields[j] for j in (i - 1, i + 1) if 0 <= j < 3]
+            new = cleaned({p for p in ALL if fields[i][p] + 0.35 * sum(f[p] for f in side) > 0})
+            steady = new if c and 0.65 <= len(new) / len(c) <= 1.35 else c
+            want[10 * episode + i] = (len(shapes[i]), len(c), len(steady))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["frame"]: (r["raw"], r["clean"], r["steady"]) for r in masks.mask_cleanup(spark, str(tmp_path)).collect()}
+    assert got == want
