@@ -8,7 +8,9 @@ memory follows the slice and the longest single text, never the partition.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,32 +33,91 @@ def id_crc(column: str = "doc_id") -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at the cluster's shared folder; make one only where none is set (tests)."""
+    """Point checkpoint() at the cluster's shared folder; one machine without that setting (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix=f"checkpoints-{os.getpid()}-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: later passes neither recompute it nor depend on an executor."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def sample_by_hash(df: DataFrame, bound: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """At most `bound` rows, those with the smallest hashes of `key`: the same rows however df is partitioned.
+#: Hash ranges by which bounded_sample finds its limit.
+RANGES = 4096
+
 
-    A count comes first, so that the top-k only sorts about the rows that it keeps.
+def bounded_sample(df: DataFrame, most_rows: int, most_bytes: int, by: list[str], size: Column | None = None, seed: int = 7) -> DataFrame:
+    """Rows with the smallest hashes of the columns `by`, as many as both bounds allow, rows that repeat them once.
+
+    The rows do not depend on partitioning. One pass counts rows and bytes; the
+    rows under a first guess are then counted by hash range (RANGES numbers reach
+    the driver), and whole ranges are kept while both sums stay within the bounds
+    (the first one always).
+    """
+    mixed, size = F.xxhash64(F.lit(seed), *by), F.lit(0) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+    all_of = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    share = 1.3 * min(most_rows / max(1, all_of["n"]), most_bytes / max(1, all_of["bytes"])) + 16.0 / max(1, all_of["n"])
+    low, span = -(2**63), 2**64 if share >= 1 else int(share * 2**64)
+    width = max(1, span // RANGES)
+    top = low + width * RANGES - 1
+    near = df if share >= 1 else df.filter(mixed <= top)
+    spot = F.least(F.floor((mixed.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")), F.lit(RANGES - 1))
+    once = near.groupBy(mixed.alias("h"), spot.cast("int").alias("spot")).agg(F.max(size).alias("size"))
+    kept, rows, held = 0, 0, 0
+    ranges = {r["spot"]: r for r in once.groupBy("spot").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    for spot_no in range(RANGES):
+        if spot_no in ranges:
+            rows, held = rows + ranges[spot_no]["n"], held + ranges[spot_no]["size"]
+            if (rows > most_rows or held > most_bytes) and kept:
+                break
+        kept = spot_no + 1
+    limit = 2**63 - 1 if kept == RANGES and share >= 1 else low + width * kept - 1
+    hashed = df.withColumn("__sampled", mixed)
+    return (hashed if limit == 2**63 - 1 else hashed.filter(F.col("__sampled") <= limit)).dropDuplicates(["__sampled"]).drop("__sampled")
+
+
+#: Shares into which the rows of a hot key are dealt.
+SALTS = 32
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts (one row for each key) such that no key's rows meet in one task.
+
+    The distinct (key, salt) pairs, at most SALTS for each key, fetch the facts;
+    rows then join those pairs. rows is read twice: pass a cut or cheap one.
     """
-    n = df.count()
-    mixed = F.xxhash64(F.lit(seed), F.col(key))
-    if n > bound:
-        span = float(2**63)
-        limit = int(min(1.0, bound * 1.2 / n + 10.0 / n) * 2 * span - span)
-        df = df.filter(mixed <= F.lit(min(limit, 2**63 - 1)))
-    return df.orderBy(mixed, F.col(key)).limit(bound)
+    salted = rows.withColumn("__salt", salt(*by))
+    pairs = salted.select(key, "__salt").distinct()
+    return salted.join(pairs.join(facts, key, how), [key, "__salt"]).drop("__salt")
+
+
+def bounded_broadcast(df: DataFrame, most_rows: int = 400_000) -> DataFrame:
+    """df (short rows, materialised), broadcast if it has been counted to be small; joined by shuffles beyond that."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def split_flag(modulus: int, remainder: int, column: str = "doc_id") -> Column:

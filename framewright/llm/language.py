@@ -6,10 +6,11 @@ ones down to single characters where no longer one is known. The language with
 the largest sum wins; the score is its share after the sums are damped by the
 square root of the number of words.
 
-Learned from at most `sample` rows with the smallest id hashes (and rows that
-repeat such an id), outside the held-out fifth: word counts are summed by the
-executors, and the `vocabulary` commonest words of each language reach the
-driver. Character n-grams are counted over those words.
+Learned from at most `sample` rows and `sample_bytes` of text (those with the
+smallest hashes of id and text, repeated rows once), outside the held-out fifth:
+word counts are summed by the executors, and all words of the sample, which its
+bytes bound, reach the driver. Words that occur once and n-grams of three and more
+characters that occur once are not in the tables; every word counts towards n-grams.
 
 Defined results: null texts, empty texts and texts without a letter are `und`
 with score 0, as is everything if nothing could be learned; rows with a null
@@ -25,14 +26,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, map_batches, sample_by_hash, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
 from framewright.llm.words import P, hash_words, mix, spans, sums
 
-SAMPLE = 16_000
-VOCABULARY = 40_000
+#: Most rows, and bytes of text, to learn from.
+SAMPLE, SAMPLE_BYTES = 16_000, 32 << 20
 LONGEST = 5
 #: Most words whose scores a worker keeps at a time.
 CACHE = 400_000
@@ -136,12 +136,10 @@ class Languages:
         return out - out.mean(axis=1, keepdims=True)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Languages | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Languages | None:
     """The model, or None if there is nothing to learn from."""
     usable = docs.filter(~split_flag(5, 0, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = sample_by_hash(usable.select(id_col).distinct(), sample, id_col)
-    # at most `sample` ids
-    rows = usable.select(id_col, lang_col, text_col).join(F.broadcast(ids), id_col, "left_semi").select(lang_col, text_col)
+    rows = bounded_sample(usable.select(id_col, lang_col, text_col), sample, sample_bytes, [id_col, lang_col, text_col], F.octet_length(text_col)).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +160,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 )
 
     counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    words = counts.withColumn("place", place).filter(F.col("place") <= vocabulary).select("lang", "word", "n").toPandas()
+    words = counts.toPandas()
     return Languages(words.sort_values(["lang", "word"], ignore_index=True)) if len(words) else None
 
 
@@ -225,6 +222,16 @@ def _predictor(df: DataFrame, model: Languages | None, text_at: int):
     return predict
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter."""
+    texts = Texts(column)
+    out = np.zeros(len(texts), bool)
+    for lo, hi, data, offsets in texts.slices():
+        codes, places = folded_letters(data, offsets)
+        out[lo:hi] = np.diff(spans(codes != 1, places)[2]) > 0
+    return out
+
+
 def identify_languages(docs: DataFrame, model: Languages | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row of docs."""
     predict = _predictor(docs, model, 1)
@@ -239,11 +246,12 @@ def identify_languages(docs: DataFrame, model: Languages | None, id_col: str = "
 
 
 def drop_unidentified(docs: DataFrame, model: Languages | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, with a language of at least `least` score (all, if there is no model)."""
-    predict = _predictor(docs, model, docs.columns.index(text_col))
+    """The rows of docs, all columns as they are, with a language of at least `least` score (those with a letter, if nothing could be learned)."""
+    text_at = docs.columns.index(text_col)
+    predict = _predictor(docs, model, text_at)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         best, score, names = predict(batch)
-        return batch.filter(pa.array((best >= 0) & (score >= least))) if names else batch
+        return batch.filter(pa.array((best >= 0) & (score >= least) if names else has_letter(batch.column(text_at)), pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, map_batches, sample_by_hash, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
 from framewright.llm.words import hash_words, mix, owner, spans, sums
 
 SAMPLE = 20_000
@@ -205,9 +205,9 @@ def of_column(column: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, how: Boosting = Boosting()) -> Trees:
     """Grow trees on labelled rows outside the held-out third."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~split_flag(3, 1, id_col))
-    known = sample_by_hash(known.groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("label")), sample, id_col)
+    known = bounded_sample(known.groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("label")), sample, 1 << 62, [id_col])
     # at most `sample` rows of an id and a label
-    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
+    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(id_col, text_col, "label")
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = of_column(batch.column(1))

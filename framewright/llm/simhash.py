@@ -1,13 +1,14 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints are 64-bit majority votes over the XXH64 hashes of word shingles.
-Two fingerprints link at `radius` or fewer differing bits.
-
-Distribution: 64 bits are cut into radius + 1 blocks; linked fingerprints agree
-in one block at least, so distinct fingerprints are dealt by (block, its value).
-A hot value (see `hot`) is dealt again by the blocks of its other bits, so that
-no task must hold more than a bounded group unless its members agree nearly
-everywhere. Inside a task, the fingerprints of a value are sorted by Gray rank
+Fingerprints are majority votes over the hashes of word shingles, of one or
+more 64-bit words. Two fingerprints link at `radius` or fewer differing bits.
+
+Distribution: fingerprints are cut into blocks, and distinct ones are dealt by
+(block, its value). With radius + 1 blocks (the default deal of one word) linked
+fingerprints agree in one block at least, so the deal loses nothing. A hot value
+(see `hot`) is dealt again by blocks of its other bits, and a value that is
+still hot after that is dealt to pairs of tiles, so no task holds more than two
+tiles. Inside a task, the fingerprints of a value are sorted by Gray rank
 and stacked into a hierarchy: a node keeps the bits that all below share and
 that no node above already holds (a masked pattern); a search adds up the
 differences on its way down and drops a whole group once they pass the radius.
@@ -17,7 +18,8 @@ near copies cost no pairs.
 
 A task returns a spanning forest of its links (fewer rows than fingerprints);
 components over all tasks come from rounds of star contraction over tables in
-the shared checkpoint folder. Nothing of it reaches the driver but counts.
+the shared checkpoint folder; hubs are salted. Nothing of it reaches the driver
+but counts.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with a null id link but offer no id (a class of only null ids has a
@@ -27,25 +29,24 @@ null component); repeated rows give repeated results; extra columns are not read
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Texts, batch_of, cut, map_batches
-from framewright.llm.words import sums
+from framewright.llm.common import Texts, batch_of, bounded_broadcast, cut, map_batches, salt, with_facts
 
 SEED = 42
 FANOUT = 8
-#: Fingerprints of one block value beyond which it is dealt again by its other bits.
+#: Fingerprints of one block value beyond which it is dealt again by its other bits, then by tiles.
 HOT_GROUP = 20_000
-#: Candidate (query, node) pairs of one search step.
-FRONTIER = 1 << 20
+#: 64-bit words of candidate (query, node) pairs in one search step, and fingerprints that are searched together.
+FRONTIER, TOGETHER = 1 << 20, 1 << 16
 
 
 # --- fingerprints
@@ -66,34 +67,42 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([digest(view[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
+#: Byte -> its eight bits, each in a byte of its own.
+_lanes = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8).view("<u8").reshape(-1)
+
+
 def vote(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """For each text, the bits that over half of its hashes set."""
+    """For each text, the bits that over half of its hashes set.
+
+    Eight counters share a word, so runs of at most 255 hashes are summed first.
+    """
     n = np.diff(firsts)
+    pieces = -(-n // 255)
     counts = np.zeros((len(n), 64), np.int64)
-    filled = np.flatnonzero(n)
-    for lo in range(0, len(filled), 256):  # bounds the unpacked bits
-        part = filled[lo : lo + 256]
-        a, b = firsts[part[0]], firsts[part[-1] + 1]
-        for at in range(a, b, 1 << 16):
-            end = min(b, at + (1 << 16))
-            bits = np.unpackbits(hashes[at:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            inside = np.clip(firsts[part[0] : part[-1] + 2], at, end) - at
-            counts[part[0] : part[-1] + 1] += sums(bits, inside)
-    over = 2 * counts > n[:, None]
-    return np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
+    if pieces.sum():
+        owner = np.repeat(np.arange(len(n)), pieces)
+        starts = firsts[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        lanes = _lanes[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, starts, axis=0).astype("<u8").view(np.uint8).reshape(len(starts), 64).astype(np.int64)
+        filled = np.flatnonzero(n)
+        counts[filled] = np.add.reduceat(sums, (np.cumsum(pieces) - pieces)[filled], axis=0)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def prints_of(texts: Texts, width: int) -> np.ndarray:
+    """The 64-bit fingerprint of each text."""
+    out = np.zeros(len(texts), np.uint64)
+    for lo, hi, _, _ in texts.slices():
+        hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
+        out[lo:hi] = vote(np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64))
+    return out
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp long): the signed form of each row's 64-bit fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = Texts(batch.column(1))
-        out = np.zeros(len(texts), np.uint64)
-        for lo, hi, _, _ in texts.slices():
-            hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
-            firsts = np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64)
-            out[lo:hi] = vote(np.concatenate(hashes), firsts)
-        return batch_of([id_col, "fp"], [batch.column(0), out.view(np.int64)])
+        return batch_of([id_col, "fp"], [batch.column(0), prints_of(Texts(batch.column(1)), width).view(np.int64)])
 
     return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, fp long")
 
@@ -108,6 +117,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bits_set(x: np.ndarray) -> np.ndarray:
+    """Bits of each row of words."""
+    return np.bitwise_count(x[:, 0]).astype(np.int16) if x.shape[1] == 1 else np.bitwise_count(x).sum(axis=1, dtype=np.int16)
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -131,7 +145,7 @@ class Forest:
 
 
 class GrayIndex:
-    """A hierarchy over groups of fingerprints, for links inside each group.
+    """A hierarchy over groups of fingerprints (rows of words), for links inside each group.
 
     order: the fingerprints sorted by (group, Gray rank). Level 0 are the
     fingerprints; a node of the next level stands over up to FANOUT neighbours.
@@ -139,7 +153,8 @@ class GrayIndex:
 
     def __init__(self, fps: np.ndarray, groups: np.ndarray, radius: int):
         self.radius = radius
-        self.order = np.lexsort((gray_rank(fps), groups))
+        fps = fps.reshape(len(fps), -1)
+        self.order = np.lexsort([*(gray_rank(fps[:, w]) for w in reversed(range(fps.shape[1]))), groups])
         self.fps, self.groups = fps[self.order], groups[self.order]
         n = len(fps)
         # per level: AND and OR of what is below, the first and last fingerprint, the group
@@ -167,12 +182,12 @@ class GrayIndex:
             return np.arange(n)
         # groups that lie within the radius altogether, and neighbours in Gray order
         for ands, ors, first, last in self.levels[1:]:
-            tight = np.flatnonzero((np.bitwise_count(ands ^ ors) <= r) & (last > first))
+            tight = np.flatnonzero((bits_set(ands ^ ors) <= r) & (last > first))
             if len(tight):
                 size = last[tight] - first[tight]
                 member = np.repeat(first[tight], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
                 found.join(np.repeat(first[tight], size), member)
-        near = np.flatnonzero((self.groups[1:] == self.groups[:-1]) & (np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= r))
+        near = np.flatnonzero((self.groups[1:] == self.groups[:-1]) & (bits_set(self.fps[1:] ^ self.fps[:-1]) <= r))
         found.join(near, near + 1)
         roots = np.searchsorted(self.groups[self.levels[-1][2]], self.groups)  # the top node of each one's group
         step, lo = 4096, 0
@@ -189,17 +204,21 @@ class GrayIndex:
     def _search(self, q: np.ndarray, node: np.ndarray, found: Forest) -> bool:
         """Join the queries with what they link to further on; False: too many candidates for one step."""
         classes = found.flat()
-        above = np.zeros(len(q), np.uint64)  # bits that nodes above hold
-        apart = np.zeros(len(q), np.int64)  # differences there
+        width = self.fps.shape[1]
+        above = np.zeros((len(q), width), np.uint64)  # bits that nodes above hold
+        apart = np.zeros(len(q), np.int16)  # differences there
         single = len(q) == 1
         for level in range(len(self.levels) - 1, -1, -1):
             ands, ors, first, last = self.levels[level]
             lows = np.minimum.reduceat(classes, first) if level else classes
             highs = np.maximum.reduceat(classes, first) if level else classes
-            shared = ~(ands[node] ^ ors[node])
-            apart = apart + np.bitwise_count((self.fps[q] ^ ands[node]) & shared & ~above)
-            known = (lows[node] == highs[node]) & (lows[node] == classes[q])
-            keep = (apart <= self.radius) & (last[node] > q) & ~known
+            own = classes[q]
+            open_ = np.flatnonzero((last[node] > q) & ~((lows[node] == own) & (highs[node] == own)))
+            q, node, above, apart = q[open_], node[open_], above[open_], apart[open_]
+            low = ands[node]
+            shared = ~(low ^ ors[node])
+            apart = apart + bits_set((self.fps[q] ^ low) & shared & ~above)
+            keep = np.flatnonzero(apart <= self.radius)
             q, node, apart, shared = q[keep], node[keep], apart[keep], shared[keep]
             if not len(q):
                 return True
@@ -209,10 +228,10 @@ class GrayIndex:
             bounds = self.children[level - 1]
             size = bounds[node + 1] - bounds[node]
             total = int(size.sum())
-            if total > FRONTIER and not single:
+            if total * width > FRONTIER and not single:
                 return False
             start = np.repeat(bounds[node] - (np.cumsum(size) - size), size)
-            q, apart, above = np.repeat(q, size), np.repeat(apart, size), np.repeat(shared, size)
+            q, apart, above = np.repeat(q, size), np.repeat(apart, size), np.repeat(shared, size, axis=0)
             node = start + np.arange(total)
         return True
 
@@ -226,87 +245,145 @@ def blocks(width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _runs(radius: int) -> list[list[tuple[int, int]]]:
-    """For each block, the (shift, bits) runs of the second deal over the other bits."""
-    out = []
-    for shift, bits in blocks(64, radius + 1):
-        places = [p for p in range(64) if not shift <= p < shift + bits]
-        out.append([(lo, n) for lo, n in blocks(len(places), radius + 1)])
-    return out
-
-
-def _others(fp: F.Column, shift: int, bits: int) -> F.Column:
+def _others(fp: Column, shift: int, bits: int) -> Column:
     """fp without the block's bits: those below, then those above."""
     low = fp.bitwiseAND(F.lit((1 << shift) - 1)) if shift else F.lit(0).cast("long")
     high = F.shiftrightunsigned(fp, shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
     return low.bitwiseOR(F.shiftleft(high, shift))
 
 
-def _run_of(x: F.Column, shift: int, bits: int) -> F.Column:
+def _run_of(x: Column, shift: int, bits: int) -> Column:
     return F.shiftrightunsigned(x, shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def dealt(fps: DataFrame, radius: int, hot: int) -> DataFrame:
-    """(fp, key): each fingerprint once for each block; a hot block value is dealt by a block of the other bits too."""
-    parts = blocks(64, radius + 1)
-    first = fps.select("fp", F.posexplode(F.array(*(_run_of(F.col("fp"), s, b) for s, b in parts))).alias("block", "value"))
-    counts = first.groupBy("block", "value").count().filter(F.col("count") > hot).select("block", "value", F.lit(True).alias("hot"))
-    marked = first.join(counts, ["block", "value"], "left")
-    inner = F.array(
-        *(
-            F.array(*(_run_of(_others(F.col("fp"), s, b), lo, n) for lo, n in runs))
-            for (s, b), runs in zip(parts, _runs(radius), strict=True)
-        )
-    )
-    second = F.when(F.col("hot"), F.element_at(inner, F.col("block") + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    return marked.select("fp", "block", "value", F.posexplode(second).alias("inner_block", "inner_value")).select(
-        "fp", F.xxhash64("block", "value", "inner_block", "inner_value").alias("key")
+@dataclass(frozen=True)
+class Deal:
+    """How fingerprints meet: `each` blocks for each of `words` words. One word in radius + 1 blocks loses no link;
+    other deals find a pair with the probability that one block agrees (two for hot values)."""
+
+    radius: int
+    words: int = 1
+    each: int = 0
+
+    @property
+    def exact(self) -> bool:
+        return self.words == 1 and self.parts > self.radius
+
+    @property
+    def parts(self) -> int:
+        return self.each or self.radius + 1
+
+    def columns(self) -> list[str]:
+        return ["fp"] if self.words == 1 else [f"fp{w}" for w in range(self.words)]
+
+    def values(self) -> list[Column]:
+        """The value of each block."""
+        return [_run_of(F.col(c), s, b) for c in self.columns() for s, b in blocks(64, self.parts)]
+
+    def inner(self) -> Column:
+        """For each block, the keys of the second deal: blocks of the other bits (exact), or the later blocks."""
+        if self.exact:
+            return F.array(*(F.array(*(_run_of(_others(F.col("fp"), s, b), lo, n) for lo, n in blocks(64 - b, self.parts))) for s, b in blocks(64, self.parts)))
+        found = self.values()
+        return F.array(*(F.array(*found[k + 1 :]).cast("array<long>") for k in range(len(found))))
+
+
+def dealt(nodes: DataFrame, deal: Deal, hot: int) -> DataFrame:
+    """(node, fingerprint words, key): each fingerprint once for each block; hot values by a second block too, then by pairs of tiles."""
+    held = ["node", *deal.columns()]
+    first = nodes.select(*held, F.posexplode(F.array(*deal.values())).alias("block", "value")).withColumn("key", F.xxhash64("block", "value"))
+    sizes = cut(first.groupBy("key").count().filter(F.col("count") > hot))
+    if not sizes.limit(1).count():
+        return first.select(*held, "key")
+    marked = with_facts(first, sizes, "key", ["node"], "left")
+    cold = marked.filter(F.col("count").isNull()).select(*held, "key")
+    second = marked.filter(F.col("count").isNotNull()).select(*held, "key", F.posexplode(F.element_at(deal.inner(), F.col("block") + 1)).alias("inner", "value"))
+    second = second.select(*held, F.xxhash64("key", "inner", "value").alias("key"))
+    sizes = cut(second.groupBy("key").count().filter(F.col("count") > hot))
+    if not sizes.limit(1).count():
+        return cold.unionByName(second)
+    marked = with_facts(second, sizes, "key", ["node"], "left")
+    return cold.unionByName(marked.filter(F.col("count").isNull()).select(*held, "key")).unionByName(
+        tile_pairs(marked.filter(F.col("count").isNotNull()), "key", F.ceil(F.col("count") / F.lit(hot)).cast("int"), "node").select(*held, "key")
     )
 
 
-def links(fps: DataFrame, radius: int = 4, hot: int = HOT_GROUP) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct fingerprints, b the smaller one's class in its task."""
+def tile_pairs(rows: DataFrame, key: str, tiles: Column, by: str) -> DataFrame:
+    """rows dealt to the pairs of `tiles` tiles of their key: any two rows of a key meet, and no task holds more than two tiles."""
+    own = rows.withColumn("__tiles", tiles).withColumn("__tile", F.pmod(F.xxhash64(F.lit(11), by), F.col("__tiles")).cast("int"))
+    paired = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+    return paired.withColumn(key, F.xxhash64(key, F.least("__tile", "__other"), F.greatest("__tile", "__other"))).drop("__tiles", "__tile", "__other")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int, together: int) -> Iterator[pa.Table]:
+    """Whole runs of equal keys of sorted batches, about `together` rows at a time (a longer run is a table of its own)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            edges = np.concatenate(([0], edges))
+        if len(edges) and rows + edges[-1] >= together:
+            # whole runs end at the last edge; what is held may be let go at its own end
+            cut_at = int(edges[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+            held, rows = [batch.slice(cut_at)], batch.num_rows - cut_at
+        else:
+            held.append(batch)
+            rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def links(nodes: DataFrame, deal: Deal | int = 4, hot: int = HOT_GROUP) -> DataFrame:
+    """(a, b): a spanning forest of the links between distinct fingerprints of (node, fingerprint words), b standing for the class in its task."""
+    deal = Deal(deal) if isinstance(deal, int) else deal
+    radius, words = deal.radius, deal.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        fp = np.concatenate([b.column(0).to_numpy() for b in held]).view(np.uint64)
-        key = np.concatenate([b.column(1).to_numpy() for b in held])
-        label = GrayIndex(fp, pd.factorize(key)[0], radius).forest()
-        other = np.flatnonzero(label != np.arange(len(label)))
-        pairs = np.unique(np.stack([fp[other], fp[label[other]]], axis=1), axis=0).view(np.int64)
-        yield batch_of(["a", "b"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+        for table in grouped(batches, 1 + words, TOGETHER):
+            fps = np.column_stack([table.column(1 + w).to_numpy() for w in range(words)]).view(np.uint64)
+            label = GrayIndex(fps, pd.factorize(table.column(1 + words).to_numpy())[0], radius).forest()
+            other = np.flatnonzero(label != np.arange(len(label)))
+            node = table.column(0).combine_chunks()
+            if len(other):
+                yield batch_of(["a", "b"], [node.take(pa.array(other)), node.take(pa.array(label[other]))])
 
-    return dealt(fps, radius, hot).repartition("key").mapInArrow(run, "a long, b long")
+    kind = nodes.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return dealt(nodes, deal, hot).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of `pairs` (a, b) reaches, by alternating star contraction."""
+    """(node, root): the smallest node that each node of `pairs` (a, b) reaches, by alternating star contraction; hubs are salted."""
+
+    def lows(edges: DataFrame) -> DataFrame:
+        """(u, salt, m): the smallest neighbour of u, for each share of u's edges."""
+        part = edges.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        return part.select("u", "salt").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
+
     edges = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        # large star: every larger neighbour of u goes to the smallest neighbour
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large star: every larger neighbour of u goes to the smallest of u and its neighbours
+        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt("v"))
+        low = lows(both).select("u", "salt", F.least("m", "u").alias("m"))
+        large = both.join(low, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().withColumn("salt", salt("v"))
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(low.select("u", F.col("m").alias("v")).unionAll(small).distinct())
-        # settled once every root is a root only: each node has one edge and no root has an edge down
-        loose = after.groupBy("u").agg(F.count("*").alias("n"))
-        bad = loose.filter("n > 1").limit(1).count() or after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        edges = after
-        if not bad:
+        low = lows(large)
+        small = large.join(low, ["u", "salt"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(low.select("u", F.col("m").alias("v")).unionAll(small).distinct())
+        # settled once each node has one edge and no root has an edge down
+        loose = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if not (loose.filter("n > 1").limit(1).count() or edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").limit(1).count()):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, hot: int, prints: DataFrame | None = None) -> DataFrame:
-    """(fp, first_id, root): each distinct fingerprint, the smallest id that has it, and the fingerprint that stands for its class."""
-    prints = fingerprints(docs, id_col, text_col, width) if prints is None else prints
-    reps = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    roots = components(links(reps.select("fp"), radius, hot))
-    return reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def numbered(prints: DataFrame, id_col: str) -> DataFrame:
+    """(node, fp) of each distinct fingerprint: node is (no id, smallest id, fp), so the smallest node of a class names its component."""
+    return prints.groupBy("fp").agg(F.min(id_col).alias("id")).select(F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("node"), "fp")
 
 
 def near_duplicates(
@@ -314,11 +391,11 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fingerprint, component_id): one row for each row of df; component_id is the smallest id reachable over links."""
     prints = cut(fingerprints(df, id_col, text_col, width))
-    named = near_classes(df, id_col, text_col, width, radius, hot, prints)
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
+    nodes = cut(numbered(prints, id_col))
+    roots = components(links(nodes, radius, hot))
+    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node")["id"].alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+    return with_facts(prints, classes, "fp", [id_col]).select(id_col, digits.alias("fingerprint"), "component_id")
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -329,51 +406,51 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def one_of_each(docs: DataFrame, id_col: str, text_col: str, prints_of: Callable[[Texts], np.ndarray], classes: DataFrame) -> DataFrame:
+def id_key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, classes: DataFrame, node_of: Callable[[Texts], np.ndarray]) -> DataFrame:
     """One row of each class, all columns as they are: the one with the smallest id.
 
-    prints_of gives the fingerprints of texts; classes are (fp, first_id, root).
-    Rows that repeat an id and a fingerprint meet in their own task first, so a
-    hot id sends one row a task; what is left joins the representatives by id and
-    fingerprint, which no group shares.
+    rows are (id, node long) of every row of docs; classes are (node, root) of nodes that stand for others too;
+    node_of gives the nodes of texts. Ids that stand once only are decided by id alone; texts of other ids
+    (and of null ids) are read again, and of rows that agree in id and node the one with the smallest digest of all columns stays.
     """
     columns = docs.columns
-    key, fp = fresh("__id", columns), fresh("__fp", columns)
+    key, node = fresh("__id", columns), fresh("__node", columns)
+    keyed = rows.select(id_key(id_col).alias(key), F.col(id_col).alias("id"), F.col("node").alias(node))
+    ids = keyed.groupBy(key).agg(F.count("*").alias("n"))
+    # the representative of a class: its smallest id (null last), and of that id's texts the smallest node
+    nodes = keyed.groupBy(node).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(node).alias("node"))).alias("m"))
+    placed = nodes.join(classes.select(F.col("node").alias(node), "root"), node, "left")
+    lowest = placed.groupBy(F.coalesce("root", node).alias("root")).agg(F.min("m").alias("m"))
+    kept = cut(lowest.select(F.coalesce(F.col("m.id").cast("string"), F.lit("\0")).alias(key), F.col("m.node").alias(node)))
+    known = ids.join(kept.groupBy(key).agg(F.lit(True).alias("won")), key, "left")
+    gone = cut(known.filter(F.col("won").isNull() | (F.col("n") > 1)).select(key, (F.col("n") > 1).alias("again")))
+    named = docs.withColumn(key, id_key(id_col))
+    out = named.join(bounded_broadcast(gone.select(key)), key, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    again = gone.filter("again").select(key)
+    if not again.limit(1).count():
+        return out
     text_at = columns.index(text_col)
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("string"), F.lit("\0")))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            prints = prints_of(Texts(batch.column(text_at)))
-            new = []
-            for name, x in zip(batch.column(batch.num_columns - 1).to_pylist(), prints.tolist(), strict=True):
-                both = xxhash.xxh3_128_intdigest(f"{x} {name}")
-                new.append(both not in seen)
-                seen.add(both)
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, fp])
-            yield out.filter(pa.array(new, pa.bool_()))
-
-    # the representative of a class: its smallest id (null last), and of its texts the smallest fingerprint
-    lowest = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("m"))
-    kept = lowest.select(F.coalesce(F.col("m.first_id").cast("string"), F.lit("\0")).alias(key), F.col("m.fp").alias(fp))
-    schema = T.StructType([*keyed.schema.fields, T.StructField(fp, T.LongType())])
-    rows = keyed.mapInArrow(marked, schema).join(kept, [key, fp])
-    place = fresh("__place", columns)
-    first = rows.withColumn(place, F.row_number().over(W.partitionBy(key, fp).orderBy(key)))
-    return first.filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in columns])
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of(Texts(batch.column(text_at))).view(np.int64))], names=[*batch.schema.names, node])
+
+    some = named.join(bounded_broadcast(again), key, "left_semi").select(*[F.col(f"`{c}`") for c in columns], key)
+    schema = T.StructType([*some.schema.fields, T.StructField(node, T.LongType())])
+    first = map_batches(some, marked, schema).join(kept, [key, node], "left_semi")
+    digest = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in docs.schema.fields])
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    least = first.groupBy(key, node).agg(F.min_by(whole, digest).alias("row"))
+    return out.unionAll(least.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)]))
 
 
 def drop_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot: int = HOT_GROUP
 ) -> DataFrame:
     """One row of each class of near copies, all columns as they are: the one with the smallest id."""
-
-    def prints_of(texts: Texts) -> np.ndarray:
-        prints = np.zeros(len(texts), np.uint64)
-        for lo, hi, _, _ in texts.slices():
-            hashes = [shingle_hashes(texts.text(i), width) for i in range(lo, hi)]
-            prints[lo:hi] = vote(np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes]))).astype(np.int64))
-        return prints
-
-    return one_of_each(docs, id_col, text_col, prints_of, near_classes(docs, id_col, text_col, width, radius, hot))
+    rows = cut(fingerprints(docs, id_col, text_col, width).withColumnRenamed("fp", "node"))
+    nodes = cut(rows.select("node").distinct().withColumn("fp", F.col("node")))
+    return one_of_each(docs, id_col, text_col, rows, components(links(nodes, radius, hot)), lambda texts: prints_of(texts, width))

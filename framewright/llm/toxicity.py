@@ -4,15 +4,15 @@ A text's features are the distinct hashed words, word pairs and pairs that skip
 one word (lower-cased words of words.py). Every coordinate has its own learning
 rate; L1 leaves few weights, which are broadcast as one small array.
 
-The model is fitted on at most `sample` labelled rows (those with the smallest
-id hashes); their features are built by the executors and one task fits them in
-a fixed order. Everything is scored, whole texts only.
+The model is fitted on at most `sample` labelled ids and `sample_bytes` of their
+texts (those with the smallest hashes); their features are built by the executors
+and one task fits them in a fixed order. Everything is scored, whole texts only.
 
 Defined results: null and empty texts have no features and score the base rate;
 rows without a label, with a null label, or held out are never learned from; an
-id with several labels counts as toxic if one of them says so; with no labelled
-row at all every score is 0.5; repeated rows give repeated results; extra
-columns are not read.
+id with several labels counts as toxic if one of them says so; each distinct text
+of an id is learned from once; with no labelled row at all every score is 0.5;
+repeated rows give repeated results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, map_batches, sample_by_hash, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
 from framewright.llm.words import P, folded_words, mix, owner, sums
 
-#: Most labelled rows to learn from.
-SAMPLE = 32_000
+#: Most labelled ids, and bytes of their texts, to learn from.
+SAMPLE, SAMPLE_BYTES = 32_000, 32 << 20
 BITS = 20
 
 
@@ -111,13 +111,15 @@ class Toxicity:
         return np.round(1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -35, 35))), 6)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, how: Ftrl = Ftrl()) -> Toxicity:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, how: Ftrl = Ftrl()
+) -> Toxicity:
     """Fit on labelled rows outside the held-out third."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~split_flag(3, 1, id_col))
     known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    known = sample_by_hash(known, sample, id_col)
+    known = bounded_sample(known, sample, 1 << 62, [id_col])
     # at most `sample` rows of an id and a label
-    rows = docs.select(id_col, text_col).join(F.broadcast(known), id_col)
+    rows = bounded_sample(docs.select(id_col, text_col).join(F.broadcast(known), id_col), sample, sample_bytes, [id_col, text_col], F.octet_length(text_col))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,15 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return
         y = np.concatenate(ys)
         # a fixed order that does not depend on how the rows were dealt
-        order = sorted(range(len(keys)), key=lambda i: (hash_of(keys[i]), len(xs[i]), y[i]))
+        order = sorted(range(len(keys)), key=lambda i: (hash_of(keys[i]), xs[i].tobytes()))
         w, bias = fit([xs[i] for i in order], y[order], how)
         at = np.flatnonzero(w)
         yield batch_of(["at", "w"], [np.append(at, -1).astype(np.int64), np.append(w[at], bias)])
 
-    built = rows.mapInArrow(features, "k string, label int, x array<int>")
-    # rows that repeat an id count once, whatever their number
-    once = built.groupBy("k").agg(F.min(F.struct("label", "x")).alias("s")).select("k", "s.label", "s.x")
-    model = once.repartition(1).mapInArrow(fitted, "at long, w double").toPandas()
+    built = rows.select(id_col, text_col, "label").mapInArrow(features, "k string, label int, x array<int>")
+    model = built.repartition(1).mapInArrow(fitted, "at long, w double").toPandas()
     w = np.zeros(1 << BITS)
     inside = model["at"] >= 0
     w[model["at"][inside].to_numpy()] = model["w"][inside].to_numpy()

@@ -56,6 +56,13 @@ def test_near_duplicates_equal_brute_force(spark, hot):
     assert sorted(ids, key=str) == sorted((min((i for i in x if i is not None), default=None) for x in low.values()), key=str)
 
 
+def test_survivors_of_equal_ids_do_not_depend_on_partitions(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a  b c d e f", "y"), (1, "A b c d e f", "z"), (1, "other words of one more text", "w"), (2, "a b c d e f", "v")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = {tuple(sorted(map(tuple, simhash.drop_copies(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(seen) == 1 and len(next(iter(seen))) == 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.drop_copies(empty(spark)).count() == 0
 
@@ -94,7 +101,7 @@ def test_dense_group_and_long_chain(spark):
         chain.append(x)
         x ^= 0b1111 << i
     values = {near(rng, base, 2) & (2**63 - 1) for _ in range(900)} | set(chain)
-    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    df = spark.createDataFrame([(v, v) for v in values], "node long, fp long")
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, hot=300)).collect()}
     values = sorted(values)
     want = classes(values)
@@ -102,6 +109,48 @@ def test_dense_group_and_long_chain(spark):
         assert roots.get(v, v) == values[w]
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(4)
+    pairs = [(0, i) for i in range(1, 80)] + [(i, i + 1) for i in range(100, 140)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
+    parent = list(range(401))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(got.get(x, x) == top(x) for pair in pairs for x in pair)
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_links_of_any_deal_stay_whole_when_values_are_hot(spark, words):
+    rng = random.Random(words)
+    base = [rng.getrandbits(63) for _ in range(words)]
+    rows = []
+    for i in range(300):
+        own = [near(rng, x, rng.randint(0, 1)) & (2**63 - 1) for x in base]
+        rows.append((i, *own))
+    names = simhash.Deal(4, words, 0 if words == 1 else 6).columns()
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{x} long" for x in names)).dropDuplicates(names)
+    deal = simhash.Deal(4) if words == 1 else simhash.Deal(8, words, 6)
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, deal, hot=40)).collect()}
+    held = [r["node"] for r in nodes.collect()]
+    assert {roots.get(x, x) for x in held} == {min(held)}
+
+
+def test_vote_counts_beyond_a_byte():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**64, 2000, np.uint64, endpoint=False) | np.uint64(1 << 5)
+    firsts = np.array([0, 0, 1400, 1401, 2000])
+    got = simhash.vote(h, firsts)
+    for i, (a, b) in enumerate(zip(firsts, firsts[1:])):
+        assert int(got[i]) == sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in h[a:b]) > b - a)
+
+
 def test_gray_rank_orders_by_one_bit():
     codes = np.arange(64, dtype=np.uint64)
     order = np.argsort(simhash.gray_rank(codes ^ (codes >> np.uint64(1))))
