@@ -3,14 +3,16 @@
 Documents become token ids and an end token; only longer ones are cut, so that
 all pieces but the first are full. What the packing needs to know of them is
 how many pieces there are of each length: at most `capacity` numbers, the only
-data that reach the driver. There the large lengths are put into groups of
-equally many pieces and rounded up to the largest of their group (several
-numbers of groups are tried, the fewest sequences win); configurations
-of these few sizes are chosen to fill sequences (largest size first, completed by
-the fullest combination of the others) and used as often as the sizes last;
-actual lengths take the rounded ones' places; small pieces then go best-fit into
-what is left. Sequences with equal contents are one class with a count, so the
-work depends on the number of lengths, not of documents.
+data that reach the driver. There the large lengths are put into a few dozen groups
+of equally many pieces and rounded up to the largest of their group. How often each
+configuration of these few sizes fills a sequence comes from a linear program over
+all configurations (column generation: a simplex over one column a size, priced
+by a knapsack); its whole parts are used, actual lengths take the rounded ones' places,
+and what is left is grouped anew, as long as that uses up large pieces. The
+remaining and the small pieces then go best-fit into the rooms and new sequences. Several numbers of
+groups and bounds of small pieces are tried, and the fewest sequences win. Sequences with
+equal contents are one class with a count, so the work depends on the number of
+lengths, not of documents.
 
 Pieces find their places by rank: each one's rank among the pieces of its length
 (counted per task, then summed over tasks) selects a class, a sequence of that
@@ -43,10 +45,10 @@ from framewright.llm.words import hash_words, sums
 
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Numbers of groups of large lengths that are tried, and the share of a sequence below which a piece is small.
-GROUPS, SMALL = (256, 512, 1024), 1 / 16
-#: Characters of words whose ids a worker process keeps; later words are encoded anew for each slice of text.
-CACHE_CHARS = 4_000_000
+#: Numbers of groups of large lengths that are tried, and shares of a sequence below which a piece is small.
+GROUPS, SMALL = (16, 32, 48), (1 / 4, 1 / 3, 2 / 5)
+#: Bytes of words whose ids a worker process keeps; later words are encoded anew for each slice of text.
+CACHE_BYTES = 4 << 20
 #: Bytes of text that are tokenized at a time (a longer single text makes a slice of its own).
 SLICE = 1 << 20
 
@@ -100,6 +102,12 @@ class Places64:
             h, values, at = h[~placed], values[~placed], (at[~placed] + 1) & (len(self.keys) - 1)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each run of `size` places, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Tokens:
     """Ids of whole texts through a tokenizer, word by word, with the ids of words seen before kept.
 
@@ -116,7 +124,8 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.n_known = Places64(), 0  # hash of a word after a space -> its place in the arrays below
-        self.chars = 0
+        self.bytes, self.n_bytes = np.zeros(1 << 16, np.uint8), 0  # the words themselves: a hash alone does not make a word
+        self.spelled = np.zeros((1 << 14, 2), np.int64)  # where a word starts there, and its length
         self.ids, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.n_ids = 0
         self.starts = np.zeros(1 << 14, np.int64)
@@ -130,10 +139,19 @@ class Tokens:
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
         return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(sizes, np.int64)
 
-    def _keep(self, hashes: np.ndarray, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = self.n_known, len(words)
+    def _keep(self, hashes: np.ndarray, words: Texts, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = self.n_known, len(at)
         while first + n > len(self.sizes):
             self.sizes, self.starts = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
+        long = words.offsets[at + 1] - words.offsets[at]
+        chars = words.data[ranges(words.offsets[at], long)]
+        while self.n_bytes + len(chars) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.n_bytes : self.n_bytes + len(chars)] = chars
+        self.spelled[first : first + n, 0] = self.n_bytes + np.cumsum(long) - long
+        self.spelled[first : first + n, 1] = long
+        self.n_bytes += len(chars)
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
@@ -142,7 +160,16 @@ class Tokens:
         self.n_ids += len(ids)
         self.known.add(hashes, np.arange(first, first + n))
         self.n_known += n
-        self.chars += sum(map(len, words))
+
+    def _same(self, words: Texts, place: np.ndarray) -> np.ndarray:
+        """Whether the word known at each place is the word."""
+        long = np.diff(words.offsets)
+        same = (place >= 0) & (self.spelled[place, 1] == long)
+        at = np.flatnonzero(same & (long > 0))
+        if len(at):
+            differ = words.data[ranges(words.offsets[at], long[at])] != self.bytes[ranges(self.spelled[place[at], 0], long[at])]
+            same[at[np.add.reduceat(differ, np.cumsum(long[at]) - long[at], dtype=np.int64) > 0]] = False
+        return same
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) such that the word w after a space has ids[start : start + size]."""
@@ -151,16 +178,17 @@ class Tokens:
         starts, ends = uniq.offsets[:-1], uniq.offsets[1:]
         hashes = np.maximum(hash_words(uniq.data, starts, ends - starts), np.uint64(1))
         place = self.known.find(hashes)
-        new = np.flatnonzero(place < 0)
+        unseen = place < 0
+        new = np.flatnonzero(~self._same(uniq, place))
         pool, starts, sizes = self.ids, self.starts[place], self.sizes[place]
         if len(new):
             texts = coded.dictionary.take(pa.array(new)).to_pylist()
             ids, n = self._encoded([" " + w for w in texts])
-            if self.chars < CACHE_CHARS:
+            if self.n_bytes < CACHE_BYTES and unseen[new].all() and len(np.unique(hashes[new])) == len(new):
                 at = self.n_known
-                self._keep(hashes[new], texts, ids, n)
+                self._keep(hashes[new], uniq, new, ids, n)
                 pool, starts[new], sizes[new] = self.ids, self.starts[at : at + len(new)], n
-            else:
+            else:  # the cache is full, or two words share a hash
                 pool, starts[new], sizes[new] = np.concatenate([self.ids[: self.n_ids], ids]), self.n_ids + np.cumsum(n) - n, n
         code = coded.indices.to_numpy()
         return pool, starts[code], sizes[code]
@@ -192,9 +220,7 @@ class Tokens:
         ids, n = self._encoded(first)
         starts[heads], sizes[heads] = len(pool) + np.cumsum(n) - n, n
         pool = np.concatenate([pool, ids])
-        total = int(sizes.sum())
-        ends = np.cumsum(sizes)
-        flat = pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        flat = pool[ranges(starts, sizes)]
         return flat, sums(sizes, np.append(heads, len(words)))
 
 
@@ -302,78 +328,111 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[Group]:
     return list(merged.values())
 
 
-def fullest(room: int, left: dict[int, int]) -> list[int]:
-    """Sizes with the largest sum up to `room`, each at most as often as there are pieces; larger sizes first."""
-    sizes = [s for s in sorted(left, reverse=True) if s <= room and left[s] > 0]
-    if not sizes:
-        return []
-    usable = (1 << (room + 1)) - 1
-    reach = [1]
-    for _ in range(room // sizes[-1]):
-        now = reach[-1]
-        for s in sizes:
-            now |= reach[-1] << s
-        now &= usable
-        if now == reach[-1]:
-            break
-        reach.append(now)
-        if now >> room & 1:
-            break
-    target = reach[-1].bit_length() - 1
-    k = next(i for i, r in enumerate(reach) if r >> target & 1)
-    chosen, have = [], dict(left)
-    while k and target:
-        s = next((s for s in sizes if s <= target and have[s] > 0 and reach[k - 1] >> (target - s) & 1), None)
-        if s is None:
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most valuable configuration: how often each size is used, each as often as it fits."""
+    best = np.zeros(capacity + 1)
+    stages = [best]
+    for size, value in zip(sizes.tolist(), values.tolist(), strict=True):
+        best = best.copy()
+        for _ in range(capacity // size if value > 0 else 0):
+            grown = np.maximum(best[size:], best[:-size] + value)
+            if np.array_equal(grown, best[size:]):
+                break
+            best[size:] = grown
+        stages.append(best)
+    used, room = np.zeros(len(sizes), np.int64), capacity
+    for k in range(len(sizes) - 1, -1, -1):
+        while stages[k + 1][room] > stages[k][room] + 1e-12:
+            used[k] += 1
+            room -= int(sizes[k])
+    return float(best[capacity]), used
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
+    """(how often each size is used, how many sequences) of the linear program: the fewest sequences that hold the demand.
+
+    A basis of one configuration for each size; its prices value the sizes, the
+    knapsack finds a configuration worth more than one sequence, and it replaces one of the basis.
+    """
+    m, size = len(sizes), np.array(sizes)
+    columns = np.diag(capacity // size).astype(float)
+    inverse, amount = np.diag(1.0 / (capacity // size)), np.array(demand) / (capacity // size)
+    for step in range(rounds):
+        if step % 64 == 63:  # rounding errors of the updates
+            inverse = np.linalg.inv(columns)
+            amount = inverse @ np.array(demand, float)
+        worth, new = knapsack(size, inverse.sum(axis=0), capacity)
+        if worth <= 1 + 1e-9:
             break
-        chosen.append(s)
-        have[s] -= 1
-        target -= s
-        k -= 1
-    for s in sizes:  # what a lack of pieces left open
-        while s <= target and have[s] > 0:
-            chosen.append(s)
-            have[s] -= 1
-            target -= s
-    return chosen
-
-
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small: float = SMALL) -> list[tuple[tuple[int, ...], int]]:
-    """Classes of sequences: (lengths in order, how many sequences); the fewest sequences of the numbers of groups."""
-    tried = (grouped_packing(counts, capacity, g, small) for g in groups)
+        direction = inverse @ new
+        ratio = np.where(direction > 1e-12, amount / np.where(direction > 1e-12, direction, 1.0), np.inf)
+        row = int(ratio.argmin())
+        columns[:, row] = new
+        amount = amount - ratio[row] * direction
+        amount[row] = ratio[row]
+        inverse[row] /= direction[row]
+        others = np.arange(m) != row
+        inverse[others] -= np.outer(direction[others], inverse[row])
+    return [(columns[:, k].astype(np.int64), float(amount[k])) for k in range(m)]
+
+
+def pack_lengths(
+    counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small: tuple[float, ...] = SMALL
+) -> list[tuple[tuple[int, ...], int]]:
+    """Classes of sequences: (lengths in order, how many sequences); the fewest sequences of the settings."""
+    tried = (grouped_packing(counts, capacity, g, s) for s in small for g in groups)
     return min(tried, key=lambda classes: sum(n for _, n in classes))
 
 
+def substituted(by_size: dict[int, Group], chosen: list[int], times: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Classes of actual lengths that take the places of the chosen rounded sizes, `times` sequences in all."""
+    runs = [by_size[s].take(times) for s in chosen]
+    at = [[0, r[0][1]] for r in runs]
+    while times:
+        n = min(x[1] for x in at)
+        yield tuple(r[x[0]][0] for r, x in zip(runs, at, strict=True)), n
+        times -= n
+        for r, x in zip(runs, at, strict=True):
+            x[1] -= n
+            if not x[1] and times:
+                x[0] += 1
+                x[1] = r[x[0]][1]
+
+
 def grouped_packing(counts: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[tuple[int, ...], int]]:
-    """Classes of sequences with one number of groups."""
+    """Classes of sequences with one number of groups and one bound of small pieces."""
     limit = capacity * small
     classes: list[tuple[tuple[int, ...], int]] = []
-    by_size = {g.size: g for g in linear_groups({x: c for x, c in counts.items() if x >= limit}, groups)}
-    while by_size:
-        largest = max(by_size)
-        left = {s: g.left for s, g in by_size.items()}
-        left[largest] -= 1
-        chosen = [largest, *fullest(capacity - largest, left)]
-        left[largest] += 1
-        times = min(left[s] // chosen.count(s) for s in set(chosen))
-        # actual lengths take the places of the rounded ones
-        runs = [by_size[s].take(times) for s in chosen]
-        at = [[0, r[0][1]] for r in runs]
-        while times:
-            n = min(x[1] for x in at)
-            classes.append((tuple(r[x[0]][0] for r, x in zip(runs, at, strict=True)), n))
-            times -= n
-            for r, x in zip(runs, at, strict=True):
-                x[1] -= n
-                if not x[1] and times:
-                    x[0] += 1
-                    x[1] = r[x[0]][1]
-        by_size = {s: g for s, g in by_size.items() if g.runs}
-    # small pieces: best fit, longest first
+    rest = {x: c for x, c in counts.items() if c and x >= limit and x < capacity}
+    if counts.get(capacity):
+        classes.append(((capacity,), counts[capacity]))
+    # whole parts of the program; what is left is grouped anew while there are more pieces than groups
+    while sum(rest.values()) > groups:
+        held = linear_groups(rest, groups)
+        by_size = {g.size: g for g in held}
+        sizes = [g.size for g in held]
+        used = 0
+        for uses, amount in configurations(sizes, [g.left for g in held], capacity):
+            chosen = [s for s, k in zip(sizes, uses.tolist(), strict=True) for _ in range(k)]
+            times = min([int(amount + 1e-6), *(by_size[s].left // chosen.count(s) for s in set(chosen))])
+            if times > 0:
+                classes += substituted(by_size, chosen, times)
+                used += times
+        rest = defaultdict(int)
+        for g in held:
+            for x, c in g.runs:
+                rest[x] += c
+        if not used:
+            break
+    return best_fit({x: c for x, c in counts.items() if x < limit and x < capacity} | rest, classes, capacity)
+
+
+def best_fit(counts: dict[int, int], classes: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The classes with pieces of the counted lengths put, longest first, into the smallest room that holds them, and into new sequences."""
     rooms: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for lengths, n in classes:
         rooms[capacity - sum(lengths)].append((lengths, n))
-    for x in sorted((x for x in counts if x < limit), reverse=True):
+    for x in sorted((x for x in counts if counts[x]), reverse=True):
         left = counts[x]
         while left:
             room = min((r for r in rooms if r >= x and rooms[r]), default=None)
@@ -423,6 +482,7 @@ def pack(
     end: int = END,
     tokenizer: str | None = None,
     groups: tuple[int, ...] = GROUPS,
+    small: tuple[float, ...] = SMALL,
     keep_ids: bool = False,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece; keep_ids adds the ids."""
@@ -430,7 +490,7 @@ def pack(
     by_part = cut(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = docs.sparkSession.sparkContext.broadcast(Places(pack_lengths(counts, capacity, groups)))
+    places = docs.sparkSession.sparkContext.broadcast(Places(pack_lengths(counts, capacity, groups, small)))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.join(by_part.select("part", "length", before.alias("before")), ["part", "length"])
     out = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids

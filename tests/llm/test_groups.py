@@ -207,7 +207,7 @@ def test_word_by_word_tokens_equal_whole_texts(texts):
 
 
 def test_words_beyond_the_cache(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_CHARS", 10)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 10)
     tokens = packing.Tokens()
     for texts in (["one two three four"], ["five one six", None, ""], ["six seven"]):
         flat, sizes = tokens.encode(pa.array(texts, pa.string()))
@@ -256,6 +256,52 @@ def test_packing_holds_every_length_once(lengths):
     assert bins <= len(free) + 1
 
 
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(packing, "hash_words", lambda data, starts, lengths: np.minimum(lengths, 3).astype(np.uint64) + np.uint64(1))
+    tokens = packing.Tokens()
+    for texts in (["aa bb ccc dddd"], ["aa ee fffff dddd gg"], ["hh ccc aa bb"]):
+        flat, sizes = tokens.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def all_configurations(sizes, capacity):
+    if not sizes:
+        return [()]
+    return [(k, *rest) for k in range(capacity // sizes[0] + 1) for rest in all_configurations(sizes[1:], capacity - k * sizes[0])]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(5, 40), min_size=1, max_size=5, unique=True), st.data())
+def test_configurations_are_optimal(sizes, data):
+    sizes = sorted(sizes, reverse=True)
+    demand = data.draw(st.lists(st.integers(1, 30), min_size=len(sizes), max_size=len(sizes)))
+    every = all_configurations(sizes, 40)
+    values = np.array(data.draw(st.lists(st.floats(0, 1), min_size=len(sizes), max_size=len(sizes))))
+    worth, used = packing.knapsack(np.array(sizes), values, 40)
+    assert abs(worth - max(float(np.dot(c, values)) for c in every)) < 1e-9 and used @ np.array(sizes) <= 40 and abs(used @ values - worth) < 1e-9
+    plan = packing.configurations(sizes, demand, 40)
+    held = sum(uses * amount for uses, amount in plan)
+    assert np.allclose(held, demand) and all(amount >= -1e-9 and uses @ np.array(sizes) <= 40 for uses, amount in plan)
+    # no configuration is worth more than a sequence at the prices of the basis: the plan is optimal
+    prices = np.linalg.solve(np.array([uses for uses, _ in plan], float), np.ones(len(plan)))
+    assert max(float(np.dot(c, prices)) for c in every) <= 1 + 1e-6
+
+
+def test_large_lengths_are_rounded_up_in_groups():
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(4000):
+        x = rng.randint(300, 1000)
+        counts[x] = counts.get(x, 0) + rng.randint(1, 3)
+    groups = packing.linear_groups(counts, 32)
+    assert len(groups) <= 32 and max(g.left for g in groups) <= 1.2 * sum(counts.values()) / 32
+    assert all(x <= g.size for g in groups for x, _ in g.runs)
+    packed = packing.grouped_packing(counts, 1024, 32, 1 / 4)
+    least = sum(x * n for x, n in counts.items()) / 1024
+    assert sum(x * n for held, n in packed for x in held) == sum(x * n for x, n in counts.items())
+    assert sum(n for _, n in packed) < 1.35 * least
+
+
 def brute_shards(rows, limit):
     seen, keyed = {}, []
     for i, text in rows:
