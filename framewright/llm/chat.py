@@ -1,16 +1,18 @@
 """Chat formatting with typed content parts, in DataFrame functions only.
 
 A message is a list of parts: text, image, audio or document. A visitor (one
-`transform` over the parts) turns each into its place in the message: text is
-escaped, every other kind becomes a placeholder, with an attachment entry (its
-order, kind, reference and the tokens that it expands to).
+`transform` over the parts) turns each into its place in the message: text stays,
+every other kind becomes a placeholder, with an attachment entry (its
+order, kind, reference and the tokens that it expands to). Text is escaped after
+neighbouring parts are joined, so no two parts make a control string together.
 
 Template of a turn: `<|im_start|>` role, line end, content, `<|im_end|>`, line end.
 Escape: between `<` and `|`, any run of backslashes gets one more, so text never
 holds a control string and unescaping takes that one away again. In roles,
 backslashes and line ends are escaped too.
 
-The loss mask covers the content of assistant turns.
+The loss mask is a list of spans [start, stop) in characters of the formatted
+string: the content of each assistant turn, as escaped.
 
 Defined results: null texts, roles and parts count as empty; a part of an
 unknown or null kind is kept as text; sizes that are null count as zero; turns
@@ -22,6 +24,7 @@ rows; extra columns are not read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -64,12 +67,18 @@ def visit(df: DataFrame, parts: str = "parts") -> DataFrame:
     up = lambda x: F.ceil(x).cast("long")
     other = list(PLACEHOLDERS)
 
+    # while the parts are joined, a placeholder is a null character and its number, and a null character of a text is one and a z
     def shown(p: Column) -> Column:
-        out = escape(word(p, "text"))
-        for kind, mark in PLACEHOLDERS.items():
-            out = F.when(p["kind"] == kind, F.lit(mark)).otherwise(out)
+        out = F.replace(word(p, "text"), F.lit("\0"), F.lit("\0z"))
+        for number_, kind in enumerate(PLACEHOLDERS):
+            out = F.when(p["kind"] == kind, F.lit(f"\0{number_}")).otherwise(out)
         return out
 
+    def marked(text: Column) -> Column:
+        for number_, mark in enumerate(PLACEHOLDERS.values()):
+            text = F.replace(text, F.lit(f"\0{number_}"), F.lit(mark))
+        return F.replace(text, F.lit("\0z"), F.lit("\0"))
+
     def entry(p: Column) -> Column:
         tokens = (
             F.when(p["kind"] == "image", up(number(p, "width", "double") / PATCH) * up(number(p, "height", "double") / PATCH))
@@ -81,18 +90,24 @@ def visit(df: DataFrame, parts: str = "parts") -> DataFrame:
     held = F.filter(F.coalesce(F.col(parts), F.array().cast(df.schema[parts].dataType)), lambda p: p.isNotNull())
     media = F.transform(F.filter(held, lambda p: F.coalesce(p["kind"].isin(other), F.lit(False))), entry)
     placed = F.transform(media, lambda a, i: F.struct(i.alias("place"), a["kind"].alias("kind"), a["uri"].alias("uri"), a["tokens"].alias("tokens")))
-    return df.withColumn("content", F.array_join(F.transform(held, shown), "")).withColumn("attachments", placed)
+    return df.withColumn("content", marked(escape(F.array_join(F.transform(held, shown), "")))).withColumn("attachments", placed)
 
 
 def format_chats(
     messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts"
 ) -> DataFrame:
-    """One row for each conversation: formatted string, loss_turns array<int>, attachments, expanded_tokens long."""
-    shown = visit(messages.select(conv, turn, role, parts), parts)
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col("content"), F.col("attachments"))
-    turns = shown.groupBy(conv).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    written = F.transform("turns", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), t["content"], F.lit(END + "\n")))
-    loss = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
+    """One row for each conversation: formatted string, loss_spans array<struct<start, stop>>, attachments, expanded_tokens long."""
+    named = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(parts).alias("parts"))
+    shown = visit(named, "parts").withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
+    # where a turn begins: the characters of the turns before it
+    before = W.partitionBy("conv").orderBy("turn", "role", "content", "attachments").rowsBetween(W.unboundedPreceding, -1)
+    length = F.length("head") + F.length("content") + F.lit(len(END) + 1)
+    placed = shown.withColumn("start", F.coalesce(F.sum(length.cast("long")).over(before), F.lit(0)) + F.length("head"))
+    span = F.when(F.col("role") == "assistant", F.struct(F.col("start"), (F.col("start") + F.length("content")).alias("stop")))
+    one = F.struct("turn", "role", "content", "attachments", "start", "head", span.alias("span"))
+    turns = placed.groupBy("conv").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    written = F.transform("turns", lambda t: F.concat(t["head"], t["content"], F.lit(END + "\n")))
+    loss = F.filter(F.transform("turns", lambda t: t["span"]), lambda x: x.isNotNull())
     media = F.flatten(
         F.transform(
             "turns",
@@ -100,14 +115,19 @@ def format_chats(
         )
     )
     return turns.select(
-        conv,
+        F.col("conv").alias(conv),
         F.array_join(written, "").alias("formatted"),
-        loss.alias("loss_turns"),
+        loss.alias("loss_spans"),
         media.alias("attachments"),
         F.aggregate(media, F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
     )
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask, unescaped, span by span."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")))), "")
+
+
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: array<struct<role, text>>, unescaped."""
     pieces = F.split(formatted, F.lit(r"<\|im_end\|>\n"), -1)
@@ -123,10 +143,9 @@ def read_back(formatted: Column) -> Column:
 
 def digests(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     """What the formatted conversations hold, read back from them."""
-    back = chats.select(conv, "formatted", "loss_turns", read_back(F.col("formatted")).alias("turns"))
+    back = chats.select(conv, "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("under"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under = F.array_join(F.transform("loss_turns", lambda i: F.element_at(F.col("turns"), i + 1)["text"]), "")
-    return back.select(conv, "formatted", "turns", said.alias("said"), under.alias("under")).select(
+    return back.select(conv, "formatted", "turns", said.alias("said"), "under").select(
         conv,
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2("said", 256).alias("turns_sha256"),
