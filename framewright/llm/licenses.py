@@ -5,7 +5,8 @@ pigeonhole principle one piece stands unharmed in every match. An Aho-Corasick
 automaton finds all pieces, an exact comparison confirms unharmed notices at the
 implied place, and the regex library's bounded-error matching verifies the other
 candidates, from the start of a word to the end of one, and reports their spans
-and edits.
+and edits: the best match of a run of candidates first, then the best ones of
+what lies before and after it, so no match hides another beside it.
 
 Texts are compared in canonical form: words (see words.py) joined by one space.
 
@@ -16,7 +17,7 @@ results; ties between spans go to the smaller start.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -73,6 +74,23 @@ class Scanner:
         self.seeds.make_automaton()
         self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{regex.escape(x.phrase)}){{e<={x.edits}}}(?![^ ])") for x in self.notices]
 
+    def matches(self, k: int, text: str, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+        """(start, stop, edits) of disjoint matches of a notice between two places: the fewest edits first, then left and right of it."""
+        least = len(self.notices[k].phrase) - self.notices[k].edits
+        parts = [(first, last)]
+        while parts:
+            a, b = parts.pop()
+            # whole words only: a notice begins and ends with words
+            if 0 < a < b and text[a - 1] != " ":
+                a = text.find(" ", a, b) + 1 or b
+            if a < b < len(text) and text[b] != " ":
+                b = max(a, text.rfind(" ", a, b))
+            if b - a < least:
+                continue
+            if (m := self.patterns[k].search(text, a, b)) and m.end() > m.start():
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                parts += [(a, m.start() - 1), (m.end() + 1, b)]
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """(base places: notice, word), (other spans: notice, start, end, edits), places in characters of the canonical form."""
         text = b" ".join(words).decode("latin-1")
@@ -104,9 +122,10 @@ class Scanner:
         for k, runs in windows.items():
             known = [s for s in spans if s[0] == k and not s[3]]
             for first, last in runs:
-                for m in self.patterns[k].finditer(text, first, last):
-                    if aligned(text, m.start(), m.end()) and not any(a < m.end() and m.start() < b for _, a, b, _ in known):
-                        spans.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                # unharmed notices part the run
+                cuts = sorted((a, b) for _, a, b, _ in known if a < last and first < b)
+                for lo, hi in zip([first, *(b + 1 for _, b in cuts)], [*(a - 1 for a, _ in cuts), last], strict=True):
+                    spans += ((k, a, b, e) for a, b, e in self.matches(k, text, lo, hi))
         return base, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 

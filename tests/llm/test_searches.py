@@ -128,6 +128,58 @@ def test_pigeonhole_finds_every_damaged_notice(around, data):
         assert any(licenses.NOTICES[k].label == "mpl" for k, *_ in spans)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def brute_spans(text, phrase, edits):
+    """Edits of disjoint word-aligned matches: the fewest edits first, then left and right of it."""
+    starts = [0] + [i + 1 for i, c in enumerate(text) if c == " "]
+    ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+    every = [(distance(phrase, text[a:b]), a, b) for a in starts for b in ends if abs(b - a - len(phrase)) <= edits]
+    every = sorted(x for x in every if x[0] <= edits)
+
+    def best(lo, hi):
+        found = next((x for x in every if x[1] >= lo and x[2] <= hi), None)
+        return [found, *best(lo, found[1] - 1), *best(found[2] + 1, hi)] if found else []
+
+    return best(0, len(text))
+
+
+@pytest.mark.parametrize("text", ["mozila publc license mozilla public licence", "gnu generl publc license gnu general public licence", "mozilla public licens mozila publc license x mozilla public license"])
+def test_a_match_hides_none_beside_it(text):
+    for k, notice in enumerate(licenses.NOTICES):
+        want = brute_spans(text, notice.phrase, notice.edits)
+        got = [s for s in licenses.Scanner().scan([w.encode() for w in text.split()])[1] if s[0] == k]
+        assert sorted(e for *_, e in got) == sorted(e for e, *_ in want)
+    assert sum(s[3] > 0 for s in licenses.Scanner().scan([w.encode() for w in text.split()])[1]) >= 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["mit license", "apache license", "mozilla public license"]), st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["", "x", "qq"])), max_size=2)), min_size=1, max_size=4))
+def test_all_fuzzy_spans_equal_brute_force(notices):
+    said = []
+    for phrase, changes in notices:
+        letters = list(phrase)
+        for at, new in changes:
+            letters[at % len(letters)] = new
+        said.append("".join(letters))
+    text = " ".join(w.decode() for w in " ".join(said).encode().split())
+    scanner = licenses.Scanner()
+    spans = scanner.scan([w.encode() for w in text.split()])[1]
+    for k, notice in enumerate(scanner.notices[:7]):
+        own = [s for s in spans if s[0] == k]
+        want = brute_spans(text, notice.phrase, notice.edits)
+        assert len(own) == len(want) and sorted(e for *_, e in own) == sorted(e for e, *_ in want)
+        assert all(distance(notice.phrase, text[a:b]) == e for _, a, b, e in own)
+
+
 def test_pathological_texts(spark):
     df = spark.createDataFrame([(1, "license " * 20_000), (2, "gnu " * 20_000), (3, "é" * 200_000)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(df).collect()} == {1: 20_000, 2: 20_000, 3: 1}
