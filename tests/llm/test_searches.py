@@ -40,12 +40,12 @@ def bench_rows(docs):
     ]
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 120])
-def test_decontamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("most_bytes", [8 << 20, 120])
+def test_decontamination_equals_brute_force(spark, most_bytes):
     docs = documents(spark)
     items = bench_rows(docs)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()
+    got = decontam.decontaminate(docs, bench, most_bytes=most_bytes).collect()
     want = sorted(((r["doc_id"], *expected_hits(r["text"], items)) for r in docs.collect()), key=str)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got), key=str) == want
     assert any(r["contaminated"] for r in got)
@@ -61,11 +61,29 @@ def test_decontamination_of_nothing(spark):
 def test_drop_contaminated_keeps_columns_and_clean_rows(spark):
     docs = documents(spark)
     bench = spark.createDataFrame(bench_rows(docs)[:1], "item_id long, text string")
-    kept = decontam.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns
-    assert kept.count() == docs.count() - 1 and kept.filter("doc_id = 74").count() == 0
+    for most_bytes in (8 << 20, 10):
+        kept = decontam.drop_contaminated(docs, bench, most_bytes=most_bytes)
+        assert kept.columns == docs.columns
+        assert kept.count() == docs.count() - 1 and kept.filter("doc_id = 74").count() == 0
 
 
+def test_repeated_words_cost_no_pairs(spark):
+    """20,000 equal words against items of as many, and short periods: seconds, not hours."""
+    import time
+
+    items = [(1, "a " * 20_000), (2, "b c " * 5000), (3, "a " * 12), (4, "x " * 9)]
+    docs = spark.createDataFrame([(1, "a " * 20_000), (2, "c b " * 8000 + "d"), (3, "x " * 30), (4, "a " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: (20_000, 20_000, ["1", "3"]), 2: (16_001, 16_000, ["2"]), 3: (30, 30, ["4"]), 4: (9, 0, [])}
+    assert time.monotonic() - began < 20
+    held = decontam.Bench(["1"], [items[0][1]], decontam.K, decontam.WINDOW)
+    words, firsts, _ = decontam.folded_words(*decontam._flat([items[0][1]]))
+    began = time.monotonic()
+    spans = decontam.find_spans(words, firsts, held, decontam.K, decontam.WINDOW)
+    assert time.monotonic() - began < 2 and decontam.merged(spans[:, :2]).tolist() == [[0, 20_000]]
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=14), max_size=5), st.integers(2, 4), st.integers(1, 4))
 def test_winnowing_finds_every_shared_span(text, items, k, window):
