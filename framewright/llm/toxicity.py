@@ -36,9 +36,11 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Ftrl:
+    """Chosen by three folds inside the training two thirds (log loss over two sizes of table); held-out rows had no part in it."""
+
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 10.0
     l2: float = 0.1
     epochs: int = 8
     bias_rate: float = 0.3
