@@ -67,18 +67,26 @@ def assign_lanes(jobs: DataFrame, group: list[str], cost: str, order: list[Colum
     A fold over a group's ordered costs; its state is the loads of the lanes. A group's jobs are one row, so groups must be bounded.
     """
     place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    placed = jobs.withColumn("_place", place)
-    costs = placed.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_place", F.col(cost).cast("long").alias("c")))).alias("_jobs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), lanes).alias("loads"), F.lit(-1).cast("long").alias("_place"), F.array().cast("array<int>").alias("lanes"))
+    whole = F.struct(*[F.col(c) for c in jobs.columns])
+    placed = jobs.select(*group, place.alias("_place"), F.col(cost).cast("long").alias("_cost"), whole.alias("_job"))
+    held = placed.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_place", "_cost", "_job"))).alias("_jobs"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), lanes).alias("loads"), F.array().cast("array<int>").alias("lanes"))
 
     def step(acc: Column, job: Column) -> Column:
         lane = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lane - 1, x + job["c"]).otherwise(x))
-        return F.struct(loads.alias("loads"), job["_place"].cast("long").alias("_place"), F.concat(acc["lanes"], F.array(lane - 1)).alias("lanes"))
+        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lane - 1, x + job["_cost"]).otherwise(x))
+        return F.struct(loads.alias("loads"), F.array_append(acc["lanes"], lane - 1).alias("lanes"))
 
-    folded = costs.select(*group, F.aggregate("_jobs", start, step)["lanes"].alias("_lanes"))
-    lanes_of = folded.select(*group, F.posexplode("_lanes").alias("_i", "lane")).select(*group, (F.col("_i") + 1).alias("_place"), "lane")
-    return placed.join(lanes_of, [*group, "_place"]).drop("_place")
+    folded = held.withColumn("_lanes", F.aggregate("_jobs", start, step)["lanes"])
+    each = folded.select(F.explode(F.arrays_zip(F.col("_jobs").alias("job"), F.col("_lanes").alias("lane"))).alias("_x"))
+    return each.select("_x.job._job.*", "_x.lane")
+
+
+def changed_entries(rows: DataFrame, keys: list[str], stored: str, current: str) -> DataFrame:
+    """(keys, name, stored, current) of entries of the current map that differ from the stored map of the same row (null-safe): no join."""
+    one = rows.select(*keys, F.col(stored).alias("_stored"), F.explode(current).alias("name", "current"))
+    was = F.when(F.map_contains_key("_stored", F.col("name")), F.col("_stored")[F.col("name")])
+    return one.withColumn("stored", was).filter(~F.col("stored").eqNullSafe(F.col("current"))).select(*keys, "name", "stored", "current")
 
 
 def provenance_diff(stored: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,21 +12,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def bridge_gaps(df: DataFrame, keys: list[str], order: str, flag: str, gap: int, out: str | None = None) -> DataFrame:
-    """Fill false runs of at most `gap` rows that have true rows on both sides; frames are consecutive."""
+def bridge_gaps(df: DataFrame, keys: list[str], order: str, flag: str | list[str], gap: int, out: str | None = None) -> DataFrame:
+    """Fill false runs of at most `gap` rows that have true rows on both sides; frames are consecutive, null counts as false.
+
+    Several flags share one sort upward and one downward.
+    """
+    flags = [flag] if isinstance(flag, str) else flag
+    names = {f: (out or f) if isinstance(flag, str) else f for f in flags}
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
-    seen = F.when(F.col(flag), F.col(order))
-    between = F.last(seen, True).over(after) - F.last(seen, True).over(before) - 1
-    return df.withColumn(out or flag, F.col(flag) | F.coalesce(between <= gap, F.lit(False)))
+    seen = lambda f: F.when(F.col(f), F.col(order))
+    rows = df.withColumns({f"_before_{f}": F.last(seen(f), True).over(before) for f in flags})
+    rows = rows.withColumns({f"_after_{f}": F.last(seen(f), True).over(after) for f in flags})
+    filled = {names[f]: F.coalesce(F.col(f), F.lit(False)) | F.coalesce(F.col(f"_after_{f}") - F.col(f"_before_{f}") - 1 <= gap, F.lit(False)) for f in flags}
+    return rows.withColumns(filled).drop(*(f"_{side}_{f}" for side in ("before", "after") for f in flags))
 
 
-def pad_intervals(df: DataFrame, keys: list[str], order: str, flag: str, entry: int, exit: int, out: str | None = None) -> DataFrame:
-    """Begin true runs `entry` rows earlier and end them `exit` rows later."""
+def pad_intervals(df: DataFrame, keys: list[str], order: str, flag: str | list[str], entry: int, exit: int, out: str | None = None) -> DataFrame:
+    """Begin true runs `entry` rows earlier and end them `exit` rows later; several flags share one sort."""
     if entry < 0 or exit < 0:
         raise ValueError("padding must not be negative")
     near = W.partitionBy(*keys).orderBy(order).rowsBetween(-exit, entry)
-    return df.withColumn(out or flag, F.max(flag).over(near))
+    flags = [flag] if isinstance(flag, str) else flag
+    return df.withColumns({((out or f) if isinstance(flag, str) else f): F.max(f).over(near) for f in flags})
 
 
 def runs(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
@@ -69,9 +77,8 @@ def adaptive_chunks(
     df: DataFrame, keys: list[str], order: str, left: str, right: str, *, gap: int = 5, entry: int = 8, exit: int = 8, shortest: int = 6, longest: int = 240, first: int = 0, last: int | None = None
 ) -> DataFrame:
     """(keys, mode, start, stop): visibility of both sides bridged and padded over the whole recording, then cropped, cut into runs and balanced."""
-    both = df
-    for side in (left, right):
-        both = pad_intervals(bridge_gaps(both, keys, order, side, gap), keys, order, side, entry, exit)
+    sides = [left, right]
+    both = pad_intervals(bridge_gaps(df, keys, order, sides, gap), keys, order, sides, entry, exit)
     state = both.select(*keys, order, two_sided_state(F.col(left), F.col(right)).alias("state"))
     inside = state.filter(F.col(order) >= first) if last is None else state.filter((F.col(order) >= first) & (F.col(order) < last))
     found = runs(inside, keys, order, "state").filter("state <> 0")
@@ -93,19 +100,26 @@ def frames_to_chunks(frames: DataFrame, chunks: DataFrame, keys: list[str], orde
 def fill_timeline(chunks: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, start, stop): chunks and the source intervals between, before and after them; totals has `total` frames."""
     w = W.partitionBy(*keys).orderBy("start")
-    known = chunks.join(totals, keys)
-    gaps = known.select(*keys, F.coalesce(F.lag("stop").over(w), F.lit(0).cast("long")).alias("start"), F.col("start").alias("stop"))
-    tails = totals.join(chunks.groupBy(*keys).agg(F.max("stop").alias("_end")), keys, "left").select(*keys, F.coalesce("_end", F.lit(0).cast("long")).alias("start"), F.col("total").alias("stop"))
-    source = gaps.unionByName(tails).filter("stop > start").withColumn("kind", F.lit("source"))
-    return source.unionByName(chunks.select(*keys, "start", "stop", F.lit("chunk").alias("kind"))).select(*keys, "kind", "start", "stop")
-
-
-def contiguity(df: DataFrame, keys: list[str], order: str, expected: str) -> DataFrame:
-    """(keys, n, contiguous): whether the frames are exactly 0 .. expected - 1."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        ((F.countDistinct(order) == F.max(expected)) & (F.count("*") == F.max(expected)) & (F.min(order) == 0) & (F.max(order) == F.max(expected) - 1)).alias("contiguous"),
+    known = totals.join(chunks.select(*keys, "start", "stop"), keys, "left")
+    known = known.withColumn("_was", F.coalesce(F.lag("stop").over(w), F.lit(0).cast("long"))).withColumn("_next", F.lead("start").over(w))
+    part = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("start"), b.cast("long").alias("stop"))
+    # before a chunk, the chunk, and what follows the last one; a recording without chunks is one source interval
+    before = part("source", F.col("_was"), F.coalesce("start", "total"))
+    rest = part("source", F.coalesce("stop", "total"), F.when(F.col("_next").isNull(), F.col("total")).otherwise(F.col("stop")))
+    each = known.select(*keys, F.explode(F.array(before, part("chunk", F.col("start"), F.col("stop")), rest)).alias("_p"))
+    return each.select(*keys, "_p.*").filter("stop > start")
+
+
+def contiguity(df: DataFrame, keys: list[str], order: str, expected: str | None = None) -> DataFrame:
+    """(keys, n, contiguous): whether the frames are exactly 0 .. expected - 1, each once (expected: as many as there are different frames).
+
+    One aggregation; the set of an episode's frames is bounded by its length.
+    """
+    held = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.size(F.collect_set(order)).cast("long").alias("_d"), F.min(order).alias("_low"), F.max(order).alias("_high"), *([F.max(expected).alias("_e")] if expected else [])
     )
+    e = F.col("_e") if expected else F.col("_d")
+    return held.select(*keys, "n", ((F.col("_d") == e) & (F.col("n") == e) & (F.col("_low") == 0) & (F.col("_high") == e - 1)).alias("contiguous"))
 
 
 def interpolate_gaps(df: DataFrame, keys: list[str], order: str, value: str, known: str, out: str = "filled") -> DataFrame:

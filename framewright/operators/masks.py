@@ -64,6 +64,65 @@ def crossfade(frame: Column, start: float, stop: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (frame - start) / (stop - start)))
 
 
+def sleeve_profile(points: DataFrame, keys: list[str], along: str, across: str, bins: int = 12, margin: float = 12.0, least: int = 24, needed: int = 3) -> DataFrame:
+    """(keys, bin, radius): widths of a mask along an axis (shares of it from 0 to 1, distances across).
+
+    The 92nd percentile of a bin's distances where `least` points are, other bins between their neighbours (held at the ends);
+    a margin, clipped to 28..88; then quarter, half and quarter with zeros beyond the ends, which take a quarter of their neighbour
+    instead. A group with fewer than `needed` measured bins raises.
+    """
+    number = F.floor(F.col(along) * bins).cast("long")
+    held = points.filter((F.col(along) >= 0) & (F.col(along) < 1)).groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"), F.expr(f"percentile(`{across}`, 0.92)").alias("r"))
+    known = held.filter(F.col("n") >= least).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "r"))).alias("_k"))
+    known = held.select(*keys).distinct().join(known, keys, "left")
+    ok = F.when(F.size("_k") >= needed, F.col("_k")).otherwise(F.raise_error(F.lit("too few bins to measure a width")).cast("array<struct<bin: bigint, r: double>>"))
+
+    def at(i: Column) -> Column:
+        before, after = F.filter("_k", lambda x: x["bin"] <= i), F.filter("_k", lambda x: x["bin"] >= i)
+        a, b = F.when(F.size(before) > 0, F.element_at(before, -1)), F.when(F.size(after) > 0, after[0])
+        share = (i - a["bin"]) / F.nullif(b["bin"] - a["bin"], F.lit(0).cast("long"))
+        return F.coalesce(a["r"] + (b["r"] - a["r"]) * share, a["r"], b["r"])
+
+    filled = known.withColumn("_k", ok).withColumn("_w", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda i: F.least(F.lit(88.0), F.greatest(F.lit(28.0), at(i) + margin))))
+    beside = lambda i: F.coalesce(F.get("_w", i.cast("int")), F.lit(0.0))
+    smooth = filled.withColumn("_s", F.transform("_w", lambda x, i: 0.25 * beside(i - 1) + 0.5 * x + 0.25 * beside(i + 1)))
+    s = F.col("_s")
+    ends = F.transform("_s", lambda x, i: F.when(i == 0, 0.75 * x + 0.25 * s[1]).when(i == bins - 1, 0.75 * x + 0.25 * s[bins - 2]).otherwise(x))
+    return smooth.select(*keys, F.posexplode(ends).alias("bin", "radius"))
+
+
+def compact_reference(frames: DataFrame, keys: list[str], frame: str, margin: str, area: str, share: float = 0.85, low: float = 0.002, high: float = 0.2) -> DataFrame:
+    """(keys, frame): the smallest mask among those with `share` of the best margin and a usable size, else the best margin; the first on ties."""
+    rows = frames.withColumn("_best", F.max(margin).over(W.partitionBy(*keys)))
+    good = (F.col(margin) >= share * F.col("_best")) & F.col(area).between(low, high)
+    out = rows.groupBy(*keys).agg(F.min(F.when(good, F.struct(area, frame))).alias("a"), F.max(F.struct(margin, (-F.col(frame)).alias("f"))).alias("b"))
+    return out.select(*keys, F.coalesce(F.col(f"a.{frame}"), -F.col("b.f")).alias(frame))
+
+
+def colour_model(pixels: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
+    """(keys, centre, scale): the median, and 1.4826 times the median deviation but `floor` at least."""
+    middle = pixels.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("centre"))
+    spread = pixels.join(middle, keys).groupBy(*keys, "centre").agg(F.expr(f"percentile(abs(`{value}` - centre), 0.5)").alias("_mad"))
+    return spread.select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("_mad")).alias("scale"))
+
+
+def point_coverage(points: DataFrame, cells: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:
+    """(keys, share) of every frame: the share of its points (u, v; those outside the image left out before) that lie on its mask cells (x, y); 0 without points."""
+    at = points.select(*keys, F.floor("u").alias("x"), F.floor("v").alias("y"))
+    hit = cells.select(*keys, "x", "y").distinct().withColumn("_hit", F.lit(1.0))
+    per = at.join(hit, [*keys, "x", "y"], "left").groupBy(*keys).agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("share"))
+    return frames.select(*keys).join(per, keys, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
+def same_shapes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two mask tables (keys, w, h, cells) frame by frame; a missing frame or another shape raises."""
+    from framewright.operators.geometry import aligned
+
+    both = aligned(a.select(*keys, "w", "h", "cells"), b.select(*keys, F.col("w").alias("_w"), F.col("h").alias("_h"), F.col("cells").alias("other")), keys)
+    ok = F.when((F.col("w") == F.col("_w")) & (F.col("h") == F.col("_h")), F.lit(True)).otherwise(F.raise_error(F.lit("masks differ in shape")).cast("boolean"))
+    return both.withColumn("_ok", ok).filter("_ok").drop("_w", "_h", "_ok")
+
+
 # --- rasters
 
 
@@ -129,57 +188,94 @@ def signed_distance(mask: np.ndarray, clip: float) -> np.ndarray:
     reach = int(np.ceil(clip))
 
     def to(target: np.ndarray) -> np.ndarray:
+        # along columns first, then the best of each row's neighbours
+        down = np.where(target, 0.0, float(reach + 1))
+        for way in (slice(None), slice(None, None, -1)):
+            column = down[way]
+            for i in range(1, len(column)):
+                np.minimum(column[i], column[i - 1] + 1, out=column[i])
+        square = np.pad(down**2, ((0, 0), (reach, reach)), constant_values=float((reach + 1) ** 2))
         best = np.full(mask.shape, clip**2)
-        padded = np.pad(target, reach)
-        for dy in range(-reach, reach + 1):
-            for dx in range(-reach, reach + 1):
-                d = dy * dy + dx * dx
-                if d < clip**2:
-                    hit = padded[reach + dy : reach + dy + mask.shape[0], reach + dx : reach + dx + mask.shape[1]]
-                    best[hit & (best > d)] = d
+        for dx in range(2 * reach + 1):
+            np.minimum(best, square[:, dx : dx + mask.shape[1]] + (dx - reach) ** 2, out=best)
         return np.sqrt(best)
 
     return np.where(mask, to(~mask), -to(mask))
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected parts, 0 outside, by spreading the smallest label until nothing changes."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 1
-    while True:
-        spread = np.where(mask, label, big)
-        for axis in (0, 1):
-            padded = np.pad(spread, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], constant_values=big)
-            take = lambda i: np.take(padded, range(i, i + mask.shape[axis]), axis=axis)  # noqa: E731,B023
-            spread = np.minimum(np.minimum(take(0), take(2)), spread)
-        spread = np.where(mask, spread, 0)
-        if np.array_equal(spread, label):
-            return label
-        label = spread
+    """Labels of 8-connected parts (their first pixel's number), 0 outside: neighbours are joined, then labels are followed to their roots."""
+    place = np.arange(mask.size).reshape(mask.shape)
+    pairs = []
+    for a, b in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
+        both = mask[a] & mask[b]
+        pairs.append((place[a][both], place[b][both]))
+    x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    root = np.arange(mask.size)
+    while len(x):
+        while not np.array_equal(up := root[root], root):
+            root = up
+        p, q = root[x], root[y]
+        differ = p != q
+        x, y, p, q = x[differ], y[differ], p[differ], q[differ]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+    while not np.array_equal(up := root[root], root):
+        root = up
+    return np.where(mask, root.reshape(mask.shape) + 1, 0)
 
 
 def keep_parts(mask: np.ndarray, least: int, seeds: list[tuple[float, float]], edge: int = 3, near: int = 5) -> np.ndarray:
-    """Parts of at least `least` pixels that touch the bottom or right border strip, or the window around a seed (x, y)."""
+    """Parts of at least `least` pixels that touch the bottom or right border strip, or the window around a seed (x, y), which is drawn into the image."""
     label = components(mask)
-    sizes = np.bincount(label.ravel())
-    wanted = set(np.unique(label[-edge:])) | set(np.unique(label[:, -edge:]))
+    uniq, sizes = np.unique(label, return_counts=True)
+    wanted = set(label[-edge:].ravel().tolist()) | set(label[:, -edge:].ravel().tolist())
     for x, y in seeds:
-        x, y = int(round(x)), int(round(y))
-        wanted |= set(np.unique(label[max(0, y - near) : y + near + 1, max(0, x - near) : x + near + 1]))
-    keep = [k for k in wanted if k and sizes[k] >= least]
+        if np.isfinite(x) and np.isfinite(y):
+            x, y = int(np.clip(round(x), 0, mask.shape[1] - 1)), int(np.clip(round(y), 0, mask.shape[0] - 1))
+            wanted |= set(label[max(0, y - near) : y + near + 1, max(0, x - near) : x + near + 1].ravel().tolist())
+    keep = [k for k, n in zip(uniq.tolist(), sizes.tolist(), strict=True) if k and n >= least and k in wanted]
     return np.isin(label, keep) if keep else np.zeros_like(mask)
 
 
-def stabilised(masks: list[np.ndarray], clip: float = 7.5, side: float = 0.35, low: float = 0.65, high: float = 1.35) -> list[np.ndarray]:
-    """Each mask's signed distance averaged with its neighbours', closed and opened; the original where the area would change too much."""
-    fields, out = [signed_distance(m, clip) for m in masks], []
+def cleaned(mask: np.ndarray, seeds: list[tuple[float, float]], least: int = 128) -> np.ndarray:
+    """A mask without streaks and stray parts."""
+    return keep_parts(closed_opened(mask), least, seeds)
+
+
+def stabilised(masks: list[np.ndarray], clip: float = 12.0, side: float = 0.35, low: float = 0.65, high: float = 1.35, flows: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> list[np.ndarray]:
+    """Each mask's signed distance averaged with its neighbours', closed and opened; the original where the area would change too much.
+
+    flows are the (forward, backward) motions between neighbouring frames, if known: neighbours are then warped before they count.
+    Masks must have one shape, and pixels inside and outside.
+    """
+    from framewright.operators.rasters import warp
+
+    if not masks or any(m.shape != masks[0].shape for m in masks):
+        raise ValueError("masks of one shape are needed")
+    if any(m.all() or not m.any() for m in masks):
+        raise ValueError("each mask needs pixels inside and outside")
+    plain, out = [signed_distance(m, clip) for m in masks], []
     for i, m in enumerate(masks):
-        total, weight = fields[i].copy(), 1.0
+        total, weight = plain[i].copy(), 1.0
         for j in (i - 1, i + 1):
             if 0 <= j < len(masks):
-                total, weight = total + side * fields[j], weight + side
+                field = plain[j] if flows is None else signed_distance(warp(masks[j], flows[1][j] if j < i else flows[0][i]), clip)
+                total, weight = total + side * field, weight + side
         new = closed_opened(total / weight > 0)
-        out.append(new if m.sum() and low <= new.sum() / m.sum() <= high else m)
+        out.append(new if low <= new.sum() / m.sum() <= high else m)
+    return out
+
+
+def stabilised_runs(masks: list[np.ndarray], valid: list[bool], **how) -> list[np.ndarray]:
+    """Each run of valid frames made steady by itself; other frames are empty, runs of one frame stay."""
+    out = [np.zeros_like(m) for m in masks]
+    begin = None
+    for i, ok in enumerate([*valid, False]):
+        if ok and begin is None:
+            begin = i
+        elif not ok and begin is not None:
+            out[begin:i] = masks[begin:i] if i - begin == 1 else stabilised(masks[begin:i], **how)
+            begin = None
     return out
 
 

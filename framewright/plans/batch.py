@@ -34,47 +34,6 @@ SELECT o_orderpriority, count(*) AS episodes, CAST(sum(coalesce(frames, 0)) AS B
     CAST(sum(coalesce(frames, 0) * CASE WHEN o_custkey % 2 = 0 THEN 2800000 ELSE 1100000 END) AS BIGINT) AS scratch, CAST(sum(coalesce(n_chunks, 0)) AS BIGINT) AS chunks FROM episodes GROUP BY 1"""
 
 
-def validate_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken rules of every recording: no chunks, chunk numbers that repeat, fewer frames than chunks times 5, chunks without a recording."""
-    rows, lines = episodes(spark, sf_dir), table(spark, sf_dir, "lineitem")
-    repeats = lines.groupBy(F.col("l_orderkey").alias("episode")).agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("d")).filter("n > d")
-    orphans = lines.select(F.col("l_orderkey").alias("episode")).distinct().join(rows.select("episode"), "episode", "left_anti")
-    return B.violations(
-        [(1, "no chunks", rows.filter("n_chunks is null")), (2, "repeated chunk", repeats), (3, "too few frames", rows.filter("frames < n_chunks * 5")), (4, "no recording", orphans)], ["episode"]
-    )
-
-
-VALIDATE_SQL = f"""WITH {EPISODES}
-SELECT episode, 1 AS ord, 'no chunks' AS message FROM episodes WHERE n_chunks IS NULL
-UNION ALL SELECT l_orderkey, 2, 'repeated chunk' FROM lineitem GROUP BY 1 HAVING count(*) > count(DISTINCT l_linenumber)
-UNION ALL SELECT episode, 3, 'too few frames' FROM episodes WHERE frames < n_chunks * 5
-UNION ALL SELECT DISTINCT l_orderkey, 4, 'no recording' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)"""
-
-
-def runnable_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of every recording, and the stage at which it goes on or failed."""
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
-    rows = episodes(spark, sf_dir).withColumn("status", status).withColumn("masks", F.coalesce(F.col("n_chunks"), F.lit(0)))
-    state = B.episode_state(F.col("status"), F.col("frames").isNotNull(), F.col("o_custkey") % 3 == 0, True)
-    resume = B.resume_stage(F.col("frames") > 200, F.col("masks"), F.lit(4))
-    failed = F.when(F.col("status") == "failed", B.failed_stage(F.col("masks"), F.coalesce("frames", F.lit(0)), F.lit(4)))
-    return rows.select("episode", state.alias("state"), resume.alias("resume"), failed.alias("failed_at"))
-
-
-QUEUE_SQL = f"""WITH {EPISODES}
-SELECT episode, CASE WHEN o_orderstatus = 'F' AND frames IS NOT NULL THEN 'done' WHEN o_custkey % 3 = 0 THEN 'claimed' ELSE 'runnable' END AS state,
-    CASE WHEN frames > 200 THEN 'compose' WHEN coalesce(n_chunks, 0) = 4 THEN 'inpaint' ELSE 'segment' END AS resume,
-    CASE WHEN o_orderstatus = 'P' THEN CASE WHEN coalesce(n_chunks, 0) = 4 THEN 'inpaint_or_compose' WHEN coalesce(frames, 0) = 4 THEN 'segment' ELSE 'trajectory_or_render' END END AS failed_at FROM episodes"""
-
-
-def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.groupBy(F.coalesce("o_orderstatus", F.lit("pending")).alias("status")).agg(F.count("*").alias("n"))
-
-
-STATUS_SQL = "SELECT coalesce(o_orderstatus, 'pending') AS status, count(*) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"
-
-
 def episode_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = B.selected(spark, "7, 3-40,12 ,100-180,9999999")
     return chosen.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("episode"), "o_orderpriority"), "episode")
@@ -115,21 +74,6 @@ lanes AS (SELECT episode, CAST(unnest(range(3)) AS INTEGER) AS lane, unnest(load
 SELECT episode, lane, load, n FROM lanes WHERE n > 0"""
 
 
-def lane_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts with at least 1000 free, the preferred first in their order, then by free space: the two best of each nation, and the freest of all (highest number on ties)."""
-    hosts = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.floor("s_acctbal").alias("free")).filter("free >= 1000")
-    preferred = F.array_position(F.array(F.lit(3).cast("long"), F.lit(1).cast("long")), F.col("s_suppkey"))
-    place = F.row_number().over(W.partitionBy("s_nationkey").orderBy(preferred == 0, preferred, F.desc("free"), "s_suppkey"))
-    freest = hosts.groupBy("s_nationkey").agg(F.max(F.struct("free", "s_suppkey")).alias("m")).select("s_nationkey", F.col("m.s_suppkey").alias("freest"))
-    return hosts.withColumn("place", place.cast("long")).filter("place <= 2").join(freest, "s_nationkey").select("s_nationkey", "s_suppkey", "place", "freest")
-
-
-TOPK_SQL = """WITH hosts AS (SELECT s_nationkey, s_suppkey, CAST(floor(s_acctbal) AS BIGINT) AS free FROM supplier WHERE floor(s_acctbal) >= 1000),
-placed AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE s_suppkey WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END, free DESC, s_suppkey) AS place,
-    first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY free DESC, s_suppkey DESC) AS freest FROM hosts)
-SELECT s_nationkey, s_suppkey, place, freest FROM placed WHERE place <= 2"""
-
-
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks and frames each of 4 workers gets, by chunk number modulo workers."""
     rows = table(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_linenumber") - 1, F.lit(4)).alias("worker"), "l_quantity")
@@ -147,25 +91,13 @@ def blob_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOB_SQL = "SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages"
 
 
-def hash_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that must be hashed anew: those that no earlier page of equal address (the whole url) and size covers; by host."""
-    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.length("html").alias("size"))
-    return pages.distinct().groupBy("host").agg(F.count("*").alias("misses"), F.sum("size").cast("long").alias("size"))
-
-
-#: Counts by host and size, not by url and size: fewer misses than the query where pages of one host have equal sizes.
-MISSES_SQL = """WITH pages_ AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, length(html) AS size FROM pages),
-known AS (SELECT host, size FROM pages_ GROUP BY 1, 2) SELECT host, count(*) AS misses, CAST(sum(size) AS BIGINT) AS size FROM known GROUP BY 1"""
-
-
 def provenance_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of each event against the one before it of the same user: what changed or is new."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     meta = F.map_from_arrays(F.array(F.lit("k"), F.lit("type"), F.lit("large")), F.array(F.get_json_object("props", "$.k"), F.col("event_type"), (F.col("value") > 100).cast("string")))
-    rows = table(spark, sf_dir, "events").withColumn("meta", meta).withColumn("was", F.lag("event_id").over(w))
-    current = rows.select("event_id", "meta")
-    stored = rows.filter("was is not null").select("event_id", "was").join(rows.select(F.col("event_id").alias("was"), "meta"), "was").select("event_id", "meta")
-    return B.provenance_diff(stored, current, ["event_id"])
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", meta.alias("meta"))
+    rows = rows.withColumn("stored", F.lag("meta").over(w))
+    return B.changed_entries(rows, ["event_id"], "stored", "meta")
 
 
 PROVENANCE_SQL = """WITH rows AS (
@@ -192,16 +124,11 @@ FRAMES_SQL = """SELECT l_returnflag, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THE
 
 QUERIES = {
     "manifest_summary": (manifest_summary, MANIFEST_SQL),
-    "validate_episodes": (validate_episodes, VALIDATE_SQL),
-    "runnable_queue": (runnable_queue, QUEUE_SQL),
-    "status_counts": (status_counts, STATUS_SQL),
     "episode_selector": (episode_selector, SELECTOR_SQL),
     "numeric_order": (numeric_order, ORDER_SQL),
     "greedy_lanes": (greedy_lanes, LANES_SQL),
-    "lane_topk": (lane_topk, TOPK_SQL),
     "round_robin": (round_robin, ROBIN_SQL),
     "blob_hashes": (blob_hashes, BLOB_SQL),
-    "hash_cache_misses": (hash_cache_misses, MISSES_SQL),
     "provenance_differences": (provenance_differences, PROVENANCE_SQL),
     "version_tuples": (version_tuples, VERSION_SQL),
     "integer_frames": (integer_frames, FRAMES_SQL),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from framewright.operators import geometry as G
 from framewright.operators import masks as M
-from framewright.plans.visibility import CAMERA, FRAMES, PIXELS, SEEN
+from framewright.operators import visibility as V
+from framewright.plans.visibility import CAMERA, FRAMES, POINTS, SEEN
 from framewright.sources.tables import frames, landmarks, masks, table
 
 CELLS = """masks AS (
@@ -57,13 +58,15 @@ SELECT x, y, event_type FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORD
 
 
 def visibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per side: frames where a robot may show (a human is seen and the robot is large enough), and those with only one of them."""
+    """Per side: frames where a robot may show (a human is seen and the robot has 9 pixels), and those with only one of them."""
     rows = frames(spark, sf_dir).select(
-        "episode", "frame", F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right").alias("side"), (F.col("signal") > SEEN).alias("human"), (F.length("props") > 8).alias("robot")
+        "episode", "frame", F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right").alias("side"), (F.col("signal") > SEEN).alias("human"), F.length("props").alias("pixels")
     )
-    only = lambda a, b: F.sort_array(F.collect_list(F.when(F.col(a) & ~F.col(b), F.col("frame"))))
+    rows = V.frame_gate(rows, ["episode", "frame"], "human", "pixels", 9)
+    robot = F.col("pixels") >= 9
+    only = lambda a, b: F.sort_array(F.collect_list(F.when(a & ~b, F.col("frame"))))
     out = rows.groupBy("episode", "side").agg(
-        F.count_if("robot").alias("robot_visible"), F.count_if(F.col("robot") & F.col("human")).alias("composited"), only("human", "robot").alias("h"), only("robot", "human").alias("r"), F.bool_or("human").alias("inpainted")
+        F.count_if(robot).alias("robot_visible"), F.count_if("permitted").alias("composited"), only(F.col("human"), robot).alias("h"), only(robot, F.col("human")).alias("r"), F.bool_or("inpainted").alias("inpainted")
     )
     return out.select("episode", "side", "robot_visible", "composited", F.array_join("h", ",").alias("human_only"), F.array_join("r", ",").alias("robot_only"), "inpainted")
 
@@ -73,48 +76,57 @@ SELECT episode, side, count(*) FILTER (robot) AS robot_visible, count(*) FILTER
     coalesce(string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) FILTER (robot AND NOT human), '') AS robot_only, bool_or(human) AS inpainted FROM rows GROUP BY 1, 2"""
 
 
+SMALL = CAMERA.scaled(0.05)  # a raster of 64 x 64
+
+
 def coverage_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a frame's landmarks in view that lie on the mask (a disc in the middle), with totals over episodes."""
-    points = landmarks(spark, sf_dir).select("episode", "frame", F.explode("points").alias("p")).withColumn("px", G.project(F.col("p"), CAMERA)).filter(G.in_view(F.col("px"), CAMERA))
-    inside = (F.floor("px.u") - 640) * (F.floor("px.u") - 640) + (F.floor("px.v") - 640) * (F.floor("px.v") - 640) <= 400 * 400
-    per = points.withColumn("on", inside.cast("double")).groupBy("episode", "frame").agg(F.avg("on").alias("share"))
+    """Share of a frame's landmarks in view that lie on its mask (a disc in the middle, of 10 to 24 cells), with totals over episodes."""
+    shown = landmarks(spark, sf_dir)
+    points = shown.select("episode", "frame", F.explode("points").alias("p")).withColumn("px", G.project(F.col("p"), SMALL)).filter(G.in_view(F.col("px"), SMALL))
+    reach = (F.lit(10) + F.col("frame") % 15).cast("int")
+    cells = shown.select("episode", "frame", reach.alias("r")).withColumn("x", F.explode(F.sequence(32 - F.col("r"), 32 + F.col("r")))).withColumn("y", F.explode(F.sequence(32 - F.col("r"), 32 + F.col("r"))))
+    cells = cells.filter((F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 32) * (F.col("y") - 32) <= F.col("r") * F.col("r")).select("episode", "frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    per = M.point_coverage(points.select("episode", "frame", "px.u", "px.v"), cells, ["episode", "frame"], shown)
     return per.rollup("episode").agg(
         F.count("*").alias("n"), F.round(F.min("share"), 6).alias("lowest"), F.round(F.expr("percentile(share, 0.5)"), 6).alias("middle"), F.round(F.max("share"), 6).alias("highest"),
         F.count_if(F.col("share") < 0.4).alias("low"), F.count_if(F.col("share") > 0.2).alias("leaking"),
     )
 
 
-COVERAGE_SQL = f"""WITH {PIXELS}, inside AS (SELECT *, CASE WHEN pow(floor(u) - 640, 2) + pow(floor(v) - 640, 2) <= 160000 THEN 1.0 ELSE 0.0 END AS hit FROM pixels WHERE u >= 0 AND u < 1280 AND v >= 0 AND v < 1280),
-per AS (SELECT CAST(episode AS BIGINT) AS episode, frame, CAST(avg(hit) AS DOUBLE) AS share FROM inside GROUP BY 1, 2)
+COVERAGE_SQL = f"""WITH {POINTS}, px AS (SELECT *, CASE WHEN abs(z) > 1e-6 THEN {SMALL.fx!r} * x / z + {SMALL.cx!r} END AS u, CASE WHEN abs(z) > 1e-6 THEN {SMALL.fy!r} * y / z + {SMALL.cy!r} END AS v FROM points),
+inside AS (
+    SELECT episode, frame, CASE WHEN u >= 0 AND u < {SMALL.width} AND v >= 0 AND v < {SMALL.height} THEN CASE WHEN pow(floor(u) - 32, 2) + pow(floor(v) - 32, 2) <= pow(10 + frame % 15, 2) THEN 1.0 ELSE 0.0 END END AS hit FROM px
+), per AS (SELECT CAST(episode AS BIGINT) AS episode, frame, coalesce(CAST(avg(hit) AS DOUBLE), 0.0) AS share FROM inside GROUP BY 1, 2)
 SELECT episode, count(*) AS n, round(min(share), 6) AS lowest, round(median(share), 6) AS middle, round(max(share), 6) AS highest, count(*) FILTER (share < 0.4) AS low, count(*) FILTER (share > 0.2) AS leaking FROM per GROUP BY ROLLUP (episode)"""
 
 
 def sleeve_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve bins along an axis: the 92nd percentile of the distance across, where at least 24 points are."""
-    rows = frames(spark, sf_dir)
+    """Two kinds of events as the pixels of sleeves: the place in the recording along, half the signal across; two stretches show nothing."""
     last = F.max("frame").over(W.partitionBy("episode"))
-    bins = rows.withColumn("bin", F.least(F.lit(11), F.floor(F.col("frame") * 12 / (last + 1)))).groupBy("event_type", "bin").agg(F.count("*").alias("n"), F.expr("percentile(signal, 0.92)").alias("r"))
-    radius = F.when(F.col("n") >= 24, F.least(F.lit(88.0), F.greatest(F.lit(28.0), F.col("r") / 2 + 3)))
-    w = W.partitionBy("event_type").orderBy("bin")
-    bins = bins.withColumn("radius", radius)
-    smooth = 0.25 * F.coalesce(F.lag("radius").over(w), F.lit(0.0)) + 0.5 * F.col("radius") + 0.25 * F.coalesce(F.lead("radius").over(w), F.lit(0.0))
-    edge = F.col("bin").isin(0, 11)
-    return bins.select("event_type", F.col("bin").cast("long").alias("bin"), F.round(F.when(edge, F.col("radius")).otherwise(smooth), 5).alias("radius"))
-
-
-SLEEVE_SQL = f"""WITH {FRAMES}, placed AS (SELECT *, least(11, CAST(floor(frame * 12 / CAST(max(frame) OVER (PARTITION BY episode) + 1 AS DOUBLE)) AS BIGINT)) AS bin FROM frames),
-bins AS (SELECT event_type, bin, CASE WHEN count(*) >= 24 THEN least(88.0, greatest(28.0, quantile_cont(signal, 0.92) / 2 + 3)) END AS radius FROM placed GROUP BY 1, 2)
-SELECT event_type, bin, round(CASE WHEN bin IN (0, 11) THEN radius ELSE 0.25 * coalesce(lag(radius) OVER w, 0.0) + 0.5 * radius + 0.25 * coalesce(lead(radius) OVER w, 0.0) END, 5) AS radius
-FROM bins WINDOW w AS (PARTITION BY event_type ORDER BY bin)"""
+    kind = F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b").alias("kind")
+    rows = frames(spark, sf_dir).select(kind, (F.col("frame") / (last + 1)).alias("along"), (F.col("signal") / 2).alias("across"))
+    rows = rows.filter(~((F.col("along") >= 0.27) & (F.col("along") < 0.45)) & (F.col("along") < 0.91))
+    out = M.sleeve_profile(rows, ["kind"], "along", "across")
+    return out.select("kind", F.col("bin").cast("long").alias("bin"), F.round("radius", 5).alias("radius"))
+
+
+SLEEVE_SQL = f"""WITH {FRAMES}, placed AS (
+    SELECT CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END AS kind, frame / CAST(max(frame) OVER (PARTITION BY episode) + 1 AS DOUBLE) AS along, signal / 2 AS across FROM frames
+), points AS (SELECT * FROM placed WHERE NOT (along >= 0.27 AND along < 0.45) AND along < 0.91),
+bins AS (SELECT kind, CAST(floor(along * 12) AS BIGINT) AS bin, count(*) AS n, quantile_cont(across, 0.92) AS r FROM points GROUP BY 1, 2), known AS (SELECT * FROM bins WHERE n >= 24),
+every AS (SELECT kind, unnest(range(12)) AS bin FROM (SELECT DISTINCT kind FROM bins)),
+sides AS (SELECT e.kind, e.bin, max(k.bin) FILTER (k.bin <= e.bin) AS b, min(k.bin) FILTER (k.bin >= e.bin) AS a FROM every e JOIN known k ON k.kind = e.kind GROUP BY 1, 2),
+filled AS (
+    SELECT s.kind, s.bin, least(88.0, greatest(28.0, coalesce(x.r + (y.r - x.r) * ((s.bin - b) / nullif(CAST(a - b AS DOUBLE), 0)), x.r, y.r) + 12)) AS w
+    FROM sides s LEFT JOIN known x ON x.kind = s.kind AND x.bin = b LEFT JOIN known y ON y.kind = s.kind AND y.bin = a
+), smooth AS (SELECT kind, bin, 0.25 * coalesce(lag(w) OVER q, 0.0) + 0.5 * w + 0.25 * coalesce(lead(w) OVER q, 0.0) AS s FROM filled WINDOW q AS (PARTITION BY kind ORDER BY bin))
+SELECT kind, bin, round(CASE bin WHEN 0 THEN 0.75 * s + 0.25 * lead(s) OVER q WHEN 11 THEN 0.75 * s + 0.25 * lag(s) OVER q ELSE s END, 5) AS radius FROM smooth WINDOW q AS (PARTITION BY kind ORDER BY bin)"""
 
 
 def compact_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per episode: the smallest mask among those with a margin of 85 % of the best and a usable size, else the one with the best margin."""
     rows = frames(spark, sf_dir).select("episode", "frame", (F.col("signal") / 500).alias("area"), F.get_json_object("props", "$.k").cast("long").alias("margin"))
-    rows = rows.withColumn("best", F.max("margin").over(W.partitionBy("episode")))
-    good = (F.col("margin") >= 0.85 * F.col("best")) & F.col("area").between(0.002, 0.2)
-    out = rows.groupBy("episode").agg(F.min(F.when(good, F.struct("area", "frame"))).alias("a"), F.max(F.struct("margin", (-F.col("frame")).alias("f"))).alias("b"))
-    return out.select("episode", F.coalesce("a.frame", -F.col("b.f")).alias("frame"))
+    return M.compact_reference(rows, ["episode"], "frame", "margin", "area")
 
 
 REFERENCE_SQL = f"""WITH {FRAMES}, rows AS (SELECT episode, frame, signal / 500 AS area, CAST(json_extract(props, '$.k') AS BIGINT) AS margin FROM frames),
@@ -124,10 +136,8 @@ SELECT episode, coalesce(arg_min(frame, row(area, frame)) FILTER (good), arg_max
 
 def colour_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, and 1.4826 times the median deviation but 10 at least, of each kind's signal."""
-    rows = table(spark, sf_dir, "events").select("event_type", "value")
-    middle = rows.groupBy("event_type").agg(F.expr("percentile(value, 0.5)").alias("centre"))
-    spread = rows.join(middle, "event_type").groupBy("event_type", "centre").agg(F.expr("percentile(abs(value - centre), 0.5)").alias("mad"))
-    return spread.select("event_type", F.round("centre", 6).alias("centre"), F.round(F.greatest(F.lit(10.0), 1.4826 * F.col("mad")), 6).alias("scale"))
+    out = M.colour_model(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", 10.0)
+    return out.select("event_type", F.round("centre", 6).alias("centre"), F.round("scale", 6).alias("scale"))
 
 
 COLOUR_SQL = """WITH m AS (SELECT event_type, median(value) AS centre FROM events GROUP BY 1)
@@ -180,8 +190,8 @@ def mask_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("frame", ignore_index=True)
         shapes = [M.capsules(np.array([[np.nan if x["u"] is None else x["u"], np.nan if x["v"] is None else x["v"]] for x in px], float), M.BONES, 2.0, 64, 48) for px in group["px"]]
-        clean = [M.keep_parts(M.closed_opened(m), 8, [(32.0, 24.0)]) for m in shapes]
-        steady = M.stabilised(clean, 3.0)
+        clean = [M.cleaned(m, [(32.0, 24.0)], 8) for m in shapes]
+        steady = M.stabilised_runs(clean, [bool(m.any() and not m.all()) for m in clean], clip=3.0)
         return pd.DataFrame({"episode": group["episode"], "frame": group["frame"], "raw": [int(m.sum()) for m in shapes], "clean": [int(m.sum()) for m in clean], "steady": [int(m.sum()) for m in steady]})
 
     return rows.groupBy("episode").applyInPandas(run, "episode long, frame long, raw long, clean long, steady long")

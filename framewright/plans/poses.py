@@ -96,39 +96,6 @@ SELECT f.frame, round(x, 3) AS base_u, round(y, 3) AS base_v, round(x + du, 3) A
 FROM (SELECT DISTINCT frame FROM points) f LEFT JOIN axes a ON f.frame = a.frame LEFT JOIN counts c ON a.frame = c.frame"""
 
 
-def segment_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segment names parsed, unfolded to sides, without those whose masks are whole."""
-    mode = F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("both")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode"), mode.alias("m"), "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("n"))
-    names = lines.select("episode", F.format_string("%03d_%s_%d_%d", "l_linenumber", "m", F.col("l_partkey"), F.col("l_partkey") + F.col("n")).alias("name")).distinct()
-    part = lambda i: F.regexp_extract("name", r"^(\d+)_(left|right|both)_(\d+)_(\d+)$", i)
-    parsed = names.select("episode", "name", part(2).alias("mode"), part(3).cast("long").alias("start"), part(4).cast("long").alias("stop"))
-    sides = F.when(F.col("mode") == "both", F.array(F.lit("left"), F.lit("right"))).otherwise(F.array("mode"))
-    jobs = parsed.select("episode", "name", "start", "stop", F.explode(sides).alias("side"))
-    finished = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("episode"), F.lit("left").alias("side"))
-    return jobs.join(finished, ["episode", "side"], "left_anti")
-
-
-JOBS_SQL = """WITH names AS (
-    SELECT DISTINCT l_orderkey AS episode, ['left', 'right', 'both'][l_linenumber % 3 + 1] AS mode, l_linenumber AS i, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS stop FROM lineitem
-), jobs AS (SELECT episode, lpad(CAST(i AS VARCHAR), 3, '0') || '_' || mode || '_' || start || '_' || stop AS name, start, stop, unnest(CASE WHEN mode = 'both' THEN ['left', 'right'] ELSE [mode] END) AS side FROM names)
-SELECT episode, side, name, start, stop FROM jobs j WHERE NOT (side = 'left' AND EXISTS (SELECT 1 FROM orders o WHERE o_orderkey = j.episode AND o_orderstatus = 'F'))"""
-
-
-def robot_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each episode's robot areas pass: together 128 once, each needed side 32 once, its arm 16 once."""
-    rows = frames(spark, sf_dir).select("episode", "frame", "signal", F.when(F.col("event_type").isin("click", "view"), "left").otherwise("right").alias("side"), (F.col("event_type") == "error").alias("arm"))
-    sides = rows.groupBy("episode", "side").agg(F.max("signal").alias("area"), F.coalesce(F.max(F.when(F.col("arm"), F.col("signal"))), F.lit(0.0)).alias("arm"))
-    checks = sides.groupBy("episode").agg(F.max("area").alias("area"), F.min(((F.col("area") >= 32) & ((F.col("side") == "left") | (F.col("arm") >= 16))).cast("int")).alias("ok"))
-    return checks.select("episode", F.when(F.col("area") < 128, "too small together").when(F.col("ok") == 0, "a side is missing").otherwise("ok").alias("verdict"))
-
-
-ROBOT_SQL = f"""WITH {FRAMES}, sides AS (
-    SELECT episode, CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS side, max(signal) AS area, coalesce(max(signal) FILTER (event_type = 'error'), 0.0) AS arm FROM frames GROUP BY 1, 2
-)
-SELECT episode, CASE WHEN max(area) < 128 THEN 'too small together' WHEN NOT bool_and(area >= 32 AND (side = 'left' OR arm >= 16)) THEN 'a side is missing' ELSE 'ok' END AS verdict FROM sides GROUP BY 1"""
-
-
 def sequence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-number summaries of every episode, nested by kind, as JSON."""
     per = frames(spark, sf_dir).groupBy("episode", "event_type").agg(F.count("*").alias("n"), F.min("frame").alias("low"), F.expr("percentile(frame, 0.5)").alias("mid"), F.max("frame").alias("high"))
@@ -140,23 +107,10 @@ REPORT_SQL = f"""WITH {FRAMES}, per AS (SELECT episode, event_type, count(*) AS
 SELECT episode, '[' || string_agg('{{"event_type":"' || event_type || '","n":' || n || ',"mid":' || mid || ',"low":' || low || ',"high":' || high || '}}', ',' ORDER BY event_type) || ']' AS report FROM per GROUP BY 1"""
 
 
-def actuator_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each part's name among suppliers' numbers first, else among customers'."""
-    names = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 3).alias("number"))
-    first = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"), F.col("s_nationkey").alias("a"))
-    second = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"), (F.col("c_nationkey") + 100).alias("b"))
-    return names.join(first, "number", "left").join(second, "number", "left").select("p_partkey", F.coalesce("a", "b").cast("long").alias("place"))
-
-
-ACTUATOR_SQL = """SELECT p_partkey, CAST(coalesce(s_nationkey, c_nationkey + 100) AS BIGINT) AS place FROM part LEFT JOIN supplier ON s_suppkey = p_partkey * 3 LEFT JOIN customer ON c_custkey = p_partkey * 3"""
-
 QUERIES = {
     "pose_basis_change": (pose_basis_change, BASIS_SQL),
     "relative_motion": (relative_motion, MOTION_SQL),
     "pose_blend": (pose_blend, ""),
     "arm_prompts": (arm_prompts, ARM_SQL),
-    "segment_jobs": (segment_jobs, JOBS_SQL),
-    "robot_visibility": (robot_visibility, ROBOT_SQL),
     "sequence_report": (sequence_report, REPORT_SQL),
-    "actuator_order": (actuator_order, ACTUATOR_SQL),
 }

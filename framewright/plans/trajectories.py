@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from framewright.operators import geometry as G
 from framewright.operators import intervals as I
 from framewright.operators import smoothing as S
-from framewright.plans.visibility import EP, FRAMES, PIXELS
-from framewright.sources.tables import frames, landmarks, quaternions
+from framewright.plans.visibility import EP, FRAMES
+from framewright.sources.tables import frames, landmarks, quaternions, table
 
 W7 = S.kernel(7)
 
@@ -108,9 +108,18 @@ QUATS = """raw AS (
     SELECT CAST(label AS BIGINT) AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), quats AS (SELECT episode, frame, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS q FROM raw)"""
 DOT = "({a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3] + {a}[4] * {b}[4])"
-CONTINUITY_SQL = f"""WITH {QUATS}, before AS (SELECT *, lag(q) OVER (PARTITION BY episode ORDER BY frame) AS p FROM quats),
-signs AS (SELECT *, CASE WHEN sum(CASE WHEN {DOT.format(a="p", b="q")} < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY frame) % 2 = 1 THEN -1.0 ELSE 1.0 END AS s FROM before)
-SELECT episode, frame, {", ".join(f"round(s * q[{i + 1}], 6) AS q{i}" for i in range(4))} FROM signs"""
+
+
+def continuous_sql(source: str, out: str) -> str:
+    """Signs by the parity of the negative dots since the last dot of zero."""
+    w = "OVER (PARTITION BY episode ORDER BY frame)"
+    return f"""{out}_before AS (SELECT episode, frame, q, lag(q) {w} AS p FROM {source}), {out}_dots AS (SELECT *, coalesce({DOT.format(a="p", b="q")}, 1.0) AS d FROM {out}_before),
+{out}_counts AS (SELECT *, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) {w} AS n FROM {out}_dots), {out}_bases AS (SELECT *, coalesce(max(CASE WHEN d = 0 THEN n END) {w}, 0) AS base FROM {out}_counts),
+{out} AS (SELECT episode, frame, list_transform(q, lambda x: CASE WHEN (n - base) % 2 = 1 THEN -x ELSE x END) AS q FROM {out}_bases)"""
+
+
+Q4 = ", ".join(f"round(q[{i + 1}], 6) AS q{i}" for i in range(4))
+CONTINUITY_SQL = f"WITH {QUATS}, {continuous_sql('quats', 'steady')} SELECT episode, frame, {Q4} FROM steady"
 
 
 def quaternion_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +134,9 @@ MEDOID_SQL = f"""WITH {QUATS}, near AS (SELECT a.episode, a.frame, a.q AS centre
 costs AS (SELECT x.episode, x.frame, x.i, x.q, x.centre, sum({ANGLE.format(a="x.q", b="y.q")}) AS cost FROM near x JOIN near y ON x.episode = y.episode AND x.frame = y.frame GROUP BY ALL),
 medoids AS (SELECT episode, frame, centre, arg_min(q, row(cost, i)) AS m FROM costs GROUP BY ALL),
 angles AS (SELECT d.episode, d.frame, d.centre, d.m, list({ANGLE.format(a="n.q", b="d.m")}) AS a FROM medoids d JOIN near n ON d.episode = n.episode AND d.frame = n.frame GROUP BY ALL),
-spread AS (SELECT *, list_aggregate(a, 'median') AS med FROM angles)
-SELECT episode, frame, {", ".join(f"round(CASE WHEN {ANGLE.format(a='centre', b='m')} > greatest({math.radians(20)!r}, med + 1.4826 * list_aggregate(list_transform(a, lambda x: abs(x - med)), 'median')) THEN m[{i + 1}] ELSE centre[{i + 1}] END, 6) AS q{i}" for i in range(4))} FROM spread"""
+spread AS (SELECT *, list_aggregate(a, 'median') AS med FROM angles),
+kept AS (SELECT episode, frame, CASE WHEN {ANGLE.format(a='centre', b='m')} > greatest({math.radians(20)!r}, med + 1.4826 * list_aggregate(list_transform(a, lambda x: abs(x - med)), 'median')) THEN m ELSE centre END AS q FROM spread),
+{continuous_sql('kept', 'steady')} SELECT episode, frame, {Q4} FROM steady"""
 
 
 def quaternion_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +151,8 @@ def _mean_sql() -> str:
     held = f"near AS (SELECT episode, frame, q, {', '.join(f'{at(k)} AS n{k + 2}' for k in range(-2, 3))} FROM quats WINDOW w AS (PARTITION BY episode ORDER BY frame))"
     part = lambda i: " + ".join(f"coalesce(CASE WHEN {DOT.format(a=f'n{j}', b='q')} < 0 THEN -1.0 ELSE 1.0 END * n{j}[{i}] * {k5[j]!r}, 0.0)" for j in range(5))
     total = f"total AS (SELECT episode, frame, [{', '.join(part(i) for i in range(1, 5))}] AS t FROM near)"
-    return f"WITH {QUATS}, {held}, {total} SELECT episode, frame, {', '.join(f'round(t[{i + 1}] / sqrt({DOT.format(a="t", b="t")}), 6) AS q{i}' for i in range(4))} FROM total"
+    unit = f"units AS (SELECT episode, frame, list_transform(t, lambda x: x / sqrt({DOT.format(a='t', b='t')})) AS q FROM total)"
+    return f"WITH {QUATS}, {held}, {total}, {unit}, {continuous_sql('units', 'steady')} SELECT episode, frame, {Q4} FROM steady"
 
 
 def slerp_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,16 +224,15 @@ SELECT episode, frame, area FROM areas WHERE was IS NOT NULL AND greatest(area,
 
 def subframe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five times inside each frame's shutter (half a frame), and the signal there."""
-    rows = frames(spark, sf_dir)
-    last = F.max("frame").over(W.partitionBy("episode"))
+    w = W.partitionBy("episode").orderBy("frame")
+    near = F.transform(F.array(F.lag("signal").over(w), F.col("signal"), F.lead("signal").over(w)), lambda x: F.coalesce(x, F.col("signal")))
+    rows = frames(spark, sf_dir).withColumn("near", near).withColumn("last", F.max("frame").over(W.partitionBy("episode")))
     times = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (k - 2) * 0.125)
+    due = rows.select("episode", "frame", "last", "near", F.posexplode(times).alias("sample", "shift"))
     at = F.least(F.col("last").cast("double"), F.greatest(F.lit(0.0), F.col("frame") + F.col("shift")))
-    due = rows.withColumn("last", last).select("episode", "frame", "last", F.posexplode(times).alias("sample", "shift")).withColumn("at", at)
-    due = due.withColumn("low", F.floor("at")).withColumn("high", F.least("last", F.floor("at") + 1))
-    value = rows.select("episode", F.col("frame").alias("low"), F.col("signal").alias("a"))
-    after = rows.select("episode", F.col("frame").alias("high"), F.col("signal").alias("b"))
-    joined = due.join(value, ["episode", "low"]).join(after, ["episode", "high"])
-    return joined.select("episode", "frame", F.col("sample").cast("long").alias("sample"), F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("low")), 6).alias("value"))
+    due = due.withColumn("at", at).withColumn("low", (F.floor("at") - F.col("frame") + 1).cast("int"))
+    a, b = F.col("near")[F.col("low")], F.col("near")[F.least(F.col("low") + 1, F.lit(2))]
+    return due.select("episode", "frame", F.col("sample").cast("long").alias("sample"), F.round(a + (b - a) * (F.col("at") - F.floor("at")), 6).alias("value"))
 
 
 SUBFRAME_SQL = f"""WITH {FRAMES}, lasts AS (SELECT *, max(frame) OVER (PARTITION BY episode) AS last FROM frames),
@@ -234,18 +244,70 @@ ANCHORS = (0, 5, 9, 13, 17, 1)
 
 
 def alignment_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixel shift of each frame against the episode's mean place: median of six anchors, then a median of 7 frames."""
+    """Both sides of a recording (the right one is the mirrored left) drawn to detections (events of the frame's number): offsets in pixels and the shift that both share, in metres."""
     from framewright.plans.visibility import CAMERA
 
-    points = landmarks(spark, sf_dir).select("episode", "frame", F.posexplode("points").alias("landmark", "p")).filter(F.col("landmark").isin(*ANCHORS))
-    pixel = points.withColumn("px", G.project(F.col("p"), CAMERA)).filter(F.col("p")[2] > 0.05)
-    per = pixel.groupBy("episode", "frame").agg(F.expr("percentile(px.u, 0.5)").alias("u"), F.expr("percentile(px.v, 0.5)").alias("v"))
-    near = W.partitionBy("episode").orderBy("frame").rowsBetween(-3, 3)
-    return per.select("episode", "frame", F.round(F.expr("percentile(u, 0.5)").over(near), 4).alias("u"), F.round(F.expr("percentile(v, 0.5)").over(near), 4).alias("v"))
-
-
-ALIGNMENT_SQL = f"""WITH {PIXELS}, per AS (SELECT CAST(episode AS BIGINT) AS episode, frame, median(u) AS u, median(v) AS v FROM pixels WHERE landmark IN {ANCHORS} AND z > 0.05 GROUP BY 1, 2)
-SELECT episode, frame, round(median(u) OVER w, 4) AS u, round(median(v) OVER w, 4) AS v FROM per WINDOW w AS (PARTITION BY episode ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+    seen = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame"), (640 + F.col("value")).alias("x"), (360 + F.col("value") / 2).alias("y"), (F.col("value") / 100).alias("confidence"))
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.lit(1.0).alias("sign")), F.struct(F.lit("right").alias("side"), F.lit(-1.0).alias("sign")))).alias("s")
+    points = landmarks(spark, sf_dir).select("episode", "frame", sides, F.posexplode("points").alias("landmark", "p")).filter(F.col("landmark").isin(*ANCHORS))
+    moved = points.select("episode", "frame", "s.side", F.array(F.col("s.sign") * F.col("p")[0], F.col("p")[1], F.col("p")[2]).alias("p")).withColumn("px", G.project(F.col("p"), CAMERA))
+    per = moved.join(seen, "frame").groupBy("episode", "frame", "side", "confidence").agg(
+        F.expr("percentile(x - px.u, 0.5)").alias("du"), F.expr("percentile(y - px.v, 0.5)").alias("dv"), F.expr("percentile(p[2], 0.5)").alias("depth")
+    )
+    out = S.align_to_detections(per, EP, "frame", ["du", "dv"], "depth", [CAMERA.fx, CAMERA.fy], 7, 2.0, "side", "confidence")
+    return out.select("episode", "frame", "side", F.round("du", 4).alias("du"), F.round("dv", 4).alias("dv"), *[F.round(F.col("shift")[i], 5).alias(f"t{i}") for i in range(2)])
+
+
+def held_sql(value: str, half: int, source: str, out: str, keys: str, made: str) -> str:
+    """A table with `value` replaced by an expression over w, its window with held ends."""
+    return f"""{out}_near AS (
+    SELECT *, list({value}) OVER (PARTITION BY {keys} ORDER BY frame ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS near,
+        least({half}, row_number() OVER (PARTITION BY {keys} ORDER BY frame) - 1) AS before, least({half}, count(*) OVER (PARTITION BY {keys}) - row_number() OVER (PARTITION BY {keys} ORDER BY frame)) AS after FROM {source}
+), {out}_held AS (
+    SELECT *, list_concat(list_transform(range({half} - before), lambda i: near[1]), near, list_transform(range({half} - after), lambda i: near[-1])) AS w FROM {out}_near
+), {out} AS (SELECT * EXCLUDE (near, before, after, w) REPLACE ({made} AS {value}) FROM {out}_held)"""
+
+
+_blur = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-8, 9)]
+BLUR = f"list_sum(list_transform(range(1, 18), lambda i: w[i] * {[x / sum(_blur) for x in _blur]!r}[i]))"
+
+
+def _alignment_sql() -> str:
+    from framewright.plans.visibility import CAMERA, POINTS
+
+    steps, source = [], "per"
+    for name in ("du", "dv"):
+        for half, made, tag in ((3, "list_sort(w)[4]", "m"), (8, BLUR, "g")):
+            steps.append(held_sql(name, half, source, f"{name}_{tag}", "episode, side", made))
+            source = f"{name}_{tag}"
+    shared = f"""weights AS (SELECT *, CASE WHEN max(CASE WHEN confidence >= 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY episode, frame) = 1 THEN CASE WHEN confidence >= 0.9 THEN 1.0 ELSE 0.0 END ELSE confidence END AS p FROM {source}),
+shared AS (SELECT *, sum(du * depth / {CAMERA.fx} * p) OVER f / greatest(sum(p) OVER f, 1e-6) AS t0, sum(dv * depth / {CAMERA.fy} * p) OVER f / greatest(sum(p) OVER f, 1e-6) AS t1 FROM weights WINDOW f AS (PARTITION BY episode, frame))"""
+    return f"""WITH {POINTS}, sided AS (SELECT CAST(episode AS BIGINT) AS episode, frame, side, CASE WHEN side = 'left' THEN x ELSE -x END AS x, y, z FROM points, (SELECT unnest(['left', 'right']) AS side) WHERE landmark IN {ANCHORS}),
+placed AS (
+    SELECT s.*, value / 100 AS confidence, 640 + value - CASE WHEN abs(z) > 1e-6 THEN {CAMERA.fx} * x / z + {CAMERA.cx} END AS gu, 360 + value / 2 - CASE WHEN abs(z) > 1e-6 THEN {CAMERA.fy} * y / z + {CAMERA.cy} END AS gv
+    FROM sided s JOIN events ON event_id = frame
+), per AS (SELECT episode, frame, side, confidence, median(gu) AS du, median(gv) AS dv, median(z) AS depth FROM placed GROUP BY 1, 2, 3, 4),
+{", ".join(steps)}, {shared}, {held_sql("t0", 8, "shared", "s0", "episode, side", BLUR)}, {held_sql("t1", 8, "s0", "s1", "episode, side", BLUR)}
+SELECT episode, frame, side, round(du, 4) AS du, round(dv, 4) AS dv, round(t0, 5) AS t0, round(t1, 5) AS t1 FROM s1"""
+
+
+def smooth_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty numbers of each vector as a hand's joints: the first six are its root and stay."""
+    values = F.posexplode(F.slice("embedding", 1, 30)).alias("joint", "q")
+    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("episode"), place.cast("long").alias("frame"), "embedding").select("episode", "frame", values)
+    rows = rows.withColumn("q", F.col("q").cast("double")).withColumn("low", F.lit(-0.2)).withColumn("high", F.lit(0.2))
+    out = S.smooth_joints(rows, ["episode", "joint"], "frame", "q", "low", "high", 30.0, fixed=F.col("joint") < 6)
+    return out.select("episode", F.col("joint").cast("long").alias("joint"), "frame", F.round("smoothed", 6).alias("smoothed"))
+
+
+def smooth_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four numbers of each vector as a rotation, the next three as a place."""
+    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("episode"), place.cast("long").alias("frame"), F.slice(wide, 1, 4).alias("q"), F.slice(wide, 5, 3).alias("p"))
+    out = S.smooth_poses(rows, EP, "frame", "p", "q", 30.0)
+    return out.select("episode", "frame", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)], *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(4)])
 
 
 def continuity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,6 +336,8 @@ QUERIES = {
     "step_norms": (step_norms, STEP_SQL),
     "area_jumps": (area_jumps, JUMPS_SQL),
     "subframe_samples": (subframe_samples, SUBFRAME_SQL),
-    "alignment_shift": (alignment_shift, ALIGNMENT_SQL),
+    "alignment_shift": (alignment_shift, _alignment_sql()),
+    "smooth_joints": (smooth_joints, ""),
+    "smooth_poses": (smooth_poses, ""),
     "continuity_tail": (continuity_tail, TAIL_SQL),
 }

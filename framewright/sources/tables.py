@@ -55,9 +55,12 @@ def read_pose_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, keys: list[str], order: str, start: int, stop: int) -> DataFrame:
-    """Rows whose position (not value) in the order lies in [start, stop)."""
+    """Rows whose position (not value) in the order lies in [start, stop); a recording without such rows raises."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("_place", place).filter((F.col("_place") >= start) & (F.col("_place") < stop)).drop("_place")
+    n = F.count("*").over(W.partitionBy(*keys))
+    inside = (F.col("_place") >= start) & (F.col("_place") < stop)
+    kept = F.when(F.col("_rows") <= start, F.raise_error(F.lit("the slice is empty")).cast("boolean")).otherwise(inside)
+    return df.withColumn("_place", place).withColumn("_rows", n).filter(kept).drop("_place", "_rows")
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +68,14 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """(frame, content, length, path, modificationTime) of numbered images."""
+    """(frame, content, length, path, modificationTime) of numbered images; one that is no whole PNG or JPEG raises."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", r"(\d+)\.[A-Za-z]+$", 1).cast("long").alias("frame"), "content", "length", "path", "modificationTime")
+    head = lambda n: F.hex(F.substring("content", 1, n))
+    tail = lambda n: F.hex(F.substring("content", -n, n))
+    png = (head(8) == "89504E470D0A1A0A") & (F.substring(tail(8), 1, 8) == "49454E44")
+    jpeg = (head(3) == "FFD8FF") & (tail(2) == "FFD9")
+    content = F.when(png | jpeg, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.col("path"))).cast("binary"))
+    return files.select(F.regexp_extract("path", r"(\d+)\.[A-Za-z]+$", 1).cast("long").alias("frame"), content.alias("content"), "length", "path", "modificationTime")
 
 
 def count_rows(spark: SparkSession, path: str) -> int:

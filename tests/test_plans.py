@@ -3,7 +3,7 @@
 import math
 import random
 
-from framewright.plans import batch, masks
+from framewright.plans import masks
 
 W, H = 64, 48
 FIVE = [(0, -2), (0, 2)] + [(x, y) for x in range(-2, 3) for y in (-1, 0, 1)]
@@ -11,13 +11,6 @@ CROSS = [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)]
 ALL = [(x, y) for x in range(W) for y in range(H)]
 
 
-def test_hash_cache_misses_by_whole_url(spark, tmp_path):
-    rows = [(1, "http://a.x/one", "abc"), (2, "http://a.x/two", "xyz"), (3, "http://a.x/one", "abd"), (4, "http://a.x/one", "abcd"), (5, "http://b.x/one", "abc"), (6, None, "ab")]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["host"]: (r["misses"], r["size"]) for r in batch.hash_cache_misses(spark, str(tmp_path)).collect()}
-    assert got == {"a.x": (3, 10), "b.x": (1, 3), None: (1, 2)}
-
-
 def dilated(cells, kernel):
     return {(x + a, y + b) for x, y in cells for a, b in kernel if 0 <= x + a < W and 0 <= y + b < H}
 
