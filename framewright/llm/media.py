@@ -1,9 +1,17 @@
 """Media columns: signature sniffing, validation, type correction and carving.
 
-An Aho-Corasick automaton locates magic bytes anywhere in a stored value, a
-validator per format confirms structure and lengths, the declared type is
-corrected to what the first bytes prove, and confirmed media inside a value are
-carved out as spans.
+An Aho-Corasick automaton locates magic bytes and end marks anywhere in a stored
+value in one pass, a validator per format confirms structure and lengths, the
+declared type is corrected to what the first bytes prove, and confirmed media
+inside a value are carved out as spans. End marks are looked up, not searched, so
+many openings without an end cost no more than their number.
+
+Lengths are confirmed by: RIFF chunks; PNG chunks with their checksums; JPEG
+segments up to the first end mark after the scan begins; GIF blocks; the last
+end mark of a PDF, before the next one begins, whose cross reference is where it
+says; the ZIP end record whose directory begins where it says and leads back to
+this start; gzip's own stream; FLAC blocks and frames with both their checksums up to the
+stated number of samples; Ogg pages with their checksums; MP4 boxes.
 
 Defined results: a null value counts as empty; an empty value has no type
 (`empty`); a magic whose structure does not hold is ignored; overlapping
@@ -13,8 +21,10 @@ give equal results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
+import re
 import struct
 import zlib
 
@@ -42,15 +52,47 @@ MAGICS = {
 }
 
 
+#: Marks at or near the end of a file.
+END_MARKS = {b"%%EOF": "pdf", b"PK\x05\x06": "zip", b"\xff\xd9": "jpeg"}
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for magic, (kind, place) in MAGICS.items():
-        found.add_word(magic.decode("latin-1"), (kind, len(magic) + place))
+        found.add_word(magic.decode("latin-1"), (kind, len(magic) + place, True))
+    for mark, kind in END_MARKS.items():
+        found.add_word(mark.decode("latin-1"), (kind, len(mark), False))
     found.make_automaton()
     return found
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+class Marks:
+    """Where media may begin and end in a value."""
+
+    def __init__(self, value: bytes, found: ahocorasick.Automaton):
+        self.openings: list[tuple[str, int]] = []
+        self.ends: dict[str, list[int]] = {kind: [] for kind in END_MARKS.values()}
+        for last, (kind, back, opens) in found.iter(value.decode("latin-1")):
+            at = last + 1 - back
+            if not opens:
+                self.ends[kind].append(at)
+            elif at >= 0:
+                self.openings.append((kind, at))
+        self.pdfs = [at for kind, at in self.openings if kind == "pdf"]
+        #: start of an archive that an end record leads back to -> the last such record
+        self.archives: dict[int, int] = {}
+        for end in self.ends["zip"]:
+            if end + 22 <= len(value):
+                size, start = struct.unpack_from("<II", value, end + 12)
+                self.archives[end - size - start] = end
+
+    def after(self, kind: str, place: int) -> int | None:
+        """The first end mark at or after a place."""
+        k = bisect.bisect_left(self.ends[kind], place)
+        return self.ends[kind][k] if k < len(self.ends[kind]) else None
+
+
+def _riff(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -69,7 +111,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return {b"WAVE": "wav", b"AVI ": "avi", b"WEBP": "webp"}[form], min(end, len(b)) - at
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     place = at + 8
     while place + 12 <= len(b):
         length, name = struct.unpack_from(">I4s", b, place)
@@ -83,7 +125,7 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     place = at + 2
     while place + 4 <= len(b) and b[place] == 0xFF:
         marker, length = b[place + 1], struct.unpack_from(">H", b, place + 2)[0]
@@ -91,12 +133,12 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
             return None
         place += 2 + length
         if marker == 0xDA:
-            end = b.find(b"\xff\xd9", place)
-            return ("jpeg", end + 2 - at) if end >= 0 else None
+            end = marks.after("jpeg", place)
+            return ("jpeg", end + 2 - at) if end is not None else None
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 13 > len(b) or 0 in struct.unpack_from("<HH", b, at + 6):
         return None
     flags = b[at + 10]
@@ -118,24 +160,35 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+_startxref = re.compile(rb"startxref[\x00\t\n\x0c\r ]+(\d{1,12})[\x00\t\n\x0c\r ]+\Z")
+_reference = re.compile(rb"\s*(xref\b|\d+\s+\d+\s+obj\b)")
+
+
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 8 > len(b) or not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    end = b.find(b"%%EOF", at)
-    return ("pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    k = bisect.bisect_right(marks.pdfs, at)
+    limit = marks.pdfs[k] if k < len(marks.pdfs) else len(b)
+    first, last = (bisect.bisect_left(marks.ends["pdf"], x) for x in (at, limit))
+    for end in reversed(marks.ends["pdf"][max(first, last - 8) : last]):  # the last mark, or one before it whose reference holds
+        said = _startxref.search(b, max(at, end - 64), end)
+        if said and (place := at + int(said[1])) < end and _reference.match(b, place, end):
+            return "pdf", end + 5 - at
+    return None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    if at + 30 > len(b):
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    end = marks.archives.get(at)
+    if end is None or at + 30 > len(b):
         return None
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+    start = at + struct.unpack_from("<I", b, end + 16)[0]
+    if start != end and b[start : start + 4] != b"PK\x01\x02":
         return None
-    size, start = struct.unpack_from("<II", b, end + 12)
-    return ("zip", end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at) if at + start + size == end else None
+    stop = end + 22 + struct.unpack_from("<H", b, end + 20)[0]
+    return ("zip", stop - at) if stop <= len(b) else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     worker = zlib.decompressobj(31)
@@ -153,25 +206,92 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return "gzip", len(b) - at - len(worker.unused_data) - len(rest.read())
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    ok = at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22"
-    return ("flac", len(b) - at) if ok else None
+def crc_table(polynomial: int, bits: int) -> list[int]:
+    """Checksums of single bytes, highest bit first."""
+    top, mask, table = 1 << (bits - 1), (1 << bits) - 1, []
+    for byte in range(256):
+        c = byte << (bits - 8)
+        for _ in range(8):
+            c = ((c << 1) ^ polynomial if c & top else c << 1) & mask
+        table.append(c)
+    return table
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
+CRC8, CRC16, CRC32 = crc_table(0x07, 8), crc_table(0x8005, 16), crc_table(0x04C11DB7, 32)
+
+
+def _frame(b: bytes, at: int) -> tuple[int, int] | None:
+    """(samples, length of the header) of a FLAC frame whose header's checksum holds."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 2] >> 4 == 0 or b[at + 2] & 15 == 15 or b[at + 3] >> 4 > 10 or b[at + 3] & 1:
+        return None
+    size, rate, lead = b[at + 2] >> 4, b[at + 2] & 15, b[at + 4]
+    coded = 1 if lead < 0x80 else 8 - (~lead & 0xFF).bit_length()  # of the frame's number, as in UTF-8
+    if not 1 <= coded <= 7:
+        return None
+    place = at + 4 + coded
+    if size == 1:
+        samples = 192
+    elif size <= 5:
+        samples = 576 << (size - 2)
+    elif size in (6, 7):
+        samples = int.from_bytes(b[place : place + size - 5], "big") + 1
+        place += size - 5
+    else:
+        samples = 256 << (size - 8)
+    place += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    c = 0
+    for byte in b[at:place]:
+        c = CRC8[c ^ byte]
+    return (samples, place + 1 - at) if place < len(b) and c == b[place] else None
+
+
+def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
+    place, total, last = at + 4, None, False
+    while not last:
+        if place + 4 > len(b):
+            return None
+        last, kind, length = bool(b[place] & 0x80), b[place] & 0x7F, int.from_bytes(b[place + 1 : place + 4], "big")
+        if kind == 127 or place + 4 + length > len(b) or (total is None) != (kind == 0) or (kind == 0 and length != 34):
+            return None
+        if kind == 0:
+            total = int.from_bytes(b[place + 17 : place + 22], "big") & (2**36 - 1)
+        place += 4 + length
+    done = 0
+    while done < total or not total:  # 0: the number of samples is not stated
+        head = _frame(b, place)
+        if not head:
+            break
+        c, end = 0, place
+        for byte in memoryview(b)[place:]:  # to where the checksum of all, itself included, is none and another frame or the end follows
+            c = ((c << 8) & 0xFFFF) ^ CRC16[(c >> 8) ^ byte]
+            end += 1
+            if not c and end >= place + head[1] + 3 and (done + head[0] >= (total or 1) or _frame(b, end)):
+                break
+        else:
+            break
+        done, place = done + head[0], end
+    return ("flac", place - at) if done and done >= total else None
+
+
+def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     place = at
-    while place + 27 <= len(b) and b[place : place + 5] == b"OggS\x00":
+    while place + 27 <= len(b) and b[place : place + 5] == b"OggS\x00" and b[place + 5] < 8:
         n = b[place + 26]
         if place + 27 + n > len(b):
             break
         end = place + 27 + n + sum(b[place + 27 : place + 27 + n])
         if end > len(b):
             break
+        c = 0
+        for byte in b[place : place + 22] + bytes(4) + b[place + 26 : end]:
+            c = ((c << 8) & 0xFFFFFFFF) ^ CRC32[(c >> 24) ^ byte]
+        if c != struct.unpack_from("<I", b, place + 22)[0]:
+            break
         place = end
     return ("ogg", place - at) if place > at else None
 
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
+def _mp4(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     place, boxes = at, 0
     while place + 8 <= len(b):
         size, name = struct.unpack_from(">I4s", b, place)
@@ -186,11 +306,13 @@ VALIDATORS = {"riff": _riff, "png": _png, "jpeg": _jpeg, "gif": _gif, "pdf": _pd
 
 def sniff(value: bytes, found: ahocorasick.Automaton | None = None) -> list[tuple[int, int, str]]:
     """Confirmed media of a value: (start, length, kind), by start and length."""
-    spans = []
-    for end, (kind, back) in (found or automaton()).iter(value.decode("latin-1")):
-        at = end + 1 - back
-        if at >= 0 and (ok := VALIDATORS[kind](value, at)):
+    marks, spans, ogg = Marks(value, found or automaton()), [], 0
+    for kind, at in marks.openings:
+        if kind == "ogg" and at < ogg:
+            continue  # a page of the stream before it
+        if ok := VALIDATORS[kind](value, at, marks):
             spans.append((at, ok[1], ok[0]))
+            ogg = at + ok[1] if kind == "ogg" else ogg
     return sorted(spans)
 
 

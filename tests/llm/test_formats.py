@@ -123,17 +123,52 @@ def archive():
     return out.getvalue()
 
 
+def crc(data, polynomial, bits):
+    value, top = 0, 1 << (bits - 1)
+    for byte in data:
+        for k in range(7, -1, -1):
+            value = ((value << 1) ^ (polynomial if bool(value & top) != bool(byte >> k & 1) else 0)) & ((1 << bits) - 1)
+    return value
+
+
+def flac(frames=2, total=None):
+    """Frames of 192 constant samples."""
+    info = struct.pack(">HH", 192, 192) + bytes(6) + ((8000 << 44) | (0 << 41) | (7 << 36) | (192 * frames if total is None else total)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\x00\x00\x22" + info
+    for i in range(frames):
+        frame = b"\xff\xf8\x10\x02" + bytes([i])
+        frame += bytes([crc(frame, 0x07, 8)]) + b"\x00\x55"  # a constant subframe
+        out += frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def ogg(pages=2):
+    out = b""
+    for i in range(pages):
+        head, body = b"OggS\x00" + bytes([0]) + bytes(8) + struct.pack("<II", 1, i), b"\x01\x03ab" + bytes([i])
+        out += head + struct.pack("<I", crc(head + bytes(4) + body, 0x04C11DB7, 32)) + body
+    return out
+
+
+def pdf(updates=1):
+    out = b"%PDF-1.4\n1 0 obj\nendobj\n"
+    for _ in range(updates):
+        place = len(out)
+        out += b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF\n" % place
+    return out[:-1]
+
+
 SAMPLES = {
     "png": png(),
     "gif": b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;",
     "wav": media.store(b"\x80" * 64),
     "gzip": gzip.compress(b"text" * 10),
     "zip": archive(),
-    "pdf": b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF",
+    "pdf": pdf(3),
     "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02body\xff\xd9",
     "mp4": struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8, b"mdat"),
-    "ogg": b"OggS\x00" + bytes(21) + b"\x01\x03abc",
-    "flac": b"fLaC\x00\x00\x00\x22" + bytes(34),
+    "ogg": ogg(),
+    "flac": flac(),
 }
 
 
@@ -143,7 +178,54 @@ def test_sniff_confirms_and_carves(kind):
     assert (0, len(value), kind) in media.sniff(value)
     inside = b"prefix " + value
     assert any(at == 7 and k == kind for at, _, k in media.sniff(inside))
-    assert not any(at == 0 for at, *_ in media.sniff(value[: len(value) // 2])) or kind in ("ogg",)
+    assert not any(at == 0 for at, *_ in media.sniff(value[: len(value) // 2])) or kind in ("ogg", "pdf")  # whole pages, and a state before the last update, stand
+
+
+def test_lengths_are_confirmed():
+    info = flac()[:42]
+    assert not media.sniff(info + b" and prose that no frame begins with " * 9) and not media.sniff(info[:18] + bytes(24))
+    assert media.sniff(flac(3) + b"tail") == [(0, len(flac(3)), "flac")] and not media.sniff(flac(3, 192 * 4))
+    assert media.sniff(flac(2, 0) + b"tail") == [(0, len(flac(2)), "flac")]  # samples not stated
+    broken = bytearray(ogg(2))
+    broken[-1] ^= 1
+    assert media.sniff(bytes(broken)) == [(0, len(ogg(1)), "ogg")]
+    two = pdf(1) + b"\n junk %%EOF " + pdf(2)
+    assert media.sniff(two) == [(0, len(pdf(1)), "pdf"), (len(two) - len(pdf(2)), len(pdf(2)), "pdf")]
+    assert not media.sniff(b"%PDF-1.4\nstartxref\n99999\n%%EOF") and not media.sniff(b"%PDF-1.4\nno reference\n%%EOF")
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("in.zip", archive())
+        z.writestr("b.txt", "b")
+    spans = media.sniff(b"x" + outer.getvalue())
+    assert (1, len(outer.getvalue()), "zip") in spans and any(n == len(archive()) for _, n, k in spans if k == "zip")
+
+
+def test_openings_without_an_end_cost_no_search():
+    import time
+
+    began = time.monotonic()
+    for piece in (b"%PDF-1.4 ", b"PK\x03\x04" + bytes(30), b"\xff\xd8\xff\xda\x00\x02", b"OggS\x00", b"fLaC\x00\x00\x00\x22", b"GIF89a"):
+        media.sniff(piece * 20_000)
+    assert time.monotonic() - began < 6
+
+
+def test_stored_form_equals_an_independent_writer():
+    import wave
+
+    for text in (b"", b"abc", b"\x00\xff" * 200):
+        samples = media.payload(text)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(media.RATE)
+            w.writeframes(samples)
+        row = media.round_trip(text, media.automaton())
+        assert (row[4], row[5]) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        said = dict(x.split("=") for x in row[6].split(";"))
+        loud = [x - 128 for x in samples]
+        assert int(said["energy"]) == sum(x * x for x in loud) // len(loud) and int(said["peak"]) == max(map(abs, loud))
+        assert int(said["crossings"]) == sum((a >= 0) != (b >= 0) for a, b in zip(loud, loud[1:])) and said["carved"] == "none"
 
 
 def test_types_are_corrected(spark):
