@@ -68,24 +68,24 @@ def assign_lanes(jobs: DataFrame, group: list[str], cost: str, order: list[Colum
     """
     place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     whole = F.struct(*[F.col(c) for c in jobs.columns])
-    placed = jobs.select(*group, place.alias("_place"), F.col(cost).cast("long").alias("_cost"), whole.alias("_job"))
-    held = placed.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_place", "_cost", "_job"))).alias("_jobs"))
+    placed = jobs.select(*group, place.alias("__fw_place"), F.col(cost).cast("long").alias("__fw_cost"), whole.alias("__fw_job"))
+    held = placed.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("__fw_place", "__fw_cost", "__fw_job"))).alias("__fw_jobs"))
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), lanes).alias("loads"), F.array().cast("array<int>").alias("lanes"))
 
     def step(acc: Column, job: Column) -> Column:
         lane = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lane - 1, x + job["_cost"]).otherwise(x))
+        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lane - 1, x + job["__fw_cost"]).otherwise(x))
         return F.struct(loads.alias("loads"), F.array_append(acc["lanes"], lane - 1).alias("lanes"))
 
-    folded = held.withColumn("_lanes", F.aggregate("_jobs", start, step)["lanes"])
-    each = folded.select(F.explode(F.arrays_zip(F.col("_jobs").alias("job"), F.col("_lanes").alias("lane"))).alias("_x"))
-    return each.select("_x.job._job.*", "_x.lane")
+    folded = held.withColumn("__fw_lanes", F.aggregate("__fw_jobs", start, step)["lanes"])
+    each = folded.select(F.explode(F.arrays_zip(F.col("__fw_jobs").alias("job"), F.col("__fw_lanes").alias("lane"))).alias("__fw_x"))
+    return each.select("__fw_x.job.__fw_job.*", "__fw_x.lane")
 
 
 def changed_entries(rows: DataFrame, keys: list[str], stored: str, current: str) -> DataFrame:
     """(keys, name, stored, current) of entries of the current map that differ from the stored map of the same row (null-safe): no join."""
-    one = rows.select(*keys, F.col(stored).alias("_stored"), F.explode(current).alias("name", "current"))
-    was = F.when(F.map_contains_key("_stored", F.col("name")), F.col("_stored")[F.col("name")])
+    one = rows.select(*keys, F.col(stored).alias("__fw_stored"), F.explode(current).alias("name", "current"))
+    was = F.when(F.map_contains_key("__fw_stored", F.col("name")), F.col("__fw_stored")[F.col("name")])
     return one.withColumn("stored", was).filter(~F.col("stored").eqNullSafe(F.col("current"))).select(*keys, "name", "stored", "current")
 
 

@@ -2,7 +2,8 @@
 
 All windows of one chain share a partitioning and an order, so Spark shuffles
 and sorts an episode once (a second sort, no shuffle, serves look-ahead).
-Intervals are half-open.
+Intervals are half-open. A null flag counts as false, a null state is a state of its own; rows
+with a null key are a recording, a null frame comes first. Column names that begin with `__fw_` are the engine's own.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ def bridge_gaps(df: DataFrame, keys: list[str], order: str, flag: str | list[str
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     seen = lambda f: F.when(F.col(f), F.col(order))
-    rows = df.withColumns({f"_before_{f}": F.last(seen(f), True).over(before) for f in flags})
-    rows = rows.withColumns({f"_after_{f}": F.last(seen(f), True).over(after) for f in flags})
-    filled = {names[f]: F.coalesce(F.col(f), F.lit(False)) | F.coalesce(F.col(f"_after_{f}") - F.col(f"_before_{f}") - 1 <= gap, F.lit(False)) for f in flags}
-    return rows.withColumns(filled).drop(*(f"_{side}_{f}" for side in ("before", "after") for f in flags))
+    rows = df.withColumns({f"__fw_before_{f}": F.last(seen(f), True).over(before) for f in flags})
+    rows = rows.withColumns({f"__fw_after_{f}": F.last(seen(f), True).over(after) for f in flags})
+    filled = {names[f]: F.coalesce(F.col(f), F.lit(False)) | F.coalesce(F.col(f"__fw_after_{f}") - F.col(f"__fw_before_{f}") - 1 <= gap, F.lit(False)) for f in flags}
+    return rows.withColumns(filled).drop(*(f"__fw_{side}_{f}" for side in ("before", "after") for f in flags))
 
 
 def pad_intervals(df: DataFrame, keys: list[str], order: str, flag: str | list[str], entry: int, exit: int, out: str | None = None) -> DataFrame:
@@ -42,8 +43,8 @@ def runs(df: DataFrame, keys: list[str], order: str, state: str) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(order)
     changed = F.coalesce((~F.col(state).eqNullSafe(F.lag(state).over(w))).cast("int"), F.lit(1))
     first = F.when(F.row_number().over(w) == 1, 1).otherwise(changed)
-    numbered = df.withColumn("_new", first).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg(F.first(state).alias(state), F.min(order).alias("start"), (F.max(order) + 1).alias("stop")).drop("_run")
+    numbered = df.withColumn("__fw_new", first).withColumn("__fw_run", F.sum("__fw_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__fw_run").agg(F.first(state).alias(state), F.min(order).alias("start"), (F.max(order) + 1).alias("stop")).drop("__fw_run")
 
 
 def balanced_chunks(df: DataFrame, shortest: int, longest: int, start: str = "start", stop: str = "stop") -> DataFrame:
@@ -55,14 +56,14 @@ def balanced_chunks(df: DataFrame, shortest: int, longest: int, start: str = "st
         raise ValueError("shortest is over longest")
     n = F.col(stop) - F.col(start)
     parts = F.ceil(n / longest).cast("long")
-    cut = df.filter(n >= shortest).withColumn("_parts", parts)
-    base = F.expr(f"({stop} - {start}) div _parts")
-    rest = F.expr(f"({stop} - {start}) % _parts")
+    cut = df.filter(n >= shortest).withColumn("__fw_parts", parts)
+    base = F.expr(f"({stop} - {start}) div __fw_parts")
+    rest = F.expr(f"({stop} - {start}) % __fw_parts")
     checked = F.when(base < shortest, F.raise_error(F.lit("a part would be too short")).cast("long")).otherwise(base)
-    each = cut.withColumn("_base", checked).withColumn("_rest", rest).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    begin = F.col(start) + F.col("_i") * F.col("_base") + F.least("_i", "_rest")
-    end = begin + F.col("_base") + (F.col("_i") < F.col("_rest")).cast("long")
-    return each.withColumn("_begin", begin).withColumn("_end", end).withColumn(start, F.col("_begin")).withColumn(stop, F.col("_end")).drop("_parts", "_base", "_rest", "_i", "_begin", "_end")
+    each = cut.withColumn("__fw_base", checked).withColumn("__fw_rest", rest).withColumn("__fw_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__fw_parts") - 1)))
+    begin = F.col(start) + F.col("__fw_i") * F.col("__fw_base") + F.least("__fw_i", "__fw_rest")
+    end = begin + F.col("__fw_base") + (F.col("__fw_i") < F.col("__fw_rest")).cast("long")
+    return each.withColumn("__fw_begin", begin).withColumn("__fw_end", end).withColumn(start, F.col("__fw_begin")).withColumn(stop, F.col("__fw_end")).drop("__fw_parts", "__fw_base", "__fw_rest", "__fw_i", "__fw_begin", "__fw_end")
 
 
 def two_sided_state(left: Column, right: Column) -> Column:
@@ -92,22 +93,22 @@ def frames_to_chunks(frames: DataFrame, chunks: DataFrame, keys: list[str], orde
     Chunks are bounded, so they are unrolled to frames and joined by equality.
     """
     unrolled = chunks.select(*keys, chunk, "start", F.explode(F.sequence("start", F.col("stop") - 1)).alias(order))
-    latest = unrolled.groupBy(*keys, order).agg(F.max(F.struct(chunk, "start")).alias("_c"))
+    latest = unrolled.groupBy(*keys, order).agg(F.max(F.struct(chunk, "start")).alias("__fw_c"))
     joined = frames.join(latest, [*keys, order], "left")
-    return joined.withColumn(chunk, F.col(f"_c.{chunk}")).withColumn("local", F.col(order) - F.col("_c.start")).drop("_c")
+    return joined.withColumn(chunk, F.col(f"__fw_c.{chunk}")).withColumn("local", F.col(order) - F.col("__fw_c.start")).drop("__fw_c")
 
 
 def fill_timeline(chunks: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, start, stop): chunks and the source intervals between, before and after them; totals has `total` frames."""
     w = W.partitionBy(*keys).orderBy("start")
     known = totals.join(chunks.select(*keys, "start", "stop"), keys, "left")
-    known = known.withColumn("_was", F.coalesce(F.lag("stop").over(w), F.lit(0).cast("long"))).withColumn("_next", F.lead("start").over(w))
+    known = known.withColumn("__fw_was", F.coalesce(F.lag("stop").over(w), F.lit(0).cast("long"))).withColumn("__fw_next", F.lead("start").over(w))
     part = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("start"), b.cast("long").alias("stop"))
     # before a chunk, the chunk, and what follows the last one; a recording without chunks is one source interval
-    before = part("source", F.col("_was"), F.coalesce("start", "total"))
-    rest = part("source", F.coalesce("stop", "total"), F.when(F.col("_next").isNull(), F.col("total")).otherwise(F.col("stop")))
-    each = known.select(*keys, F.explode(F.array(before, part("chunk", F.col("start"), F.col("stop")), rest)).alias("_p"))
-    return each.select(*keys, "_p.*").filter("stop > start")
+    before = part("source", F.col("__fw_was"), F.coalesce("start", "total"))
+    rest = part("source", F.coalesce("stop", "total"), F.when(F.col("__fw_next").isNull(), F.col("total")).otherwise(F.col("stop")))
+    each = known.select(*keys, F.explode(F.array(before, part("chunk", F.col("start"), F.col("stop")), rest)).alias("__fw_p"))
+    return each.select(*keys, "__fw_p.*").filter("stop > start")
 
 
 def contiguity(df: DataFrame, keys: list[str], order: str, expected: str | None = None) -> DataFrame:
@@ -116,10 +117,10 @@ def contiguity(df: DataFrame, keys: list[str], order: str, expected: str | None
     One aggregation; the set of an episode's frames is bounded by its length.
     """
     held = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.size(F.collect_set(order)).cast("long").alias("_d"), F.min(order).alias("_low"), F.max(order).alias("_high"), *([F.max(expected).alias("_e")] if expected else [])
+        F.count("*").alias("n"), F.size(F.collect_set(order)).cast("long").alias("__fw_d"), F.min(order).alias("__fw_low"), F.max(order).alias("__fw_high"), *([F.max(expected).alias("__fw_e")] if expected else [])
     )
-    e = F.col("_e") if expected else F.col("_d")
-    return held.select(*keys, "n", ((F.col("_d") == e) & (F.col("n") == e) & (F.col("_low") == 0) & (F.col("_high") == e - 1)).alias("contiguous"))
+    e = F.col("__fw_e") if expected else F.col("__fw_d")
+    return held.select(*keys, "n", ((F.col("__fw_d") == e) & (F.col("n") == e) & (F.col("__fw_low") == 0) & (F.col("__fw_high") == e - 1)).alias("contiguous"))
 
 
 def interpolate_gaps(df: DataFrame, keys: list[str], order: str, value: str, known: str, out: str = "filled") -> DataFrame:
@@ -127,11 +128,11 @@ def interpolate_gaps(df: DataFrame, keys: list[str], order: str, value: str, kno
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     after = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
     pair = F.when(F.col(known), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-    both = df.withColumn("_b", F.last(pair, True).over(before)).withColumn("_a", F.last(pair, True).over(after))
-    share = (F.col(order) - F.col("_b.at")) / F.nullif(F.col("_a.at") - F.col("_b.at"), F.lit(0))
-    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
-    filled = F.when(F.col(known), F.col(value)).otherwise(F.coalesce(line, F.col("_b.v"), F.col("_a.v")))
-    return both.withColumn(out, filled).withColumn("confidence", F.when(F.col(known), 1.0).when(filled.isNotNull(), 0.55)).drop("_b", "_a")
+    both = df.withColumn("__fw_b", F.last(pair, True).over(before)).withColumn("__fw_a", F.last(pair, True).over(after))
+    share = (F.col(order) - F.col("__fw_b.at")) / F.nullif(F.col("__fw_a.at") - F.col("__fw_b.at"), F.lit(0))
+    line = F.col("__fw_b.v") + (F.col("__fw_a.v") - F.col("__fw_b.v")) * share
+    filled = F.when(F.col(known), F.col(value)).otherwise(F.coalesce(line, F.col("__fw_b.v"), F.col("__fw_a.v")))
+    return both.withColumn(out, filled).withColumn("confidence", F.when(F.col(known), 1.0).when(filled.isNotNull(), 0.55)).drop("__fw_b", "__fw_a")
 
 
 def scheduled(order: str, stride: int, last: Column | None = None) -> Column:

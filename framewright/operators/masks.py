@@ -1,7 +1,7 @@
 """Masks as cell sets and small rasters: overlap, union, partition, blending, cleaning and support shapes.
 
 Relational forms (cells as rows or arrays) carry the comparisons; a raster
-kernel works on one frame's packed bits at a time.
+kernel works on one frame's packed bits at a time. Null cells are no cells.
 """
 
 from __future__ import annotations
@@ -26,22 +26,22 @@ def sequence_metrics(df: DataFrame, keys: list[str], order: str, cells: str, oth
     w = W.partitionBy(*keys).orderBy(order)
     was = F.lag(cells).over(w)
     differ = (F.size(F.array_except(cells, was)) + F.size(F.array_except(was, F.col(cells)))) / area
-    rows = df.withColumn("_iou", overlap(F.col(cells), F.col(other))).withColumn("_c", F.when(was.isNotNull(), differ))
+    rows = df.withColumn("__fw_iou", overlap(F.col(cells), F.col(other))).withColumn("__fw_c", F.when(was.isNotNull(), differ))
     return rows.groupBy(*keys).agg(
-        F.avg("_iou").alias("mean_iou"), F.min("_iou").alias("min_iou"), F.avg(F.size(cells)).alias("mean_area"), F.coalesce(F.avg("_c"), F.lit(0.0)).alias("change")
+        F.avg("__fw_iou").alias("mean_iou"), F.min("__fw_iou").alias("min_iou"), F.avg(F.size(cells)).alias("mean_area"), F.coalesce(F.avg("__fw_c"), F.lit(0.0)).alias("change")
     )
 
 
 def union_cells(df: DataFrame, keys: list[str], cells: str) -> DataFrame:
     """(keys, cells): every cell of any row, each once; rows without cells give an empty set."""
-    one = df.select(*keys, F.explode_outer(cells).alias("_c"))
-    return one.groupBy(*keys).agg(F.sort_array(F.collect_set("_c")).alias(cells))
+    one = df.select(*keys, F.explode_outer(cells).alias("__fw_c"))
+    return one.groupBy(*keys).agg(F.sort_array(F.collect_set("__fw_c")).alias(cells))
 
 
 def partition_classes(coverage: DataFrame, cell: list[str], name: str, cover: str, order: str) -> DataFrame:
     """(cell, name): the class that covers a cell most, the first in order on ties; uncovered cells have none."""
-    best = coverage.filter(F.col(cover) > 0).groupBy(*cell).agg(F.max(F.struct(F.col(cover), (-F.col(order)).alias("_o"), F.col(name))).alias("_b"))
-    return best.select(*cell, F.col(f"_b.{name}").alias(name))
+    best = coverage.filter(F.col(cover) > 0).groupBy(*cell).agg(F.max(F.struct(F.col(cover), (-F.col(order)).alias("__fw_o"), F.col(name))).alias("__fw_b"))
+    return best.select(*cell, F.col(f"__fw_b.{name}").alias(name))
 
 
 def accumulate(samples: DataFrame, cell: list[str], colour: str, alpha: str) -> DataFrame:
@@ -73,28 +73,28 @@ def sleeve_profile(points: DataFrame, keys: list[str], along: str, across: str,
     """
     number = F.floor(F.col(along) * bins).cast("long")
     held = points.filter((F.col(along) >= 0) & (F.col(along) < 1)).groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"), F.expr(f"percentile(`{across}`, 0.92)").alias("r"))
-    known = held.filter(F.col("n") >= least).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "r"))).alias("_k"))
+    known = held.filter(F.col("n") >= least).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "r"))).alias("__fw_k"))
     known = held.select(*keys).distinct().join(known, keys, "left")
-    ok = F.when(F.size("_k") >= needed, F.col("_k")).otherwise(F.raise_error(F.lit("too few bins to measure a width")).cast("array<struct<bin: bigint, r: double>>"))
+    ok = F.when(F.size("__fw_k") >= needed, F.col("__fw_k")).otherwise(F.raise_error(F.lit("too few bins to measure a width")).cast("array<struct<bin: bigint, r: double>>"))
 
     def at(i: Column) -> Column:
-        before, after = F.filter("_k", lambda x: x["bin"] <= i), F.filter("_k", lambda x: x["bin"] >= i)
+        before, after = F.filter("__fw_k", lambda x: x["bin"] <= i), F.filter("__fw_k", lambda x: x["bin"] >= i)
         a, b = F.when(F.size(before) > 0, F.element_at(before, -1)), F.when(F.size(after) > 0, after[0])
         share = (i - a["bin"]) / F.nullif(b["bin"] - a["bin"], F.lit(0).cast("long"))
         return F.coalesce(a["r"] + (b["r"] - a["r"]) * share, a["r"], b["r"])
 
-    filled = known.withColumn("_k", ok).withColumn("_w", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda i: F.least(F.lit(88.0), F.greatest(F.lit(28.0), at(i) + margin))))
-    beside = lambda i: F.coalesce(F.get("_w", i.cast("int")), F.lit(0.0))
-    smooth = filled.withColumn("_s", F.transform("_w", lambda x, i: 0.25 * beside(i - 1) + 0.5 * x + 0.25 * beside(i + 1)))
-    s = F.col("_s")
-    ends = F.transform("_s", lambda x, i: F.when(i == 0, 0.75 * x + 0.25 * s[1]).when(i == bins - 1, 0.75 * x + 0.25 * s[bins - 2]).otherwise(x))
+    filled = known.withColumn("__fw_k", ok).withColumn("__fw_w", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda i: F.least(F.lit(88.0), F.greatest(F.lit(28.0), at(i) + margin))))
+    beside = lambda i: F.coalesce(F.get("__fw_w", i.cast("int")), F.lit(0.0))
+    smooth = filled.withColumn("__fw_s", F.transform("__fw_w", lambda x, i: 0.25 * beside(i - 1) + 0.5 * x + 0.25 * beside(i + 1)))
+    s = F.col("__fw_s")
+    ends = F.transform("__fw_s", lambda x, i: F.when(i == 0, 0.75 * x + 0.25 * s[1]).when(i == bins - 1, 0.75 * x + 0.25 * s[bins - 2]).otherwise(x))
     return smooth.select(*keys, F.posexplode(ends).alias("bin", "radius"))
 
 
 def compact_reference(frames: DataFrame, keys: list[str], frame: str, margin: str, area: str, share: float = 0.85, low: float = 0.002, high: float = 0.2) -> DataFrame:
     """(keys, frame): the smallest mask among those with `share` of the best margin and a usable size, else the best margin; the first on ties."""
-    rows = frames.withColumn("_best", F.max(margin).over(W.partitionBy(*keys)))
-    good = (F.col(margin) >= share * F.col("_best")) & F.col(area).between(low, high)
+    rows = frames.withColumn("__fw_best", F.max(margin).over(W.partitionBy(*keys)))
+    good = (F.col(margin) >= share * F.col("__fw_best")) & F.col(area).between(low, high)
     out = rows.groupBy(*keys).agg(F.min(F.when(good, F.struct(area, frame))).alias("a"), F.max(F.struct(margin, (-F.col(frame)).alias("f"))).alias("b"))
     return out.select(*keys, F.coalesce(F.col(f"a.{frame}"), -F.col("b.f")).alias(frame))
 
@@ -102,15 +102,15 @@ def compact_reference(frames: DataFrame, keys: list[str], frame: str, margin: st
 def colour_model(pixels: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
     """(keys, centre, scale): the median, and 1.4826 times the median deviation but `floor` at least."""
     middle = pixels.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("centre"))
-    spread = pixels.join(middle, keys).groupBy(*keys, "centre").agg(F.expr(f"percentile(abs(`{value}` - centre), 0.5)").alias("_mad"))
-    return spread.select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("_mad")).alias("scale"))
+    spread = pixels.join(middle, keys).groupBy(*keys, "centre").agg(F.expr(f"percentile(abs(`{value}` - centre), 0.5)").alias("__fw_mad"))
+    return spread.select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("__fw_mad")).alias("scale"))
 
 
 def point_coverage(points: DataFrame, cells: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:
     """(keys, share) of every frame: the share of its points (u, v; those outside the image left out before) that lie on its mask cells (x, y); 0 without points."""
     at = points.select(*keys, F.floor("u").alias("x"), F.floor("v").alias("y"))
-    hit = cells.select(*keys, "x", "y").distinct().withColumn("_hit", F.lit(1.0))
-    per = at.join(hit, [*keys, "x", "y"], "left").groupBy(*keys).agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("share"))
+    hit = cells.select(*keys, "x", "y").distinct().withColumn("__fw_hit", F.lit(1.0))
+    per = at.join(hit, [*keys, "x", "y"], "left").groupBy(*keys).agg(F.avg(F.coalesce("__fw_hit", F.lit(0.0))).alias("share"))
     return frames.select(*keys).join(per, keys, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
@@ -118,9 +118,9 @@ def same_shapes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two mask tables (keys, w, h, cells) frame by frame; a missing frame or another shape raises."""
     from framewright.operators.geometry import aligned
 
-    both = aligned(a.select(*keys, "w", "h", "cells"), b.select(*keys, F.col("w").alias("_w"), F.col("h").alias("_h"), F.col("cells").alias("other")), keys)
-    ok = F.when((F.col("w") == F.col("_w")) & (F.col("h") == F.col("_h")), F.lit(True)).otherwise(F.raise_error(F.lit("masks differ in shape")).cast("boolean"))
-    return both.withColumn("_ok", ok).filter("_ok").drop("_w", "_h", "_ok")
+    both = aligned(a.select(*keys, "w", "h", "cells"), b.select(*keys, F.col("w").alias("__fw_w"), F.col("h").alias("__fw_h"), F.col("cells").alias("other")), keys)
+    ok = F.when((F.col("w") == F.col("__fw_w")) & (F.col("h") == F.col("__fw_h")), F.lit(True)).otherwise(F.raise_error(F.lit("masks differ in shape")).cast("boolean"))
+    return both.withColumn("__fw_ok", ok).filter("__fw_ok").drop("__fw_w", "__fw_h", "__fw_ok")
 
 
 # --- rasters

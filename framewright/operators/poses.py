@@ -108,34 +108,34 @@ def arm_axis(df: DataFrame, points: str, wrist: Column, elbow: Column, camera: C
     total = lambda a, f: F.aggregate(F.transform(a, lambda p: p[f]), F.lit(0.0), lambda s, x: s + x)
     mean = lambda a: F.when(F.size(a) > 0, F.struct(*((total(a, f) / F.size(a)).alias(f) for f in ("u", "v"))))
     seen = lambda a: F.filter(a, lambda p: on_image(p, camera))
-    px = F.col("_px")
-    held = df.withColumn("_px", F.transform(points, lambda p: project(p, camera))).withColumn("_w", project(wrist, camera)).withColumn("_e", project(elbow, camera))
-    held = held.withColumn("_hand", seen(px)).withColumn("_knuckles", seen(F.array(*(px[i] for i in KNUCKLES))))
-    held = held.withColumn("_base", F.coalesce(F.when(on_image(F.col("_w"), camera), F.col("_w")), mean(F.col("_knuckles")), mean(F.col("_hand"))))
-    held = held.withColumn("_du", F.col("_e.u") - F.col("_w.u")).withColumn("_dv", F.col("_e.v") - F.col("_w.v"))
-    held = held.withColumn("_end", ray_to_border(F.col("_base.u"), F.col("_base.v"), F.col("_du"), F.col("_dv"), camera.width, camera.height))
-    axis = F.when(F.col("_base").isNotNull() & F.col("_end").isNotNull(), F.struct(F.col("_base").alias("base"), F.col("_end").alias("end")))
-    return held.withColumn(out, axis).drop("_px", "_w", "_e", "_hand", "_knuckles", "_base", "_du", "_dv", "_end")
+    px = F.col("__fw_px")
+    held = df.withColumn("__fw_px", F.transform(points, lambda p: project(p, camera))).withColumn("__fw_w", project(wrist, camera)).withColumn("__fw_e", project(elbow, camera))
+    held = held.withColumn("__fw_hand", seen(px)).withColumn("__fw_knuckles", seen(F.array(*(px[i] for i in KNUCKLES))))
+    held = held.withColumn("__fw_base", F.coalesce(F.when(on_image(F.col("__fw_w"), camera), F.col("__fw_w")), mean(F.col("__fw_knuckles")), mean(F.col("__fw_hand"))))
+    held = held.withColumn("__fw_du", F.col("__fw_e.u") - F.col("__fw_w.u")).withColumn("__fw_dv", F.col("__fw_e.v") - F.col("__fw_w.v"))
+    held = held.withColumn("__fw_end", ray_to_border(F.col("__fw_base.u"), F.col("__fw_base.v"), F.col("__fw_du"), F.col("__fw_dv"), camera.width, camera.height))
+    axis = F.when(F.col("__fw_base").isNotNull() & F.col("__fw_end").isNotNull(), F.struct(F.col("__fw_base").alias("base"), F.col("__fw_end").alias("end")))
+    return held.withColumn(out, axis).drop("__fw_px", "__fw_w", "__fw_e", "__fw_hand", "__fw_knuckles", "__fw_base", "__fw_du", "__fw_dv", "__fw_end")
 
 
 def arm_prompt(df: DataFrame, axis: str, camera: Camera, padding: float = 82.0, out: str = "prompt") -> DataFrame:
     """df and struct(positives, negatives, u0, v0, u1, v1) of an axis: points along it, points beside it that are on the image, and a padded box."""
     b = F.col(f"{axis}.base")
-    held = df.withColumn("_du", F.col(f"{axis}.end.u") - b["u"]).withColumn("_dv", F.col(f"{axis}.end.v") - b["v"])
-    held = held.withColumn("_n", F.sqrt(F.col("_du") * F.col("_du") + F.col("_dv") * F.col("_dv")))
-    du, dv, n = F.col("_du"), F.col("_dv"), F.col("_n")
+    held = df.withColumn("__fw_du", F.col(f"{axis}.end.u") - b["u"]).withColumn("__fw_dv", F.col(f"{axis}.end.v") - b["v"])
+    held = held.withColumn("__fw_n", F.sqrt(F.col("__fw_du") * F.col("__fw_du") + F.col("__fw_dv") * F.col("__fw_dv")))
+    du, dv, n = F.col("__fw_du"), F.col("__fw_dv"), F.col("__fw_n")
     at = lambda k: F.struct((b["u"] + k * du).alias("u"), (b["v"] + k * dv).alias("v"))
     side = lambda k, s: F.struct((b["u"] + k * du - s * (78.0 + 38.0 * k) * dv / n).alias("u"), (b["v"] + k * dv + s * (78.0 + 38.0 * k) * du / n).alias("v"))
     beside = F.filter(F.array(*(side(k, s) for k in BESIDE for s in (-1.0, 1.0))), lambda p: on_image(p, camera))
-    held = held.withColumn("_beside", F.when(n > 1e-5, beside).otherwise(F.array().cast("array<struct<u: double, v: double>>")))
+    held = held.withColumn("__fw_beside", F.when(n > 1e-5, beside).otherwise(F.array().cast("array<struct<u: double, v: double>>")))
     last = {"u": b["u"] + ALONG[-1] * du, "v": b["v"] + ALONG[-1] * dv}
     low = lambda f: F.greatest(F.lit(0.0), F.least(b[f], last[f]) - padding)
     high = lambda f, size: F.least(F.lit(size - 1), F.greatest(b[f], last[f]) + padding)
     prompt = F.struct(
-        F.array(*(at(k) for k in ALONG)).alias("positives"), F.col("_beside").alias("negatives"),
+        F.array(*(at(k) for k in ALONG)).alias("positives"), F.col("__fw_beside").alias("negatives"),
         low("u").alias("u0"), low("v").alias("v0"), high("u", camera.width).alias("u1"), high("v", camera.height).alias("v1"),
     )
-    return held.withColumn(out, prompt).drop("_du", "_dv", "_n", "_beside")
+    return held.withColumn(out, prompt).drop("__fw_du", "__fw_dv", "__fw_n", "__fw_beside")
 
 
 def unit_box(x: Column, size: float) -> Column:

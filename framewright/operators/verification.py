@@ -35,9 +35,9 @@ def runnable(episodes: DataFrame, state: Column, order: list[Column], most: int
 
 def chosen(episodes: DataFrame, selection: DataFrame, key: str) -> DataFrame:
     """The episodes that the selection names; one that is missing raises."""
-    both = selection.select(key).distinct().join(episodes.withColumn("_there", F.lit(True)), key, "left")
-    ok = F.when(F.col("_there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such episode: "), F.col(key).cast("string"))).cast("boolean"))
-    return both.withColumn("_there", ok).filter("_there").drop("_there")
+    both = selection.select(key).distinct().join(episodes.withColumn("__fw_there", F.lit(True)), key, "left")
+    ok = F.when(F.col("__fw_there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such episode: "), F.col(key).cast("string"))).cast("boolean"))
+    return both.withColumn("__fw_there", ok).filter("__fw_there").drop("__fw_there")
 
 
 def choose_hosts(hosts: DataFrame, group: list[str], free: str, index: str, least_free: int, preferred: Column | None = None, most: int | None = None, fewest: int = 0) -> DataFrame:
@@ -49,9 +49,9 @@ def choose_hosts(hosts: DataFrame, group: list[str], free: str, index: str, leas
     first = F.lit(None).cast("int") if preferred is None else preferred
     w = W.partitionBy(*group).orderBy(first.isNull(), first, F.desc(free), index)
     top = F.max(F.struct(free, index)).over(W.partitionBy(*group))[index]
-    rows = able.withColumn("place", F.row_number().over(w).cast("long")).withColumn("freest", top).withColumn("_n", F.count("*").over(W.partitionBy(*group)))
-    ok = F.when(F.col("_n") >= fewest, F.lit(True)).otherwise(F.raise_error(F.lit("too few hosts are free")).cast("boolean"))
-    rows = rows.withColumn("_ok", ok).filter("_ok").drop("_n", "_ok")
+    rows = able.withColumn("place", F.row_number().over(w).cast("long")).withColumn("freest", top).withColumn("__fw_n", F.count("*").over(W.partitionBy(*group)))
+    ok = F.when(F.col("__fw_n") >= fewest, F.lit(True)).otherwise(F.raise_error(F.lit("too few hosts are free")).cast("boolean"))
+    rows = rows.withColumn("__fw_ok", ok).filter("__fw_ok").drop("__fw_n", "__fw_ok")
     return rows if most is None else rows.filter(F.col("place") <= most)
 
 
@@ -72,41 +72,41 @@ def sides_of(segments: DataFrame, mode: str = "mode") -> DataFrame:
 
 def with_artifacts(segments: DataFrame, artifacts: DataFrame, keys: list[str], kind: str, kinds: list[str], strict: bool) -> DataFrame:
     """Segments that have an artifact of each kind; a segment that lacks one raises (strict) or is left out."""
-    held = artifacts.filter(F.col(kind).isin(*kinds)).groupBy(*keys).agg(F.countDistinct(kind).alias("_kinds"))
-    both = segments.join(held, keys, "left").withColumn("_whole", F.coalesce(F.col("_kinds") == len(kinds), F.lit(False)))
+    held = artifacts.filter(F.col(kind).isin(*kinds)).groupBy(*keys).agg(F.countDistinct(kind).alias("__fw_kinds"))
+    both = segments.join(held, keys, "left").withColumn("__fw_whole", F.coalesce(F.col("__fw_kinds") == len(kinds), F.lit(False)))
     if strict:
-        both = both.withColumn("_whole", F.when(F.col("_whole"), F.lit(True)).otherwise(F.raise_error(F.lit("a segment lacks an artifact")).cast("boolean")))
-    return both.filter("_whole").drop("_kinds", "_whole")
+        both = both.withColumn("__fw_whole", F.when(F.col("__fw_whole"), F.lit(True)).otherwise(F.raise_error(F.lit("a segment lacks an artifact")).cast("boolean")))
+    return both.filter("__fw_whole").drop("__fw_kinds", "__fw_whole")
 
 
 def open_jobs(segments: DataFrame, frames: DataFrame, done: DataFrame, keys: list[str], expected: str) -> DataFrame:
     """Segments still to be composed: their frames (n) must be as many as expected, else it raises; those that are done are left out."""
-    both = segments.join(frames.select(*keys, F.col("n").alias("_n")), keys, "left")
-    ok = F.when(F.coalesce(F.col("_n"), F.lit(0)) == F.col(expected), F.lit(True)).otherwise(F.raise_error(F.lit("the render of a segment is incomplete")).cast("boolean"))
-    return both.withColumn("_ok", ok).filter("_ok").drop("_n", "_ok").join(done.select(*keys).distinct(), keys, "left_anti")
+    both = segments.join(frames.select(*keys, F.col("n").alias("__fw_n")), keys, "left")
+    ok = F.when(F.coalesce(F.col("__fw_n"), F.lit(0)) == F.col(expected), F.lit(True)).otherwise(F.raise_error(F.lit("the render of a segment is incomplete")).cast("boolean"))
+    return both.withColumn("__fw_ok", ok).filter("__fw_ok").drop("__fw_n", "__fw_ok").join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def unfinished_sides(sides: DataFrame, masks: DataFrame, keys: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
     """Sides of segments whose masks (n) are not as many as their frames."""
-    both = sides.join(masks.select(*keys, F.col("n").alias("_n")), keys, "left")
-    return both.filter(F.coalesce(F.col("_n"), F.lit(0)) != F.col(stop) - F.col(start)).drop("_n")
+    both = sides.join(masks.select(*keys, F.col("n").alias("__fw_n")), keys, "left")
+    return both.filter(F.coalesce(F.col("__fw_n"), F.lit(0)) != F.col(stop) - F.col(start)).drop("__fw_n")
 
 
 def in_order(names: DataFrame, first: DataFrame, second: DataFrame, on: str, place: str) -> DataFrame:
     """names and their place in the first table, else in the second; a name that neither has raises."""
-    a, b = first.select(on, F.col(place).alias("_a")), second.select(on, F.col(place).alias("_b"))
-    found = F.coalesce("_a", "_b")
+    a, b = first.select(on, F.col(place).alias("__fw_a")), second.select(on, F.col(place).alias("__fw_b"))
+    found = F.coalesce("__fw_a", "__fw_b")
     checked = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown name: "), F.col(on).cast("string"))).cast("long"))
-    return names.join(a, on, "left").join(b, on, "left").withColumn(place, checked.cast("long")).drop("_a", "_b")
+    return names.join(a, on, "left").join(b, on, "left").withColumn(place, checked.cast("long")).drop("__fw_a", "__fw_b")
 
 
 def video_errors(videos: DataFrame, expected: DataFrame, keys: list[str], ord_: int) -> DataFrame:
     """(keys, ord, message) of expected videos (keys, name, frames): missing (or empty), unreadable, or with another number of frames (catalogue: keys, name, bytes, n)."""
-    both = expected.join(videos.select(*keys, "name", F.col("bytes").alias("_bytes"), F.col("n").alias("_n")), [*keys, "name"], "left")
+    both = expected.join(videos.select(*keys, "name", F.col("bytes").alias("__fw_bytes"), F.col("n").alias("__fw_n")), [*keys, "name"], "left")
     message = (
-        F.when(F.coalesce(F.col("_bytes"), F.lit(0)) == 0, F.concat(F.lit("missing video: "), F.col("name")))
-        .when(F.col("_n").isNull(), F.concat(F.lit("unreadable video "), F.col("name")))
-        .when(F.col("_n") != F.col("frames"), F.concat(F.lit("frame mismatch "), F.col("name"), F.lit(": expected "), F.col("frames").cast("string"), F.lit(", got "), F.col("_n").cast("string")))
+        F.when(F.coalesce(F.col("__fw_bytes"), F.lit(0)) == 0, F.concat(F.lit("missing video: "), F.col("name")))
+        .when(F.col("__fw_n").isNull(), F.concat(F.lit("unreadable video "), F.col("name")))
+        .when(F.col("__fw_n") != F.col("frames"), F.concat(F.lit("frame mismatch "), F.col("name"), F.lit(": expected "), F.col("frames").cast("string"), F.lit(", got "), F.col("__fw_n").cast("string")))
     )
     return both.select(*keys, F.lit(ord_).alias("ord"), message.alias("message")).filter("message is not null")
 
@@ -121,15 +121,15 @@ def episode_errors(
     video and number of masks (episode, name, n); and the final videos (episode, name, bytes, n).
     """
     key = ["episode"]
-    known = episodes.join(metadata.withColumn("_there", F.lit(True)), key, "left")
-    there = known.filter("_there").select("episode", "frames", "total_frames")
+    known = episodes.join(metadata.withColumn("__fw_there", F.lit(True)), key, "left")
+    there = known.filter("__fw_there").select("episode", "frames", "total_frames")
     named = chunks.join(there.select("episode"), key, "left_semi").select("episode", segment_name(F.col("index"), F.col("mode"), F.col("start"), F.col("stop")).alias("name"), (F.col("stop") - F.col("start")).alias("length"))
     left = skipped.join(there.select("episode"), key, "left_semi").groupBy("episode").agg(F.count("*").alias("n"))
-    found = there.select("episode").join(backends.select("episode", F.col("backend").alias("_b"), F.lit(True).alias("_is")), key, "left")
-    per = named.join(masks.select("episode", "name", F.col("n").alias("_n")), ["episode", "name"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    found = there.select("episode").join(backends.select("episode", F.col("backend").alias("__fw_b"), F.lit(True).alias("__fw_is")), key, "left")
+    per = named.join(masks.select("episode", "name", F.col("n").alias("__fw_n")), ["episode", "name"], "left").withColumn("__fw_n", F.coalesce("__fw_n", F.lit(0)))
     rows = B.violations(
         [
-            (1, "missing metadata", known.filter("_there is null")),
+            (1, "missing metadata", known.filter("__fw_there is null")),
             (2, "invalid metadata", there.filter("total_frames is null")),
             (3, "total_frames does not match the manifest", there.filter("total_frames <> frames")),
         ],
@@ -138,11 +138,11 @@ def episode_errors(
     said = lambda df, n, *parts: df.select("episode", F.lit(n).alias("ord"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("message"))
     rows = rows.unionByName(said(left, 4, F.col("n").cast("string"), " skipped segments remain"))
     if backend is not None:
-        rows = rows.unionByName(said(found.filter("_is is null"), 5, "missing pipeline provenance"))
-        rows = rows.unionByName(said(found.filter(F.col("_is") & ~F.col("_b").eqNullSafe(F.lit(backend))), 6, f"mask backend mismatch: expected {backend}, got ", F.coalesce("_b", F.lit("none"))))
+        rows = rows.unionByName(said(found.filter("__fw_is is null"), 5, "missing pipeline provenance"))
+        rows = rows.unionByName(said(found.filter(F.col("__fw_is") & ~F.col("__fw_b").eqNullSafe(F.lit(backend))), 6, f"mask backend mismatch: expected {backend}, got ", F.coalesce("__fw_b", F.lit("none"))))
         rows = rows.unionByName(said(named.join(provenance, ["episode", "name"], "left_anti"), 7, "missing provenance for ", F.col("name")))
     rows = rows.unionByName(video_errors(videos, named.select("episode", "name", F.col("length").alias("frames")), key, 8))
-    rows = rows.unionByName(said(per.filter("_n <> length"), 9, "mask count mismatch ", F.col("name"), ": expected ", F.col("length").cast("string"), ", got ", F.col("_n").cast("string")))
+    rows = rows.unionByName(said(per.filter("__fw_n <> length"), 9, "mask count mismatch ", F.col("name"), ": expected ", F.col("length").cast("string"), ", got ", F.col("__fw_n").cast("string")))
     last = there.select("episode", F.explode(F.array(*map(F.lit, finals))).alias("name"), "frames")
     return rows.unionByName(video_errors(videos, last, key, 10))
 
@@ -171,9 +171,9 @@ def union_checked(masks: DataFrame, episode: str, frame: str, sides: int, least:
     Problems: a side without the frame, shapes that differ, fewer than `least` cells. A side's frame without cells is one row of null x and y.
     """
     per = masks.groupBy(episode, frame).agg(
-        F.countDistinct("side").alias("_sides"), F.countDistinct("w", "h").alias("_shapes"), F.countDistinct(F.when(F.col("x").isNotNull(), F.struct("x", "y"))).alias("area")
+        F.countDistinct("side").alias("__fw_sides"), F.countDistinct("w", "h").alias("__fw_shapes"), F.countDistinct(F.when(F.col("x").isNotNull(), F.struct("x", "y"))).alias("area")
     )
-    problem = F.when(F.col("_sides") < sides, "a side is missing").when(F.col("_shapes") > 1, "shapes differ").when(F.col("area") < least, "too small")
+    problem = F.when(F.col("__fw_sides") < sides, "a side is missing").when(F.col("__fw_shapes") > 1, "shapes differ").when(F.col("area") < least, "too small")
     return per.select(episode, frame, "area", problem.alias("problem"))
 
 
@@ -222,9 +222,9 @@ def signature(files: DataFrame, keys: list[str]) -> DataFrame:
 def first_success(attempts: DataFrame, keys: list[str], order: str, ok: str, kept: str, alone: Column | None = None) -> DataFrame:
     """(keys, kept): the first attempt in order that succeeded, null if none did; groups flagged `alone` count only their first attempt."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    rows = attempts.withColumn("_place", place).withColumn("_alone", F.lit(False) if alone is None else alone)
-    usable = F.col(ok) & (~F.col("_alone") | (F.col("_place") == 1))
-    return rows.groupBy(*keys).agg(F.min(F.when(usable, F.struct("_place", kept)))[kept].alias(kept))
+    rows = attempts.withColumn("__fw_place", place).withColumn("__fw_alone", F.lit(False) if alone is None else alone)
+    usable = F.col(ok) & (~F.col("__fw_alone") | (F.col("__fw_place") == 1))
+    return rows.groupBy(*keys).agg(F.min(F.when(usable, F.struct("__fw_place", kept)))[kept].alias(kept))
 
 
 def save_state(states: DataFrame, path: str) -> None:
@@ -277,5 +277,5 @@ def mattes(frames: DataFrame, alpha: DataFrame, colour: DataFrame, keys: list[st
 
 def prompt_status(frames: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
     """frames and `status`: prompted where there is a prompt, else propagated."""
-    marked = prompts.select(*keys).distinct().withColumn("_p", F.lit(True))
-    return frames.join(marked, keys, "left").withColumn("status", F.when(F.col("_p"), "prompted").otherwise("propagated")).drop("_p")
+    marked = prompts.select(*keys).distinct().withColumn("__fw_p", F.lit(True))
+    return frames.join(marked, keys, "left").withColumn("status", F.when(F.col("__fw_p"), "prompted").otherwise("propagated")).drop("__fw_p")

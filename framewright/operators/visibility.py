@@ -28,9 +28,9 @@ def hand_visibility(
         pixel = F.struct((camera.fx * p[0] / z + camera.cx).alias("u"), (camera.fy * p[1] / z + camera.cy).alias("v"))
         return F.coalesce(p[2] > 0.05, F.lit(False)) & G.in_view(pixel, camera, 20.0)
 
-    rows = df.withColumn("_r", P.rotation(F.col(quaternion)))
-    rows = rows.withColumn("_points", P.camera_points(F.col(landmarks), F.col(position), F.col("_r")))
-    seen = F.size(F.filter("_points", ok)) >= least
+    rows = df.withColumn("__fw_r", P.rotation(F.col(quaternion)))
+    rows = rows.withColumn("__fw_points", P.camera_points(F.col(landmarks), F.col(position), F.col("__fw_r")))
+    seen = F.size(F.filter("__fw_points", ok)) >= least
     if direct is not None:
         seen = seen | F.coalesce(F.col(direct), F.lit(False))
     flagged = rows.select(*keys, order, seen.alias(out))
@@ -63,35 +63,35 @@ def prompt_cascade(
     landmarks of the other hand further than 10 pixels from every positive; the box holds all valid ones and the padding.
     """
     flags = F.array_repeat(F.lit(True), 21) if confidence is None else F.transform(confidence, lambda c: F.coalesce(c >= trust, F.lit(False)))
-    pixel = F.transform(points, lambda p, i: F.struct(i.alias("i"), (p[2] > 1e-4).alias("front"), F.col("_trusted")[i].alias("trusted"), G.project(p, camera)["u"].alias("u"), G.project(p, camera)["v"].alias("v")))
-    rows = df.withColumn("_trusted", flags).withColumn("_px", pixel)
+    pixel = F.transform(points, lambda p, i: F.struct(i.alias("i"), (p[2] > 1e-4).alias("front"), F.col("__fw_trusted")[i].alias("trusted"), G.project(p, camera)["u"].alias("u"), G.project(p, camera)["v"].alias("v")))
+    rows = df.withColumn("__fw_trusted", flags).withColumn("__fw_px", pixel)
     view = lambda p, margin: F.coalesce(p["front"], F.lit(False)) & G.in_view(p, camera, margin)
-    inside = F.filter("_px", lambda p: view(p, 0.0))
-    rows = rows.withColumn("_in", inside).withColumn("_sure", F.filter("_in", lambda p: p["trusted"]))
-    near = F.transform(F.filter("_px", lambda p: view(p, 20.0)), lambda p: F.struct(p["i"].alias("i"), p["front"].alias("front"), p["trusted"].alias("trusted"), _clip(p["u"], camera.width - 1).alias("u"), _clip(p["v"], camera.height - 1).alias("v")))
-    rows = rows.withColumn("_near", near).withColumn("_nearsure", F.filter("_near", lambda p: p["trusted"]))
-    how = F.when(F.size("_sure") >= 4, "trusted").when(F.size("_in") >= 4, "seen").when(F.size("_nearsure") >= 4, "near trusted").when(F.size("_near") >= 4, "near")
-    rows = rows.withColumn("_how", how)
-    rows = rows.withColumn("_ok", F.when(F.col("_how") == "trusted", F.col("_sure")).when(F.col("_how") == "seen", F.col("_in")).when(F.col("_how") == "near trusted", F.col("_nearsure")).when(F.col("_how") == "near", F.col("_near")))
-    best = F.filter("_ok", lambda p: p["i"].isin(*PREFERRED))
-    rows = rows.withColumn("_best", best).withColumn("_more", F.filter("_ok", lambda p: ~p["i"].isin(*PREFERRED)))
-    rows = rows.withColumn("_picked", F.concat("_best", F.slice("_more", F.lit(1), F.greatest(F.lit(0), 4 - F.size("_best")))))
+    inside = F.filter("__fw_px", lambda p: view(p, 0.0))
+    rows = rows.withColumn("__fw_in", inside).withColumn("__fw_sure", F.filter("__fw_in", lambda p: p["trusted"]))
+    near = F.transform(F.filter("__fw_px", lambda p: view(p, 20.0)), lambda p: F.struct(p["i"].alias("i"), p["front"].alias("front"), p["trusted"].alias("trusted"), _clip(p["u"], camera.width - 1).alias("u"), _clip(p["v"], camera.height - 1).alias("v")))
+    rows = rows.withColumn("__fw_near", near).withColumn("__fw_nearsure", F.filter("__fw_near", lambda p: p["trusted"]))
+    how = F.when(F.size("__fw_sure") >= 4, "trusted").when(F.size("__fw_in") >= 4, "seen").when(F.size("__fw_nearsure") >= 4, "near trusted").when(F.size("__fw_near") >= 4, "near")
+    rows = rows.withColumn("__fw_how", how)
+    rows = rows.withColumn("__fw_ok", F.when(F.col("__fw_how") == "trusted", F.col("__fw_sure")).when(F.col("__fw_how") == "seen", F.col("__fw_in")).when(F.col("__fw_how") == "near trusted", F.col("__fw_nearsure")).when(F.col("__fw_how") == "near", F.col("__fw_near")))
+    best = F.filter("__fw_ok", lambda p: p["i"].isin(*PREFERRED))
+    rows = rows.withColumn("__fw_best", best).withColumn("__fw_more", F.filter("__fw_ok", lambda p: ~p["i"].isin(*PREFERRED)))
+    rows = rows.withColumn("__fw_picked", F.concat("__fw_best", F.slice("__fw_more", F.lit(1), F.greatest(F.lit(0), 4 - F.size("__fw_best")))))
     place = lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"))
     none = F.array().cast("array<struct<u: double, v: double>>")
     if other is None:
-        rows = rows.withColumn("_neg", none)
+        rows = rows.withColumn("__fw_neg", none)
     else:
         of = F.array(*(F.struct(F.lit(i).alias("i"), (F.col(other)[i][2] > 1e-4).alias("front"), (F.lit(True) if other_confidence is None else F.coalesce(F.col(other_confidence)[i] >= trust, F.lit(False))).alias("trusted"), G.project(F.col(other)[i], camera)["u"].alias("u"), G.project(F.col(other)[i], camera)["v"].alias("v")) for i in NEGATIVES))
-        rows = rows.withColumn("_of", F.filter(of, lambda p: view(p, 0.0) & p["trusted"]))
+        rows = rows.withColumn("__fw_of", F.filter(of, lambda p: view(p, 0.0) & p["trusted"]))
         gap = lambda p, q: F.sqrt((p["u"] - q["u"]) * (p["u"] - q["u"]) + (p["v"] - q["v"]) * (p["v"] - q["v"]))
-        rows = rows.withColumn("_neg", F.transform(F.filter("_of", lambda q: F.forall("_picked", lambda p: gap(p, q) > 10.0)), place))
-    low = lambda f: F.greatest(F.lit(0.0), F.array_min(F.transform("_ok", lambda p: p[f])) - padding)
-    high = lambda f, size: F.least(F.lit(size - 1), F.array_max(F.transform("_ok", lambda p: p[f])) + padding)
+        rows = rows.withColumn("__fw_neg", F.transform(F.filter("__fw_of", lambda q: F.forall("__fw_picked", lambda p: gap(p, q) > 10.0)), place))
+    low = lambda f: F.greatest(F.lit(0.0), F.array_min(F.transform("__fw_ok", lambda p: p[f])) - padding)
+    high = lambda f, size: F.least(F.lit(size - 1), F.array_max(F.transform("__fw_ok", lambda p: p[f])) + padding)
     made = F.struct(
-        F.col("_how").alias("how"), F.transform("_picked", lambda p: p["i"]).alias("picked"), F.transform("_picked", place).alias("positives"), F.coalesce("_neg", none).alias("negatives"),
+        F.col("__fw_how").alias("how"), F.transform("__fw_picked", lambda p: p["i"]).alias("picked"), F.transform("__fw_picked", place).alias("positives"), F.coalesce("__fw_neg", none).alias("negatives"),
         low("u").alias("u0"), low("v").alias("v0"), high("u", camera.width).alias("u1"), high("v", camera.height).alias("v1"),
     )
-    return rows.withColumn(out, F.when(F.col("_how").isNotNull(), made)).drop("_trusted", "_px", "_in", "_sure", "_near", "_nearsure", "_how", "_ok", "_best", "_more", "_picked", "_neg", "_of")
+    return rows.withColumn(out, F.when(F.col("__fw_how").isNotNull(), made)).drop("__fw_trusted", "__fw_px", "__fw_in", "__fw_sure", "__fw_near", "__fw_nearsure", "__fw_how", "__fw_ok", "__fw_best", "__fw_more", "__fw_picked", "__fw_neg", "__fw_of")
 
 
 def _clip(value: Column, high: float) -> Column:
@@ -104,16 +104,16 @@ def spread_prompt(df: DataFrame, points: str, camera: G.Camera, padding: float,
     Landmarks of too little confidence count only where none has enough; null without any landmark in view.
     """
     pixel = F.transform(points, lambda p, i: F.struct(i.alias("i"), (p[2] > 1e-4).alias("front"), G.project(p, camera)["u"].alias("u"), G.project(p, camera)["v"].alias("v")))
-    rows = df.withColumn("_in", F.filter(pixel, lambda p: F.coalesce(p["front"], F.lit(False)) & G.in_view(p, camera)))
-    sure = F.col("_in") if confidence is None else F.filter("_in", lambda p: F.coalesce(F.col(confidence)[p["i"]] >= trust, F.lit(False)))
-    rows = rows.withColumn("_sure", sure).withColumn("_ok", F.when(F.size("_sure") > 0, F.col("_sure")).otherwise(F.col("_in")))
-    n = F.size("_ok")
-    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.col("_ok")[F.rint(j * (n - 1) / max(1, most - 1)).cast("int")])
-    rows = rows.withColumn("_picked", F.when(n <= most, F.col("_ok")).otherwise(even))
-    low = lambda f: F.greatest(F.lit(0.0), F.array_min(F.transform("_ok", lambda p: p[f])) - padding)
-    high = lambda f, size: F.least(F.lit(size - 1), F.array_max(F.transform("_ok", lambda p: p[f])) + padding)
-    made = F.struct(F.transform("_picked", lambda p: p["i"]).alias("picked"), low("u").alias("u0"), low("v").alias("v0"), high("u", camera.width).alias("u1"), high("v", camera.height).alias("v1"))
-    return rows.withColumn(out, F.when(n > 0, made)).drop("_in", "_sure", "_ok", "_picked")
+    rows = df.withColumn("__fw_in", F.filter(pixel, lambda p: F.coalesce(p["front"], F.lit(False)) & G.in_view(p, camera)))
+    sure = F.col("__fw_in") if confidence is None else F.filter("__fw_in", lambda p: F.coalesce(F.col(confidence)[p["i"]] >= trust, F.lit(False)))
+    rows = rows.withColumn("__fw_sure", sure).withColumn("__fw_ok", F.when(F.size("__fw_sure") > 0, F.col("__fw_sure")).otherwise(F.col("__fw_in")))
+    n = F.size("__fw_ok")
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.col("__fw_ok")[F.rint(j * (n - 1) / max(1, most - 1)).cast("int")])
+    rows = rows.withColumn("__fw_picked", F.when(n <= most, F.col("__fw_ok")).otherwise(even))
+    low = lambda f: F.greatest(F.lit(0.0), F.array_min(F.transform("__fw_ok", lambda p: p[f])) - padding)
+    high = lambda f, size: F.least(F.lit(size - 1), F.array_max(F.transform("__fw_ok", lambda p: p[f])) + padding)
+    made = F.struct(F.transform("__fw_picked", lambda p: p["i"]).alias("picked"), low("u").alias("u0"), low("v").alias("v0"), high("u", camera.width).alias("u1"), high("v", camera.height).alias("v1"))
+    return rows.withColumn(out, F.when(n > 0, made)).drop("__fw_in", "__fw_sure", "__fw_ok", "__fw_picked")
 
 
 def robot_verdict(areas: DataFrame, keys: list[str], side: str, robot: str, arm: str, combined: str, need_arm: bool = True) -> DataFrame:
@@ -147,7 +147,7 @@ def valid_runs(df: DataFrame, keys: list[str], order: str, valid: str, out: str
     """df and the number of the run of valid frames that each belongs to (null outside): a partition key for work inside intervals."""
     w = W.partitionBy(*keys).orderBy(order)
     begins = F.col(valid) & ~F.coalesce(F.lag(valid).over(w), F.lit(False))
-    return df.withColumn("_b", begins.cast("int")).withColumn(out, F.when(F.col(valid), F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_b")
+    return df.withColumn("__fw_b", begins.cast("int")).withColumn(out, F.when(F.col(valid), F.sum("__fw_b").over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("__fw_b")
 
 
 def palm_markers(points: Column, distances: tuple[float, ...] = (30.0, 80.0, 140.0)) -> Column:
@@ -162,7 +162,7 @@ def best_per_side(detections: DataFrame, keys: list[str], side: str, score: str,
     """One detection of each frame and side, of the mirrored view's swapped sides: the best score, the first on ties."""
     swapped = F.when(F.col(side) == "left", "right").when(F.col(side) == "right", "left").otherwise(F.col(side))
     place = F.row_number().over(W.partitionBy(*keys, side).orderBy(F.desc(score), index))
-    return detections.withColumn(side, swapped).withColumn("_place", place).filter("_place = 1").drop("_place")
+    return detections.withColumn(side, swapped).withColumn("__fw_place", place).filter("__fw_place = 1").drop("__fw_place")
 
 
 ROOT = ("x", "y", "z", "roll", "pitch", "yaw")
@@ -215,9 +215,9 @@ def base_trajectory(frames: DataFrame, base: DataFrame, keys: list[str], order:
     """frames with the pose of the base: one pose of a recording for all its frames, or one for each frame (a missing one raises)."""
     if order in base.columns:
         return G.aligned(frames, base, [*keys, order])
-    joined = frames.join(base.withColumn("_base", F.lit(True)), keys, "left")
-    whole = F.when(F.col("_base"), F.lit(True)).otherwise(F.raise_error(F.lit("a recording has no base pose")).cast("boolean"))
-    return joined.withColumn("_base", whole).filter("_base").drop("_base")
+    joined = frames.join(base.withColumn("__fw_base", F.lit(True)), keys, "left")
+    whole = F.when(F.col("__fw_base"), F.lit(True)).otherwise(F.raise_error(F.lit("a recording has no base pose")).cast("boolean"))
+    return joined.withColumn("__fw_base", whole).filter("__fw_base").drop("__fw_base")
 
 
 def pixel_poses(points: Column) -> Column:

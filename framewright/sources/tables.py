@@ -58,9 +58,9 @@ def slice_rows(df: DataFrame, keys: list[str], order: str, start: int, stop: int
     """Rows whose position (not value) in the order lies in [start, stop); a recording without such rows raises."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
     n = F.count("*").over(W.partitionBy(*keys))
-    inside = (F.col("_place") >= start) & (F.col("_place") < stop)
-    kept = F.when(F.col("_rows") <= start, F.raise_error(F.lit("the slice is empty")).cast("boolean")).otherwise(inside)
-    return df.withColumn("_place", place).withColumn("_rows", n).filter(kept).drop("_place", "_rows")
+    inside = (F.col("__fw_place") >= start) & (F.col("__fw_place") < stop)
+    kept = F.when(F.col("__fw_rows") <= start, F.raise_error(F.lit("the slice is empty")).cast("boolean")).otherwise(inside)
+    return df.withColumn("__fw_place", place).withColumn("__fw_rows", n).filter(kept).drop("__fw_place", "__fw_rows")
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:

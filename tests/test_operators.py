@@ -349,3 +349,26 @@ def test_live_bridge_equals_batch(spark, tmp_path):
     whole = spark.createDataFrame([(e, i, bool(v)) for e in seen for i, v in enumerate(seen[e])], schema)
     want = {(r["episode"], r["frame"]): r["seen"] for r in I.bridge_gaps(whole, ["episode"], "frame", "seen", 2).collect()}
     assert all(want[k] == v for k, v in got.items()) and len(got) >= len(want) - 3 * 2
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    names = ["_run", "_new", "_w", "_m", "_d", "_u", "_n", "_p", "_px", "_o", "_l", "_r", "_t", "_place", "_before_v", "_c"]
+    rows = [(1, i, i % 3 == 0, float(i * i % 7), [0.0, 0.0, 0.0, 1.0], *(f"{n}{i}" for n in names)) for i in range(9)]
+    df = spark.createDataFrame(rows, "ep long, f long, v boolean, x double, q array<double>, " + ", ".join(f"`{n}` string" for n in names))
+    kept = lambda out: [tuple(r[n] for n in names) for r in out.orderBy("f").collect()]
+    want = kept(df)
+    w = S.kernel(3)
+    for out in (
+        I.bridge_gaps(df, ["ep"], "f", "v", 1), I.pad_intervals(df, ["ep"], "f", "v", 1, 1), I.interpolate_gaps(df, ["ep"], "f", "x", "v"), S.hampel(df, ["ep"], "f", "x", 3, 3.0, 0.1), S.gaussian(df, ["ep"], "f", "x", 3),
+        S.unwrap(df, ["ep"], "f", "x"), S.held_window(df, ["ep"], "f", "x", 2, "near"), G.continuous(df, ["ep"], "f", "q"), G.medoid_filter(df, ["ep"], "f", "q", 3, 1.0, 0.1), G.quaternion_mean(df, ["ep"], "f", "q", w),
+        B.assign_lanes(df.withColumn("cost", F.col("f")), ["ep"], "cost", [F.col("f")], 2), S.trailing_rows(df, ["ep"], "f", 9),
+    ):
+        assert kept(out) == want and not [c for c in out.columns if c.startswith("__fw")]
+
+
+def test_null_flags_are_false(spark):
+    df = spark.createDataFrame([(1, 0, True), (1, 1, None), (1, 2, True), (1, 3, None), (1, 4, None)], "ep long, f long, v boolean")
+    assert text_of(I.bridge_gaps(df, ["ep"], "f", "v", 1)) == "T T T F F"
+    both = df.withColumn("w", F.lit(None).cast("boolean"))
+    got = I.adaptive_chunks(both, ["ep"], "f", "v", "w", gap=1, entry=0, exit=0, shortest=1, longest=9).collect()
+    assert [tuple(r) for r in got] == [(1, "left", 0, 3)]
