@@ -98,7 +98,7 @@ WITH rows AS (
     SELECT w.*, n.bytes, n.n, row_number() OVER (PARTITION BY w.doc_id, w.copy, w.digest ORDER BY w.d) AS place
     FROM ways w JOIN nodes n ON w.d = n.d AND w.node = n.node
 )
-SELECT doc_id, copy, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(node), d, '0') END AS shard, d AS depth,
+SELECT doc_id, digest, copy, CAST(n_bytes AS BIGINT) AS n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(node), d, '0') END AS shard, d AS depth,
     CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows
 FROM placed WHERE place = 1
 """

@@ -11,6 +11,8 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.llm import packing, shards, simhash
 from tests.llm.fixtures import documents, empty
@@ -332,6 +334,25 @@ def test_shards_equal_brute_force(spark, limit, monkeypatch):
     assert all(r["depth"] == len(r["shard"]) and (r["shard_bytes"] <= limit or r["shard_rows"] == 1) for r in rows)
 
 
+def test_many_copies_are_numbered_once(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES_A_TASK", 7)
+    docs = spark.createDataFrame([(1, "same text")] * 40 + [(1, "other tex")] * 3 + [(None, None)] * 9, "doc_id long, text string")
+    rows = shards.shard(docs, limit=40).collect()
+    held = {}
+    for r in rows:
+        held.setdefault((r["doc_id"], r["digest"]), []).append(r["copy"])
+    assert sorted(sorted(v) for v in held.values()) == sorted(list(range(1, n + 1)) for n in (40, 3, 9))
+
+
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    docs = documents(spark).withColumnRenamed("part", "shard_")
+    assigned = shards.write_shards(docs.repartition(3), str(tmp_path / "out"), limit=2000)
+    back = spark.read.schema(T.StructType([*docs.schema.fields, T.StructField("shard", T.StringType())])).parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    sizes = {r["shard"]: (r["b"], r["n"]) for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()}
+    assert sizes == {"s" + r["shard"]: (r["shard_bytes"], r["shard_rows"]) for r in assigned.collect()}
+
+
 def test_shards_of_nothing(spark):
     assert shards.shard(empty(spark)).count() == 0
 
