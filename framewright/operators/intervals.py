@@ -145,3 +145,25 @@ def reentry_prompts(df: DataFrame, keys: list[str], order: str, valid: str, stri
     """prompt: valid, and scheduled or not valid one frame before."""
     was = F.coalesce(F.lag(valid).over(W.partitionBy(*keys).orderBy(order)), F.lit(False))
     return df.withColumn("prompt", F.col(valid) & (scheduled(order, stride) | ~was))
+
+
+def sample_times(df: DataFrame, keys: list[str], order: str, samples: int = 5, shutter: float = 0.5) -> DataFrame:
+    """df and (sample, at): times inside each frame's shutter, centred on the frame and kept inside the recording."""
+    last = F.max(order).over(W.partitionBy(*keys))
+    shift = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: (k - (samples - 1) / 2) * (shutter / max(1, samples - 1)))
+    each = df.withColumn("__fw_last", last).select("*", F.posexplode(shift).alias("sample", "__fw_shift"))
+    at = F.least(F.col("__fw_last").cast("double"), F.greatest(F.lit(0.0), F.col(order) + F.col("__fw_shift")))
+    return each.withColumn("at", at).drop("__fw_last", "__fw_shift")
+
+
+def interpolate_at(df: DataFrame, keys: list[str], order: str, value: str, samples: int = 5, shutter: float = 0.5, out: str = "sampled") -> DataFrame:
+    """df, (sample, at) of sample_times, and the value there, straight between neighbouring frames: one window, no join.
+
+    Frames are consecutive; times lie within one frame of their own.
+    """
+    w = W.partitionBy(*keys).orderBy(order)
+    near = F.transform(F.array(F.lag(value).over(w), F.col(value), F.lead(value).over(w)), lambda x: F.coalesce(x, F.col(value)))
+    rows = sample_times(df.withColumn("__fw_near", near), keys, order, samples, shutter)
+    rows = rows.withColumn("__fw_i", (F.floor("at") - F.col(order) + 1).cast("int"))
+    a, b = F.col("__fw_near")[F.col("__fw_i")], F.col("__fw_near")[F.least(F.col("__fw_i") + 1, F.lit(2))]
+    return rows.withColumn(out, a + (b - a) * (F.col("at") - F.floor("at"))).drop("__fw_near", "__fw_i")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import batch, masks, poses, recordings, runs, trajectories, visibility
+from framewright.plans import batch, masks, poses, rasters, recordings, runs, trajectories, visibility
 
-PLANS = visibility.QUERIES | trajectories.QUERIES | masks.QUERIES | batch.QUERIES | poses.QUERIES | recordings.QUERIES | runs.QUERIES
+PLANS = visibility.QUERIES | trajectories.QUERIES | masks.QUERIES | batch.QUERIES | poses.QUERIES | recordings.QUERIES | runs.QUERIES | rasters.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,15 +224,8 @@ SELECT episode, frame, area FROM areas WHERE was IS NOT NULL AND greatest(area,
 
 def subframe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five times inside each frame's shutter (half a frame), and the signal there."""
-    w = W.partitionBy("episode").orderBy("frame")
-    near = F.transform(F.array(F.lag("signal").over(w), F.col("signal"), F.lead("signal").over(w)), lambda x: F.coalesce(x, F.col("signal")))
-    rows = frames(spark, sf_dir).withColumn("near", near).withColumn("last", F.max("frame").over(W.partitionBy("episode")))
-    times = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (k - 2) * 0.125)
-    due = rows.select("episode", "frame", "last", "near", F.posexplode(times).alias("sample", "shift"))
-    at = F.least(F.col("last").cast("double"), F.greatest(F.lit(0.0), F.col("frame") + F.col("shift")))
-    due = due.withColumn("at", at).withColumn("low", (F.floor("at") - F.col("frame") + 1).cast("int"))
-    a, b = F.col("near")[F.col("low")], F.col("near")[F.least(F.col("low") + 1, F.lit(2))]
-    return due.select("episode", "frame", F.col("sample").cast("long").alias("sample"), F.round(a + (b - a) * (F.col("at") - F.floor("at")), 6).alias("value"))
+    out = I.interpolate_at(frames(spark, sf_dir).select("episode", "frame", "signal"), EP, "frame", "signal")
+    return out.select("episode", "frame", F.col("sample").cast("long").alias("sample"), F.round("sampled", 6).alias("value"))
 
 
 SUBFRAME_SQL = f"""WITH {FRAMES}, lasts AS (SELECT *, max(frame) OVER (PARTITION BY episode) AS last FROM frames),
