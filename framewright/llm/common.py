@@ -7,6 +7,7 @@ memory follows the slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -104,12 +105,19 @@ def salt(*by: str) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, by: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with facts (one row for each key) such that no key's rows meet in one task.
+#: Rows of facts up to which they are broadcast once counted.
+FEW_FACTS = 100_000
 
-    The distinct (key, salt) pairs, at most SALTS for each key, fetch the facts;
-    rows then join those pairs. rows is read twice: pass a cut or cheap one.
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, by: list[str], how: str = "inner", few: int = FEW_FACTS) -> DataFrame:
+    """rows joined with facts (short rows, one for each key) such that no key's rows meet in one task.
+
+    Facts that have been counted to be few are broadcast. Beyond that the distinct (key, salt)
+    pairs, at most SALTS for each key, fetch the facts, and rows join those pairs; rows is then read twice: pass a cut or cheap one.
     """
+    facts = cut(facts)
+    if facts.count() <= few:
+        return rows.join(F.broadcast(facts), key, how)
     salted = rows.withColumn("__salt", salt(*by))
     pairs = salted.select(key, "__salt").distinct()
     return salted.join(pairs.join(facts, key, how), [key, "__salt"]).drop("__salt")
@@ -124,11 +132,31 @@ def split_flag(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return (id_crc(column) % modulus) == remainder
 
 
+#: Arrays of this many bytes are given back to the system as soon as they are freed.
+RETURNED_BYTES = 1 << 18
+_settings: list[ctypes.CDLL] = []
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what a task has freed goes back to the system, since worker processes outlive their tasks."""
+    if not _settings:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
+        _settings.append(libc)
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(_settings[0], "malloc_trim"):
+            _settings[0].malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, cut
+from framewright.llm.common import Texts, batch_of, cut, tidy
 from framewright.llm.words import hash_words, sums
 
 CAPACITY, END = 1024, 2
@@ -248,7 +248,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, capacity: int, end: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, ranks = tokens_of(path), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in tidy(batches):
             for lo, hi, _, _ in Texts(batch.column(1)).slices(SLICE):
                 flat, sizes = tokens.encode(batch.column(1).slice(lo, hi - lo))
                 rows: list[tuple] = []

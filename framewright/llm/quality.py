@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag, tidy
 from framewright.llm.words import hash_words, mix, owner, spans, sums
 
 SAMPLE = 20_000
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return batch_of(["k", "label", "x"], [batch.column(0).cast(pa.string()), batch.column(2), lists])
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = [b for b in tidy(batches) if b.num_rows]
         y = np.concatenate([b.column(1).to_numpy() for b in held]) if held else np.zeros(0)
         x = np.concatenate([b.column(2).flatten().to_numpy() for b in held]).reshape(len(y), -1) if held else np.zeros((0, len(STATISTICS)))
         order = np.lexsort([*x.T, y])  # a fixed order that does not depend on how the rows were dealt

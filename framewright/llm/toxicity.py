@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag, tidy
 from framewright.llm.words import P, folded_words, mix, owner, sums
 
 #: Most labelled ids, and bytes of their texts, to learn from.
@@ -124,7 +124,7 @@ def train(
     rows = bounded_sample(docs.select(id_col, text_col).join(F.broadcast(known), id_col), sample, sample_bytes, [id_col, text_col], F.octet_length(text_col))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             texts = Texts(batch.column(1))
             for lo, hi, data, offsets in texts.slices():
                 words, firsts, _ = folded_words(data, offsets)
@@ -141,12 +141,12 @@ def train(
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ys, xs = [], [], []
-        for batch in batches:
+        for batch in tidy(batches):
             keys += batch.column(0).to_pylist()
             ys.append(batch.column(1).to_numpy(zero_copy_only=False))
             lists = batch.column(2)
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            xs += [flat[a:b].copy() for a, b in zip(at, at[1:], strict=False)]
+            xs += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
         if not keys:
             return
         y = np.concatenate(ys)
