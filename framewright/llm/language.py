@@ -8,8 +8,8 @@ square root of the number of words.
 
 Learned from at most `sample` rows and `sample_bytes` of text (those with the
 smallest hashes of id and text, repeated rows once), outside the held-out fifth:
-word counts are summed by the executors, and all words of the sample, which its
-bytes bound, reach the driver. Words that occur once and n-grams of three and more
+word counts are summed by the executors, one task makes the tables of all words of the sample, which its
+bytes bound, and the tables alone reach the driver. Words that occur once and n-grams of three and more
 characters that occur once are not in the tables; every word counts towards n-grams.
 
 Defined results: null texts, empty texts and texts without a letter are `und`
@@ -28,23 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag
+from framewright.llm.common import Texts, batch_of, bounded_sample, map_batches, split_flag, tidy
 from framewright.llm.words import P, hash_words, mix, spans, sums
 
 #: Most rows, and bytes of text, to learn from.
-SAMPLE, SAMPLE_BYTES = 16_000, 32 << 20
+SAMPLE, SAMPLE_BYTES = 16_000, 16 << 20
 LONGEST = 5
 #: Most words whose scores a worker keeps at a time.
-CACHE = 400_000
+CACHE = 200_000
 _tables: list[np.ndarray] = []
 
 
 def folded_letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower-cased letters as code points and 1 for everything else, offsets in code points)."""
     if not _tables:
-        every = [chr(i) for i in range(0x110000)]
-        low = np.fromiter((ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in every), np.uint32, 0x110000)
-        _tables.append(np.where(np.fromiter((c.isalpha() for c in every), bool, 0x110000), low, 1).astype(np.uint32))
+        low = (ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x110000)))
+        _tables.append(np.fromiter((x if chr(i).isalpha() else 1 for i, x in enumerate(low)), np.uint32, 0x110000))
     try:
         text = data.tobytes().decode("utf-8")
         places = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -78,14 +77,17 @@ def gram_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: i
 class Table:
     """Log frequencies of hashed keys in each language."""
 
-    def __init__(self, keys: np.ndarray, languages: np.ndarray, counts: np.ndarray, width: int, least: float, smooth: float):
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    @classmethod
+    def of(cls, keys: np.ndarray, languages: np.ndarray, counts: np.ndarray, width: int, least: float, smooth: float) -> Table:
         uniq, code = np.unique(keys, return_inverse=True)
-        grid = np.zeros((len(uniq), width))
-        np.add.at(grid, (code, languages), counts)
+        grid = np.bincount(code * width + languages, counts, len(uniq) * width).reshape(-1, width)
         kept = grid.sum(1) >= least
-        self.keys, grid = uniq[kept], grid[kept]
-        total = grid.sum(0) + smooth * max(1, len(self.keys))
-        self.logs = (np.log(grid + smooth) - np.log(total)).astype(np.float32)
+        uniq, grid = uniq[kept], grid[kept]
+        total = grid.sum(0) + smooth * max(1, len(uniq))
+        return cls(uniq, (np.log(grid + smooth) - np.log(total)).astype(np.float32))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where it isn't known."""
@@ -98,21 +100,27 @@ class Table:
 class Languages:
     """The model: languages, word table, and one table for each n-gram length."""
 
-    def __init__(self, words: pd.DataFrame):
-        self.names = sorted(words["lang"].unique().tolist())
-        width = len(self.names)
+    def __init__(self, names: list[str], tables: dict[int, Table]):
+        self.names, self.words = names, tables[0]
+        self.grams = {n: t for n, t in tables.items() if n}
+
+    @classmethod
+    def of(cls, words: pd.DataFrame) -> Languages:
+        """From (lang, word, n): table 0 of words, table n of n-grams."""
+        names = sorted(words["lang"].unique().tolist())
+        width = len(names)
         text = words["word"].tolist()
         data = np.frombuffer("".join(text).encode(), np.uint8)
         ends = np.cumsum([len(x.encode()) for x in text]).astype(np.int64) if text else np.zeros(0, np.int64)
         codes, places = folded_letters(data, np.concatenate(([0], ends)).astype(np.int64))
         starts, lengths = places[:-1], np.diff(places)
-        language = words["lang"].map({x: i for i, x in enumerate(self.names)}).to_numpy(np.int64)
+        language = words["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
         counts = words["n"].to_numpy(np.float64)
-        self.words = Table(hash_words(codes, starts, lengths), language, counts, width, 2, 0.3)
-        self.grams = {}
+        tables = {0: Table.of(hash_words(codes, starts, lengths), language, counts, width, 2, 0.3)}
         for n in range(1, LONGEST + 1):
             h, word = gram_hashes(codes, starts, lengths, n)
-            self.grams[n] = Table(h, language[word], counts[word], width, 1 if n < 3 else 2, 0.3)
+            tables[n] = Table.of(h, language[word], counts[word], width, 1 if n < 3 else 2, 0.3)
+        return cls(names, tables)
 
     def scores(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Centred scores of words in each language."""
@@ -142,7 +150,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = bounded_sample(usable.select(id_col, lang_col, text_col), sample, sample_bytes, [id_col, lang_col, text_col], F.octet_length(text_col)).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             texts, names = Texts(batch.column(1)), np.array(batch.column(0).cast(pa.string()).to_pylist(), object)
             for lo, hi, data, offsets in texts.slices():
                 codes, places = folded_letters(data, offsets)
@@ -160,8 +168,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 )
 
     counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = counts.toPandas()
-    return Languages(words.sort_values(["lang", "word"], ignore_index=True)) if len(words) else None
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in tidy(batches) if b.num_rows]
+        if not held:
+            return
+        words = pa.Table.from_batches(held).to_pandas().sort_values(["lang", "word"], ignore_index=True)
+        model = Languages.of(words)
+        tables = {0: model.words} | model.grams
+        kinds = (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary())
+        rows = [(n, model.names, t.keys.tobytes(), t.logs.tobytes()) for n, t in tables.items()]
+        yield batch_of(["n", "names", "keys", "logs"], [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)])
+
+    # one task makes the tables of the sample; a row for each of them
+    rows = counts.repartition(1).mapInArrow(built, "n int, names array<string>, keys binary, logs binary").collect()
+    if not rows:
+        return None
+    names = list(rows[0]["names"])
+    return Languages(names, {r["n"]: Table(np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r["logs"]), np.float32).reshape(-1, len(names))) for r in rows})
 
 
 class Predictor:
