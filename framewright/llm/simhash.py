@@ -17,9 +17,9 @@ search stops at groups that its class has joined already, so dense groups of
 near copies cost no pairs.
 
 A task returns a spanning forest of its links (fewer rows than fingerprints);
-components over all tasks come from rounds of star contraction over tables in
-the shared checkpoint folder; hubs are salted. Nothing of it reaches the driver
-but counts.
+components over all tasks come from one task if the links are counted to be few
+(ONE_TASK), else from rounds of star contraction over tables in the shared checkpoint
+folder, hubs salted. Nothing of it reaches the driver but counts.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with a null id link but offer no id (a class of only null ids has a
@@ -34,12 +34,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import Texts, batch_of, bounded_broadcast, cut, map_batches, salt, with_facts
+from framewright.llm.common import Texts, batch_of, bounded_broadcast, cut, map_batches, salt, tidy, with_facts
 
 SEED = 42
 FANOUT = 8
@@ -338,15 +339,25 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int, together: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def smallest(label: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """For each fingerprint, the place of the smallest one of its class: other tasks that hold it choose it too, so their links agree."""
+    order = np.lexsort([fps[:, w] for w in reversed(range(fps.shape[1]))])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    best = np.full(len(order), len(order))
+    np.minimum.at(best, label, rank)
+    return order[best[label]]
+
+
 def links(nodes: DataFrame, deal: Deal | int = 4, hot: int = HOT_GROUP) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct fingerprints of (node, fingerprint words), b standing for the class in its task."""
+    """(a, b): a spanning forest of the links between distinct fingerprints of (node, fingerprint words), b the smallest of the class in its task."""
     deal = Deal(deal) if isinstance(deal, int) else deal
     radius, words = deal.radius, deal.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, 1 + words, TOGETHER):
+        for table in grouped(tidy(batches), 1 + words, TOGETHER):
             fps = np.column_stack([table.column(1 + w).to_numpy() for w in range(words)]).view(np.uint64)
-            label = GrayIndex(fps, pd.factorize(table.column(1 + words).to_numpy())[0], radius).forest()
+            label = smallest(GrayIndex(fps, pd.factorize(table.column(1 + words).to_numpy())[0], radius).forest(), fps)
             other = np.flatnonzero(label != np.arange(len(label)))
             node = table.column(0).combine_chunks()
             if len(other):
@@ -357,15 +368,56 @@ def links(nodes: DataFrame, deal: Deal | int = 4, hot: int = HOT_GROUP) -> DataF
     return dealt(nodes, deal, hot).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of `pairs` (a, b) reaches, by alternating star contraction; hubs are salted."""
+#: Links up to which one task settles their components; more go through rounds of star contraction.
+ONE_TASK = 2_000_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, root) of links (u, v) that have been counted to fit one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in tidy(batches) if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        both = pa.concat_arrays([c.combine_chunks() for c in table.columns])
+        parts = both.flatten() if pa.types.is_struct(both.type) else [both]
+        flat = pa.table(parts, names=[str(k) for k in range(len(parts))])
+        order = pc.sort_indices(flat, sort_keys=[(str(k), "ascending") for k in range(len(parts))]).to_numpy()
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for part in parts:
+            there = pc.is_valid(part).to_numpy(zero_copy_only=False)[order]
+            code = part.dictionary_encode().indices.fill_null(-1).to_numpy()[order]
+            new[1:] |= (code[1:] != code[:-1]) | (there[1:] != there[:-1])
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(new) - 1  # numbers in the order of the nodes
+        found = Forest(int(new.sum()))
+        found.join(code[: table.num_rows], code[table.num_rows :])
+        root, first = found.flat(), order[new]
+        node = np.flatnonzero(root != np.arange(len(root)))
+        yield batch_of(["node", "root"], [both.take(pa.array(first[node])), both.take(pa.array(first[root[node]]))])
+
+    kind = edges.schema["u"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("root", kind)])
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def components(pairs: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root): the smallest node that each other node of `pairs` (a, b) reaches.
+
+    Links that have been counted to fit one task are settled there; more go through alternating star contraction, hubs salted.
+    """
+    edges = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    if edges.count() <= one_task:
+        return cut(contracted(edges))
+    edges = cut(edges.distinct())
 
     def lows(edges: DataFrame) -> DataFrame:
         """(u, salt, m): the smallest neighbour of u, for each share of u's edges."""
         part = edges.groupBy("u", "salt").agg(F.min("v").alias("m"))
         return part.select("u", "salt").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
 
-    edges = cut(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt("v"))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm import packing, shards, simhash
+from framewright.llm import common, packing, shards, simhash
 from tests.llm.fixtures import documents, empty
 
 
@@ -41,7 +41,10 @@ def classes(fps, radius=4):
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
-def test_near_duplicates_equal_brute_force(spark, hot):
+def test_near_duplicates_equal_brute_force(spark, hot, monkeypatch):
+    if hot == 2:  # the ways beyond the bounds
+        monkeypatch.setattr(simhash.components, "__defaults__", (0,))
+        monkeypatch.setattr(common.with_facts, "__defaults__", ("inner", 0))
     docs = documents(spark)
     rows = docs.collect()
     fps = [fingerprint(r["text"]) for r in rows]
@@ -111,7 +114,8 @@ def test_dense_group_and_long_chain(spark):
         assert roots.get(v, v) == values[w]
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, simhash.ONE_TASK])
+def test_components_equal_union_find(spark, one_task):
     rng = random.Random(4)
     pairs = [(0, i) for i in range(1, 80)] + [(i, i + 1) for i in range(100, 140)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
     parent = list(range(401))
@@ -124,8 +128,18 @@ def test_components_equal_union_find(spark):
     for a, b in pairs:
         x, y = top(a), top(b)
         parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long"), one_task).collect()}
     assert all(got.get(x, x) == top(x) for pair in pairs for x in pair)
+    # nodes of several fields, with nulls: the smallest in their order
+    name = lambda x: (x % 3 == 0, None if x % 3 == 0 else f"id{x:03d}", x)
+    kind = "struct<none: boolean, id: string, fp: bigint>"
+    named = simhash.components(spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}"), one_task)
+    got = {r["node"]["fp"]: r["root"]["fp"] for r in named.collect()}
+    held = {}
+    for x in {x for pair in pairs for x in pair}:
+        held.setdefault(top(x), []).append(x)
+    low = {x: min(xs, key=lambda y: (name(y)[0], name(y)[1] or "", y)) for xs in held.values() for x in xs}
+    assert all(got.get(x, x) == low[x] for x in low)
 
 
 @pytest.mark.parametrize("words", [1, 4])
