@@ -12,7 +12,7 @@ PLANS = visibility.QUERIES | trajectories.QUERIES | masks.QUERIES | batch.QUERIE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visibility.adaptive_chunks(spark, sf_dir)
+    return recordings.recording_chunks(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

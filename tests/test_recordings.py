@@ -368,14 +368,37 @@ def test_envelopes_and_colour_models():
     assert centre.tolist() == [50, 50, 50] and scale.tolist() == [10, 7, 7]
     gate = R.appearance_gate(np.array([[[50, 50, 50], [120, 50, 50], [100, 50, 50]]]), centre, scale)
     assert gate.tolist() == [[True, False, True]]
-    seen = [None, (centre, scale), (centre + 10, scale), None, (centre - 10, scale)]
-    models = R.tracked_models(seen, 1)
-    assert [m[0][0] for m in models] == pytest.approx([50, 50, 50, 51.2, 51.2])
-    with pytest.raises(ValueError):
-        R.tracked_models(seen, 0)
     assert R.dilated_gate(np.eye(41, dtype=bool)[20:21].repeat(1, 0), 2).any()
 
 
+def test_appearance_keeps_the_sleeve_and_drops_the_table():
+    assert np.allclose(R.lab(np.array([[[255, 255, 255], [0, 0, 0], [0, 0, 255]]], np.uint8)), [[[255, 128, 128], [0, 128, 128], [136, 208, 195]]], atol=1)
+    mask = np.zeros((9, 9), bool)
+    mask[4, 4] = True
+    assert R.dilated(mask, R.ellipse(5)).sum() == 17 and R.dilated(mask, R.ellipse(3)).sum() == 5
+    assert (R.smoothed_mask(M.closed_opened(mask), 5, 3) == M.closed_opened(mask)).all()
+    shape, frames, raw, hands, axes = (80, 120), [], [], [], []
+    for i in range(4):
+        frame = np.full((*shape, 3), 200.0)
+        frame[30:50, :70] = (60 + 2 * i, 50, 50)  # the sleeve changes slowly
+        mask = np.zeros(shape, bool)
+        mask[30:50, :70] = True
+        mask[50:70, 20:50] = True  # a table of another colour that the mask leaks into
+        hand = np.zeros(shape, bool)
+        hand[32:48, 70:85] = True
+        frames.append(frame)
+        raw.append(mask | hand)
+        hands.append(hand)
+        axes.append((np.array([70.0, 40.0]), np.array([0.0, 40.0])))
+    everywhere = [np.ones(shape, bool)] * 4
+    kept, centre, scale = R.appearance_refined(raw, frames, everywhere, hands, axes, 1)
+    assert centre.tolist() == [62, 50, 50] and scale.tolist() == [10, 7, 7]
+    for k, h in zip(kept, hands):
+        assert k[31:49, 1:69].all() and not k[53:70].any() and k[h].all()
+    with pytest.raises(ValueError):
+        R.appearance_refined([h.copy() for h in hands], frames, everywhere, hands, axes, 1)
+
+
 def test_windowed_visibility_live(spark, tmp_path):
     import datetime as dt
 
