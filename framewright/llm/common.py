@@ -132,24 +132,15 @@ def split_flag(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return (id_crc(column) % modulus) == remainder
 
 
-#: Arrays of this many bytes are given back to the system as soon as they are freed.
-RETURNED_BYTES = 1 << 18
-_settings: list[ctypes.CDLL] = []
-
-
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what a task has freed goes back to the system, since worker processes outlive their tasks."""
-    if not _settings:
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
-        _settings.append(libc)
+    """The batches; at the end of a task what it has freed goes back to the system, since worker processes outlive their tasks."""
     try:
         yield from batches
     finally:
         pa.default_memory_pool().release_unused()
-        if hasattr(_settings[0], "malloc_trim"):
-            _settings[0].malloc_trim(0)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -35,7 +35,7 @@ from framewright.llm.words import P, hash_words, mix, spans, sums
 SAMPLE, SAMPLE_BYTES = 16_000, 16 << 20
 LONGEST = 5
 #: Most words whose scores a worker keeps at a time.
-CACHE = 200_000
+CACHE = 400_000
 _tables: list[np.ndarray] = []
 
 
