@@ -62,17 +62,21 @@ def run_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnowed(h: np.ndarray, window: int) -> np.ndarray:
-    """The place of the smallest hash of each run of `window` places, the last one of those that tie."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    padded = np.concatenate([h, np.full(window - 1, NONE, np.uint64)])
-    low, at = padded[:n].copy(), np.arange(n)
-    for j in range(1, window):
-        later = padded[j : n + j]
-        under = later <= low
-        low[under], at[under] = later[under], np.arange(j, n + j)[under]
-    return np.unique(at[low != NONE])
+    """The place of the smallest hash of each run of `window` places, the last one of those that tie.
+
+    That is a place with neighbours that are not smaller before it and larger ones after it, `window` - 1 of both together.
+    """
+    n, side = len(h), window - 1
+    edge = np.full(side, NONE, np.uint64)
+    padded = np.concatenate([edge, h, edge])
+    reach = np.zeros(n, np.int8)
+    for way in (-1, 1):
+        ok = h != NONE
+        for j in range(1, window):
+            other = padded[side + way * j : side + way * j + n]
+            ok = ok & (other >= h if way < 0 else other > h)
+            reach += ok
+    return np.flatnonzero((reach >= side) & (h != NONE))
 
 
 def around(words: np.ndarray, firsts: np.ndarray, at: np.ndarray, k: int, window: int) -> np.ndarray:
