@@ -118,8 +118,11 @@ def arm_axis(df: DataFrame, points: str, wrist: Column, elbow: Column, camera: C
     return held.withColumn(out, axis).drop("__fw_px", "__fw_w", "__fw_e", "__fw_hand", "__fw_knuckles", "__fw_base", "__fw_du", "__fw_dv", "__fw_end")
 
 
-def arm_prompt(df: DataFrame, axis: str, camera: Camera, padding: float = 82.0, out: str = "prompt") -> DataFrame:
-    """df and struct(positives, negatives, u0, v0, u1, v1) of an axis: points along it, points beside it that are on the image, and a padded box."""
+def arm_prompt(df: DataFrame, axis: str, camera: Camera, padding: float = 82.0, others: Column | None = None, out: str = "prompt") -> DataFrame:
+    """df and struct(positives, negatives, u0, v0, u1, v1) of an axis: points along it, points that are not on it, and a padded box.
+
+    Negatives are the other hand's points (array<struct<u, v>>), if any are given, and points beside the axis that are on the image.
+    """
     b = F.col(f"{axis}.base")
     held = df.withColumn("__fw_du", F.col(f"{axis}.end.u") - b["u"]).withColumn("__fw_dv", F.col(f"{axis}.end.v") - b["v"])
     held = held.withColumn("__fw_n", F.sqrt(F.col("__fw_du") * F.col("__fw_du") + F.col("__fw_dv") * F.col("__fw_dv")))
@@ -128,6 +131,8 @@ def arm_prompt(df: DataFrame, axis: str, camera: Camera, padding: float = 82.0,
     side = lambda k, s: F.struct((b["u"] + k * du - s * (78.0 + 38.0 * k) * dv / n).alias("u"), (b["v"] + k * dv + s * (78.0 + 38.0 * k) * du / n).alias("v"))
     beside = F.filter(F.array(*(side(k, s) for k in BESIDE for s in (-1.0, 1.0))), lambda p: on_image(p, camera))
     held = held.withColumn("__fw_beside", F.when(n > 1e-5, beside).otherwise(F.array().cast("array<struct<u: double, v: double>>")))
+    if others is not None:
+        held = held.withColumn("__fw_beside", F.concat(others, "__fw_beside"))
     last = {"u": b["u"] + ALONG[-1] * du, "v": b["v"] + ALONG[-1] * dv}
     low = lambda f: F.greatest(F.lit(0.0), F.least(b[f], last[f]) - padding)
     high = lambda f, size: F.least(F.lit(size - 1), F.greatest(b[f], last[f]) + padding)

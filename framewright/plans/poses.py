@@ -65,12 +65,13 @@ def pose_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landmark 0 as wrist and 20 as elbow: the axis, how many negatives are on the image, and the box; nulls for frames without an anchor.
+    """Landmark 0 as wrist and 20 as elbow, three landmarks as the other hand's: the axis, how many negatives are on the image, and the box; nulls for frames without an anchor.
 
     A filter on the axis here would be pushed below its steps, written out whole.
     """
     rows = P.arm_axis(landmarks(spark, sf_dir), "points", F.col("points")[0], F.col("points")[20], CAMERA)
-    rows = P.arm_prompt(rows, "axis", CAMERA)
+    other = F.filter(F.transform(F.array(*(F.col("points")[i] for i in (3, 7, 11))), lambda p: G.project(p, CAMERA)), lambda p: P.on_image(p, CAMERA))
+    rows = P.arm_prompt(rows, "axis", CAMERA, others=other)
     return rows.select(
         "frame", F.round("axis.base.u", 3).alias("base_u"), F.round("axis.base.v", 3).alias("base_v"), F.round("axis.end.u", 3).alias("end_u"), F.round("axis.end.v", 3).alias("end_v"),
         F.round(F.col("prompt.positives")[2]["u"], 3).alias("middle_u"), F.size("prompt.negatives").cast("long").alias("n_negatives"),
@@ -89,11 +90,12 @@ hits AS (SELECT frame, x, y, dx, dy, min(t) FILTER (t > 0 AND CASE WHEN side = '
 axes AS (SELECT frame, x, y, least(1279.0, greatest(0.0, x + t * dx)) - x AS du, least(719.0, greatest(0.0, y + t * dy)) - y AS dv FROM hits WHERE t IS NOT NULL),
 sides AS (SELECT frame, x + k * du - s * (78 + 38 * k) * dv / sqrt(du * du + dv * dv) AS u, y + k * dv + s * (78 + 38 * k) * du / sqrt(du * du + dv * dv) AS v
     FROM axes, (SELECT unnest([0.28, 0.58, 0.86]) AS k), (SELECT unnest([-1.0, 1.0]) AS s) WHERE sqrt(du * du + dv * dv) > 1e-5),
-counts AS (SELECT frame, count(*) FILTER (u >= 0 AND u <= 1279 AND v >= 0 AND v <= 719) AS n FROM sides GROUP BY frame)
-SELECT f.frame, round(x, 3) AS base_u, round(y, 3) AS base_v, round(x + du, 3) AS end_u, round(y + dv, 3) AS end_v, round(x + 0.5 * du, 3) AS middle_u, CASE WHEN x IS NOT NULL THEN coalesce(n, 0) END AS n_negatives,
+counts AS (SELECT frame, count(*) FILTER (u >= 0 AND u <= 1279 AND v >= 0 AND v <= 719) AS n FROM sides GROUP BY frame),
+other AS (SELECT frame, count(*) AS n_other FROM ok WHERE inside AND landmark IN (3, 7, 11) GROUP BY frame)
+SELECT f.frame, round(x, 3) AS base_u, round(y, 3) AS base_v, round(x + du, 3) AS end_u, round(y + dv, 3) AS end_v, round(x + 0.5 * du, 3) AS middle_u, CASE WHEN x IS NOT NULL THEN coalesce(n, 0) + coalesce(n_other, 0) END AS n_negatives,
     round(greatest(0.0, least(x, x + 0.94 * du) - 82) / 1280, 5) AS u0, round(greatest(0.0, least(y, y + 0.94 * dv) - 82) / 720, 5) AS v0,
     round(least(1279.0, greatest(x, x + 0.94 * du) + 82) / 1280, 5) AS u1, round(least(719.0, greatest(y, y + 0.94 * dv) + 82) / 720, 5) AS v1
-FROM (SELECT DISTINCT frame FROM points) f LEFT JOIN axes a ON f.frame = a.frame LEFT JOIN counts c ON a.frame = c.frame"""
+FROM (SELECT DISTINCT frame FROM points) f LEFT JOIN axes a ON f.frame = a.frame LEFT JOIN counts c ON a.frame = c.frame LEFT JOIN other o ON a.frame = o.frame"""
 
 
 def sequence_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,12 +117,13 @@ SELECT CAST(episode AS BIGINT) AS episode, frame, landmark, round(CASE WHEN abs(
 
 
 def landmark_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = G.visible_landmarks(F.col("points"), CAMERA)
+    sure = F.transform("points", lambda p: p[1])  # a second coordinate over zero counts as confidence
+    n = G.visible_landmarks(F.col("points"), CAMERA, confidence=sure)
     return landmarks(spark, sf_dir).select("episode", "frame", n.cast("long").alias("n_visible"), (n >= 2).alias("visible"))
 
 
 VISIBILITY_SQL = f"""WITH {PIXELS}
-SELECT CAST(episode AS BIGINT) AS episode, frame, count(*) FILTER (ok) AS n_visible, count(*) FILTER (ok) >= 2 AS visible FROM valid GROUP BY 1, 2"""
+SELECT CAST(episode AS BIGINT) AS episode, frame, count(*) FILTER (ok AND y > 0) AS n_visible, count(*) FILTER (ok AND y > 0) >= 2 AS visible FROM valid GROUP BY 1, 2"""
 
 
 def fuse_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +170,14 @@ CHUNKS_SQL = f"""{SEEN_SQL}, {bridged_sql("seen", 2, "seen", "b")}, {runs_sql("s
 
 
 def frame_to_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.frames_to_chunks(frames(spark, sf_dir).select("episode", "frame"), _chunks(spark, sf_dir), EP, "frame", "chunk").select("episode", "frame", "chunk", "local")
+    """Chunks that reach four frames further: where two overlap the later one wins; uncovered frames are source."""
+    longer = _chunks(spark, sf_dir).withColumn("stop", F.col("stop") + 4)
+    out = I.frames_to_chunks(frames(spark, sf_dir).select("episode", "frame"), longer, EP, "frame", "chunk")
+    return out.select("episode", "frame", "chunk", "local", F.when(F.col("chunk").isNull(), "source").otherwise("chunk").alias("kind"))
 
 
-FRAME_TO_CHUNK_SQL = f"""WITH {CHUNKS_SQL}
-SELECT f.episode, f.frame, c.chunk, f.frame - c.start AS local FROM frames f LEFT JOIN chunks c ON f.episode = c.episode AND f.frame >= c.start AND f.frame < c.stop"""
+FRAME_TO_CHUNK_SQL = f"""WITH {CHUNKS_SQL}, latest AS (SELECT f.episode, f.frame, max(c.start) AS chunk FROM frames f LEFT JOIN chunks c ON f.episode = c.episode AND f.frame >= c.start AND f.frame < c.stop + 4 GROUP BY 1, 2)
+SELECT episode, frame, chunk, frame - chunk AS local, CASE WHEN chunk IS NULL THEN 'source' ELSE 'chunk' END AS kind FROM latest"""
 
 
 def timeline_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
