@@ -34,12 +34,12 @@ def _points(row) -> tuple[np.ndarray, np.ndarray]:
 
 
 def per_frame(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """A kernel for each row: whole frames are rows, so no group is shuffled for it."""
+    """A kernel for each row (no row where it returns None): whole frames are rows, so no group is shuffled for it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
         for rows in batches:
-            yield pd.DataFrame([kernel(row) for row in rows.itertuples(index=False)], columns=names)
+            yield pd.DataFrame([made for row in rows.itertuples(index=False) if (made := kernel(row)) is not None], columns=names)
 
     return df.mapInPandas(run, schema)
 
@@ -83,12 +83,15 @@ SELECT f.frame, count(x) AS area, CAST(coalesce(sum(x), 0) AS BIGINT) AS columns
 
 def arm_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corridor of six pixels along each arm that has an anchor, and the hand: how many pixels."""
-    rows = P.arm_axis(hand_pixels(spark, sf_dir), "points", F.col("points")[0], F.col("points")[20], CAMERA).filter("axis is not null")
+    # frames without an anchor are left to the kernel: a filter would be pushed below the steps of the axis, written out whole
+    rows = P.arm_axis(hand_pixels(spark, sf_dir), "points", F.col("points")[0], F.col("points")[20], CAMERA)
     rows = rows.select("frame", "u", "v", "z", F.array("axis.base.u", "axis.base.v", "axis.end.u", "axis.end.v").alias("axis"))
 
-    def kernel(row) -> tuple:
+    def kernel(row) -> tuple | None:
+        axis = np.array([np.nan if v is None else v for v in row.axis], float)
+        if not np.isfinite(axis).all():
+            return None
         pixels, z = _points(row)
-        axis = np.array(row.axis)
         mask = R.arm_envelope(axis[:2], axis[2:], pixels, z, 64, 48, radius=6)
         return row.frame, int(mask.sum()), int((mask * np.arange(64)).sum())
 
