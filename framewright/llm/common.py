@@ -105,18 +105,28 @@ def salt(*by: str) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
 
 
-#: Rows of facts up to which they are broadcast once counted.
-FEW_FACTS = 100_000
+#: Rows and bytes of facts up to which they are broadcast once counted.
+FEW_FACTS, FEW_BYTES = 100_000, 16 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and arrays by their lengths, other values as 16."""
+    parts = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        parts.append(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 32 if kind == "array" else F.lit(0))
+    return sum((F.coalesce(p, F.lit(0)).cast("long") for p in parts), F.lit(16 * len(parts)).cast("long"))
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, by: list[str], how: str = "inner", few: int = FEW_FACTS) -> DataFrame:
-    """rows joined with facts (short rows, one for each key) such that no key's rows meet in one task.
+    """rows joined with facts (short rows, a bounded number for each key) such that no key's rows meet in one task.
 
-    Facts that have been counted to be few are broadcast. Beyond that the distinct (key, salt)
+    Facts that have been counted to be few, in rows and bytes, are broadcast. Beyond that the distinct (key, salt)
     pairs, at most SALTS for each key, fetch the facts, and rows join those pairs; rows is then read twice: pass a cut or cheap one.
     """
     facts = cut(facts)
-    if facts.count() <= few:
+    counted = facts.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(facts)), F.lit(0)).alias("bytes")).first()
+    if counted["n"] <= few and counted["bytes"] <= FEW_BYTES:
         return rows.join(F.broadcast(facts), key, how)
     salted = rows.withColumn("__salt", salt(*by))
     pairs = salted.select(key, "__salt").distinct()

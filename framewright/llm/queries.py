@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, decontam, language, licenses, media, packing, quality, shards, simhash, toxicity
+from framewright.llm import chat, decontam, language, licenses, lines, media, packing, quality, shards, simhash, toxicity, variants, vectors
 from framewright.llm.common import read
 
 
@@ -126,6 +126,106 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(docs, language.learn(docs))
 
 
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectors.compress(read(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(vectors.digest(books)))
+
+
+def op11_sql() -> str:
+    """Four rounds over the distinct parts, as one common table each."""
+    apart = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    said = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), cells AS MATERIALIZED (
+    SELECT r, vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p)
+), points AS MATERIALIZED (SELECT p, x, count(*) AS w FROM cells GROUP BY p, x),
+book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c FROM cells QUALIFY k < 256
+)"""
+    for n in range(4):
+        said += f""", near{n} AS (
+    SELECT p, x, w, arg_min(k, d * 256 + k) AS k FROM (SELECT p, x, w, k, {apart} AS d FROM points JOIN book{n} USING (p)) GROUP BY p, x, w
+), mean{n} AS (
+    SELECT p, k, list(floor(s / n) ORDER BY j) AS c
+    FROM (SELECT p, k, j, sum(w * x[j]) AS s, sum(w) AS n FROM (SELECT p, x, w, k, unnest(range(1, len(x) + 1)) AS j FROM near{n}) GROUP BY p, k, j) GROUP BY p, k
+), book{n + 1} AS MATERIALIZED (
+    SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} m ON b.p = m.p AND b.k = m.k
+)"""
+    return said + f""", near4 AS (
+    SELECT p, x, arg_min(k, d * 256 + k) AS k, min(d) AS d FROM (SELECT p, x, k, {apart} AS d FROM points JOIN book4 USING (p)) GROUP BY p, x
+), codes AS (
+    SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM cells JOIN near4 USING (p, x) GROUP BY r, vec_id, label
+), digest AS (
+    SELECT sha256(string_agg(CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, j)) AS codebooks_sha256
+    FROM (SELECT p, k, unnest(c) AS e, unnest(range(1, len(c) + 1)) AS j FROM book4)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(read(spark, sf_dir, "documents"), altered=variants.one_deleted))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+    SELECT CAST(b AS BIGINT) AS b, CAST(b AS BIGINT) AS c, 0 AS i FROM range(256) t(b)
+    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8
+), crcs AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM steps WHERE i = 8),
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents
+), counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(id || ':' || run, ''), lambda s:
+        CASE WHEN unicode(s) < 128 THEN [CAST(unicode(s) AS BIGINT)] ELSE [CAST(192 + (unicode(s) >> 6) AS BIGINT), CAST(128 + (unicode(s) & 63) AS BIGINT)] END))),
+        lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) AS h
+    FROM counted, crcs
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), holes AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest, length(word) AS size FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), links AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.size = b.size AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM links GROUP BY word),
+firsts AS (SELECT l.word, min(near) AS near FROM links l JOIN best b ON l.word = b.word AND l.near_n = b.top GROUP BY l.word),
+forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN near END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN firsts f ON w.word = f.word
+), walk AS (
+    SELECT word, word AS place FROM forms
+    UNION ALL SELECT walk.word, form FROM walk JOIN forms ON walk.place = forms.word WHERE form IS NOT NULL
+), roots AS (SELECT walk.word, place AS root FROM walk JOIN forms ON walk.place = forms.word WHERE form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots r ON f.word = r.word
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS rows FROM documents),
+own AS (
+    SELECT r, unnest(rows) AS line, unnest(range(len(rows))) AS i FROM docs
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM own
+), often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+kept AS (SELECT keyed.*, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often ON keyed.k = often.k),
+texts AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS said FROM kept GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(said) AS kept_sha256 FROM docs JOIN texts USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -137,6 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_shards": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_shards": OP5_SQL, "op11_vector_codes": op11_sql(), "op12_spelling_variants": OP12_SQL, "op13_line_dedup": OP13_SQL}
