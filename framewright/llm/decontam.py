@@ -391,6 +391,7 @@ def drop_contaminated(
         texts = Texts(batch.column(place))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(texts.text(i)) for i in range(len(texts))], pa.int64())], names=[*batch.schema.names, key])
 
-    held = cut(distributed_hits(docs, text_col, items, k, window).select(F.col("key").alias(key)))
+    hit = key + "_hit"
+    held = distributed_hits(docs, text_col, items, k, window).select(F.col("key").alias(key), F.lit(True).alias(hit))
     rows = map_batches(docs, keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
-    return rows.join(held, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_facts(rows, held, key, [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and c != text_col], "left").filter(F.col(hit).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,8 +9,8 @@ square root of the number of words.
 Learned from at most `sample` rows and `sample_bytes` of text (those with the
 smallest hashes of id and text, repeated rows once), outside the held-out fifth:
 word counts are summed by the executors, one task makes the tables of all words of the sample, which its
-bytes bound, and the tables alone reach the driver. Words that occur once and n-grams of three and more
-characters that occur once are not in the tables; every word counts towards n-grams.
+bytes bound, and the tables alone reach the driver. Words and n-grams that occur fewer than `least` times (one: none) are
+left out of the tables.
 
 Defined results: null texts, empty texts and texts without a letter are `und`
 with score 0, as is everything if nothing could be learned; rows with a null
@@ -105,7 +105,7 @@ class Languages:
         self.grams = {n: t for n, t in tables.items() if n}
 
     @classmethod
-    def of(cls, words: pd.DataFrame) -> Languages:
+    def of(cls, words: pd.DataFrame, least: int = 1) -> Languages:
         """From (lang, word, n): table 0 of words, table n of n-grams."""
         names = sorted(words["lang"].unique().tolist())
         width = len(names)
@@ -116,10 +116,10 @@ class Languages:
         starts, lengths = places[:-1], np.diff(places)
         language = words["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
         counts = words["n"].to_numpy(np.float64)
-        tables = {0: Table.of(hash_words(codes, starts, lengths), language, counts, width, 2, 0.3)}
+        tables = {0: Table.of(hash_words(codes, starts, lengths), language, counts, width, least, 0.3)}
         for n in range(1, LONGEST + 1):
             h, word = gram_hashes(codes, starts, lengths, n)
-            tables[n] = Table.of(h, language[word], counts[word], width, 1 if n < 3 else 2, 0.3)
+            tables[n] = Table.of(h, language[word], counts[word], width, least, 0.3)
         return cls(names, tables)
 
     def scores(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ class Languages:
         return out - out.mean(axis=1, keepdims=True)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Languages | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, least: int = 1) -> Languages | None:
     """The model, or None if there is nothing to learn from."""
     usable = docs.filter(~split_flag(5, 0, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     rows = bounded_sample(usable.select(id_col, lang_col, text_col), sample, sample_bytes, [id_col, lang_col, text_col], F.octet_length(text_col)).select(lang_col, text_col)
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if not held:
             return
         words = pa.Table.from_batches(held).to_pandas().sort_values(["lang", "word"], ignore_index=True)
-        model = Languages.of(words)
+        model = Languages.of(words, least)
         tables = {0: model.words} | model.grams
         kinds = (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary())
         rows = [(n, model.names, t.keys.tobytes(), t.logs.tobytes()) for n, t in tables.items()]

@@ -5,8 +5,8 @@ pigeonhole principle one piece stands unharmed in every match. An Aho-Corasick
 automaton finds all pieces, an exact comparison confirms unharmed notices at the
 implied place, and the regex library's bounded-error matching verifies the other
 candidates, from the start of a word to the end of one, and reports their spans
-and edits: the best match of a run of candidates first, then the best ones of
-what lies before and after it, so no match hides another beside it.
+and edits. Each word of a run of candidates is tried once as a beginning; the best match is taken first, then the best of
+those that it leaves room for, so no match hides another beside it and the work follows the length of the text.
 
 Texts are compared in canonical form: words (see words.py) joined by one space.
 
@@ -17,6 +17,8 @@ results; ties between spans go to the smaller start.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -75,21 +77,47 @@ class Scanner:
         self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{regex.escape(x.phrase)}){{e<={x.edits}}}(?![^ ])") for x in self.notices]
 
     def matches(self, k: int, text: str, first: int, last: int) -> Iterator[tuple[int, int, int]]:
-        """(start, stop, edits) of disjoint matches of a notice between two places: the fewest edits first, then left and right of it."""
-        least = len(self.notices[k].phrase) - self.notices[k].edits
-        parts = [(first, last)]
-        while parts:
-            a, b = parts.pop()
-            # whole words only: a notice begins and ends with words
-            if 0 < a < b and text[a - 1] != " ":
-                a = text.find(" ", a, b) + 1 or b
-            if a < b < len(text) and text[b] != " ":
-                b = max(a, text.rfind(" ", a, b))
-            if b - a < least:
+        """(start, stop, edits) of disjoint matches of a notice between two places: the fewest edits first, of equals the first one.
+
+        Every word of the window is tried once as a beginning, within the length that a match can have; a match that runs
+        into one taken before it is tried again up to there, so the work follows the window's length.
+        """
+        longest, edits = len(self.notices[k].phrase) + self.notices[k].edits, self.notices[k].edits
+        least = len(self.notices[k].phrase) - edits
+
+        def limit(start: int, stop: int) -> int:
+            """The last end of a word at most `longest` after start and not beyond stop."""
+            stop = min(stop, start + longest)
+            return stop if stop == len(text) or text[stop] == " " else text.rfind(" ", start, stop)
+
+        def found(start: int, stop: int) -> tuple[int, int, int] | None:
+            stop = limit(start, stop)
+            if stop - start < least or not (m := self.patterns[k].match(text, start, stop)) or m.end() <= start:
+                return None
+            return sum(m.fuzzy_counts), start, m.end()
+
+        at, heap = first, []
+        if 0 < at < last and text[at - 1] != " ":
+            at = text.find(" ", at, last) + 1 or last
+        while at < last:
+            if text[at] != " " and (m := found(at, last)):
+                heap.append(m)
+            at = text.find(" ", at, last) + 1 or last
+        heapq.heapify(heap)
+        starts: list[int] = []  # of the matches taken, in order, with their stops
+        stops: list[int] = []
+        while heap:
+            n, start, stop = heapq.heappop(heap)
+            spot = bisect.bisect_left(starts, start)
+            if (spot < len(starts) and starts[spot] == start) or (spot and stops[spot - 1] >= start):
                 continue
-            if (m := self.patterns[k].search(text, a, b)) and m.end() > m.start():
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
-                parts += [(a, m.start() - 1), (m.end() + 1, b)]
+            if spot < len(starts) and starts[spot] <= stop:
+                if m := found(start, starts[spot] - 1):
+                    heapq.heappush(heap, m)
+                continue
+            starts.insert(spot, start)
+            stops.insert(spot, stop)
+            yield start, stop, n
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """(base places: notice, word), (other spans: notice, start, end, edits), places in characters of the canonical form."""

@@ -11,19 +11,19 @@ segments up to the first end mark after the scan begins; GIF blocks; the last
 end mark of a PDF, before the next one begins, whose cross reference is where it
 says; the ZIP end record whose directory begins where it says and leads back to
 this start; gzip's own stream; FLAC blocks and frames with both their checksums up to the
-stated number of samples; Ogg pages with their checksums; MP4 boxes.
+stated number of samples; Ogg pages with their checksums; MP4 boxes. Chains that several openings
+lead to are walked once, so crafted values cost no more than their length for these formats.
 
 Defined results: a null value counts as empty; an empty value has no type
 (`empty`); a magic whose structure does not hold is ignored; overlapping
-confirmed spans are all reported, in order of start, then length; equal values
-give equal results.
+confirmed spans are all reported, in order of start, then length, but for Ogg pages and MP4 boxes that continue
+a stream; equal values give equal results.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-import io
 import re
 import struct
 import zlib
@@ -85,6 +85,12 @@ class Marks:
             if end + 22 <= len(value):
                 size, start = struct.unpack_from("<II", value, end + 12)
                 self.archives[end - size - start] = end
+        # what chains of JPEG segments, GIF blocks and data, FLAC frames and MP4 boxes have come to, by place: none is walked twice
+        self.segments: dict[int, int | None] = {}
+        self.blocks: dict[int, int | None] = {}
+        self.data: dict[int, int] = {}
+        self.frames: dict[tuple[int, bool], int | None] = {}
+        self.boxes: dict[int, tuple[int, int]] = {}
 
     def after(self, kind: str, place: int) -> int | None:
         """The first end mark at or after a place."""
@@ -126,42 +132,64 @@ def _png(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
 
 
 def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    place = at + 2
+    walked, place, end = [], at + 2, None
     while place + 4 <= len(b) and b[place] == 0xFF:
+        if place in marks.segments:
+            end = marks.segments[place]
+            break
+        walked.append(place)
         marker, length = b[place + 1], struct.unpack_from(">H", b, place + 2)[0]
         if length < 2:
-            return None
+            break
         place += 2 + length
         if marker == 0xDA:
             end = marks.after("jpeg", place)
-            return ("jpeg", end + 2 - at) if end is not None else None
-    return None
+            break
+    marks.segments.update(dict.fromkeys(walked, end))
+    return ("jpeg", end + 2 - at) if end is not None else None
+
+
+def _colours(flags: int) -> int:
+    """Bytes of a GIF colour table."""
+    return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+
+def _data_end(b: bytes, place: int, known: dict[int, int]) -> int:
+    """Where the data blocks that begin at a place end; `known` keeps what has been walked."""
+    walked = []
+    while place not in known and place < len(b) and b[place]:
+        walked.append(place)
+        place += 1 + b[place]
+    end = known.get(place, place + 1)
+    known.update(dict.fromkeys(walked, end))
+    return end
 
 
 def _gif(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 13 > len(b) or 0 in struct.unpack_from("<HH", b, at + 6):
         return None
-    flags = b[at + 10]
-    place = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+    walked, place, end = [], at + 13 + _colours(b[at + 10]), None
     while place < len(b):
-        mark = b[place]
-        if mark == 0x3B:
-            return "gif", place + 1 - at
-        if mark == 0x2C and place + 10 <= len(b):
-            local = b[place + 9]
-            place += 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0)
-        elif mark == 0x21:
+        if place in marks.blocks:
+            end = marks.blocks[place]
+            break
+        walked.append(place)
+        if b[place] == 0x3B:
+            end = place + 1
+            break
+        if b[place] == 0x2C and place + 10 <= len(b):
+            place += 11 + _colours(b[place + 9])
+        elif b[place] == 0x21:
             place += 2
         else:
-            return None
-        while place < len(b) and b[place]:
-            place += 1 + b[place]
-        place += 1
-    return None
+            break
+        place = _data_end(b, place, marks.data)
+    marks.blocks.update(dict.fromkeys(walked, end))
+    return ("gif", end - at) if end is not None else None
 
 
 _startxref = re.compile(rb"startxref[\x00\t\n\x0c\r ]+(\d{1,12})[\x00\t\n\x0c\r ]+\Z")
-_reference = re.compile(rb"\s*(xref\b|\d+\s+\d+\s+obj\b)")
+_reference = re.compile(rb"\s{0,64}(xref\b|\d{1,12}\s{1,64}\d{1,12}\s{1,64}obj\b)")
 
 
 def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
@@ -170,8 +198,10 @@ def _pdf(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     k = bisect.bisect_right(marks.pdfs, at)
     limit = marks.pdfs[k] if k < len(marks.pdfs) else len(b)
     first, last = (bisect.bisect_left(marks.ends["pdf"], x) for x in (at, limit))
-    for end in reversed(marks.ends["pdf"][max(first, last - 8) : last]):  # the last mark, or one before it whose reference holds
-        said = _startxref.search(b, max(at, end - 64), end)
+    ends = marks.ends["pdf"]
+    for k in range(last - 1, first - 1, -1):  # the last mark whose reference holds; each mark belongs to one opening
+        end, before = ends[k], max(at, ends[k - 1] if k else at)
+        said = _startxref.match(b, found, end) if (found := b.rfind(b"startxref", before, end)) >= 0 else None
         if said and (place := at + int(said[1])) < end and _reference.match(b, place, end):
             return "pdf", end + 5 - at
     return None
@@ -192,18 +222,19 @@ def _gzip(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     worker = zlib.decompressobj(31)
+    place = at
     try:
-        rest = io.BytesIO(b[at:])
         while not worker.eof:
-            block = rest.read(1 << 16)
+            block = b[place : place + (1 << 12)]
             if not block:
                 return None
+            place += len(block)
             while block and not worker.eof:
                 worker.decompress(block, 1 << 20)
                 block = worker.unconsumed_tail
     except zlib.error:
         return None
-    return "gzip", len(b) - at - len(worker.unused_data) - len(rest.read())
+    return "gzip", place - len(worker.unused_data) - at
 
 
 def crc_table(polynomial: int, bits: int) -> list[int]:
@@ -220,6 +251,17 @@ def crc_table(polynomial: int, bits: int) -> list[int]:
 CRC8, CRC16, CRC32 = crc_table(0x07, 8), crc_table(0x8005, 16), crc_table(0x04C11DB7, 32)
 
 
+def _frame_end(b: bytes, place: int, head: tuple[int, int], last: bool, most: int) -> int | None:
+    """Where the frame's checksum, itself included, is none and another frame or the end follows; a frame has `most` bytes at most."""
+    c, end = 0, place
+    for byte in memoryview(b)[place : place + most]:
+        c = ((c << 8) & 0xFFFF) ^ CRC16[(c >> 8) ^ byte]
+        end += 1
+        if not c and end >= place + head[1] + 3 and (last or _frame(b, end)):
+            return end
+    return None
+
+
 def _frame(b: bytes, at: int) -> tuple[int, int] | None:
     """(samples, length of the header) of a FLAC frame whose header's checksum holds."""
     if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 2] >> 4 == 0 or b[at + 2] & 15 == 15 or b[at + 3] >> 4 > 10 or b[at + 3] & 1:
@@ -246,7 +288,7 @@ def _frame(b: bytes, at: int) -> tuple[int, int] | None:
 
 
 def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    place, total, last = at + 4, None, False
+    place, total, last, wide = at + 4, None, False, 0
     while not last:
         if place + 4 > len(b):
             return None
@@ -255,19 +297,19 @@ def _flac(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
             return None
         if kind == 0:
             total = int.from_bytes(b[place + 17 : place + 22], "big") & (2**36 - 1)
+            facts = int.from_bytes(b[place + 14 : place + 18], "big") >> 4
+            wide = (facts >> 5 & 7) + 1, (facts & 31) + 2  # channels, bits of a sample and its difference
         place += 4 + length
     done = 0
     while done < total or not total:  # 0: the number of samples is not stated
         head = _frame(b, place)
         if not head:
             break
-        c, end = 0, place
-        for byte in memoryview(b)[place:]:  # to where the checksum of all, itself included, is none and another frame or the end follows
-            c = ((c << 8) & 0xFFFF) ^ CRC16[(c >> 8) ^ byte]
-            end += 1
-            if not c and end >= place + head[1] + 3 and (done + head[0] >= (total or 1) or _frame(b, end)):
-                break
-        else:
+        last = done + head[0] >= (total or 1)
+        if (place, last) not in marks.frames:  # openings that lead to the same frame look for its end once
+            marks.frames[place, last] = _frame_end(b, place, head, last, head[1] + 2 + wide[0] * (8 + (head[0] * wide[1] + 7) // 8))
+        end = marks.frames[place, last]
+        if end is None:
             break
         done, place = done + head[0], end
     return ("flac", place - at) if done and done >= total else None
@@ -292,13 +334,18 @@ def _ogg(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
 
 
 def _mp4(b: bytes, at: int, marks: Marks) -> tuple[str, int] | None:
-    place, boxes = at, 0
-    while place + 8 <= len(b):
+    walked, place = [], at
+    while place not in marks.boxes and place + 8 <= len(b):
         size, name = struct.unpack_from(">I4s", b, place)
         if size < 8 or place + size > len(b) or not name.replace(b" ", b"a").isalnum():
             break
-        place, boxes = place + size, boxes + 1
-    return ("mp4", place - at) if boxes >= 2 else None
+        walked.append(place)
+        place += size
+    stop, boxes = marks.boxes.get(place, (place, 0))  # a chain that another one has walked
+    for place in reversed(walked):
+        boxes += 1
+        marks.boxes[place] = stop, boxes
+    return ("mp4", stop - at) if boxes >= 2 else None
 
 
 VALIDATORS = {"riff": _riff, "png": _png, "jpeg": _jpeg, "gif": _gif, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg, "mp4": _mp4}
@@ -308,8 +355,8 @@ def sniff(value: bytes, found: ahocorasick.Automaton | None = None) -> list[tupl
     """Confirmed media of a value: (start, length, kind), by start and length."""
     marks, spans, ogg = Marks(value, found or automaton()), [], 0
     for kind, at in marks.openings:
-        if kind == "ogg" and at < ogg:
-            continue  # a page of the stream before it
+        if (kind == "ogg" and at < ogg) or (kind == "mp4" and at in marks.boxes):
+            continue  # a page, or a box, of the stream before it
         if ok := VALIDATORS[kind](value, at, marks):
             spans.append((at, ok[1], ok[0]))
             ogg = at + ok[1] if kind == "ogg" else ogg

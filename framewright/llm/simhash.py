@@ -6,9 +6,10 @@ more 64-bit words. Two fingerprints link at `radius` or fewer differing bits.
 Distribution: fingerprints are cut into blocks, and distinct ones are dealt by
 (block, its value). With radius + 1 blocks (the default deal of one word) linked
 fingerprints agree in one block at least, so the deal loses nothing. A hot value
-(see `hot`) is dealt again by blocks of its other bits, and a value that is
-still hot after that is dealt to pairs of tiles, so no task holds more than two
-tiles. Inside a task, the fingerprints of a value are sorted by Gray rank
+(see `hot`) is dealt again by radius + 1 blocks of its other bits, up to LEVELS times,
+and a value that is still hot after that is dealt to pairs of tiles, so no task holds more than two
+tiles. In other deals a pair may agree in one block alone, so their hot values go to tiles at
+once: every pair that a value holds meets, hot or not, at the price of one copy of a row for each tile of its value. Inside a task, the fingerprints of a value are sorted by Gray rank
 and stacked into a hierarchy: a node keeps the bits that all below share and
 that no node above already holds (a masked pattern); a search adds up the
 differences on its way down and drops a whole group once they pass the radius.
@@ -250,7 +251,7 @@ def _others(fp: Column, shift: int, bits: int) -> Column:
     """fp without the block's bits: those below, then those above."""
     low = fp.bitwiseAND(F.lit((1 << shift) - 1)) if shift else F.lit(0).cast("long")
     high = F.shiftrightunsigned(fp, shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
-    return low.bitwiseOR(F.shiftleft(high, shift))
+    return low.bitwiseOR(F.shiftleft(high, shift)) if shift else high
 
 
 def _run_of(x: Column, shift: int, bits: int) -> Column:
@@ -260,7 +261,7 @@ def _run_of(x: Column, shift: int, bits: int) -> Column:
 @dataclass(frozen=True)
 class Deal:
     """How fingerprints meet: `each` blocks for each of `words` words. One word in radius + 1 blocks loses no link;
-    other deals find a pair with the probability that one block agrees (two for hot values)."""
+    other deals find a pair with the probability that one block agrees."""
 
     radius: int
     words: int = 1
@@ -281,32 +282,38 @@ class Deal:
         """The value of each block."""
         return [_run_of(F.col(c), s, b) for c in self.columns() for s, b in blocks(64, self.parts)]
 
-    def inner(self) -> Column:
-        """For each block, the keys of the second deal: blocks of the other bits (exact), or the later blocks."""
-        if self.exact:
-            return F.array(*(F.array(*(_run_of(_others(F.col("fp"), s, b), lo, n) for lo, n in blocks(64 - b, self.parts))) for s, b in blocks(64, self.parts)))
-        found = self.values()
-        return F.array(*(F.array(*found[k + 1 :]).cast("array<long>") for k in range(len(found))))
+
+#: How often the bits of exact deals are cut before tiles.
+LEVELS = 4
 
 
 def dealt(nodes: DataFrame, deal: Deal, hot: int) -> DataFrame:
-    """(node, fingerprint words, key): each fingerprint once for each block; hot values by a second block too, then by pairs of tiles."""
+    """(node, fingerprint words, key): each fingerprint once for each block; hot values by blocks of what is left, then by pairs of tiles."""
     held = ["node", *deal.columns()]
-    first = nodes.select(*held, F.posexplode(F.array(*deal.values())).alias("block", "value")).withColumn("key", F.xxhash64("block", "value"))
-    sizes = cut(first.groupBy("key").count().filter(F.col("count") > hot))
-    if not sizes.limit(1).count():
-        return first.select(*held, "key")
-    marked = with_facts(first, sizes, "key", ["node"], "left")
-    cold = marked.filter(F.col("count").isNull()).select(*held, "key")
-    second = marked.filter(F.col("count").isNotNull()).select(*held, "key", F.posexplode(F.element_at(deal.inner(), F.col("block") + 1)).alias("inner", "value"))
-    second = second.select(*held, F.xxhash64("key", "inner", "value").alias("key"))
-    sizes = cut(second.groupBy("key").count().filter(F.col("count") > hot))
-    if not sizes.limit(1).count():
-        return cold.unionByName(second)
-    marked = with_facts(second, sizes, "key", ["node"], "left")
-    return cold.unionByName(marked.filter(F.col("count").isNull()).select(*held, "key")).unionByName(
-        tile_pairs(marked.filter(F.col("count").isNotNull()), "key", F.ceil(F.col("count") / F.lit(hot)).cast("int"), "node").select(*held, "key")
-    )
+    if not deal.exact:
+        rows = nodes.select(*held, F.posexplode(F.array(*deal.values())).alias("block", "value")).select(*held, F.xxhash64("block", "value").alias("key"))
+    done, width, level = None, 64, 0
+    while True:
+        if deal.exact and level < LEVELS:
+            # `rest` are the bits that no block so far has taken, `width` at most
+            before = nodes.select(*held, F.col("fp").alias("rest"), F.lit(0).cast("long").alias("key")) if done is None and not level else rows
+            cuts = blocks(width, deal.parts)
+            parts = F.array(*(F.struct(_run_of(F.col("rest"), s, b).alias("value"), _others(F.col("rest"), s, b).alias("left")) for s, b in cuts))
+            rows = before.select(*held, "key", F.posexplode(parts).alias("block", "part"))
+            rows = rows.select(*held, F.col("part.left").alias("rest"), F.xxhash64("key", "block", "part.value").alias("key"))
+            width -= min(b for _, b in cuts)
+        sizes = cut(rows.groupBy("key").count().filter(F.col("count") > hot))
+        if not sizes.limit(1).count():
+            found = rows.select(*held, "key")
+            return found if done is None else done.unionByName(found)
+        marked = with_facts(rows, sizes, "key", ["node"], "left")
+        cold = marked.filter(F.col("count").isNull()).select(*held, "key")
+        done = cold if done is None else done.unionByName(cold)
+        warm, level = cut(marked.filter(F.col("count").isNotNull())), level + 1
+        if not deal.exact or level == LEVELS:
+            tiles = tile_pairs(warm, "key", F.ceil(F.col("count") / F.lit(hot)).cast("int"), "node")
+            return done.unionByName(tiles.select(*held, "key"))
+        rows = warm.drop("count")
 
 
 def tile_pairs(rows: DataFrame, key: str, tiles: Column, by: str) -> DataFrame:

@@ -6,7 +6,9 @@ another mixing of the hashes. A similarity J turns about arccos(2 J / (1 + J)) /
 of its 256 bits: 39 of them at 0.8, 27 at 0.9. The Gray-order index of `simhash` joins
 fingerprints at RADIUS or fewer differing bits into groups of candidates, over
 a deal of EACH blocks of each word: at a similarity of 0.8 a pair shares no block
-with a probability of about 0.01, at 0.9 of 0.0004 (README: recall as measured).
+with a probability of about 0.01, at 0.9 of 0.0004; values that many fingerprints share are
+dealt to tiles, which hold the same pairs. `pairs_at_least` finds all links exactly, by prefixes of the sets, and
+`recall` holds the deal against it (README: as measured).
 
 Groups of candidates are then settled by their whole sets: two texts link where
 the Jaccard similarity is `least` or more, and classes are what links connect.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import Texts, batch_of, bounded_broadcast, cut, map_batches, tidy, with_facts
-from framewright.llm.simhash import Deal, Forest, components, id_key, links, one_of_each, tile_pairs, vote
+from framewright.llm.simhash import HOT_GROUP, Deal, Forest, components, dealt, id_key, links, one_of_each, tile_pairs, vote
 from framewright.llm.words import LOWERED, P, hash_words, mix, owner, spans
 
 WIDTH, LEAST = 5, 0.8
@@ -265,3 +267,41 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(sketches(docs, id_col, text_col, width))
     classes = near_classes(docs, id_col, text_col, width, Fraction(str(least)), rows, tile)
     return one_of_each(docs, id_col, text_col, rows.select(id_col, "node"), classes, lambda texts: nodes_of(texts, width))
+
+
+def pairs_at_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, every: int = 1) -> DataFrame:
+    """(a, b) of all different texts' nodes at `least` or more, one of them from every `every`-th node: the exact way that the deal is measured against.
+
+    In sets ordered by how few texts have a hash, two that are so similar share one of their first n - ceil(least * n) + 1 hashes.
+    """
+    share = Fraction(str(least))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(id_key(id_col).alias("key"), F.col(text_col).alias(text_col), F.col(id_col).alias(id_col))
+    sets = cut(sets_of(rows, id_col, text_col, rows.select("key").distinct(), width).dropDuplicates(["node"]).withColumn("n", F.size("hashes")))
+    tokens = sets.select("node", "n", F.explode("hashes").alias("h"))
+    rare = tokens.groupBy("h").agg(F.count("*").alias("texts"))
+    placed = tokens.join(rare, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "h"))).alias("by"))
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(share.numerator) / F.lit(share.denominator)).cast("int") + 1
+    heads = cut(placed.select("node", "n", F.explode(F.slice("by", F.lit(1), head)["h"]).alias("h")))
+    a = heads.filter(F.pmod("node", F.lit(every)) == 0).select("h", F.col("node").alias("a"), F.col("n").alias("a_n"))
+    b = heads.select("h", F.col("node").alias("b"), F.col("n").alias("b_n"))
+    sized = (F.col("a_n") * share.denominator >= F.col("b_n") * share.numerator) & (F.col("b_n") * share.denominator >= F.col("a_n") * share.numerator)
+    met = a.join(b, "h").filter((F.col("a") != F.col("b")) & sized).select("a", "b").distinct()
+    hashes = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    alike = both * (share.numerator + share.denominator) >= (F.size("a_set") + F.size("b_set")) * share.numerator
+    found = met.join(hashes("a"), "a").join(hashes("b"), "b").filter(alike)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def recall(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, every: int = 1, hot: int | None = None) -> tuple[int, int]:
+    """(found, all): how many of the pairs of pairs_at_least meet in a block value and lie within the radius, so that the deal proposes them itself."""
+    pairs = cut(pairs_at_least(docs, id_col, text_col, width, least, every))
+    prints = [f"fp{w}" for w in range(WORDS)]
+    nodes = cut(sketches(docs, id_col, text_col, width).groupBy("node").agg(*(F.min(p).alias(p) for p in prints)))
+    deal = Deal(RADIUS, WORDS, EACH)
+    keys = dealt(nodes, deal, hot or HOT_GROUP).select("node", "key").distinct()
+    a, b = (keys.select(F.col("node").alias(x), F.col("key")) for x in "ab")
+    met = pairs.join(a, "a").join(b, ["b", "key"]).select("a", "b").distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.array(*prints).alias(f"{x}_fp"))
+    apart = F.aggregate(F.zip_with("a_fp", "b_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return met.join(side("a"), "a").join(side("b"), "b").filter(apart <= RADIUS).count(), pairs.count()

@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import struct
+import time
 import zipfile
 import zlib
 
@@ -244,3 +245,23 @@ def test_storage_is_lossless_and_sniffing_never_fails(data):
     for value in SAMPLES.values():
         media.sniff(value[: len(data)] + data)
     json.dumps(media.features(data))
+
+
+def test_marks_after_a_document_do_not_hide_it():
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n24\n%%EOF"
+    for n in (0, 7, 8, 20, 500):
+        assert media.sniff(b"ab" + pdf + b" %%EOF" * n) == [(2, len(pdf), "pdf")], n
+    wide = pdf.replace(b"\n24\n", b"\n" + b" " * 300 + b"24" + b" " * 300)
+    assert media.sniff(wide) == [(0, len(wide), "pdf")]
+
+
+def test_crafted_chains_cost_their_length():
+    box = b"\0\0\0\x08ftyp" * 8000
+    gif = b"GIF89a\x01\x01\x01\x01\x01\x01\x01!\x01" * 4000
+    jpeg = b"\xff\xd8" + b"\xff\xe0\x00\x06\xff\xd8" * 12_000
+    zipped = (b"\x1f\x8b\x08\x00" + bytes(6)) * 6000
+    for value in (box, gif, jpeg, zipped):
+        began = time.monotonic()
+        spans = media.sniff(value)
+        assert time.monotonic() - began < 1 and len(spans) <= 1
+    assert media.sniff(box) == [(0, len(box), "mp4")]

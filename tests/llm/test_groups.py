@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm import common, packing, shards, simhash
+from framewright.llm import common, packing, shards, simhash, similar
 from tests.llm.fixtures import documents, empty
 
 
@@ -386,3 +386,41 @@ def test_components_of_random_graphs(spark):
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == root(x) for e in edges for x in e)
+
+
+def test_a_pair_that_shares_one_block_links_in_hot_values(spark):
+    rng = random.Random(12)
+    deal = simhash.Deal(similar.RADIUS, similar.WORDS, similar.EACH)
+    names = deal.columns()
+    base = [rng.getrandbits(64) for _ in names]
+    cuts = [(w, s, b) for w in range(len(names)) for s, b in simhash.blocks(64, similar.EACH)]
+    other = list(base)
+    for w, s, _ in cuts[:-1]:  # one bit of every block but the last
+        other[w] ^= 1 << s
+    w, s, b = cuts[-1]
+    keep = ((1 << b) - 1) << s
+    crowd = [[rng.getrandbits(64) for _ in names[:-1]] + [rng.getrandbits(64) & ~keep | base[w] & keep] for _ in range(40)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *map(signed, fp)) for i, fp in enumerate([base, other, *crowd])]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{x} long" for x in names))
+    for hot in (20_000, 10):
+        found = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, deal, hot=hot)).collect()}
+        assert found.get(1) == 0, hot
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_links_do_not_depend_on_what_is_hot(spark, words):
+    rng = random.Random(words)
+    deal = simhash.Deal(4) if words == 1 else simhash.Deal(40, 4, 6)
+    rows = []
+    for c in range(60):
+        base = [rng.getrandbits(63) for _ in range(words)]
+        rows.append(base)
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.randint(1, 6 if words == 1 else 50)):
+                own[rng.randrange(words)] ^= 1 << rng.randrange(63)
+            rows.append(own)
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node long, " + ", ".join(f"{x} long" for x in deal.columns())).dropDuplicates(deal.columns())
+    found = [sorted(map(tuple, simhash.components(simhash.links(nodes, deal, hot=hot)).collect())) for hot in (20_000, 3, 1)]
+    assert found[0] == found[1] == found[2] and found[0]

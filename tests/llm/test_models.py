@@ -182,7 +182,7 @@ def test_language_held_out_and_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["lang_pred"] != "und" and r["score"] >= 0.5 for r in rows)
 
 
-def brute_language(counts, text):
+def brute_language(counts, text, least=1):
     """Word-first backoff with dictionaries: counts are {(lang, word): n}."""
     import math
 
@@ -200,8 +200,8 @@ def brute_language(counts, text):
         marked = "\1" + word + "\1"
         return [marked[i : i + n] for i in range(len(marked) - n + 1) if n > 1 or marked[i] != "\1"]
 
-    known = table([(w, lang, n) for (lang, w), n in counts.items()], 2)
-    tables = {k: table([(g, lang, n) for (lang, w), n in counts.items() for g in grams(w, k)], 1 if k < 3 else 2) for k in range(1, 6)}
+    known = table([(w, lang, n) for (lang, w), n in counts.items()], least)
+    tables = {k: table([(g, lang, n) for (lang, w), n in counts.items() for g in grams(w, k)], least) for k in range(1, 6)}
     own = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "").split()
     if not own:
         return "und", 0.0
@@ -234,10 +234,12 @@ def test_language_scores_equal_brute_force(spark):
         for w in "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in r["text"]).split():
             counts[r["lang"], w] += 1
     texts = [r["text"] for r in docs.collect()] + ["unseen wörter here", "qqq zzz", "é", "Straße RIVER le", "the\u0130x"]
-    got = language.identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.learn(docs)).collect()
-    for r in got:
-        name, score = brute_language(counts, texts[r["doc_id"]])
-        assert abs(r["score"] - score) < 2e-3 and (r["lang_pred"] == name or score < 0.51)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (1, 3):
+        model = language.learn(docs, least=least) if least > 1 else language.learn(docs)
+        for r in language.identify_languages(rows, model).collect():
+            name, score = brute_language(counts, texts[r["doc_id"]], least)
+            assert abs(r["score"] - score) < 2e-3 and (r["lang_pred"] == name or score < 0.51)
 
 
 def test_languages_that_tie_and_words_without_cap(spark):

@@ -1,7 +1,9 @@
 """License scans and decontamination against brute force."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -201,3 +203,21 @@ def test_all_fuzzy_spans_equal_brute_force(notices):
 def test_pathological_texts(spark):
     df = spark.createDataFrame([(1, "license " * 20_000), (2, "gnu " * 20_000), (3, "é" * 200_000)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(df).collect()} == {1: 20_000, 2: 20_000, 3: 1}
+
+
+def test_adjacent_damaged_notices_cost_their_length():
+    scanner = licenses.Scanner()
+    began = time.monotonic()
+    _, spans = scanner.scan(b"gnu generl publc licens x ".split() * 4000)
+    assert time.monotonic() - began < 5 and sum(scanner.notices[k].label == "gpl" for k, *_ in spans) == 4000
+    _, spans = scanner.scan(b"gnu generl publc licens".split() * 500)
+    assert sum(scanner.notices[k].label == "gpl" for k, *_ in spans) == 500
+
+
+def test_hot_texts_of_a_large_benchmark_go(spark):
+    rng = random.Random(4)
+    dirty, clean = prose(rng, "en", 60), prose(rng, "fr", 60)
+    docs = spark.createDataFrame([(i, dirty if i % 2 else clean, {"a": i}) for i in range(400)], "doc_id long, text string, extra map<string, int>")
+    bench = spark.createDataFrame([(1, dirty[:200]), (2, None)], "item_id long, text string")
+    kept = decontam.drop_contaminated(docs, bench, most_bytes=10)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 400, 2)) and kept.columns == docs.columns

@@ -98,3 +98,25 @@ def test_awkward_rows_keep_their_columns(spark):
     want = kept_ids([(10**9 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.collect()])
     assert sorted(10**9 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == want
     assert similar.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_recall_of_the_deal_against_the_exact_way(spark):
+    rng = random.Random(21)
+    rows = []
+    for base in range(40):
+        words = prose(rng, "en", 150).split()
+        words = [w + str(rng.randint(0, 40)) for w in words]
+        rows.append(" ".join(words))
+        for _ in range(3):
+            own = list(words)
+            for at in rng.sample(range(len(own)), rng.randint(1, 3)):
+                own[at] = f"own{rng.randint(0, 10**6)}"
+            rows.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate([*rows, rows[0], None, ""])), "doc_id long, text string")
+    sets = {t: shingles(t) for t in set(rows)}
+    close = sum(5 * len(a & b) >= 4 * len(a | b) for x, a in sets.items() for y, b in sets.items() if x < y)
+    pairs = similar.pairs_at_least(docs)
+    assert pairs.count() == close > 60
+    for hot in (None, 5):
+        found, every = similar.recall(docs, hot=hot)
+        assert every == close and found >= 0.95 * every
