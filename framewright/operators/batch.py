@@ -110,3 +110,17 @@ def file_hashes(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     fresh = files if known is None else files.join(known.select(*facts), facts, "left_anti")
     hashed = fresh.select(*facts, F.sha2("content", 256).alias("sha256"))
     return hashed if known is None else hashed.unionByName(files.select(*facts).join(known.select(*facts, "sha256"), facts))
+
+
+def manifest_summary(episodes: DataFrame, by: list[str], width: Column, height: Column, frames: str = "frames", bytes_: str = "bytes", chunks: str = "n_chunks") -> DataFrame:
+    """(by, episodes, frames, bytes, scratch, chunks) over a manifest; what is not known counts as nothing."""
+    none = lambda c: F.coalesce(c, F.lit(0))
+    rows = episodes.withColumn("__fw_scratch", scratch_bytes(width, height, none(frames)))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("episodes"), F.sum(none(frames)).alias("frames"), F.sum(bytes_).alias("bytes"), F.sum("__fw_scratch").alias("scratch"), F.sum(none(chunks)).alias("chunks")
+    )
+
+
+def round_robin(number: Column, workers: int) -> Column:
+    """The worker of a job by its number from 0."""
+    return F.pmod(number, F.lit(workers))

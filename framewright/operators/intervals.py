@@ -8,6 +8,8 @@ with a null key are a recording, a null frame comes first. Column names that beg
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +100,77 @@ def frames_to_chunks(frames: DataFrame, chunks: DataFrame, keys: list[str], orde
     return joined.withColumn(chunk, F.col(f"__fw_c.{chunk}")).withColumn("local", F.col(order) - F.col("__fw_c.start")).drop("__fw_c")
 
 
+def frames_in_intervals(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, chunk: str, width: int = 4096) -> DataFrame:
+    """frames_to_chunks for intervals of any length: cut at the borders of bins of `width` frames, joined by bin, tested exactly after that.
+
+    An interval makes one row for each bin that it touches, not for each frame.
+    """
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    cut = chunks.filter("stop > start").select(*keys, chunk, "start", "stop", F.explode(bins).alias("__fw_bin"))
+    due = frames.select(*keys, order).distinct().withColumn("__fw_bin", F.floor(F.col(order) / width))
+    met = due.join(cut, [*keys, "__fw_bin"]).filter((F.col(order) >= F.col("start")) & (F.col(order) < F.col("stop")))
+    latest = met.groupBy(*keys, order).agg(F.max(F.struct(chunk, "start")).alias("__fw_c"))
+    joined = frames.join(latest, [*keys, order], "left")
+    return joined.withColumn(chunk, F.col(f"__fw_c.{chunk}")).withColumn("local", F.col(order) - F.col("__fw_c.start")).drop("__fw_c")
+
+
+def labelled_frames(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, chunk: str, label: str, uncovered: str, width: int = 4096) -> DataFrame:
+    """frames with the chunk that covers each, its label, and `uncovered` as the label of frames that none covers."""
+    known = frames_in_intervals(frames, chunks, keys, order, chunk, width).join(chunks.select(*keys, chunk, label).dropDuplicates([*keys, chunk]), [*keys, chunk], "left")
+    return known.withColumn(label, F.when(F.col(chunk).isNull(), F.lit(uncovered)).otherwise(F.col(label)))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], direction: str = "backward", tolerance: Column | float | None = None, at: str = "matched_at") -> DataFrame:
+    """left with `columns` of the right row that is last at its time or before (backward), first at it or after (forward), or nearest (before on ties).
+
+    Both sides go into one table ordered by time, and the last right row so far is a window: no self-join, one shuffle by keys.
+    Of right rows at one time, backward takes the largest values, forward the smallest. Rows further away than the tolerance do not count; nulls where
+    nothing matches. A null time matches nothing; left rows that repeat stay.
+    """
+    if direction not in ("backward", "forward", "nearest"):
+        raise ValueError("backward, forward or nearest")
+    names, number = left.columns, _numbers(dict(left.dtypes)[time])
+    value = F.struct(F.col(time).alias("at"), *columns)
+    one = left.select(*keys, time, F.lit(True).alias("__fw_left"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("__fw_row"))
+    two = right.filter(F.col(time).isNotNull()).select(*keys, time, F.lit(False).alias("__fw_left"), value.alias("__fw_v"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    sides = {}
+    if direction != "forward":
+        w = W.partitionBy(*keys).orderBy(time, "__fw_left", "__fw_v").rowsBetween(W.unboundedPreceding, 0)
+        sides["__fw_b"] = F.last("__fw_v", True).over(w)
+    if direction != "backward":
+        w = W.partitionBy(*keys).orderBy(F.desc(time), "__fw_left", F.desc("__fw_v")).rowsBetween(W.unboundedPreceding, 0)
+        sides["__fw_f"] = F.last("__fw_v", True).over(w)
+    for name, found in sides.items():
+        both = both.withColumn(name, found)
+    rows = both.filter("__fw_left")
+    gap = lambda side: F.when(F.col(f"{side}.at") <= F.col(time), number(F.col(time)) - number(F.col(f"{side}.at"))).otherwise(number(F.col(f"{side}.at")) - number(F.col(time)))
+    ok = lambda side: F.col(side).isNotNull() & F.col(time).isNotNull() & (F.lit(True) if tolerance is None else gap(side) <= tolerance)
+    for side in sides:
+        rows = rows.withColumn(side, F.when(ok(side), F.col(side)))
+    if direction == "nearest":
+        later = F.col("__fw_b").isNull() | (F.col("__fw_f").isNotNull() & (gap("__fw_f") < gap("__fw_b")))
+        rows = rows.withColumn("__fw_best", F.when(later, F.col("__fw_f")).otherwise(F.col("__fw_b")))
+    else:
+        rows = rows.withColumn("__fw_best", F.col(next(iter(sides))))
+    return rows.select(*[F.col(f"__fw_row.c{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"__fw_best.{c}").alias(c) for c in columns], F.col("__fw_best.at").alias(at))
+
+
+def _numbers(kind: str) -> Callable[[Column], Column]:
+    """Times of a type as numbers: of seconds for timestamps, as they are otherwise."""
+    return (lambda t: F.unix_micros(t.cast("timestamp")) / 1e6) if kind.startswith("timestamp") else (lambda t: t.cast("double"))
+
+
+def resampled(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, out: str = "sampled") -> DataFrame:
+    """left with the value of the right side at its time: straight between the rows before and after, however far apart, held at the ends, null if there are none."""
+    pair = as_of(as_of(left, right, keys, time, [value], "backward", at="__fw_t0").withColumnRenamed(value, "__fw_v0"), right, keys, time, [value], "forward", at="__fw_t1")
+    pair = pair.withColumnRenamed(value, "__fw_v1")
+    number = _numbers(dict(left.dtypes)[time])
+    t, a, b = (number(F.col(c)) for c in (time, "__fw_t0", "__fw_t1"))
+    line = F.col("__fw_v0") + (F.col("__fw_v1") - F.col("__fw_v0")) * (t - a) / F.nullif(b - a, F.lit(0.0))
+    return pair.withColumn(out, F.coalesce(line, F.col("__fw_v0"), F.col("__fw_v1"))).drop("__fw_v0", "__fw_v1", "__fw_t0", "__fw_t1")
+
+
 def fill_timeline(chunks: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, start, stop): chunks and the source intervals between, before and after them; totals has `total` frames."""
     w = W.partitionBy(*keys).orderBy("start")

@@ -1,12 +1,7 @@
-"""Masks as cell sets and small rasters: overlap, union, partition, blending, cleaning and support shapes.
-
-Relational forms (cells as rows or arrays) carry the comparisons; a raster
-kernel works on one frame's packed bits at a time. Null cells are no cells.
-"""
+"""Masks as cell sets: overlap, union, partition, blending, profiles and colours (shapes, cleaning and distances: scanlines). Null cells are no cells."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,172 +116,3 @@ def same_shapes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     both = aligned(a.select(*keys, "w", "h", "cells"), b.select(*keys, F.col("w").alias("__fw_w"), F.col("h").alias("__fw_h"), F.col("cells").alias("other")), keys)
     ok = F.when((F.col("w") == F.col("__fw_w")) & (F.col("h") == F.col("__fw_h")), F.lit(True)).otherwise(F.raise_error(F.lit("masks differ in shape")).cast("boolean"))
     return both.withColumn("__fw_ok", ok).filter("__fw_ok").drop("__fw_w", "__fw_h", "__fw_ok")
-
-
-# --- rasters
-
-
-def disc_dilate(mask: np.ndarray, radius: int, diamond: bool = False) -> np.ndarray:
-    """Dilate by a square (or, as diamond, by city-block distance) of the radius."""
-    out = mask.copy()
-    for _ in range(radius):
-        grown = out.copy()
-        grown[1:] |= out[:-1]
-        grown[:-1] |= out[1:]
-        if diamond:
-            grown[:, 1:] |= out[:, :-1]
-            grown[:, :-1] |= out[:, 1:]
-        else:
-            rows = grown.copy()
-            grown[:, 1:] |= rows[:, :-1]
-            grown[:, :-1] |= rows[:, 1:]
-        out = grown
-    return out
-
-
-def erode(mask: np.ndarray, radius: int) -> np.ndarray:
-    return ~disc_dilate(~mask, radius)
-
-
-def ellipse_dilate(mask: np.ndarray) -> np.ndarray:
-    """Dilate by the ellipse of 5 x 5: three full rows, and the middle of the first and the last."""
-    wide = mask.copy()
-    for k in (1, 2):
-        wide[:, k:] |= mask[:, :-k]
-        wide[:, :-k] |= mask[:, k:]
-    out = wide.copy()
-    out[1:] |= wide[:-1]
-    out[:-1] |= wide[1:]
-    out[2:] |= mask[:-2]
-    out[:-2] |= mask[2:]
-    return out
-
-
-def closed_opened(mask: np.ndarray) -> np.ndarray:
-    """Closed by the ellipse of 5 x 5, then opened by that of 3 x 3 (a cross); outside the raster nothing counts."""
-    closed = ~ellipse_dilate(~ellipse_dilate(mask))
-    return disc_dilate(~disc_dilate(~closed, 1, diamond=True), 1, diamond=True)
-
-
-def feathered(mask: np.ndarray, grow: int = 10, feather: int = 4) -> np.ndarray:
-    """1 on the mask grown by city-block distance, then feather rings down to 0; all 0 for an empty mask."""
-    alpha = np.zeros(mask.shape)
-    if mask.any():
-        ring = disc_dilate(mask, grow, diamond=True)
-        alpha[ring] = 1.0
-        for k in range(1, feather + 1):
-            wider = disc_dilate(ring, 1, diamond=True)
-            alpha[wider & ~ring] = 1.0 - k / (feather + 1)
-            ring = wider
-    return alpha
-
-
-def signed_distance(mask: np.ndarray, clip: float) -> np.ndarray:
-    """Clipped Euclidean distance to the border between inside (positive) and outside; constant if there is no border."""
-    if mask.all() or not mask.any():
-        return np.full(mask.shape, clip if mask.all() else -clip)
-    reach = int(np.ceil(clip))
-
-    def to(target: np.ndarray) -> np.ndarray:
-        # along columns first, then the best of each row's neighbours
-        down = np.where(target, 0.0, float(reach + 1))
-        for way in (slice(None), slice(None, None, -1)):
-            column = down[way]
-            for i in range(1, len(column)):
-                np.minimum(column[i], column[i - 1] + 1, out=column[i])
-        square = np.pad(down**2, ((0, 0), (reach, reach)), constant_values=float((reach + 1) ** 2))
-        best = np.full(mask.shape, clip**2)
-        for dx in range(2 * reach + 1):
-            np.minimum(best, square[:, dx : dx + mask.shape[1]] + (dx - reach) ** 2, out=best)
-        return np.sqrt(best)
-
-    return np.where(mask, to(~mask), -to(mask))
-
-
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 8-connected parts (their first pixel's number), 0 outside: neighbours are joined, then labels are followed to their roots."""
-    place = np.arange(mask.size).reshape(mask.shape)
-    pairs = []
-    for a, b in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:]), (np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])):
-        both = mask[a] & mask[b]
-        pairs.append((place[a][both], place[b][both]))
-    x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
-    root = np.arange(mask.size)
-    while len(x):
-        while not np.array_equal(up := root[root], root):
-            root = up
-        p, q = root[x], root[y]
-        differ = p != q
-        x, y, p, q = x[differ], y[differ], p[differ], q[differ]
-        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-    while not np.array_equal(up := root[root], root):
-        root = up
-    return np.where(mask, root.reshape(mask.shape) + 1, 0)
-
-
-def keep_parts(mask: np.ndarray, least: int, seeds: list[tuple[float, float]], edge: int = 3, near: int = 5) -> np.ndarray:
-    """Parts of at least `least` pixels that touch the bottom or right border strip, or the window around a seed (x, y), which is drawn into the image."""
-    label = components(mask)
-    uniq, sizes = np.unique(label, return_counts=True)
-    wanted = set(label[-edge:].ravel().tolist()) | set(label[:, -edge:].ravel().tolist())
-    for x, y in seeds:
-        if np.isfinite(x) and np.isfinite(y):
-            x, y = int(np.clip(round(x), 0, mask.shape[1] - 1)), int(np.clip(round(y), 0, mask.shape[0] - 1))
-            wanted |= set(label[max(0, y - near) : y + near + 1, max(0, x - near) : x + near + 1].ravel().tolist())
-    keep = [k for k, n in zip(uniq.tolist(), sizes.tolist(), strict=True) if k and n >= least and k in wanted]
-    return np.isin(label, keep) if keep else np.zeros_like(mask)
-
-
-def cleaned(mask: np.ndarray, seeds: list[tuple[float, float]], least: int = 128) -> np.ndarray:
-    """A mask without streaks and stray parts."""
-    return keep_parts(closed_opened(mask), least, seeds)
-
-
-def stabilised(masks: list[np.ndarray], clip: float = 12.0, side: float = 0.35, low: float = 0.65, high: float = 1.35, flows: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> list[np.ndarray]:
-    """Each mask's signed distance averaged with its neighbours', closed and opened; the original where the area would change too much.
-
-    flows are the (forward, backward) motions between neighbouring frames, if known: neighbours are then warped before they count.
-    Masks must have one shape, and pixels inside and outside.
-    """
-    from framewright.operators.rasters import warp
-
-    if not masks or any(m.shape != masks[0].shape for m in masks):
-        raise ValueError("masks of one shape are needed")
-    if any(m.all() or not m.any() for m in masks):
-        raise ValueError("each mask needs pixels inside and outside")
-    plain, out = [signed_distance(m, clip) for m in masks], []
-    for i, m in enumerate(masks):
-        total, weight = plain[i].copy(), 1.0
-        for j in (i - 1, i + 1):
-            if 0 <= j < len(masks):
-                field = plain[j] if flows is None else signed_distance(warp(masks[j], flows[1][j] if j < i else flows[0][i]), clip)
-                total, weight = total + side * field, weight + side
-        new = closed_opened(total / weight > 0)
-        out.append(new if low <= new.sum() / m.sum() <= high else m)
-    return out
-
-
-def stabilised_runs(masks: list[np.ndarray], valid: list[bool], **how) -> list[np.ndarray]:
-    """Each run of valid frames made steady by itself; other frames are empty, runs of one frame stay."""
-    out = [np.zeros_like(m) for m in masks]
-    begin = None
-    for i, ok in enumerate([*valid, False]):
-        if ok and begin is None:
-            begin = i
-        elif not ok and begin is not None:
-            out[begin:i] = masks[begin:i] if i - begin == 1 else stabilised(masks[begin:i], **how)
-            begin = None
-    return out
-
-
-def capsules(points: np.ndarray, bones: tuple[tuple[int, int], ...], radius: float, width: int, height: int) -> np.ndarray:
-    """Pixels within `radius` of a bone between two finite points, or of a finite point."""
-    y, x = np.mgrid[:height, :width]
-    ok = np.isfinite(points).all(axis=1)
-    out = np.zeros((height, width), bool)
-    for a, b in [*((a, b) for a, b in bones if ok[a] and ok[b]), *((i, i) for i in np.flatnonzero(ok))]:
-        d = points[b] - points[a]
-        n = float(d @ d)
-        t = np.clip(((x - points[a][0]) * d[0] + (y - points[a][1]) * d[1]) / n, 0, 1) if n else 0.0
-        out |= (x - points[a][0] - t * d[0]) ** 2 + (y - points[a][1] - t * d[1]) ** 2 <= radius**2
-    return out

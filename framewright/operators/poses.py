@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,27 +63,29 @@ def camera_points(points: Column, position: Column, r: Column) -> Column:
     return F.transform(points, one)
 
 
+def nearest_rotation(m: Column, steps: int = 24) -> Column:
+    """The rotation nearest to a matrix of positive determinant: Newton's steps of the polar decomposition, each the mean of a matrix and its inverse transposed.
+
+    A singular matrix (rotations half a turn apart, mixed in equal shares) has none: null.
+    """
+
+    def step(x: Column, _: Column) -> Column:
+        minor = lambda i, j: x[3 * ((i + 1) % 3) + (j + 1) % 3] * x[3 * ((i + 2) % 3) + (j + 2) % 3] - x[3 * ((i + 1) % 3) + (j + 2) % 3] * x[3 * ((i + 2) % 3) + (j + 1) % 3]
+        det = x[0] * minor(0, 0) + x[1] * minor(0, 1) + x[2] * minor(0, 2)
+        whole = F.when(det > 1e-12, det)
+        return F.array(*(0.5 * (x[3 * i + j] + minor(i, j) / whole) for i in range(3) for j in range(3)))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), m, step)
+    return F.when(F.forall(found, lambda v: v.isNotNull()), found)
+
+
 def blend_poses(df: DataFrame, first: str, second: str, share: str, out: str = "blended") -> DataFrame:
-    """Straight between two poses, with the rotation drawn back onto proper rotations (nearest by singular values)."""
-    columns = df.columns
-    schema = df.select(*columns, F.col(first).alias(out)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            a = np.array([p["r"] for p in rows[first]], float).reshape(-1, 3, 3)
-            b = np.array([p["r"] for p in rows[second]], float).reshape(-1, 3, 3)
-            w = rows[share].to_numpy(float)
-            left, _, right = np.linalg.svd((1 - w)[:, None, None] * a + w[:, None, None] * b)
-            left[:, :, 2] *= np.linalg.det(left @ right)[:, None]
-            ta, tb = (np.array([p["t"] for p in rows[c]], float).reshape(-1, 3) for c in (first, second))
-            t = (1 - w)[:, None] * ta + w[:, None] * tb
-            r = (left @ right).reshape(-1, 9)
-            exact = np.isin(w, (0.0, 1.0))
-            r[exact] = np.where(w[exact, None] == 0, a[exact].reshape(-1, 9), b[exact].reshape(-1, 9))
-            rows[out] = [{"r": x, "t": y} for x, y in zip(r.tolist(), t.tolist(), strict=True)]
-            yield rows
-
-    return df.mapInPandas(run, schema)
+    """Straight between two poses, with the rotation drawn back onto proper rotations; at a share of 0 or 1 exactly the one or the other. Null poses or shares blend to null."""
+    w = F.col(share)
+    mix = lambda f: F.zip_with(f"{first}.{f}", f"{second}.{f}", lambda a, b: (1 - w) * a + w * b)
+    held = df.withColumn("__fw_m", mix("r")).withColumn("__fw_t", mix("t"))
+    r = F.when(w == 0, F.col(f"{first}.r")).when(w == 1, F.col(f"{second}.r")).otherwise(nearest_rotation(F.col("__fw_m")))
+    return held.withColumn("__fw_r", r).withColumn(out, F.when(F.col("__fw_r").isNotNull(), pose(F.col("__fw_r"), F.col("__fw_t")))).drop("__fw_m", "__fw_t", "__fw_r")
 
 
 def on_image(pixel: Column, camera: Camera) -> Column:

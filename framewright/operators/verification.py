@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,40 +111,91 @@ def video_errors(videos: DataFrame, expected: DataFrame, keys: list[str], ord_:
     return both.select(*keys, F.lit(ord_).alias("ord"), message.alias("message")).filter("message is not null")
 
 
+def unfolded(df: DataFrame, keys: list[str], rules: list[tuple[int, Column, Column | str]], more: Column | None = None) -> DataFrame:
+    """(keys, ord, message) of the rules (ord, when broken, message) that a row breaks: all of them computed together, in one pass over df.
+
+    A condition that is null is not broken. more: another array of such structs, for rules over a row's own arrays.
+    """
+    said = lambda m: m if isinstance(m, Column) else F.lit(m)
+    found = F.array(*(F.when(broken, F.struct(F.lit(n).alias("ord"), said(message).alias("message"))) for n, broken, message in rules))
+    whole = found if more is None else F.concat(found, F.coalesce(more, F.array().cast("array<struct<ord: int, message: string>>")))
+    return df.select(*keys, F.inline(F.filter(whole, lambda x: x.isNotNull())))
+
+
+def _video(name: Column, size: Column, n: Column, frames: Column) -> Column:
+    """What is wrong with a video, or null: missing (or empty), unreadable, another number of frames."""
+    other = F.concat(F.lit("frame mismatch "), name, F.lit(": expected "), frames.cast("string"), F.lit(", got "), n.cast("string"))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, F.concat(F.lit("missing video: "), name)).when(n.isNull(), F.concat(F.lit("unreadable video "), name)).when(n != frames, other)
+
+
+def run_errors(episodes: DataFrame, chunks: DataFrame, finals: list[str], backend: str | None = None) -> DataFrame:
+    """(episode, ord, message): the broken rules of runs whose facts stand in one row each.
+
+    episodes: episode, frames, known (its metadata are there), total_frames (null where they cannot be read), skipped, backend, traced (its backend is recorded),
+    finals map<name, struct<bytes, n>>; chunks: episode, name, length, provenance, bytes and n of its video, masks. Without metadata nothing else is checked.
+    Both tables are read once; what is wrong with the chunks of a run, bounded by their number, meets the run in one join.
+    """
+    known, c = F.coalesce("known", F.lit(False)), F.col
+    rules: list[tuple[int, Column, Column | str]] = [
+        (1, ~known, "missing metadata"),
+        (2, known & c("total_frames").isNull(), "invalid metadata"),
+        (3, known & (c("total_frames") != c("frames")), "total_frames does not match the manifest"),
+        (4, known & (c("skipped") > 0), F.concat(c("skipped").cast("string"), F.lit(" skipped segments remain"))),
+    ]
+    if backend is not None:
+        traced = F.coalesce("traced", F.lit(False))
+        rules += [
+            (5, known & ~traced, "missing pipeline provenance"),
+            (6, known & traced & ~c("backend").eqNullSafe(F.lit(backend)), F.concat(F.lit(f"mask backend mismatch: expected {backend}, got "), F.coalesce("backend", F.lit("none")))),
+        ]
+    video = lambda name: _video(name, F.try_element_at("finals", name)["bytes"], F.try_element_at("finals", name)["n"], c("frames"))
+    last = F.transform(F.array(*map(F.lit, finals)).cast("array<string>"), lambda name: F.struct(F.lit(10).alias("ord"), video(name).alias("message")))
+    own, masks = _video(c("name"), c("bytes"), c("n"), c("length")), F.coalesce("masks", F.lit(0))
+    per: list[tuple[int, Column, Column | str]] = [] if backend is None else [(7, ~F.coalesce("provenance", F.lit(False)), F.concat(F.lit("missing provenance for "), c("name")))]
+    per += [
+        (8, own.isNotNull(), own),
+        (9, masks != c("length"), F.concat(F.lit("mask count mismatch "), c("name"), F.lit(": expected "), c("length").cast("string"), F.lit(", got "), masks.cast("string"))),
+    ]
+    broken = unfolded(chunks, ["episode"], per).groupBy("episode").agg(F.collect_list(F.struct("ord", "message")).alias("__fw_broken"))
+    none = F.array().cast("array<struct<ord: int, message: string>>")
+    more = F.concat(F.filter(last, lambda x: x["message"].isNotNull()), F.coalesce("__fw_broken", none))
+    return unfolded(episodes.join(broken, "episode", "left"), ["episode"], rules, F.when(known, more))
+
+
 def episode_errors(
     episodes: DataFrame, metadata: DataFrame, skipped: DataFrame, backends: DataFrame, chunks: DataFrame, provenance: DataFrame, masks: DataFrame, videos: DataFrame, finals: list[str], backend: str | None = None
 ) -> DataFrame:
-    """(episode, ord, message): the broken rules of every run of a manifest (episode, frames).
+    """(episode, ord, message): run_errors of facts that lie in tables of their own: a manifest (episode, frames), metadata (episode, total_frames), skipped
+    segments (episode), the mask backend (episode, backend), chunks (episode, index, mode, start, stop), their provenance (episode, name), numbers of masks
+    (episode, name, n), and videos (episode, name, bytes, n), the final ones among them.
 
-    Without metadata (episode, total_frames; null where it cannot be read) nothing else is checked. Then: its number of frames; skipped segments (episode);
-    the mask backend (episode, backend); and of each chunk (episode, index, mode, start, stop) its provenance (episode, name),
-    video and number of masks (episode, name, n); and the final videos (episode, name, bytes, n).
+    Tables of one grain are united and grouped once, so each is read once, whatever the number of rules.
     """
-    key = ["episode"]
-    known = episodes.join(metadata.withColumn("__fw_there", F.lit(True)), key, "left")
-    there = known.filter("__fw_there").select("episode", "frames", "total_frames")
-    named = chunks.join(there.select("episode"), key, "left_semi").select("episode", segment_name(F.col("index"), F.col("mode"), F.col("start"), F.col("stop")).alias("name"), (F.col("stop") - F.col("start")).alias("length"))
-    left = skipped.join(there.select("episode"), key, "left_semi").groupBy("episode").agg(F.count("*").alias("n"))
-    found = there.select("episode").join(backends.select("episode", F.col("backend").alias("__fw_b"), F.lit(True).alias("__fw_is")), key, "left")
-    per = named.join(masks.select("episode", "name", F.col("n").alias("__fw_n")), ["episode", "name"], "left").withColumn("__fw_n", F.coalesce("__fw_n", F.lit(0)))
-    rows = B.violations(
-        [
-            (1, "missing metadata", known.filter("__fw_there is null")),
-            (2, "invalid metadata", there.filter("total_frames is null")),
-            (3, "total_frames does not match the manifest", there.filter("total_frames <> frames")),
-        ],
-        key,
+    name = segment_name(F.col("index"), F.col("mode"), F.col("start"), F.col("stop"))
+    per = [
+        chunks.select("episode", name.alias("name"), (F.col("stop") - F.col("start")).cast("long").alias("length")),
+        provenance.select("episode", "name", F.lit(True).alias("provenance")),
+        masks.select("episode", "name", F.col("n").cast("long").alias("masks")),
+        videos.select("episode", "name", F.col("bytes").cast("long").alias("bytes"), F.col("n").cast("long").alias("n")),
+    ]
+    facts = per[0]
+    for df in per[1:]:
+        facts = facts.unionByName(df, allowMissingColumns=True)
+    held = facts.groupBy("episode", "name").agg(*(F.max(x).alias(x) for x in ("length", "provenance", "masks", "bytes", "n")))
+    whole = [
+        episodes.select("episode", F.lit(True).alias("listed"), F.col("frames").cast("long").alias("frames")),
+        metadata.select("episode", F.lit(True).alias("known"), F.col("total_frames").cast("long").alias("total_frames")),
+        skipped.select("episode", F.lit(1).cast("long").alias("skipped")),
+        backends.select("episode", F.lit(True).alias("traced"), "backend"),
+        videos.filter(F.col("name").isin(finals)).select("episode", F.struct("name", F.struct(F.col("bytes").cast("long").alias("bytes"), F.col("n").cast("long").alias("n")).alias("v")).alias("final")),
+    ]
+    rows = whole[0]
+    for df in whole[1:]:
+        rows = rows.unionByName(df, allowMissingColumns=True)
+    one = rows.groupBy("episode").agg(
+        *(F.max(x).alias(x) for x in ("listed", "frames", "known", "total_frames", "traced", "backend")), F.sum("skipped").alias("skipped"), F.map_from_entries(F.array_distinct(F.collect_list("final"))).alias("finals")
     )
-    said = lambda df, n, *parts: df.select("episode", F.lit(n).alias("ord"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("message"))
-    rows = rows.unionByName(said(left, 4, F.col("n").cast("string"), " skipped segments remain"))
-    if backend is not None:
-        rows = rows.unionByName(said(found.filter("__fw_is is null"), 5, "missing pipeline provenance"))
-        rows = rows.unionByName(said(found.filter(F.col("__fw_is") & ~F.col("__fw_b").eqNullSafe(F.lit(backend))), 6, f"mask backend mismatch: expected {backend}, got ", F.coalesce("__fw_b", F.lit("none"))))
-        rows = rows.unionByName(said(named.join(provenance, ["episode", "name"], "left_anti"), 7, "missing provenance for ", F.col("name")))
-    rows = rows.unionByName(video_errors(videos, named.select("episode", "name", F.col("length").alias("frames")), key, 8))
-    rows = rows.unionByName(said(per.filter("__fw_n <> length"), 9, "mask count mismatch ", F.col("name"), ": expected ", F.col("length").cast("string"), ", got ", F.col("__fw_n").cast("string")))
-    last = there.select("episode", F.explode(F.array(*map(F.lit, finals))).alias("name"), "frames")
-    return rows.unionByName(video_errors(videos, last, key, 10))
+    return run_errors(one.filter("listed"), held.filter(F.col("length").isNotNull()), finals, backend)
 
 
 def inspect_episodes(inputs: DataFrame, videos: DataFrame, tables: DataFrame, required: list[str]) -> DataFrame:
@@ -279,3 +330,76 @@ def prompt_status(frames: DataFrame, prompts: DataFrame, keys: list[str]) -> Dat
     """frames and `status`: prompted where there is a prompt, else propagated."""
     marked = prompts.select(*keys).distinct().withColumn("__fw_p", F.lit(True))
     return frames.join(marked, keys, "left").withColumn("status", F.when(F.col("__fw_p"), "prompted").otherwise("propagated")).drop("__fw_p")
+
+
+def three_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, low, mid, high) of a value: its least, its median and its greatest."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.expr(f"percentile(`{value}`, 0.5)").alias("mid"), F.max(value).alias("high"))
+
+
+def gate_summary(rows: DataFrame, keys: list[str], order: str, human: Column, robot: Column, permitted: Column, inpainted: Column) -> DataFrame:
+    """(keys, robot_visible, composited, human_only, robot_only, inpainted) of gated frames; the lists name frames in order, and are bounded by a recording's length."""
+    only = lambda a, b: F.array_join(F.sort_array(F.collect_list(F.when(a & ~b, F.col(order)))), ",")
+    return rows.groupBy(*keys).agg(
+        F.count_if(robot).alias("robot_visible"), F.count_if(permitted).alias("composited"), only(human, robot).alias("human_only"), only(robot, human).alias("robot_only"), F.bool_or(inpainted).alias("inpainted")
+    )
+
+
+# --- one suite
+
+
+def trajectory_rules(df: DataFrame, keys: list[str], order: str, joints: str, expected: int, low: Column, high: Column, position: str, orientation: str) -> DataFrame:
+    """(keys, ord, message): the rules of trajectory_errors over one row for each frame (joints as an array), with the frames' own: 0 .. n - 1, each once.
+
+    All rules come out of one aggregation over one scan.
+    """
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    c = F.col
+    held = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.countDistinct(order).alias("different"), F.min(order).alias("first"), F.max(order).alias("last"),
+        F.bool_or(F.coalesce(F.size(joints) != expected, F.lit(True))).alias("short"), F.bool_or(F.exists(joints, bad)).alias("odd"),
+        F.bool_or(F.exists(joints, lambda q: (q < low - 1e-5) | (q > high + 1e-5))).alias("out"),
+        F.bool_or(bad(c(position)) | bad(c(orientation)) | (c(position) < 0) | (c(orientation) < 0)).alias("residual"), F.max(position).alias("position"), F.max(orientation).alias("orientation"),
+    )
+    return unfolded(
+        held, keys,
+        [
+            (1, (c("n") != c("different")) | (c("first") != 0) | (c("last") != c("n") - 1), "frames are not contiguous"), (2, c("short"), "a joint has other frames than the run"),
+            (3, c("odd"), "a joint value is not finite"), (4, c("out"), "a joint leaves its limits"), (5, c("residual"), "a residual is not finite or negative"),
+            (6, c("position") > 0.01, "a position residual is over 0.01"), (7, c("orientation") > 5, "an orientation residual is over 5 degrees"),
+        ],
+    )
+
+
+def mask_rules(cells: DataFrame, keys: list[str], frame: str, width: int, height: int, least: int, ratio: float) -> DataFrame:
+    """(keys, ord, message): how many masks (cells: keys, frame, x, y; null for a frame without cells) are small, touch the border, or jump in area."""
+    from framewright.operators.smoothing import area_jumps
+
+    edge = F.col("x").isin(0, width - 1) | F.col("y").isin(0, height - 1)
+    per = cells.groupBy(*keys, frame).agg(F.countDistinct(F.when(F.col("x").isNotNull(), F.struct("x", "y"))).alias("area"), F.coalesce(F.bool_or(edge), F.lit(False)).alias("border"))
+    marked = area_jumps(per, keys, frame, "area", ratio)
+    held = marked.groupBy(*keys).agg(F.count_if(F.col("area") < least).alias("small"), F.count_if("border").alias("border"), F.count_if("jump").alias("jumps"))
+    said = lambda c, text: F.concat(F.col(c).cast("string"), F.lit(text))
+    rules: list[tuple[int, Column, Column | str]] = [(1, F.col("small") > 0, said("small", " small masks")), (2, F.col("border") > 0, said("border", " masks at the border")), (3, F.col("jumps") > 0, said("jumps", " jumps of area"))]
+    return unfolded(held, keys, rules)
+
+
+def hash_rules(files: DataFrame, keys: list[str], path: str, content: str, sha256: str) -> DataFrame:
+    """(keys, ord, message) of files whose content is not what was recorded, or of which nothing was recorded."""
+    own, known = F.sha2(content, 256), F.col(sha256)
+    return unfolded(files, keys, [(1, known.isNull(), F.concat(F.lit("no hash recorded for "), F.col(path))), (2, own != known, F.concat(F.lit("content changed: "), F.col(path)))])
+
+
+def suite(parts: dict[str, DataFrame], key: str = "episode") -> DataFrame:
+    """(kind, run, ord, message) of all checks of a batch, each a table (key, ord, message) that reads its own table once."""
+    out = None
+    for kind, rows in parts.items():
+        one = rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("run"), "ord", "message")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """A suite's rows, and its figures (n, runs at least, worst) that are known once any action has run on them: no second pass."""
+    figures = Observation(name)
+    return rows.observe(figures, F.count("*").alias("n"), F.count_if(F.col("kind") == "run").alias("run_rules"), F.max("ord").alias("highest")), figures

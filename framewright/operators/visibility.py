@@ -14,14 +14,19 @@ from framewright.operators import poses as P
 
 
 def hand_visibility(
-    df: DataFrame, keys: list[str], order: str, position: str, quaternion: str, landmarks: str, camera: G.Camera, *,
-    direct: str | None = None, least: int = 1, gap: int = 5, entry: int = 8, exit: int = 8, out: str = "visible",
+    df: DataFrame, keys: list[str], order: str, position: str, quaternion: str, landmarks: str | dict[str, str], camera: G.Camera, *,
+    direct: str | dict[str, str] | None = None, least: int = 1, gap: int = 5, entry: int = 8, exit: int = 8, out: str = "visible",
 ) -> DataFrame:
     """(keys, order, out) of a pose table: landmarks turned into the camera's axes and projected, `least` of them in view with a
     margin of 20 pixels and further than 0.05; or detected directly; short gaps bridged, intervals padded. Whole recordings go in.
+
+    Several hands (landmarks and direct by the name of their flag) are one chain: the turn is computed once, and one shuffle and
+    three sorts (up, down, up) serve all flags.
     """
     if not 1 <= least <= 21:
         raise ValueError("from 1 to 21 landmarks")
+    hands = landmarks if isinstance(landmarks, dict) else {out: landmarks}
+    found = direct if isinstance(direct, dict) else {} if direct is None else {out: direct}
 
     def ok(p: Column) -> Column:
         z = F.greatest(p[2], F.lit(1e-6))
@@ -29,12 +34,12 @@ def hand_visibility(
         return F.coalesce(p[2] > 0.05, F.lit(False)) & G.in_view(pixel, camera, 20.0)
 
     rows = df.withColumn("__fw_r", P.rotation(F.col(quaternion)))
-    rows = rows.withColumn("__fw_points", P.camera_points(F.col(landmarks), F.col(position), F.col("__fw_r")))
-    seen = F.size(F.filter("__fw_points", ok)) >= least
-    if direct is not None:
-        seen = seen | F.coalesce(F.col(direct), F.lit(False))
-    flagged = rows.select(*keys, order, seen.alias(out))
-    return I.pad_intervals(I.bridge_gaps(flagged, keys, order, out, gap), keys, order, out, entry, exit)
+    rows = rows.withColumns({f"__fw_p_{h}": P.camera_points(F.col(c), F.col(position), F.col("__fw_r")) for h, c in hands.items()})
+    seen = {h: F.size(F.filter(f"__fw_p_{h}", ok)) >= least for h in hands}
+    seen = {h: flag | F.coalesce(F.col(found[h]), F.lit(False)) if h in found else flag for h, flag in seen.items()}
+    flagged = rows.select(*keys, order, *(flag.alias(h) for h, flag in seen.items()))
+    names = list(hands)
+    return I.pad_intervals(I.bridge_gaps(flagged, keys, order, names, gap), keys, order, names, entry, exit)
 
 
 def direct_visibility(confidence: Column, least: float = 0.9) -> Column:

@@ -23,10 +23,8 @@ episodes AS (SELECT o_orderkey AS episode, o_orderstatus, o_orderpriority, o_cus
 
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = episodes(spark, sf_dir).withColumn("width", F.when(F.col("o_custkey") % 2 == 0, 960).otherwise(640))
-    rows = rows.withColumn("scratch", B.scratch_bytes(F.col("width"), F.lit(480), F.coalesce("frames", F.lit(0))))
-    return rows.groupBy("o_orderpriority").agg(
-        F.count("*").alias("episodes"), F.sum(F.coalesce("frames", F.lit(0))).alias("frames"), F.round(F.sum("bytes"), 2).alias("bytes"), F.sum("scratch").alias("scratch"), F.sum(F.coalesce("n_chunks", F.lit(0))).alias("chunks")
-    )
+    out = B.manifest_summary(rows, ["o_orderpriority"], F.col("width"), F.lit(480))
+    return out.withColumn("bytes", F.round("bytes", 2))
 
 
 MANIFEST_SQL = f"""WITH {EPISODES}
@@ -76,7 +74,7 @@ SELECT episode, lane, load, n FROM lanes WHERE n > 0"""
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks and frames each of 4 workers gets, by chunk number modulo workers."""
-    rows = table(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_linenumber") - 1, F.lit(4)).alias("worker"), "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").select(B.round_robin(F.col("l_linenumber") - 1, 4).alias("worker"), "l_quantity")
     return rows.groupBy("worker").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("frames"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators import geometry as G
 from framewright.operators import masks as M
+from framewright.operators import verification as C
 from framewright.operators import visibility as V
 from framewright.plans.visibility import CAMERA, FRAMES, POINTS, SEEN
 from framewright.sources.tables import frames, landmarks, masks, table
@@ -64,11 +63,7 @@ def visibility_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = V.frame_gate(rows, ["episode", "frame"], "human", "pixels", 9)
     robot = F.col("pixels") >= 9
-    only = lambda a, b: F.sort_array(F.collect_list(F.when(a & ~b, F.col("frame"))))
-    out = rows.groupBy("episode", "side").agg(
-        F.count_if(robot).alias("robot_visible"), F.count_if("permitted").alias("composited"), only(F.col("human"), robot).alias("h"), only(robot, F.col("human")).alias("r"), F.bool_or("inpainted").alias("inpainted")
-    )
-    return out.select("episode", "side", "robot_visible", "composited", F.array_join("h", ",").alias("human_only"), F.array_join("r", ",").alias("robot_only"), "inpainted")
+    return C.gate_summary(rows, ["episode", "side"], "frame", F.col("human"), robot, F.col("permitted"), F.col("inpainted"))
 
 
 GATE_SQL = f"""WITH {FRAMES}, rows AS (SELECT episode, frame, CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS side, signal > {SEEN} AS human, length(props) > 8 AS robot FROM frames)
@@ -182,21 +177,6 @@ def best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEST_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS frame, event_type AS side, arg_max(event_id, row(round(value, 0), -event_id)) AS detection, max(round(value, 0)) AS score FROM events GROUP BY 1, 2"""
 
 
-def mask_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand support shapes of each frame on a 64 x 48 raster, cleaned and made steady inside an episode: areas before and after."""
-    camera = G.Camera(60.0, 60.0, 32.0, 24.0, 64.0, 48.0)
-    rows = landmarks(spark, sf_dir).select("episode", "frame", F.transform("points", lambda p: F.struct(G.project(p, camera)["u"].alias("u"), G.project(p, camera)["v"].alias("v"))).alias("px"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame", ignore_index=True)
-        shapes = [M.capsules(np.array([[np.nan if x["u"] is None else x["u"], np.nan if x["v"] is None else x["v"]] for x in px], float), M.BONES, 2.0, 64, 48) for px in group["px"]]
-        clean = [M.cleaned(m, [(32.0, 24.0)], 8) for m in shapes]
-        steady = M.stabilised_runs(clean, [bool(m.any() and not m.all()) for m in clean], clip=3.0)
-        return pd.DataFrame({"episode": group["episode"], "frame": group["frame"], "raw": [int(m.sum()) for m in shapes], "clean": [int(m.sum()) for m in clean], "steady": [int(m.sum()) for m in steady]})
-
-    return rows.groupBy("episode").applyInPandas(run, "episode long, frame long, raw long, clean long, steady long")
-
-
 QUERIES = {
     "mask_iou": (mask_iou, IOU_SQL),
     "mask_union": (mask_union, UNION_SQL),
@@ -209,5 +189,4 @@ QUERIES = {
     "premultiplied_blend": (premultiplied_blend, BLEND_SQL),
     "crossfade": (crossfade, CROSSFADE_SQL),
     "best_detection": (best_detection, BEST_SQL),
-    "mask_cleanup": (mask_cleanup, ""),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import geometry as G
 from framewright.operators import poses as P
+from framewright.operators import verification as C
 from framewright.plans.trajectories import QUATS
 from framewright.plans.visibility import FRAMES, POINTS
 from framewright.sources.tables import frames, landmarks, table
@@ -60,8 +61,22 @@ SELECT episode, frame, {", ".join(f"round(br[{i + 1}] * d[1] + br[{i + 4}] * d[2
 
 
 def pose_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pose a quarter of the way to the next one."""
     rows = _poses(spark, sf_dir).withColumn("n", F.lead("p").over(W.partitionBy("episode").orderBy("frame"))).filter(F.col("n").isNotNull())
-    return P.blend_poses(rows.select("episode", "frame", "p", "n", F.lit(0.25).alias("share")), "p", "n", "share").select("episode", "frame", "blended")
+    b = P.blend_poses(rows.select("episode", "frame", "p", "n", F.lit(0.25).alias("share")), "p", "n", "share")
+    r, t = F.col("blended.r"), F.col("blended.t")
+    return b.select("episode", "frame", F.round(r[0] + r[4] + r[8], 5).alias("trace"), F.round(sum(((i + 1) * r[i] for i in range(9)), F.lit(0.0)), 5).alias("mixed"), F.round(t[0] + 2 * t[1] + 4 * t[2], 5).alias("place"))
+
+
+def _blend_sql() -> str:
+    minor = lambda i, j: f"(m[{3 * ((i + 1) % 3) + (j + 1) % 3 + 1}] * m[{3 * ((i + 2) % 3) + (j + 2) % 3 + 1}] - m[{3 * ((i + 1) % 3) + (j + 2) % 3 + 1}] * m[{3 * ((i + 2) % 3) + (j + 1) % 3 + 1}])"
+    inverse = ", ".join(f"0.5 * (m[{3 * i + j + 1}] + {minor(i, j)} / d)" for i in range(3) for j in range(3))
+    return f"""WITH RECURSIVE {MATRIX}, pairs AS (SELECT episode, frame, r, t, lead(r) OVER w AS r2, lead(t) OVER w AS t2 FROM mats WINDOW w AS (PARTITION BY episode ORDER BY frame)),
+newton AS (
+    SELECT episode, frame, list_transform(list_zip(r, r2), lambda x: 0.75 * x[1] + 0.25 * x[2]) AS m, list_transform(list_zip(t, t2), lambda x: 0.75 * x[1] + 0.25 * x[2]) AS t, 0 AS i FROM pairs WHERE r2 IS NOT NULL
+    UNION ALL SELECT episode, frame, [{inverse}], t, i + 1 FROM (SELECT *, m[1] * {minor(0, 0)} + m[2] * {minor(0, 1)} + m[3] * {minor(0, 2)} AS d FROM newton WHERE i < 24)
+)
+SELECT episode, frame, round(m[1] + m[5] + m[9], 5) AS trace, round({" + ".join(f"{i} * m[{i}]" for i in range(1, 10))}, 5) AS mixed, round(t[1] + 2 * t[2] + 4 * t[3], 5) AS place FROM newton WHERE i = 24"""
 
 
 def arm_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +115,7 @@ FROM (SELECT DISTINCT frame FROM points) f LEFT JOIN axes a ON f.frame = a.frame
 
 def sequence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-number summaries of every episode, nested by kind, as JSON."""
-    per = frames(spark, sf_dir).groupBy("episode", "event_type").agg(F.count("*").alias("n"), F.min("frame").alias("low"), F.expr("percentile(frame, 0.5)").alias("mid"), F.max("frame").alias("high"))
+    per = C.three_numbers(frames(spark, sf_dir), ["episode", "event_type"], "frame")
     entry = F.struct("event_type", "n", F.floor("mid").alias("mid"), "low", "high")
     return per.groupBy("episode").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("report"))
 
@@ -112,7 +127,7 @@ SELECT episode, '[' || string_agg('{{"event_type":"' || event_type || '","n":' |
 QUERIES = {
     "pose_basis_change": (pose_basis_change, BASIS_SQL),
     "relative_motion": (relative_motion, MOTION_SQL),
-    "pose_blend": (pose_blend, ""),
+    "pose_blend": (pose_blend, _blend_sql()),
     "arm_prompts": (arm_prompts, ARM_SQL),
     "sequence_report": (sequence_report, REPORT_SQL),
 }

@@ -19,26 +19,25 @@ CAMERA = G.Camera(300.0, 300.0, 640.0, 360.0, 1280.0, 720.0)
 
 def pose_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a row of a pose table: a quaternion, a place, 21 landmarks of either hand, and whether a detector saw either."""
-    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    place = F.row_number().over(W.partitionBy("episode").orderBy("vec_id")) - 1
     wide = F.transform("embedding", lambda x: x.cast("double"))
     hand = lambda f: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: f(F.get("e", i * 3), F.get("e", i * 3 + 1), F.get("e", i * 3 + 2)))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("episode"), place.cast("long").alias("frame"), "vec_id", wide.alias("e"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("episode"), "vec_id", wide.alias("e"))
     found = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), (F.col("value") / 100).alias("confidence"), "event_type")
-    rows = rows.join(found, "vec_id", "left").withColumn("direct", V.direct_visibility(F.col("confidence")))
+    # frames are numbered last: the windows that follow keep that shuffle
+    rows = rows.join(found, "vec_id", "left").withColumn("frame", place.cast("long")).withColumn("direct", V.direct_visibility(F.col("confidence")))
     return rows.select(
         "episode", "frame", F.slice("e", 5, 3).alias("position"), F.slice("e", 1, 4).alias("quaternion"), hand(lambda x, y, z: F.array(x, y, z)).alias("left_landmarks"), hand(lambda x, y, z: F.array(y, z, x)).alias("right_landmarks"),
         (F.col("direct") & (F.col("event_type") == "view")).alias("left_direct"), (F.col("direct") & (F.col("event_type") == "click")).alias("right_direct"),
     )
 
 
-def _side(spark: SparkSession, sf_dir: str, side: str, rows: DataFrame | None = None) -> DataFrame:
-    rows = pose_table(spark, sf_dir) if rows is None else rows
-    return V.hand_visibility(rows, ["episode"], "frame", "position", "quaternion", f"{side}_landmarks", CAMERA, direct=f"{side}_direct", least=7, gap=1, entry=1, exit=0, out=side)
-
-
 def hand_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both hands: landmarks in view or a detection, gaps of one frame bridged, one frame more before."""
-    return G.aligned(_side(spark, sf_dir, "left"), _side(spark, sf_dir, "right"), ["episode", "frame"])
+    sides = ("left", "right")
+    return V.hand_visibility(
+        pose_table(spark, sf_dir), ["episode"], "frame", "position", "quaternion", {x: f"{x}_landmarks" for x in sides}, CAMERA, direct={x: f"{x}_direct" for x in sides}, least=7, gap=1, entry=1, exit=0
+    )
 
 
 def _sides_sql() -> str:

@@ -197,10 +197,8 @@ def angular_velocity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("episode").orderBy("frame")
     points = landmarks(spark, sf_dir).withColumn("flat", F.flatten("points"))
-    gap = F.zip_with("flat", F.lag("flat").over(w), lambda a, b: a - b)
-    steps = points.withColumn("step", G.norm(gap)).filter(F.col("step").isNotNull())
+    steps = S.step_norms(points, EP, "frame", "flat").filter(F.col("step").isNotNull())
     return steps.groupBy("episode").agg(F.round(F.expr("percentile(step, 0.5)"), 6).alias("median_step"), F.round(F.max("step"), 6).alias("max_step"), F.count("*").alias("n"))
 
 
@@ -212,10 +210,8 @@ SELECT episode, round(median(step), 6) AS median_step, round(max(step), 6) AS ma
 
 def area_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose area is over 1.8 times, or under a 1.8th of, the one before."""
-    w = W.partitionBy("episode").orderBy("frame")
-    rows = frames(spark, sf_dir).select("episode", "frame", F.floor("signal").alias("area")).withColumn("was", F.lag("area").over(w))
-    ratio = F.greatest("area", "was") / F.greatest(F.least("area", "was"), F.lit(1))
-    return rows.filter(F.col("was").isNotNull() & (ratio > 1.8)).select("episode", "frame", "area")
+    rows = frames(spark, sf_dir).select("episode", "frame", F.floor("signal").alias("area"))
+    return S.area_jumps(rows, EP, "frame", "area").filter("jump").select("episode", "frame", "area")
 
 
 JUMPS_SQL = f"""WITH {FRAMES}, areas AS (SELECT episode, frame, CAST(floor(signal) AS BIGINT) AS area, lag(CAST(floor(signal) AS BIGINT)) OVER (PARTITION BY episode ORDER BY frame) AS was FROM frames)
@@ -306,7 +302,7 @@ def smooth_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def continuity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 5 frames of each episode, and which is the very last."""
     rows = S.trailing_rows(frames(spark, sf_dir), EP, "frame", 5)
-    last = rows.groupBy("episode").agg(F.max_by("signal", "frame").alias("last_signal"))
+    last = S.last_state(rows, EP, "frame", ["signal"]).withColumnRenamed("signal", "last_signal")
     return rows.select("episode", "frame", "signal").join(last, "episode")
 
 

@@ -241,30 +241,6 @@ def test_session_camera(spark):
     assert got[1] == (1.0, 2.0, 3.0, 476.0) and np.allclose(got[2], (854.844970703125, 854.844970703125, 642.5776977539062, 480 - 645.1429443359375))
 
 
-def test_masks():
-    empty, full = np.zeros((12, 16), bool), np.ones((12, 16), bool)
-    assert (M.signed_distance(empty, 7.5) == -7.5).all() and (M.signed_distance(full, 7.5) == 7.5).all()
-    half = empty.copy()
-    half[:, 8:] = True
-    d = M.signed_distance(half, 3.0)
-    assert d[0, 8] == 1 and d[0, 7] == -1 and d[0, 15] == 3 and d[0, 5] == -3
-    assert not M.feathered(empty).any()
-    dot = np.zeros((41, 41), bool)
-    dot[20, 20] = True
-    alpha = M.feathered(dot, 10, 4)
-    assert alpha[20, 30] == 1 and alpha[20, 31] == pytest.approx(0.8) and alpha[20, 34] == pytest.approx(0.2) and alpha[20, 35] == 0 and alpha[26, 26] == pytest.approx(0.6)
-    two = np.zeros((20, 20), bool)
-    two[2:6, 2:6] = two[15:20, 10:16] = True
-    assert len(np.unique(M.components(two))) == 3
-    kept = M.keep_parts(two, 10, [])
-    assert kept[16, 12] and not kept[3, 3]
-    assert M.keep_parts(two, 10, [(3.0, 3.0)]).sum() == two.sum() and not M.keep_parts(two, 99, []).any()
-    flicker = [half, empty | (np.arange(16) >= 7), half]
-    assert all(a.any() for a in M.stabilised(flicker))
-    shape = M.capsules(np.array([[2.0, 5.0], [12.0, 5.0], [np.nan, 1.0]]), ((0, 1), (1, 2)), 1.0, 16, 12)
-    assert shape[5, 2:13].all() and shape[4, 7] and not shape[3, 7] and not shape[5, 14]
-
-
 def test_mask_columns(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(M.overlap(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 1.0, 0.0]

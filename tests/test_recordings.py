@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from framewright.operators import geometry as G
 from framewright.operators import masks as M
-from framewright.operators import rasters as R
 from framewright.operators import smoothing as S
 from framewright.operators import verification as C
 from framewright.operators import visibility as V
@@ -100,20 +99,18 @@ def test_alignment_equals_numpy(spark):
         assert np.allclose(r["shift"], [blur(shared[0])[r["f"]], blur(shared[1])[r["f"]], 0.0])
 
 
-def test_sleeve_profile_equals_its_raster_form(spark):
+def test_sleeve_profile_by_hand(spark):
     rng = np.random.default_rng(2)
     mask = np.zeros((120, 160), bool)
     for x in [*range(20, 70), *range(100, 130)]:  # bins without pixels between
         half = 12 + x // 8 + rng.integers(0, 4)
         mask[60 - half : 60 + half, x] = True
     base, end = np.array([10.37, 60.21]), np.array([150.0, 64.0])
-    radii = R.sleeve_radii(mask, base, end)
     axis = end - base
     y, x = np.nonzero(mask)
     rows = [(1, float(((a - base[0]) * axis[0] + (b - base[1]) * axis[1]) / (axis @ axis)), float(abs((b - base[1]) * axis[0] - (a - base[0]) * axis[1]) / math.hypot(*axis))) for a, b in zip(x, y)]
     df = spark.createDataFrame(rows, "k long, along double, across double")
-    got = [r["radius"] for r in M.sleeve_profile(df, ["k"], "along", "across").orderBy("bin").collect()]
-    assert np.allclose(got, radii)
+    radii = [r["radius"] for r in M.sleeve_profile(df, ["k"], "along", "across").orderBy("bin").collect()]
     # by hand: percentiles of the bins, filled, margin, clipped, smoothed with zeros beyond the ends
     number = np.array([int(math.floor(r[1] * 12)) for r in rows])
     known = {b: np.percentile([r[2] for r, k in zip(rows, number) if k == b], 92) for b in range(12) if (number == b).sum() >= 24}
@@ -285,120 +282,6 @@ def test_state_results_and_slices(spark, tmp_path):
         M.same_shapes(one, one.withColumn("h", F.lit(3).cast("long")), ["f"]).collect()
 
 
-def test_warp_and_stabilised():
-    mask = np.zeros((20, 30), bool)
-    mask[5:15, 8:20] = True
-    flow = np.zeros((20, 30, 2))
-    flow[..., 0] = 3
-    moved = R.warp(mask, flow)
-    assert (moved[:, :27] == mask[:, 3:]).all() and not moved[:, 27:].any()
-    still = [mask, mask, mask]
-    assert all((a == b).all() for a, b in zip(M.stabilised(still), [M.closed_opened(mask)] * 3))
-    right = np.roll(mask, 3, axis=1)
-    forward, backward = [np.dstack([np.full((20, 30), 3.0), np.zeros((20, 30))])], [np.dstack([np.full((20, 30), -3.0), np.zeros((20, 30))])]
-    steady = M.stabilised([mask, right], flows=(forward, backward))
-    assert (steady[0] == M.closed_opened(mask)).all() and (steady[1] == M.closed_opened(right)).all()
-    for bad in ([np.zeros((4, 4), bool)], [np.ones((4, 4), bool)], [mask, mask[:5]], []):
-        with pytest.raises(ValueError):
-            M.stabilised(bad)
-    runs = M.stabilised_runs([mask, mask, mask, mask], [True, False, True, True])
-    assert (runs[0] == mask).all() and not runs[1].any() and runs[3].any()
-
-
-def test_components_equal_flood_fill():
-    rng = np.random.default_rng(6)
-    for _ in range(8):
-        mask = rng.random((17, 23)) < 0.45
-        label, seen = M.components(mask), np.zeros(mask.shape, int)
-        n = 0
-        for y, x in zip(*np.nonzero(mask)):
-            if not seen[y, x]:
-                n += 1
-                todo = [(y, x)]
-                while todo:
-                    a, b = todo.pop()
-                    if 0 <= a < 17 and 0 <= b < 23 and mask[a, b] and not seen[a, b]:
-                        seen[a, b] = n
-                        todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        assert len(set(zip(label[mask].tolist(), seen[mask].tolist()))) == n == len(np.unique(label[mask])) and not label[~mask].any()
-
-
-def test_clean_colours_and_mattes():
-    rgb = np.full((24, 24, 3), 100.0)
-    mask = np.zeros((24, 24), bool)
-    mask[4:16, 4:16] = True
-    rgb[mask] = (10.0, 20.0, 30.0)
-    rgb[4, 4:16] = rgb[15, 4:16] = rgb[4:16, 4] = rgb[4:16, 15] = (60.0, 60.0, 60.0)  # a stained rim
-    mask[20, 2:9] = True  # a thin part
-    rgb[20, 2:9] = (0.0, 200.0, 0.0)
-    clean = R.clean_colours(rgb, mask)
-    assert np.allclose(clean[4:16, 4:16], (10, 20, 30)) and np.allclose(clean[20, 2:9], (0, 200, 0)) and not clean[~mask].any()
-    assert np.allclose(R.clean_colours(rgb, mask, 0)[4, 4], 60) and not R.clean_colours(rgb, np.zeros_like(mask)).any()
-    pm, alpha = R.hard_matte(rgb / 255, mask)
-    soft, a = R.soft_matte(pm, alpha, 1.0)
-    assert (soft <= a[..., None] + 1e-12).all() and 0 < a[3, 8] < a[4, 8] < 1 and np.allclose(R.soft_matte(pm, alpha, 0)[1], alpha)
-    dot = np.zeros((31, 31))
-    dot[15, 15] = 1.0
-    taps = np.exp(-0.5 * np.arange(-8, 9) ** 2 / 4)
-    taps /= taps.sum()
-    assert np.allclose(R.blurred(dot, 2.0)[15, 7:24], taps * taps[8]) and np.isclose(R.blurred(np.ones((5, 9)), 1.5).min(), 1)
-    over = R.composite(np.full((24, 24, 3), 0.5), soft, a)
-    assert over[0, 22, 0] == 128 and over[10, 10, 1] == 20
-    assert (R.painted(np.zeros((1, 3, 3)), np.full((1, 3, 3), 200.0), np.array([[0, 0.5, 1]]))[0, :, 0] == [0, 100, 200]).all()
-    with pytest.raises(ValueError):
-        R.soft_matte(pm, alpha[:5], 1.0)
-
-
-def test_envelopes_and_colour_models():
-    pixels = np.array([(40 + 2 * i, 30 + i) for i in range(21)], float)
-    depth = np.ones(21)
-    base, end = np.array([40.0, 30.0]), np.array([0.0, 30.0])
-    arm = R.arm_envelope(base, end, pixels, depth, 160, 120, radius=10)
-    assert arm[30, 0] and arm[20, 20] and not arm[45, 5] and arm[50, 78]
-    wide = R.arm_envelope(base, end, pixels, depth, 160, 120)
-    assert wide[30 + 57, 20] and not wide[30 + 60, 5]  # 58 pixels at least
-    fitted = R.adaptive_envelope(np.full(12, 20.0), base, end, 2.0, pixels, depth, 160, 120)
-    assert fitted[30 + 26, 20] and not fitted[30 + 28, 20]  # scaled by 1.28 at most
-    sure = np.r_[np.full(3, 0.9), np.full(18, 0.1)]
-    assert (R.hand_support(pixels, depth, 160, 120, sure) == R.hand_support(pixels, depth, 160, 120)).all()  # too few to choose
-    sure[:6] = 0.9
-    assert R.hand_support(pixels, depth, 160, 120, sure).sum() < R.hand_support(pixels, depth, 160, 120).sum()
-    colours = np.array([[50, 50, 50]] * 9 + [[90, 50, 50]], float)
-    centre, scale = R.colour_model(colours)
-    assert centre.tolist() == [50, 50, 50] and scale.tolist() == [10, 7, 7]
-    gate = R.appearance_gate(np.array([[[50, 50, 50], [120, 50, 50], [100, 50, 50]]]), centre, scale)
-    assert gate.tolist() == [[True, False, True]]
-    assert R.dilated_gate(np.eye(41, dtype=bool)[20:21].repeat(1, 0), 2).any()
-
-
-def test_appearance_keeps_the_sleeve_and_drops_the_table():
-    assert np.allclose(R.lab(np.array([[[255, 255, 255], [0, 0, 0], [0, 0, 255]]], np.uint8)), [[[255, 128, 128], [0, 128, 128], [136, 208, 195]]], atol=1)
-    mask = np.zeros((9, 9), bool)
-    mask[4, 4] = True
-    assert R.dilated(mask, R.ellipse(5)).sum() == 17 and R.dilated(mask, R.ellipse(3)).sum() == 5
-    assert (R.smoothed_mask(M.closed_opened(mask), 5, 3) == M.closed_opened(mask)).all()
-    shape, frames, raw, hands, axes = (80, 120), [], [], [], []
-    for i in range(4):
-        frame = np.full((*shape, 3), 200.0)
-        frame[30:50, :70] = (60 + 2 * i, 50, 50)  # the sleeve changes slowly
-        mask = np.zeros(shape, bool)
-        mask[30:50, :70] = True
-        mask[50:70, 20:50] = True  # a table of another colour that the mask leaks into
-        hand = np.zeros(shape, bool)
-        hand[32:48, 70:85] = True
-        frames.append(frame)
-        raw.append(mask | hand)
-        hands.append(hand)
-        axes.append((np.array([70.0, 40.0]), np.array([0.0, 40.0])))
-    everywhere = [np.ones(shape, bool)] * 4
-    kept, centre, scale = R.appearance_refined(raw, frames, everywhere, hands, axes, 1)
-    assert centre.tolist() == [62, 50, 50] and scale.tolist() == [10, 7, 7]
-    for k, h in zip(kept, hands):
-        assert k[31:49, 1:69].all() and not k[53:70].any() and k[h].all()
-    with pytest.raises(ValueError):
-        R.appearance_refined([h.copy() for h in hands], frames, everywhere, hands, axes, 1)
-
-
 def test_windowed_visibility_live(spark, tmp_path):
     import datetime as dt
 
