@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "episode long, frame long, seen boolean"
@@ -54,3 +55,19 @@ def windowed_visibility(events: DataFrame, time: str, late: str, width: str, thr
 
     seen = (F.col("value") > threshold).cast("double")
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("window"), "user_id").agg(F.count("*").alias("n"), F.avg(seen).alias("seen"))
+
+
+def visible_sessions(events: DataFrame, time: str, keys: list[str], seen: Column, gap: str, late: str) -> DataFrame:
+    """(keys, start, stop, n): intervals of visibility as sessions: seen events whose distance stays under `gap` are one interval, stop being the last of them.
+
+    Rows that come later than the watermark allows do not change what has been handed on; `dropped` counts them.
+    """
+    from pyspark.sql import functions as F
+
+    held = events.filter(seen).withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), *keys)
+    return held.agg(F.count("*").alias("n"), F.min(time).alias("start"), F.max(time).alias("stop")).select(*keys, "start", "stop", "n")
+
+
+def dropped(query: StreamingQuery) -> int:
+    """Rows that came too late for their watermark so far, over the progress that the query keeps."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
