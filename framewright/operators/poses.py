@@ -63,6 +63,28 @@ def camera_points(points: Column, position: Column, r: Column) -> Column:
     return F.transform(points, one)
 
 
+def checked_rotation(r: Column, slack: float = 1e-3) -> Column:
+    """A rotation matrix; one that is not orthonormal within the slack, or mirrors, raises. Null stays null."""
+    gram = F.array(*(r[3 * i] * r[3 * j] + r[3 * i + 1] * r[3 * j + 1] + r[3 * i + 2] * r[3 * j + 2] for i in range(3) for j in range(3)))
+    off = F.array_max(F.transform(gram, lambda x, i: F.abs(x - F.when(i % 4 == 0, 1.0).otherwise(0.0))))
+    det = r[0] * (r[4] * r[8] - r[5] * r[7]) - r[1] * (r[3] * r[8] - r[5] * r[6]) + r[2] * (r[3] * r[7] - r[4] * r[6])
+    fine = (F.size(r) == 9) & ~F.isnan(off) & (off <= slack) & (det > 0)
+    return F.when(r.isNull(), r).when(fine, r).otherwise(F.raise_error(F.lit("not a rotation: rows must be orthonormal, without a mirror")).cast("array<double>"))
+
+
+def quaternion_of(r: Column) -> Column:
+    """The unit quaternion x, y, z, w of a rotation matrix, w not negative: by the largest of the four, so nothing small is divided by."""
+    m = lambda i, j: r[3 * i + j]
+    squares = F.array(1 + m(0, 0) - m(1, 1) - m(2, 2), 1 - m(0, 0) + m(1, 1) - m(2, 2), 1 - m(0, 0) - m(1, 1) + m(2, 2), 1 + m(0, 0) + m(1, 1) + m(2, 2))
+    rows = (
+        F.array(squares[0], m(0, 1) + m(1, 0), m(0, 2) + m(2, 0), m(2, 1) - m(1, 2)), F.array(m(0, 1) + m(1, 0), squares[1], m(1, 2) + m(2, 1), m(0, 2) - m(2, 0)),
+        F.array(m(0, 2) + m(2, 0), m(1, 2) + m(2, 1), squares[2], m(1, 0) - m(0, 1)), F.array(m(2, 1) - m(1, 2), m(0, 2) - m(2, 0), m(1, 0) - m(0, 1), squares[3]),
+    )
+    top = F.array_position(squares, F.array_max(squares))
+    q = unit(F.when(top == 1, rows[0]).when(top == 2, rows[1]).when(top == 3, rows[2]).otherwise(rows[3]))
+    return F.transform(q, lambda x: F.when(q[3] < 0, -x).otherwise(x))
+
+
 def nearest_rotation(m: Column, steps: int = 24) -> Column:
     """The rotation nearest to a matrix of positive determinant: Newton's steps of the polar decomposition, each the mean of a matrix and its inverse transposed.
 

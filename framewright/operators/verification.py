@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators import batch as B
+from framewright.sources.checkpoints import settled
 
 
 def manifest(raw: DataFrame, text: str = "value", versions: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -278,9 +279,14 @@ def first_success(attempts: DataFrame, keys: list[str], order: str, ok: str, kep
     return rows.groupBy(*keys).agg(F.min(F.when(usable, F.struct("__fw_place", kept)))[kept].alias(kept))
 
 
+def published(df: DataFrame, keys: list[str], path: str) -> None:
+    """Write the partitions (by keys) that df has rows of; the others stay. Files are moved into place when all are written, so a write that fails leaves what was there."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def save_state(states: DataFrame, path: str) -> None:
-    """The last state of each chunk chain (episode, side, hand, arm, translation, rotation, source_frame), in place of what was there."""
-    states.write.mode("overwrite").parquet(path)
+    """The last state of each chunk chain (episode, side, hand, arm, translation, rotation, source_frame), in place of that chain's state before; other chains stay."""
+    published(states, ["episode", "side"], path)
 
 
 def load_state(spark: SparkSession, wanted: DataFrame, path: str | None) -> DataFrame:
@@ -291,22 +297,31 @@ def load_state(spark: SparkSession, wanted: DataFrame, path: str | None) -> Data
 
 
 def save_result(values: DataFrame, keys: list[str], path: str) -> None:
-    """A solver's result in long form (keys, joint, frame, q, low, high, ..), partitioned by recording."""
-    values.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """A solver's result in long form (keys, joint, frame, q, low, high, ..), one partition for each recording, in place of that recording's results before."""
+    published(values, keys, path)
 
 
-def install_masks(masks: DataFrame, expected: int, path: str, backup: str) -> None:
-    """Replace the masks of a segment, which must be as many as expected; what was there is kept once, under `backup`."""
+def install_masks(masks: DataFrame, keys: list[str], expected: DataFrame, path: str, backup: str) -> None:
+    """Put the masks of segments (keys) in place of those there, as partitions; each must be as many as expected (keys, n).
+
+    Masks are settled and audited before anything is written, so they may be made from what they replace. What was there is kept under `backup`,
+    once: later installations do not touch it. A run that fails can be repeated at any step: the backup is written first, whole partitions
+    at a time, and the masks are moved into place last.
+    """
     spark = masks.sparkSession
-    n = masks.count()
-    if n != expected:
-        raise ValueError(f"expected {expected} masks, got {n}")
+    held = settled(masks)
+    counts = held.groupBy(*keys).agg(F.count("*").alias("__fw_n"))
+    wrong = expected.select(*keys, "n").join(counts, keys, "full_outer").filter(~F.col("n").eqNullSafe(F.col("__fw_n"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"expected {wrong[0]['n']} masks, got {wrong[0]['__fw_n']}: {[wrong[0][k] for k in keys]}")
     jvm = spark.sparkContext._jvm
-    fs = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = lambda p: fs(p).exists(jvm.org.apache.hadoop.fs.Path(p))
-    if there(path) and not there(backup):
-        spark.read.parquet(path).write.parquet(backup)
-    masks.write.mode("overwrite").parquet(path)
+    there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(p))
+    if there(path):
+        old = spark.read.parquet(path).join(counts.select(*keys), keys, "left_semi")
+        if there(backup):
+            old = old.join(spark.read.parquet(backup).select(*keys).distinct(), keys, "left_anti")
+        published(settled(old), keys, backup)
+    published(held, keys, path)
 
 
 def slice_recording(tables: dict[str, DataFrame], order: str, total: int, start: int, stop: int) -> dict[str, DataFrame]:

@@ -170,6 +170,30 @@ def best_per_side(detections: DataFrame, keys: list[str], side: str, score: str,
     return detections.withColumn(side, swapped).withColumn("__fw_place", place).filter("__fw_place = 1").drop("__fw_place")
 
 
+def detected_landmarks(detections: DataFrame, frames: DataFrame, keys: list[str], order: str, side: str, score: str, index: str, points: str, sides: tuple[str, ...] = ("left", "right"), missing: bool = False) -> DataFrame:
+    """(keys, side, order, points, confidence, markers) of every frame and side, from a mirrored detector's finds (keys, order, side, score, index, points array<struct<u, v>>).
+
+    Sides are swapped, the best find of a frame and side is taken, frames without one are filled along straight lines (held at the ends, confidence 0.55),
+    and markers of the arm are laid behind the palm. A side that was never found raises, or, with `missing`, has points at 0 with confidence 0.
+    Finds of frames that are not listed, and of other sides, do not count.
+    """
+    best = best_per_side(detections, [*keys, order], side, score, index).select(*keys, order, side, F.col(points).alias("__fw_p"))
+    rows = frames.select(*keys, order).distinct().withColumn(side, F.explode(F.array(*map(F.lit, sides)))).join(best, [*keys, order, side], "left")
+    up = W.partitionBy(*keys, side).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*keys, side).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    find = F.when(F.col("__fw_p").isNotNull(), F.struct(F.col(order).alias("at"), F.col("__fw_p").alias("p")))
+    rows = rows.withColumn("__fw_b", F.last(find, True).over(up)).withColumn("__fw_a", F.last(find, True).over(down))
+    share = F.coalesce((F.col(order) - F.col("__fw_b.at")) / F.nullif(F.col("__fw_a.at") - F.col("__fw_b.at"), F.lit(0)), F.lit(0.0))
+    rows = rows.withColumn("__fw_share", share)
+    line = F.zip_with("__fw_b.p", "__fw_a.p", lambda b, a: F.struct((b["u"] + (a["u"] - b["u"]) * F.col("__fw_share")).alias("u"), (b["v"] + (a["v"] - b["v"]) * F.col("__fw_share")).alias("v")))
+    kind = "array<struct<u: double, v: double>>"
+    nothing = F.array_repeat(F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v")), 21) if missing else F.raise_error(F.concat(F.lit("never found: "), F.col(side))).cast(kind)
+    filled = F.coalesce(F.col("__fw_p").cast(kind), line.cast(kind), F.col("__fw_b.p").cast(kind), F.col("__fw_a.p").cast(kind), nothing)
+    sure = F.when(F.col("__fw_p").isNotNull(), 1.0).when(F.col("__fw_b").isNull() & F.col("__fw_a").isNull(), 0.0).otherwise(0.55)
+    out = rows.withColumn("__fw_f", filled).select(*keys, side, order, F.col("__fw_f").alias(points), sure.alias("confidence"))
+    return out.withColumn("markers", palm_markers(F.col(points)))
+
+
 ROOT = ("x", "y", "z", "roll", "pitch", "yaw")
 
 

@@ -259,14 +259,9 @@ def test_state_results_and_slices(spark, tmp_path):
     C.save_state(spark.createDataFrame([(1, "left", [1.0], [2.0], [0.0] * 3, [1.0] * 9, 7)], schema), str(tmp_path / "s"))
     got = {r["episode"]: (r["hand"], r["source_frame"]) for r in C.load_state(spark, wanted, str(tmp_path / "s")).collect()}
     assert got == {1: ([1.0], 7), 2: (None, -1)}
+    C.save_state(spark.createDataFrame([(2, "left", [3.0], [2.0], [0.0] * 3, [1.0] * 9, 8)], schema), str(tmp_path / "s"))  # the other chain stays
+    assert {r["episode"]: r["source_frame"] for r in C.load_state(spark, wanted, str(tmp_path / "s")).collect()} == {1: 7, 2: 8}
     masks = spark.createDataFrame([(i, "m") for i in range(3)], "frame long, bits string")
-    path, kept = str(tmp_path / "masks"), str(tmp_path / "kept")
-    C.install_masks(masks, 3, path, kept)
-    C.install_masks(masks.withColumn("bits", F.lit("new")), 3, path, kept)
-    C.install_masks(masks.withColumn("bits", F.lit("newer")), 3, path, kept)
-    assert {r["bits"] for r in spark.read.parquet(path).collect()} == {"newer"} and {r["bits"] for r in spark.read.parquet(kept).collect()} == {"m"}
-    with pytest.raises(ValueError):
-        C.install_masks(masks, 4, path, kept)
     parts = C.slice_recording({"a": masks, "b": masks.drop("frame")}, "frame", 3, 1, 3)
     assert sorted(r["frame"] for r in parts["a"].collect()) == [0, 1] and parts["b"].count() == 3
     with pytest.raises(ValueError):
@@ -282,6 +277,66 @@ def test_state_results_and_slices(spark, tmp_path):
         M.same_shapes(one, one.withColumn("h", F.lit(3).cast("long")), ["f"]).collect()
 
 
+def test_masks_are_installed_by_partition_and_survive_failed_writes(spark, tmp_path):
+    path, kept = str(tmp_path / "masks"), str(tmp_path / "kept")
+    rows = lambda segment, bits: spark.createDataFrame([(segment, i, bits) for i in range(3)], "segment long, frame long, bits string")
+    three = spark.createDataFrame([(1, 3), (2, 3)], "segment long, n long")
+    held = lambda p: {(r["segment"], r["bits"]) for r in spark.read.parquet(p).collect()}
+    C.install_masks(rows(1, "m").union(rows(2, "m")), ["segment"], three, path, kept)
+    one = three.filter("segment = 1")
+    C.install_masks(rows(1, "new"), ["segment"], one, path, kept)
+    C.install_masks(rows(1, "newer"), ["segment"], one, path, kept)
+    assert held(path) == {(1, "newer"), (2, "m")} and held(kept) == {(1, "m")}  # once, and only what was replaced
+    for expected in (three, one.withColumn("n", F.lit(4).cast("long"))):
+        with pytest.raises(ValueError):
+            C.install_masks(rows(1, "x"), ["segment"], expected, path, kept)
+    fails = F.udf(lambda i: i if i < 2 else 1 // 0, "long")
+    broken = rows(1, "broken").union(rows(2, "broken")).withColumn("frame", fails("frame"))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        C.published(broken, ["segment"], path)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        C.install_masks(broken, ["segment"], three, path, kept)
+    assert held(path) == {(1, "newer"), (2, "m")}
+    # masks made from those that they replace
+    C.install_masks(spark.read.parquet(path).filter("segment = 2").withColumn("bits", F.lit("own")).select("segment", "frame", "bits"), ["segment"], three.filter("segment = 2"), path, kept)
+    assert held(path) == {(1, "newer"), (2, "own")} and held(kept) == {(1, "m"), (2, "m")}
+
+
+def test_rigid_input_is_checked(spark):
+    from framewright.operators import poses as P
+
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(60, 4))
+    q = np.vstack([q / np.linalg.norm(q, axis=1, keepdims=True), [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "i long, q array<double>").withColumn("r", P.rotation(F.col("q")))
+    for r in df.select("q", P.quaternion_of(P.checked_rotation(F.col("r"))).alias("back")).collect():
+        assert abs(abs(np.dot(r["q"], r["back"])) - 1) < 1e-9 and r["back"][3] >= 0
+    for bad in ([1.0, 0, 0, 0, 1, 0, 0, 0, -1.0], [1.1, 0, 0, 0, 1, 0, 0, 0, 1.0], [float("nan")] * 9):
+        with pytest.raises(Exception, match="not a rotation"):
+            spark.createDataFrame([(list(map(float, bad)),)], "r array<double>").select(P.checked_rotation(F.col("r"))).collect()
+    rows = df.withColumn("ep", F.lit(1)).withColumn("p", F.array(F.col("i") * 0.01, F.lit(0.0), F.lit(1.0)))
+    by_q = {r["i"]: r["q"] for r in S.smooth_poses(rows, ["ep"], "i", "p", "q", 30.0).collect()}
+    for r in S.smooth_rigid(rows, ["ep"], "i", "p", "r", 30.0).collect():
+        m = np.reshape(r["r"], (3, 3))
+        x, y, z, w = by_q[r["i"]]
+        want = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+        assert np.allclose(m, want, atol=1e-6) and np.allclose(m @ m.T, np.eye(3))
+
+
+def test_detected_landmarks_of_missing_sides(spark):
+    points = [(float(i), float(2 * i)) for i in range(21)]
+    schema = "ep long, f long, side string, score double, k long, p array<struct<u: double, v: double>>"
+    found = spark.createDataFrame([(1, 2, "Right".lower(), 0.9, 0, points), (1, 2, "right", 0.95, 1, [(u + 4, v) for u, v in points]), (1, 6, "right", 0.5, 0, [(u + 8, v) for u, v in points])], schema)
+    frames = spark.range(8).select(F.lit(1).cast("long").alias("ep"), F.col("id").alias("f"))
+    with pytest.raises(Exception, match="never found: right"):
+        V.detected_landmarks(found, frames, ["ep"], "f", "side", "score", "k", "p").collect()
+    got = {(r["side"], r["f"]): r for r in V.detected_landmarks(found, frames, ["ep"], "f", "side", "score", "k", "p", missing=True).collect()}
+    assert len(got) == 16 and all(r["confidence"] == 0 and r["p"][20]["u"] == 0 for (side, _), r in got.items() if side == "right")
+    assert [got["left", f]["confidence"] for f in range(8)] == [0.55, 0.55, 1, 0.55, 0.55, 0.55, 1, 0.55]
+    assert [got["left", f]["p"][0]["u"] for f in range(8)] == [4, 4, 4, 5, 6, 7, 8, 8]
+    assert len(got["left", 0]["markers"]) == 3
+
+
 def test_windowed_visibility_live(spark, tmp_path):
     import datetime as dt
 
