@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framewright.operators.kernels import group_starts
 
 #: Scratch bytes a frame, for large and small pictures, and the largest small picture.
 LARGE_FRAME, SMALL_FRAME, SMALL_PIXELS = 2_800_000, 1_100_000, 640 * 480
@@ -62,24 +68,35 @@ def failed_stage(masks: Column, rendered: Column, expected: Column) -> Column:
 
 
 def assign_lanes(jobs: DataFrame, group: list[str], cost: str, order: list[Column], lanes: int) -> DataFrame:
-    """jobs and the lane of each: in order, every job goes to the lane with the least so far, the first on ties.
+    """jobs and the lane of each: in order, every job goes to the lane with the least so far, the first on ties; a null cost counts as none.
 
-    A fold over a group's ordered costs; its state is the loads of the lanes. A group's jobs are one row, so groups must be bounded.
+    Jobs are sorted by group and order inside partitions and pass one by one: what is held is a heap of the lanes' loads, whatever a group's size.
     """
-    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    whole = F.struct(*[F.col(c) for c in jobs.columns])
-    placed = jobs.select(*group, place.alias("__fw_place"), F.col(cost).cast("long").alias("__fw_cost"), whole.alias("__fw_job"))
-    held = placed.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("__fw_place", "__fw_cost", "__fw_job"))).alias("__fw_jobs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), lanes).alias("loads"), F.array().cast("array<int>").alias("lanes"))
-
-    def step(acc: Column, job: Column) -> Column:
-        lane = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda x, i: F.when(i == lane - 1, x + job["__fw_cost"]).otherwise(x))
-        return F.struct(loads.alias("loads"), F.array_append(acc["lanes"], lane - 1).alias("lanes"))
-
-    folded = held.withColumn("__fw_lanes", F.aggregate("__fw_jobs", start, step)["lanes"])
-    each = folded.select(F.explode(F.arrays_zip(F.col("__fw_jobs").alias("job"), F.col("__fw_lanes").alias("lane"))).alias("__fw_x"))
-    return each.select("__fw_x.job.__fw_job.*", "__fw_x.lane")
+    names = [f"__fw_g{i}" for i in range(len(group))]
+    sorted_ = jobs.repartition(*group).sortWithinPartitions(*group, *order)
+    rows = sorted_.select(*[F.col(g).alias(a) for g, a in zip(group, names, strict=True)], F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("__fw_c"), *[F.col(f"`{c}`") for c in jobs.columns])
+    schema, jobs_columns = T.StructType([*jobs.schema.fields, T.StructField("lane", T.IntegerType())]), jobs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heap = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = set(group_starts(batch, len(names)).tolist())
+            first = tuple(batch.column(i)[0].as_py() for i in range(len(names)))
+            if first == last:
+                starts.discard(0)
+            placed = []
+            for i, c in enumerate(batch.column(len(names)).to_pylist()):
+                if i in starts:
+                    heap = [(0, lane) for lane in range(lanes)]
+                load, lane = heap[0]
+                heapq.heapreplace(heap, (load + c, lane))
+                placed.append(lane)
+            last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in range(len(names)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(names) + 1 :], pa.array(placed, pa.int32())], names=[*jobs_columns, "lane"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def changed_entries(rows: DataFrame, keys: list[str], stored: str, current: str) -> DataFrame:

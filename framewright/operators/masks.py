@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.operators.quantiles import quantiles
+from framewright.sources.checkpoints import settled
+
 #: The twenty bones of a hand of 21 landmarks, wrist first.
 BONES = ((0, 1), (1, 2), (2, 3), (3, 4), (0, 5), (5, 6), (6, 7), (7, 8), (0, 9), (9, 10), (10, 11), (11, 12), (0, 13), (13, 14), (14, 15), (15, 16), (0, 17), (17, 18), (18, 19), (19, 20))
 
@@ -67,7 +70,8 @@ def sleeve_profile(points: DataFrame, keys: list[str], along: str, across: str,
     instead. A group with fewer than `needed` measured bins raises.
     """
     number = F.floor(F.col(along) * bins).cast("long")
-    held = points.filter((F.col(along) >= 0) & (F.col(along) < 1)).groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"), F.expr(f"percentile(`{across}`, 0.92)").alias("r"))
+    inside = points.filter((F.col(along) >= 0) & (F.col(along) < 1)).select(*keys, number.alias("bin"), across)
+    held = settled(quantiles(inside, [*keys, "bin"], across, 0.92, out="r"))
     known = held.filter(F.col("n") >= least).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "r"))).alias("__fw_k"))
     known = held.select(*keys).distinct().join(known, keys, "left")
     ok = F.when(F.size("__fw_k") >= needed, F.col("__fw_k")).otherwise(F.raise_error(F.lit("too few bins to measure a width")).cast("array<struct<bin: bigint, r: double>>"))
@@ -96,9 +100,10 @@ def compact_reference(frames: DataFrame, keys: list[str], frame: str, margin: st
 
 def colour_model(pixels: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
     """(keys, centre, scale): the median, and 1.4826 times the median deviation but `floor` at least."""
-    middle = pixels.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("centre"))
-    spread = pixels.join(middle, keys).groupBy(*keys, "centre").agg(F.expr(f"percentile(abs(`{value}` - centre), 0.5)").alias("__fw_mad"))
-    return spread.select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("__fw_mad")).alias("scale"))
+    middle = settled(quantiles(pixels, keys, value, 0.5, out="centre").drop("n"))
+    apart = pixels.select(*keys, value).join(middle, keys).select(*keys, F.abs(F.col(value) - F.col("centre")).alias("__fw_d"))
+    spread = quantiles(apart, keys, "__fw_d", 0.5, out="__fw_mad").drop("n")
+    return middle.join(spread, keys).select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("__fw_mad")).alias("scale"))
 
 
 def point_coverage(points: DataFrame, cells: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import batch, joins, masks, poses, rasters, recordings, runs, suite, trajectories, visibility
+from framewright.plans import batch, joins, masks, poses, rasters, recordings, runs, small, suite, trajectories, visibility
 
-PLANS = visibility.QUERIES | trajectories.QUERIES | masks.QUERIES | batch.QUERIES | poses.QUERIES | recordings.QUERIES | runs.QUERIES | rasters.QUERIES | joins.QUERIES | suite.QUERIES
+PLANS = visibility.QUERIES | trajectories.QUERIES | masks.QUERIES | batch.QUERIES | poses.QUERIES | recordings.QUERIES | runs.QUERIES | rasters.QUERIES | joins.QUERIES | suite.QUERIES | small.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

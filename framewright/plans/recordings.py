@@ -182,14 +182,14 @@ SELECT episode, frame, CAST(run AS BIGINT) AS run, round(avg(signal) OVER (PARTI
 
 def robot_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robot areas of both sides and their arms, from signals; sides without frames fail."""
-    rows = frames(spark, sf_dir).filter("frame < 12").select(
+    rows = frames(spark, sf_dir).select(
         "episode", F.when(F.col("event_type").isin("click", "view"), "left").when(F.col("event_type") == "purchase", "right").alias("side"),
         F.col("signal").alias("robot"), (F.col("signal") / 4).alias("arm"), (F.col("signal") * 2).alias("combined"),
     )
     return V.robot_verdict(rows, ["episode"], "side", "robot", "arm", "combined")
 
 
-ROBOT_SQL = f"""WITH {FRAMES}, rows AS (SELECT episode, CASE WHEN event_type IN ('click', 'view') THEN 'left' WHEN event_type = 'purchase' THEN 'right' END AS side, signal FROM frames WHERE frame < 12),
+ROBOT_SQL = f"""WITH {FRAMES}, rows AS (SELECT episode, CASE WHEN event_type IN ('click', 'view') THEN 'left' WHEN event_type = 'purchase' THEN 'right' END AS side, signal FROM frames),
 best AS (SELECT episode, max(signal) * 2 AS a, max(signal) FILTER (side = 'left') AS l, max(signal) FILTER (side = 'right') AS r FROM rows GROUP BY 1)
 SELECT episode, CASE WHEN a < 128 THEN 'too small together' WHEN coalesce(l < 32, true) THEN 'left robot is never visible' WHEN l / 4 < 16 THEN 'left arm is never visible'
     WHEN coalesce(r < 32, true) THEN 'right robot is never visible' WHEN r / 4 < 16 THEN 'right arm is never visible' ELSE 'ok' END AS verdict FROM best"""
