@@ -73,7 +73,7 @@ def checked_rotation(r: Column, slack: float = 1e-3) -> Column:
 
 
 def quaternion_of(r: Column) -> Column:
-    """The unit quaternion x, y, z, w of a rotation matrix, w not negative: by the largest of the four, so nothing small is divided by."""
+    """The unit quaternion x, y, z, w of a rotation matrix, w not negative: by the largest of the four, so nothing small is divided by. Pass a column: it is used many times."""
     m = lambda i, j: r[3 * i + j]
     squares = F.array(1 + m(0, 0) - m(1, 1) - m(2, 2), 1 - m(0, 0) + m(1, 1) - m(2, 2), 1 - m(0, 0) - m(1, 1) + m(2, 2), 1 + m(0, 0) + m(1, 1) + m(2, 2))
     rows = (

@@ -70,7 +70,9 @@ def lines_of(rows: DataFrame, keys: list[str], frames: DataFrame, height: int) -
 
 
 def _gathered(found: DataFrame, blank: DataFrame, keys: list[str]) -> DataFrame:
-    both = found.withColumn("__fw_own", F.lit(False)).unionByName(blank.withColumn("__fw_own", F.lit(True))).repartition(*keys)
+    # a number of its own: lines are few bytes and much work, and partitions made by bytes would be too few
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = found.withColumn("__fw_own", F.lit(False)).unionByName(blank.withColumn("__fw_own", F.lit(True))).repartition(parts, *keys)
     held = both.groupBy(*keys, "y").agg(F.collect_list("run").alias("runs"), F.max("__fw_own").alias("__fw_own"))
     return held.filter("__fw_own").select(*keys, "y", merged(F.col("runs")).alias("runs"))
 
@@ -92,13 +94,11 @@ def diamond(radius: int) -> dict[int, int]:
 def grown(lines: DataFrame, keys: list[str], window: dict[int, int], width: int, out: str = "runs", source: str = "runs") -> DataFrame:
     """Dilated by a window that is symmetric above and below."""
     w = W.partitionBy(*keys).orderBy("y")
-    held = lines
-    for dy in sorted(window):
-        near = F.col(source) if dy == 0 else F.lag(source, dy).over(w) if dy > 0 else F.lead(source, -dy).over(w)
-        held = held.withColumn(f"__fw_{dy + len(window)}", near)
-    wide = lambda dy: F.transform(F.coalesce(f"__fw_{dy + len(window)}", none()), lambda r: run(F.greatest(F.lit(0), r["a"] - window[dy]), F.least(F.lit(width), r["b"] + window[dy])))
-    held = held.withColumn(out, merged(F.flatten(F.array(*map(wide, sorted(window))))))
-    return held.drop(*(f"__fw_{dy + len(window)}" for dy in window))
+    name = lambda dy: f"__fw_l{dy + len(window)}"
+    near = lambda dy: F.col(source) if dy == 0 else F.lag(source, dy).over(w) if dy > 0 else F.lead(source, -dy).over(w)
+    held = lines.withColumns({name(dy): near(dy) for dy in window})
+    wide = lambda dy: F.transform(F.coalesce(name(dy), none()), lambda r: run(F.greatest(F.lit(0), r["a"] - window[dy]), F.least(F.lit(width), r["b"] + window[dy])))
+    return held.withColumn(out, merged(F.flatten(F.array(*map(wide, sorted(window)))))).drop(*map(name, window))
 
 
 def eroded(lines: DataFrame, keys: list[str], window: dict[int, int], width: int) -> DataFrame:
@@ -176,11 +176,11 @@ def capsule_rows(shapes: DataFrame, keys: list[str], width: int, height: int) ->
     return held.select(*keys, "y", F.greatest(F.lit(0), F.coalesce(first, F.lit(width))).alias("a"), F.least(F.lit(width), F.coalesce(last + 1, F.lit(0))).alias("b"))
 
 
-def _where(df: DataFrame, keys: list[str], u: str, v: str, ok: Column, radius: Column | float) -> DataFrame:
-    """The bones between points that are ok, and those points, as shapes; points are rounded to pixels."""
+def bone_shapes(df: DataFrame, keys: list[str], u: str, v: str, ok: Column, radius: Column | float, rounded: bool = True) -> DataFrame:
+    """The bones between points that are ok, and those points, as shapes; points are rounded to pixels, or taken as they are."""
     pairs = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in [*BONES, *((i, i) for i in range(21))]))
     held = df.withColumn("__fw_ok", ok).select(*keys, u, v, "__fw_ok", F.lit(radius).cast("double").alias("radius") if not isinstance(radius, Column) else radius.cast("double").alias("radius"), F.explode(pairs).alias("p"))
-    at = lambda a, i: F.rint(F.get(a, F.col(f"p.{i}")))
+    at = lambda a, i: F.rint(F.get(a, F.col(f"p.{i}"))) if rounded else F.get(a, F.col(f"p.{i}"))
     shown = held.filter(F.get("__fw_ok", F.col("p.i")) & F.get("__fw_ok", F.col("p.j")))
     return shown.select(*keys, at(u, "i").alias("au"), at(v, "i").alias("av"), at(u, "j").alias("bu"), at(v, "j").alias("bv"), "radius")
 
@@ -193,7 +193,7 @@ def hand_shapes(df: DataFrame, keys: list[str], u: str, v: str, z: str, width: i
     if confidence is not None:
         held = held.withColumn("__fw_sure", F.zip_with("__fw_shown", confidence, lambda s, k: s & F.coalesce(k >= trust, F.lit(False))))
         ok = F.when(F.size(F.filter("__fw_sure", lambda x: x)) >= 4, F.col("__fw_sure")).otherwise(F.col("__fw_shown"))
-    return _where(held, keys, u, v, ok, max(4, round(min(width, height) * HAND)) if radius is None else radius)
+    return bone_shapes(held, keys, u, v, ok, max(4, round(min(width, height) * HAND)) if radius is None else radius)
 
 
 def wide_radius(width: int, height: int) -> int:
@@ -312,14 +312,13 @@ def distances(lines: DataFrame, keys: list[str], width: int, clip: float, out: s
     """
     reach, w = math.ceil(clip), W.partitionBy(*keys).orderBy("y")
     held = lines.withColumn("__fw_m", flags(F.col("runs"), width))
-    for k in range(1, reach + 1):
-        held = held.withColumn(f"__fw_u{k}", F.lag("__fw_m", k).over(w)).withColumn(f"__fw_d{k}", F.lead("__fw_m", k).over(w))
+    held = held.withColumns({f"__fw_{s}{k}": step("__fw_m", k).over(w) for k in range(1, reach + 1) for s, step in (("u", F.lag), ("d", F.lead))})
     sides = [("__fw_m", 0)] + [(f"__fw_{s}{k}", k) for k in range(1, reach + 1) for s in "ud"]
 
     def nearest(kind: int) -> Column:
         return F.transform("__fw_m", lambda _, x: F.least(*(F.when(F.get(c, x) == kind, k) for c, k in sides), F.lit(reach + 1)))
 
-    held = held.withColumn("__fw_in", nearest(1)).withColumn("__fw_out", nearest(0))
+    held = held.withColumns({"__fw_in": nearest(1), "__fw_out": nearest(0)})
 
     def at(m: Column, x: Column) -> Column:
         apart = lambda of: F.array_min(F.transform(F.sequence(F.greatest(F.lit(-reach), -x), F.least(F.lit(reach), F.lit(width - 1) - x)), lambda d: d * d + F.get(of, x + d) * F.get(of, x + d)))
@@ -391,10 +390,7 @@ def blurred(lines: DataFrame, keys: list[str], columns: list[str], sigma: float,
     images = F.array(F.col("y"), F.when(F.col("y").between(1, half), -F.col("y")), F.when(F.col("y").between(height - 1 - half, height - 2), 2 * (height - 1) - F.col("y")))
     held = held.withColumn("__fw_y", F.explode(F.filter(images, lambda y: y.isNotNull())))
     w = W.partitionBy(*keys).orderBy("__fw_y")
-    for c in columns:
-        for k in range(2 * half + 1):
-            near = F.col(c) if k == half else F.lag(c, half - k).over(w)
-            held = held.withColumn(f"__fw_{c}_{k}", near)
+    held = held.withColumns({f"__fw_{c}_{k}": F.col(c) if k == half else F.lag(c, half - k).over(w) for c in columns for k in range(2 * half + 1)})
     across = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: sum((t * F.get(f"__fw_{c}_{k}", x) for k, t in enumerate(taps)), F.lit(0.0)))
     out = held.filter(F.col("__fw_y") == F.col("y")).withColumns({c: across(c) for c in columns})
     return out.drop("__fw_y", *(f"__fw_{c}_{k}" for c in columns for k in range(2 * half + 1)))

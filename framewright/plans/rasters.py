@@ -53,9 +53,10 @@ def _shape_sql(radius: int, source: str, out: str) -> str:
 ), {out} AS (SELECT DISTINCT frame, x, y FROM {out}_near WHERE pow(x - au - t * du, 2) + pow(y - av - t * dv, 2) <= {radius * radius})"""
 
 
-def _bones_sql(where: str, out: str) -> str:
+def _bones_sql(where: str, out: str, rounded: bool = True) -> str:
     bones = ", ".join(f"({a}, {b})" for a, b in [*M.BONES, *((i, i) for i in range(21))])
-    return f"""{out}_ok AS (SELECT frame, landmark, round_even(u, 0) AS u, round_even(v, 0) AS v FROM ({where})),
+    u, v = ("round_even(u, 0)", "round_even(v, 0)") if rounded else ("u", "v")
+    return f"""{out}_ok AS (SELECT frame, landmark, {u} AS u, {v} AS v FROM ({where})),
 {out} AS (SELECT p.frame, p.u AS au, p.v AS av, q.u AS bu, q.v AS bv FROM (VALUES {bones}) AS t(a, b) JOIN {out}_ok p ON p.landmark = a JOIN {out}_ok q ON q.landmark = b AND q.frame = p.frame)"""
 
 
@@ -226,7 +227,7 @@ SELECT episode, frame, count(*) AS area, CAST(sum(trunc(least(255.0, greatest(0.
 def mask_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand shapes of each frame on a 64 x 48 image, closed, opened, cleaned of stray parts and made steady inside an episode: areas before and after."""
     rows = hand_pixels(spark, sf_dir)
-    shapes = L._where(rows, FRAME, "u", "v", F.transform(F.arrays_zip("u", "v"), lambda p: p["u"].isNotNull() & p["v"].isNotNull()), 2.0)
+    shapes = L.bone_shapes(rows, FRAME, "u", "v", F.transform(F.arrays_zip("u", "v"), lambda p: p["u"].isNotNull() & p["v"].isNotNull()), 2.0, rounded=False)
     raw = L.settled(L.lines_of(L.capsule_rows(shapes, FRAME, 64, 48), FRAME, rows, 48))
     clean = L.settled(L.cleaned(raw, FRAME, 64, 48, F.array(F.struct(F.lit(32.0).alias("u"), F.lit(24.0).alias("v"))), 8))
     steady = L.stabilised(clean, ["episode"], "frame", 64, clip=3.0)
@@ -246,7 +247,7 @@ def _cleanup_sql() -> str:
 )"""
     tidy = lambda out, source: ",\n".join([grow(f"{out}1", source, 5), shrink(f"{out}2", f"{out}1", 5), shrink(f"{out}3", f"{out}2", 3), grow(out, f"{out}3", 3)])
     return f"""WITH RECURSIVE {PX}, {GRID}, w3(dx, dy) AS (VALUES {window(3)}), w5(dx, dy) AS (VALUES {window(5)}),
-eps AS (SELECT DISTINCT episode, frame FROM points_), {_bones_sql("SELECT * FROM px WHERE u IS NOT NULL", "bones")}, {_shape_sql(2, "bones", "shape")},
+eps AS (SELECT DISTINCT episode, frame FROM points_), {_bones_sql("SELECT * FROM px WHERE u IS NOT NULL", "bones", False)}, {_shape_sql(2, "bones", "shape")},
 raw AS MATERIALIZED (SELECT e.episode, s.* FROM shape s JOIN eps e ON e.frame = s.frame), {tidy("tidy", "raw")},
 cuts AS (SELECT *, x - row_number() OVER (PARTITION BY episode, frame, y ORDER BY x) AS g FROM tidy),
 runs AS MATERIALIZED (SELECT episode, frame, y, min(x) AS a, max(x) + 1 AS b, y * 64 + min(x) AS id FROM cuts GROUP BY episode, frame, y, g),
@@ -261,14 +262,16 @@ kept AS (
 ), ok AS MATERIALIZED (
     SELECT *, lag(good) OVER w AS before, lead(good) OVER w AS after, lag(frame) OVER w AS was, lead(frame) OVER w AS next
     FROM (SELECT e.*, count(x) AS n, count(x) BETWEEN 1 AND 3071 AS good FROM eps e LEFT JOIN clean c ON c.episode = e.episode AND c.frame = e.frame GROUP BY 1, 2) WINDOW w AS (PARTITION BY episode ORDER BY frame)
-), all_cells AS MATERIALIZED (SELECT e.episode, e.frame, g.x, g.y, c.x IS NOT NULL AS m FROM eps e CROSS JOIN grid g LEFT JOIN clean c ON c.episode = e.episode AND c.frame = e.frame AND c.x = g.x AND c.y = g.y),
-steps AS (SELECT dx, dy FROM (SELECT unnest(range(-3, 4)) AS dx), (SELECT unnest(range(-3, 4)) AS dy) WHERE dx * dx + dy * dy < 9),
-apart AS (SELECT a.episode, a.frame, a.x, a.y, min(dx * dx + dy * dy) AS d FROM all_cells a, steps s JOIN all_cells b ON b.episode = a.episode AND b.frame = a.frame AND b.x = a.x + dx AND b.y = a.y + dy AND b.m <> a.m GROUP BY ALL),
-far AS MATERIALIZED (SELECT a.*, CASE WHEN m THEN 1 ELSE -1 END * sqrt(coalesce(d, 9)) AS d FROM all_cells a LEFT JOIN apart n ON n.episode = a.episode AND n.frame = a.frame AND n.x = a.x AND n.y = a.y),
-mixed AS MATERIALIZED (
+), steps AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
+outer_ AS MATERIALIZED (SELECT episode, frame, x + dx AS x, y + dy AS y, min(dx * dx + dy * dy) AS d FROM clean, steps WHERE {inside} GROUP BY ALL),
+inner_ AS (SELECT c.episode, c.frame, c.x, c.y, min(dx * dx + dy * dy) AS d FROM outer_ o, steps s JOIN clean c ON c.episode = o.episode AND c.frame = o.frame AND c.x = o.x + dx AND c.y = o.y + dy WHERE o.d > 0 GROUP BY ALL),
+far AS MATERIALIZED (
+    SELECT episode, frame, x, y, -sqrt(d) AS d FROM outer_ WHERE d > 0
+    UNION ALL SELECT c.episode, c.frame, c.x, c.y, sqrt(coalesce(n.d, 9)) FROM clean c LEFT JOIN inner_ n ON n.episode = c.episode AND n.frame = c.frame AND n.x = c.x AND n.y = c.y
+), mixed AS MATERIALIZED (
     SELECT o.episode, o.frame, f.x, f.y FROM ok o JOIN far f ON f.episode = o.episode AND f.frame = o.frame
     LEFT JOIN far p ON before AND p.episode = o.episode AND p.frame = o.was AND p.x = f.x AND p.y = f.y LEFT JOIN far q ON after AND q.episode = o.episode AND q.frame = o.next AND q.x = f.x AND q.y = f.y
-    WHERE good AND f.d + coalesce(0.35::DOUBLE * p.d, 0.0) + coalesce(0.35::DOUBLE * q.d, 0.0) > 0
+    WHERE good AND f.d + CASE WHEN before THEN 0.35::DOUBLE * coalesce(p.d, -3.0::DOUBLE) ELSE 0.0 END + CASE WHEN after THEN 0.35::DOUBLE * coalesce(q.d, -3.0::DOUBLE) ELSE 0.0 END > 0
 ), {tidy("steady", "mixed")},
 areas AS (SELECT episode, frame, count(*) AS n FROM steady GROUP BY 1, 2), raws AS (SELECT episode, frame, count(*) AS n FROM raw GROUP BY 1, 2)
 SELECT o.episode, o.frame, coalesce(r.n, 0) AS raw, o.n AS clean, CASE WHEN NOT good THEN 0 WHEN NOT coalesce(before, false) AND NOT coalesce(after, false) THEN o.n

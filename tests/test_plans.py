@@ -3,7 +3,7 @@
 import math
 import random
 
-from framewright.plans import masks
+from framewright.plans import rasters
 
 W, H = 64, 48
 FIVE = [(0, -2), (0, 2)] + [(x, y) for x in range(-2, 3) for y in (-1, 0, 1)]
@@ -78,5 +78,5 @@ def test_mask_cleanup_draws_and_cleans_whole_hands(spark, tmp_path):
             steady = new if c and 0.65 <= len(new) / len(c) <= 1.35 else c
             want[10 * episode + i] = (len(shapes[i]), len(c), len(steady))
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r["frame"]: (r["raw"], r["clean"], r["steady"]) for r in masks.mask_cleanup(spark, str(tmp_path)).collect()}
+    got = {r["frame"]: (r["raw"], r["clean"], r["steady"]) for r in rasters.mask_cleanup(spark, str(tmp_path)).collect()}
     assert got == want

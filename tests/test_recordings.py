@@ -309,7 +309,7 @@ def test_rigid_input_is_checked(spark):
     q = rng.normal(size=(60, 4))
     q = np.vstack([q / np.linalg.norm(q, axis=1, keepdims=True), [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "i long, q array<double>").withColumn("r", P.rotation(F.col("q")))
-    for r in df.select("q", P.quaternion_of(P.checked_rotation(F.col("r"))).alias("back")).collect():
+    for r in df.withColumn("checked", P.checked_rotation(F.col("r"))).select("q", P.quaternion_of(F.col("checked")).alias("back")).collect():
         assert abs(abs(np.dot(r["q"], r["back"])) - 1) < 1e-9 and r["back"][3] >= 0
     for bad in ([1.0, 0, 0, 0, 1, 0, 0, 0, -1.0], [1.1, 0, 0, 0, 1, 0, 0, 0, 1.0], [float("nan")] * 9):
         with pytest.raises(Exception, match="not a rotation"):
