@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,24 @@ def remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder: later passes neither recompute it nor depend on an executor."""
     shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _open and (path := out._jdf.queryExecution().logical().rdd().getCheckpointFile()).isDefined():
+        _open[-1].append(path.get())
+    return out
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary_cuts(spark: SparkSession) -> Iterator[None]:
+    """What is materialised by cut inside is removed in the end, also after a failure: write the result before that."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
 
 
 #: Hash ranges by which bounded_sample finds its limit.

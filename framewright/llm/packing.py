@@ -46,7 +46,7 @@ from framewright.llm.words import hash_words, sums
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Numbers of groups of large lengths that are tried, and shares of a sequence below which a piece is small.
-GROUPS, SMALL = (16, 32, 48), (1 / 4, 1 / 3, 2 / 5)
+GROUPS, SMALL = (16, 32, 48), (1 / 4, 1 / 3, 2 / 5, 1 / 2)
 #: Bytes of words whose ids a worker process keeps; later words are encoded anew for each slice of text.
 CACHE_BYTES = 4 << 20
 #: Bytes of text that are tokenized at a time (a longer single text makes a slice of its own).

@@ -113,3 +113,24 @@ def test_written_stages_are_removed(spark, corpus):
     corpus_pipeline.run(spark, folder).count()
     shared = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
     assert not [x for x in os.listdir(shared) if x.startswith("stages-")]
+
+
+def test_pipeline_leaves_only_its_last_pieces(spark, corpus, monkeypatch):
+    import os
+
+    folder = corpus[0]
+    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = (shared.get() if shared.isDefined() else spark.conf.get("spark.checkpoint.dir")).removeprefix("file:")
+    there = lambda: {f"{d}" for d, _, files in os.walk(base) for f in files if f.startswith("part-")}
+    before = there()
+    assert corpus_pipeline.run(spark, folder).count()
+    left = there() - before
+    assert left and len(left) <= 3 and not any("stages" in x for x in left)  # what packing's result reads
+    def fail(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("near_duplicates", fail), *corpus_pipeline.STAGES[3:]])
+    before = there()
+    with pytest.raises(RuntimeError, match="no"):
+        corpus_pipeline.run(spark, folder)
+    assert there() == before
