@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import decontam, language, packing, similar, toxicity
-from framewright.llm.common import read, remove, shared_folder
+from framewright.llm.common import read, remove, shared_folder, temporary_cuts
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,18 +55,19 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir.
 
-    Each stage is written to the shared checkpoint folder and its input removed
-    after that; the last one is materialised by packing itself (checkpoints of pieces).
+    Each stage is written to the shared checkpoint folder, its input and what it has materialised on the way are removed
+    after that, and nothing stays there if a stage fails; the last one is materialised by packing itself (checkpoints of pieces).
     """
     folder = shared_folder(spark, "stages")
     docs = read(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
+    try:
+        for number, (name, stage) in enumerate(STAGES[:-1]):
             path = f"{folder}/{number}-{name}"
-            docs.write.parquet(path)
+            with temporary_cuts(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
-        if 0 < number < len(STAGES) - 1:
-            remove(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
-    remove(spark, folder)
-    return docs
+            if number:
+                remove(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        remove(spark, folder)
