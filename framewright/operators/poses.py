@@ -110,6 +110,41 @@ def blend_poses(df: DataFrame, first: str, second: str, share: str, out: str = "
     return held.withColumn("__fw_r", r).withColumn(out, F.when(F.col("__fw_r").isNotNull(), pose(F.col("__fw_r"), F.col("__fw_t")))).drop("__fw_m", "__fw_t", "__fw_r")
 
 
+def rebased(r: Column, left: tuple[int, int, int], right: tuple[int, int, int]) -> Column:
+    """diag(left) r diag(right): other axes on either side of a rotation."""
+    return F.array(*(r[3 * i + j] * float(left[i] * right[j]) for i in range(3) for j in range(3)))
+
+
+#: Steps from the wrist to the three markers of a sleeve, in the camera's axes; the first one's sign is the side's.
+SLEEVE_STEP, SLEEVE_MARKERS = (0.14, 0.09, 0.05), 3
+WORLD_SIGNS, CAMERA_SIGNS = (1, 1, -1), (1, -1, 1)
+
+
+def converted_hands(df: DataFrame, keys: list[str], order: str, position: str, quaternion: str, hands: dict[str, tuple[str, str]], active: tuple[str, ...]) -> DataFrame:
+    """(keys, order, side, marker, point, turn, confidence) of a pose table whose world and camera axes are left-handed: 21 landmarks and three markers of
+    the sleeve for each hand, as places in a right-handed world, with the wrist's rotation there.
+
+    hands: side -> (landmarks, wrist quaternion). Sleeves are not observed: their markers run from the wrist towards the lower border of
+    the side, in the camera's axes. Sides that are not active have confidence 0 and their markers on the wrist. Null landmarks give null points.
+    """
+    if extra := set(active) - set(hands):
+        raise ValueError(f"no such sides: {sorted(extra)}")
+    held = df.withColumn("__fw_r", rotation(F.col(quaternion))).withColumn("__fw_c", rebased(F.col("__fw_r"), WORLD_SIGNS, CAMERA_SIGNS))
+    held = held.withColumn("__fw_t", F.array(*(F.col(position)[i] * float(WORLD_SIGNS[i]) for i in range(3))))
+    held = held.withColumns({f"__fw_p_{side}": camera_points(F.col(points), F.col(position), F.col("__fw_r")) for side, (points, _) in hands.items()})
+    structs = []
+    for side, (_, wrist) in hands.items():
+        sign, seen = (-1.0 if side == "left" else 1.0), F.col(f"__fw_p_{side}")
+        step = [SLEEVE_STEP[0] * sign, *SLEEVE_STEP[1:]] if side in active else [0.0] * 3
+        sleeve = F.array(*(F.array(*(seen[0][i] + k * step[i] for i in range(3))) for k in range(1, SLEEVE_MARKERS + 1)))
+        turn = flipped(rotation(F.col(wrist)), WORLD_SIGNS)
+        structs.append(F.struct(F.lit(side).alias("side"), F.concat(seen, sleeve).alias("points"), turn.alias("turn"), F.lit(1.0 if side in active else 0.0).alias("confidence")))
+    each = held.select(*keys, order, "__fw_c", "__fw_t", F.explode(F.array(*structs)).alias("__fw_h"))
+    each = each.select(*keys, order, "__fw_c", "__fw_t", "__fw_h.side", "__fw_h.turn", "__fw_h.confidence", F.posexplode("__fw_h.points").alias("marker", "__fw_p"))
+    world = F.zip_with(times(F.col("__fw_c"), F.col("__fw_p")), "__fw_t", lambda a, b: a + b)
+    return each.select(*keys, order, "side", "marker", world.alias("point"), "turn", "confidence")
+
+
 def on_image(pixel: Column, camera: Camera) -> Column:
     """Closed: pixel centres from 0 to width - 1 and height - 1."""
     return F.coalesce((pixel["u"] >= 0) & (pixel["u"] <= camera.width - 1) & (pixel["v"] >= 0) & (pixel["v"] <= camera.height - 1), F.lit(False))

@@ -246,7 +246,28 @@ def actuated_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTUATED_SQL = """SELECT n_nationkey, array_to_string(CASE WHEN n_nationkey % 2 = 0 THEN range(6, 6 + n_nationkey % 5 + 1) ELSE range(0, n_nationkey % 5 + 1) END, ',') AS places FROM nation"""
 
+
+
+def converted_hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both hands of the pose table in a right-handed world, the left one active, with the sleeves' markers."""
+    rows = pose_table(spark, sf_dir).withColumn("wrist", F.reverse("quaternion"))
+    out = P.converted_hands(rows, ["episode"], "frame", "position", "quaternion", {x: (f"{x}_landmarks", "wrist") for x in ("left", "right")}, ("left",))
+    trace = F.round(F.col("turn")[0] + F.col("turn")[4] + F.col("turn")[8], 5).alias("trace")
+    return out.select("episode", "frame", "side", F.col("marker").cast("long").alias("marker"), *[F.round(F.col("point")[i], 5).alias(f"p{i}") for i in range(3)], trace, "confidence")
+
+
+CONVERTED_SQL = f"""WITH {MATRIX}, numbered AS (SELECT CAST(label AS BIGINT) AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+marks AS (
+    SELECT n.episode, n.frame, side, k AS marker, greatest(k - 20, 0) * CASE side WHEN 'left' THEN 1 ELSE 0 END AS far, CASE WHEN k < 21 THEN k ELSE 0 END AS i, e, r
+    FROM numbered n JOIN mats m ON m.episode = n.episode AND m.frame = n.frame, (SELECT unnest(range(24)) AS k), (SELECT unnest(['left', 'right']) AS side)
+), o AS (
+    SELECT *, CASE side WHEN 'left' THEN [e[i * 3 + 1], e[i * 3 + 2], e[i * 3 + 3]] ELSE [e[i * 3 + 2], e[i * 3 + 3], e[i * 3 + 1]] END AS p, [far * -0.14::DOUBLE, far * -0.09::DOUBLE, far * 0.05::DOUBLE] AS s FROM marks
+)
+SELECT episode, frame, side, marker, round(p[1] + r[1] * s[1] + r[2] * s[2] + r[3] * s[3], 5) AS p0, round(p[2] + r[4] * s[1] + r[5] * s[2] + r[6] * s[3], 5) AS p1, round(-(p[3] + r[7] * s[1] + r[8] * s[2] + r[9] * s[3]), 5) AS p2,
+    round(4 * e[1] * e[1] / (e[1] * e[1] + e[2] * e[2] + e[3] * e[3] + e[4] * e[4]) - 1, 5) AS trace, CASE side WHEN 'left' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM o"""
+
 QUERIES = {
+    "converted_hands": (converted_hands, CONVERTED_SQL),
     "hand_visibility": (hand_visibility, HAND_SQL),
     "recording_chunks": (recording_chunks, CHUNKS_SQL),
     "prompt_cascade": (prompt_cascade, _cascade_sql()),
