@@ -188,7 +188,36 @@ SELECT episode, frame, round(tracked, 6) AS tracked FROM tracked"""
 
 
 def derivative_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.derivative_limits(frames(spark, sf_dir), EP, "frame", "signal", 30.0, 600.0, 9000.0, 0.0, 400.0)
+    out = S.derivative_limits(frames(spark, sf_dir), EP, "frame", "signal", 30.0, 600.0, 9000.0, 0.0, 400.0)
+    # halves of the last digit are frequent here; both sides lean upwards, so the order of sums decides nothing
+    return out.select("episode", "frame", "signal", F.round(F.col("limited") + 1e-9, 5).alias("limited"))
+
+
+def limits_sql(source: str, speed: float, acceleration: float, low: float, high: float, rounds: int = 96) -> str:
+    """limited (key, y) of a table (key, y list): each round clips, moves neighbours to the speed and triples to the acceleration, to and fro, until nothing is over.
+
+    A sweep is a fold that carries the last one or two moved values; the way back is the same fold over the reversed list.
+    """
+    over = lambda v, b: f"({v} - least({b!r}::DOUBLE, greatest({-b!r}::DOUBLE, {v})))"
+    step, bend = over("(x[1] - acc[len(acc)])", speed), over("(acc[len(acc) - 1] - 2 * acc[len(acc)] + x[1])", acceleration)
+    pairs = f"list_reduce(list_transform(y, lambda v: [v]), lambda acc, x: list_concat(acc[1:len(acc) - 1], [acc[len(acc)] + {step} / 2, x[1] - {step} / 2]))"
+    triples = f"""CASE WHEN len(y) < 3 THEN y ELSE list_reduce(list_concat([y[1:2]], list_transform(y[3:], lambda v: [v])),
+        lambda acc, x: list_concat(acc[1:len(acc) - 2], [acc[len(acc) - 1] - {bend} / 6, acc[len(acc)] + {bend} / 3, x[1] - {bend} / 6])) END"""
+    clip = lambda y: f"list_transform({y}, lambda v: least({high!r}::DOUBLE, greatest({low!r}::DOUBLE, v)))"
+    worst = f"""greatest(coalesce(list_max(list_transform(range(1, len(y)), lambda i: abs(y[i + 1] - y[i]) - {speed!r})), 0),
+        coalesce(list_max(list_transform(range(1, len(y) - 1), lambda i: abs(y[i] - 2 * y[i + 1] + y[i + 2]) - {acceleration!r})), 0))"""
+    return f"""rounds AS (
+    SELECT key, {clip("y")} AS y, 0 AS n, false AS done FROM {source}
+    UNION ALL SELECT key, y, n, {worst} <= 1e-10 FROM (
+        SELECT key, {clip("list_reverse(y)")} AS y, n FROM (SELECT key, {triples} AS y, n FROM (SELECT key, list_reverse({triples}) AS y, n FROM (
+        SELECT key, list_reverse({pairs}) AS y, n FROM (SELECT key, list_reverse({pairs}) AS y, n + 1 AS n FROM rounds WHERE n < {rounds} AND NOT done))))
+    )
+), limited AS (SELECT key, arg_max(y, n) AS y FROM rounds GROUP BY key)"""
+
+
+DERIVATIVE_SQL = f"""WITH RECURSIVE {FRAMES}, held AS (SELECT episode AS key, list(signal ORDER BY frame) AS y FROM frames GROUP BY 1), {limits_sql("held", 20.0, 10.0, 0.0, 400.0)},
+each AS (SELECT key AS episode, unnest(range(len(y))) AS frame, unnest(y) AS limited FROM limited)
+SELECT f.episode, f.frame, signal, round(limited + 1e-9, 5) AS limited FROM frames f JOIN each e ON e.episode = f.episode AND e.frame = f.frame"""
 
 
 def angular_velocity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +319,21 @@ def smooth_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("episode", F.col("joint").cast("long").alias("joint"), "frame", F.round("smoothed", 6).alias("smoothed"))
 
 
+def _joints_sql() -> str:
+    near = "WINDOW w AS (PARTITION BY episode, joint ORDER BY frame)"
+    return f"""WITH RECURSIVE joints AS (
+    SELECT episode, frame, joint, q, least(0.2, greatest(-0.2, q)) AS c FROM (
+        SELECT CAST(label AS BIGINT) AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding[1:30], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), LATERAL (SELECT unnest(e) AS q, unnest(range(30)) AS joint)
+), free AS (
+    SELECT *, list(c) OVER (PARTITION BY episode, joint ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, median(c) OVER (PARTITION BY episode, joint ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m,
+        count(*) OVER (PARTITION BY episode, joint) AS n FROM joints WHERE joint >= 6
+), robust AS (SELECT episode, joint, frame, n, c, CASE WHEN n >= 3 AND abs(c - m) > greatest(0.08, 3.5 * 1.4826 * list_aggregate(list_transform(near, lambda x: abs(x - m)), 'median')) THEN m ELSE c END AS h FROM free),
+smooth AS (SELECT episode, joint, frame, CASE WHEN n < 2 THEN c ELSE {weighted_sql("h", W7)} END AS g FROM robust {near}),
+held AS (SELECT row(episode, joint) AS key, list(g ORDER BY frame) AS y FROM smooth GROUP BY episode, joint), {limits_sql("held", 8.0 / 30.0, 120.0 / 900.0, -0.2, 0.2)},
+each AS (SELECT key[1] AS episode, key[2] AS joint, unnest(range(len(y))) AS frame, unnest(y) AS limited, len(y) AS n FROM limited)
+SELECT j.episode, j.joint, j.frame, round(CASE WHEN j.joint < 6 OR n < 2 THEN q ELSE limited END, 6) AS smoothed FROM joints j LEFT JOIN each e ON e.episode = j.episode AND e.joint = j.joint AND e.frame = j.frame"""
+
+
 def smooth_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numbers of each vector as a rotation, the next three as a place."""
     place = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
@@ -320,13 +364,13 @@ QUERIES = {
     "quaternion_smooth": (quaternion_smooth, _mean_sql()),
     "slerp_midpoints": (slerp_midpoints, SLERP_SQL),
     "ema_tracker": (ema_tracker, EMA_SQL),
-    "derivative_limits": (derivative_limits, ""),
+    "derivative_limits": (derivative_limits, DERIVATIVE_SQL),
     "angular_velocity_limits": (angular_velocity_limits, ""),
     "step_norms": (step_norms, STEP_SQL),
     "area_jumps": (area_jumps, JUMPS_SQL),
     "subframe_samples": (subframe_samples, SUBFRAME_SQL),
     "alignment_shift": (alignment_shift, _alignment_sql()),
-    "smooth_joints": (smooth_joints, ""),
+    "smooth_joints": (smooth_joints, _joints_sql()),
     "smooth_poses": (smooth_poses, ""),
     "continuity_tail": (continuity_tail, TAIL_SQL),
 }
