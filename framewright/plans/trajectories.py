@@ -222,7 +222,36 @@ SELECT f.episode, f.frame, signal, round(limited + 1e-9, 5) AS limited FROM fram
 
 def angular_velocity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quaternions(spark, sf_dir).withColumn("q", G.unit(F.col("q")))
-    return G.angular_limits(rows, EP, "frame", "q", 0.5)
+    out = G.angular_limits(rows, EP, "frame", "q", 0.5)
+    return out.select("episode", "frame", *[F.round(F.col("q_limited")[i], 6).alias(f"q{i}") for i in range(4)])
+
+
+def _turns_sql(bound: float, rounds: int = 96) -> str:
+    """Neighbours moved along their arc by half of what is too much, to and fro, until nothing is: a sweep is a fold that carries the last moved quaternion."""
+    bind = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    # of the two the later frame takes the sign of the earlier one, on the way back too
+    sign = lambda z, flips: f"CASE WHEN s.d < 0 THEN -{z} ELSE {z} END" if flips else z
+    mixed = lambda share, back: bind(
+        f"list_transform(list_zip(s.a, s.b), lambda z: CASE WHEN abs(s.d) > 0.9995 THEN 1 - {share} ELSE sin((1 - {share}) * s.t / 2) / sin(s.t / 2) END * {sign('z[1]', back)}"
+        f" + CASE WHEN abs(s.d) > 0.9995 THEN {share} ELSE sin({share} * s.t / 2) / sin(s.t / 2) END * {sign('z[2]', not back)})",
+        "c", "list_transform(c, lambda v: v / sqrt(list_inner_product(c, c)))",
+    )
+    share = f"((s.t - {bound!r}) / (2 * s.t))"
+    pair = lambda back: bind(
+        "{'a': acc[len(acc)], 'b': x[1], 'd': list_inner_product(acc[len(acc)], x[1]), 't': 2 * acos(least(1.0, abs(list_inner_product(acc[len(acc)], x[1]))))}",
+        "s", f"CASE WHEN s.t - {bound!r} > 1e-10 THEN [{mixed(share, back)}, {mixed(f'(1 - {share})', back)}] ELSE [s.a, s.b] END",
+    )
+    sweep = lambda back: f"list_reduce(list_transform(y, lambda v: [v]), lambda acc, x: list_concat(acc[1:len(acc) - 1], {pair(back)}))"
+    worst = f"coalesce(list_max(list_transform(range(1, len(y)), lambda i: 2 * acos(least(1.0, abs(list_inner_product(y[i], y[i + 1])))) - {bound!r})), 0)"
+    return f"""turned AS (
+    SELECT episode, list(q ORDER BY frame) AS y, 0 AS n, false AS done FROM quats GROUP BY episode
+    UNION ALL SELECT episode, y, n, {worst} <= 1e-10 FROM (
+        SELECT episode, list_reverse({sweep(True)}) AS y, n FROM (SELECT episode, list_reverse({sweep(False)}) AS y, n + 1 AS n FROM turned WHERE n < {rounds} AND NOT done)
+    )
+), slow AS (SELECT episode, unnest(range(len(y))) AS frame, unnest(y) AS q FROM (SELECT episode, arg_max(y, n) AS y FROM turned GROUP BY episode))"""
+
+
+TURNS_SQL = f"WITH RECURSIVE {QUATS}, {_turns_sql(0.5)}, {continuous_sql('slow', 'steady')} SELECT episode, frame, {Q4} FROM steady"
 
 
 def step_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +394,7 @@ QUERIES = {
     "slerp_midpoints": (slerp_midpoints, SLERP_SQL),
     "ema_tracker": (ema_tracker, EMA_SQL),
     "derivative_limits": (derivative_limits, DERIVATIVE_SQL),
-    "angular_velocity_limits": (angular_velocity_limits, ""),
+    "angular_velocity_limits": (angular_velocity_limits, TURNS_SQL),
     "step_norms": (step_norms, STEP_SQL),
     "area_jumps": (area_jumps, JUMPS_SQL),
     "subframe_samples": (subframe_samples, SUBFRAME_SQL),
