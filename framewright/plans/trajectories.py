@@ -226,7 +226,7 @@ def angular_velocity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("episode", "frame", *[F.round(F.col("q_limited")[i], 6).alias(f"q{i}") for i in range(4)])
 
 
-def _turns_sql(bound: float, rounds: int = 96) -> str:
+def _turns_sql(source: str, bound: float, rounds: int = 96) -> str:
     """Neighbours moved along their arc by half of what is too much, to and fro, until nothing is: a sweep is a fold that carries the last moved quaternion."""
     bind = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
     # of the two the later frame takes the sign of the earlier one, on the way back too
@@ -244,14 +244,14 @@ def _turns_sql(bound: float, rounds: int = 96) -> str:
     sweep = lambda back: f"list_reduce(list_transform(y, lambda v: [v]), lambda acc, x: list_concat(acc[1:len(acc) - 1], {pair(back)}))"
     worst = f"coalesce(list_max(list_transform(range(1, len(y)), lambda i: 2 * acos(least(1.0, abs(list_inner_product(y[i], y[i + 1])))) - {bound!r})), 0)"
     return f"""turned AS (
-    SELECT episode, list(q ORDER BY frame) AS y, 0 AS n, false AS done FROM quats GROUP BY episode
+    SELECT episode, list(q ORDER BY frame) AS y, 0 AS n, false AS done FROM {source} GROUP BY episode
     UNION ALL SELECT episode, y, n, {worst} <= 1e-10 FROM (
         SELECT episode, list_reverse({sweep(True)}) AS y, n FROM (SELECT episode, list_reverse({sweep(False)}) AS y, n + 1 AS n FROM turned WHERE n < {rounds} AND NOT done)
     )
 ), slow AS (SELECT episode, unnest(range(len(y))) AS frame, unnest(y) AS q FROM (SELECT episode, arg_max(y, n) AS y FROM turned GROUP BY episode))"""
 
 
-TURNS_SQL = f"WITH RECURSIVE {QUATS}, {_turns_sql(0.5)}, {continuous_sql('slow', 'steady')} SELECT episode, frame, {Q4} FROM steady"
+TURNS_SQL = f"WITH RECURSIVE {QUATS}, {_turns_sql("quats", 0.5)}, {continuous_sql('slow', 'steady')} SELECT episode, frame, {Q4} FROM steady"
 
 
 def step_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +382,35 @@ def continuity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 TAIL_SQL = f"""WITH {FRAMES}, ends AS (SELECT *, max(frame) OVER (PARTITION BY episode) AS last FROM frames)
 SELECT e.episode, e.frame, e.signal, l.signal AS last_signal FROM ends e JOIN ends l ON l.episode = e.episode AND l.frame = e.last WHERE e.frame > e.last - 5"""
 
+
+def _poses_sql() -> str:
+    """The composed smoother: places axis by axis as joints are, turns through medoids, means and limits."""
+    axis = "WINDOW w AS (PARTITION BY episode, axis ORDER BY frame)"
+    angle = lambda a, b: ANGLE.format(a=a, b=b)
+    at = lambda k: "q" if not k else f"{'lead' if k > 0 else 'lag'}(q, {abs(k)}) OVER w"
+    part = lambda i: " + ".join(f"coalesce(CASE WHEN {DOT.format(a=f'n{j}', b='q')} < 0 THEN -1.0 ELSE 1.0 END * n{j}[{i}] * {W7[j]!r}, 0.0)" for j in range(7))
+    return f"""WITH RECURSIVE {QUATS}, axes AS (
+    SELECT episode, frame, axis, c FROM (SELECT CAST(label AS BIGINT) AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding[5:7], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        LATERAL (SELECT unnest(e) AS c, unnest(range(3)) AS axis)
+), near_axes AS (SELECT *, list(c) OVER v AS near, median(c) OVER v AS m, count(*) OVER (PARTITION BY episode, axis) AS n FROM axes WINDOW v AS (PARTITION BY episode, axis ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+robust AS (SELECT episode, axis, frame, CASE WHEN n >= 3 AND abs(c - m) > greatest(0.01, 3.5 * 1.4826 * list_aggregate(list_transform(near, lambda x: abs(x - m)), 'median')) THEN m ELSE c END AS h FROM near_axes),
+smooth AS (SELECT episode, axis, frame, {weighted_sql("h", W7)} AS g FROM robust {axis}),
+held AS (SELECT row(episode, axis) AS key, list(g ORDER BY frame) AS y FROM smooth GROUP BY episode, axis), {limits_sql("held", 1.5 / 30.0, 12.0 / 900.0, -1e300, 1e300)},
+places AS (SELECT key[1] AS episode, key[2] AS axis, unnest(range(len(y))) AS frame, unnest(y) AS v FROM limited),
+{continuous_sql("quats", "first_")},
+near AS (SELECT a.episode, a.frame, a.q AS centre, b.frame AS i, b.q FROM first_ a JOIN first_ b ON a.episode = b.episode AND b.frame BETWEEN a.frame - 3 AND a.frame + 3),
+costs AS (SELECT x.episode, x.frame, x.i, x.q, x.centre, sum({angle("x.q", "y.q")}) AS cost FROM near x JOIN near y ON x.episode = y.episode AND x.frame = y.frame GROUP BY ALL),
+medoids AS (SELECT episode, frame, centre, arg_min(q, row(cost, i)) AS m FROM costs GROUP BY ALL),
+angles AS (SELECT d.episode, d.frame, d.centre, d.m, list({angle("n.q", "d.m")}) AS a FROM medoids d JOIN near n ON d.episode = n.episode AND d.frame = n.frame GROUP BY ALL),
+spread AS (SELECT *, list_aggregate(a, 'median') AS med FROM angles),
+kept AS (SELECT episode, frame, CASE WHEN {angle("centre", "m")} > greatest({math.radians(20)!r}, med + 3.5 * 1.4826 * list_aggregate(list_transform(a, lambda x: abs(x - med)), 'median')) THEN m ELSE centre END AS q FROM spread),
+{continuous_sql("kept", "second_")}, beside AS (SELECT episode, frame, q, {", ".join(f"{at(k)} AS n{k + 3}" for k in range(-3, 4))} FROM second_ WINDOW w AS (PARTITION BY episode ORDER BY frame)),
+total AS (SELECT episode, frame, [{", ".join(part(i) for i in range(1, 5))}] AS t FROM beside), units AS (SELECT episode, frame, list_transform(t, lambda x: x / sqrt({DOT.format(a="t", b="t")})) AS q FROM total),
+{continuous_sql("units", "third_")}, {_turns_sql("third_", 8.0 / 30.0)}, {continuous_sql("slow", "steady")}
+SELECT s.episode, s.frame, {", ".join(f"round(max(v) FILTER (axis = {i}), 6) AS p{i}" for i in range(3))}, {", ".join(f"round(any_value(q)[{i + 1}], 6) AS q{i}" for i in range(4))}
+FROM steady s JOIN places p ON p.episode = s.episode AND p.frame = s.frame GROUP BY 1, 2"""
+
+
 QUERIES = {
     "hampel_filter": (hampel_filter, HAMPEL_SQL),
     "gaussian_smooth": (gaussian_smooth, GAUSSIAN_SQL),
@@ -400,6 +429,6 @@ QUERIES = {
     "subframe_samples": (subframe_samples, SUBFRAME_SQL),
     "alignment_shift": (alignment_shift, _alignment_sql()),
     "smooth_joints": (smooth_joints, _joints_sql()),
-    "smooth_poses": (smooth_poses, ""),
+    "smooth_poses": (smooth_poses, _poses_sql()),
     "continuity_tail": (continuity_tail, TAIL_SQL),
 }
