@@ -106,12 +106,19 @@ def colour_model(pixels: DataFrame, keys: list[str], value: str, floor: float) -
     return middle.join(spread, keys).select(*keys, "centre", F.greatest(F.lit(float(floor)), 1.4826 * F.col("__fw_mad")).alias("scale"))
 
 
-def point_coverage(points: DataFrame, cells: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:
-    """(keys, share) of every frame: the share of its points (u, v; those outside the image left out before) that lie on its mask cells (x, y); 0 without points."""
-    at = points.select(*keys, F.floor("u").alias("x"), F.floor("v").alias("y"))
-    hit = cells.select(*keys, "x", "y").distinct().withColumn("__fw_hit", F.lit(1.0))
-    per = at.join(hit, [*keys, "x", "y"], "left").groupBy(*keys).agg(F.avg(F.coalesce("__fw_hit", F.lit(0.0))).alias("share"))
-    return frames.select(*keys).join(per, keys, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+def point_coverage(points: DataFrame, runs: DataFrame, keys: list[str], frames: DataFrame) -> DataFrame:
+    """(keys, share) of every frame: the share of its points (u, v; those outside the image left out before) that lie on its mask, rows (keys, y, a, b) of half-open runs; 0 without points.
+
+    Points, runs and frames meet in one shuffle by frame, line by line: no pixel of a mask becomes a row, and nothing is joined, so nothing is broadcast.
+    """
+    row = lambda df, **given: df.select(*keys, *(given.get(c, F.lit(None)).cast("long").alias(f"__fw_{c}") for c in ("y", "x", "a", "b")), F.lit("own" in given).alias("__fw_own"))
+    both = row(points, y=F.floor("v"), x=F.floor("u")).unionByName(row(runs, y=F.col("y"), a=F.col("a"), b=F.col("b"))).unionByName(row(frames, own=F.lit(True)))
+    lines = both.repartition(*keys).groupBy(*keys, "__fw_y").agg(
+        F.collect_list("__fw_x").alias("__fw_xs"), F.collect_list(F.when(F.col("__fw_a").isNotNull(), F.struct("__fw_a", "__fw_b"))).alias("__fw_runs"), F.max("__fw_own").alias("__fw_own")
+    )
+    hits = F.size(F.filter("__fw_xs", lambda x: F.exists("__fw_runs", lambda r: (r["__fw_a"] <= x) & (x < r["__fw_b"]))))
+    per = lines.groupBy(*keys).agg(F.sum(hits).alias("__fw_hits"), F.sum(F.size("__fw_xs")).alias("__fw_n"), F.max("__fw_own").alias("__fw_own"))
+    return per.filter("__fw_own").select(*keys, F.coalesce(F.col("__fw_hits") / F.nullif(F.col("__fw_n"), F.lit(0)), F.lit(0.0)).alias("share"))
 
 
 def same_shapes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

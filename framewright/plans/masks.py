@@ -79,9 +79,10 @@ def coverage_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = landmarks(spark, sf_dir)
     points = shown.select("episode", "frame", F.explode("points").alias("p")).withColumn("px", G.project(F.col("p"), SMALL)).filter(G.in_view(F.col("px"), SMALL))
     reach = (F.lit(10) + F.col("frame") % 15).cast("int")
-    cells = shown.select("episode", "frame", reach.alias("r")).withColumn("x", F.explode(F.sequence(32 - F.col("r"), 32 + F.col("r")))).withColumn("y", F.explode(F.sequence(32 - F.col("r"), 32 + F.col("r"))))
-    cells = cells.filter((F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 32) * (F.col("y") - 32) <= F.col("r") * F.col("r")).select("episode", "frame", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    per = M.point_coverage(points.select("episode", "frame", "px.u", "px.v"), cells, ["episode", "frame"], shown)
+    lines = shown.select("episode", "frame", reach.alias("r")).withColumn("y", F.explode(F.sequence(32 - F.col("r"), 32 + F.col("r"))))
+    half = F.floor(F.sqrt((F.col("r") * F.col("r") - (F.col("y") - 32) * (F.col("y") - 32)).cast("double")))
+    runs = lines.select("episode", "frame", "y", (32 - half).alias("a"), (33 + half).alias("b"))
+    per = M.point_coverage(points.select("episode", "frame", "px.u", "px.v"), runs, ["episode", "frame"], shown)
     return per.rollup("episode").agg(
         F.count("*").alias("n"), F.round(F.min("share"), 6).alias("lowest"), F.round(F.expr("percentile(share, 0.5)"), 6).alias("middle"), F.round(F.max("share"), 6).alias("highest"),
         F.count_if(F.col("share") < 0.4).alias("low"), F.count_if(F.col("share") > 0.2).alias("leaking"),

@@ -3,7 +3,8 @@
 import math
 import random
 
-from framewright.plans import rasters
+from framewright.operators import masks as M
+from framewright.plans import masks, rasters
 
 W, H = 64, 48
 FIVE = [(0, -2), (0, 2)] + [(x, y) for x in range(-2, 3) for y in (-1, 0, 1)]
@@ -80,3 +81,24 @@ def test_mask_cleanup_draws_and_cleans_whole_hands(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["frame"]: (r["raw"], r["clean"], r["steady"]) for r in rasters.mask_cleanup(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def embeddings(spark, tmp_path, rows):
+    """Rows (label, vec_id, 21 points) as the table of vectors."""
+    flat = [(i, label, [float(x) for p in points for x in p] + [0.0]) for label, i, points in rows]
+    spark.createDataFrame(flat, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_point_coverage_equals_cells_without_joins(spark, tmp_path):
+    rng = random.Random(4)
+    points = [(rng.randint(0, 3), rng.random() * 9, rng.random() * 6) for _ in range(80)]
+    runs = [(k, y, a, a + rng.randint(0, 4)) for k in (0, 1, 9) for y in range(6) for a in (rng.randint(0, 4), rng.randint(3, 8))]
+    cells = {(k, x, y) for k, y, a, b in runs for x in range(a, b)}
+    frames = [0, 1, 2, 7]
+    got = M.point_coverage(spark.createDataFrame(points, "k int, u double, v double"), spark.createDataFrame(runs, "k int, y int, a int, b int"), ["k"], spark.createDataFrame([(k,) for k in frames], "k int"))
+    own = {k: [(k, int(u), int(v)) in cells for j, u, v in points if j == k] for k in frames}
+    assert dict(map(tuple, got.collect())) == {k: sum(own[k]) / len(own[k]) if own[k] else 0.0 for k in frames}
+    path = embeddings(spark, tmp_path, [(0, i, [(rng.gauss(0, 0.3), rng.gauss(0, 0.3), 1.0)] * 21) for i in range(20)])
+    plan = masks.coverage_leakage(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
