@@ -156,8 +156,10 @@ def valid_runs(df: DataFrame, keys: list[str], order: str, valid: str, out: str
 
 
 def palm_markers(points: Column, distances: tuple[float, ...] = (30.0, 80.0, 140.0)) -> Column:
-    """array<struct<u, v>>: points behind the wrist, away from the knuckles, at fixed distances in pixels; the length is floored at 1e-4."""
-    mean = lambda f: (points[5][f] + points[9][f] + points[13][f] + points[17][f]) / 4
+    """array<struct<u, v>>: points behind the wrist, away from the mean of those knuckles that have a place, at fixed distances in pixels; the length is floored at 1e-4."""
+    knuckles = lambda f: [points[i][f] for i in (5, 9, 13, 17)]
+    known = lambda f: sum((x.isNotNull().cast("int") for x in knuckles(f)), F.lit(0))
+    mean = lambda f: sum((F.coalesce(x, F.lit(0.0)) for x in knuckles(f)), F.lit(0.0)) / F.nullif(known(f), F.lit(0))
     du, dv = points[0]["u"] - mean("u"), points[0]["v"] - mean("v")
     n = F.greatest(F.sqrt(du * du + dv * dv), F.lit(1e-4))
     return F.array(*(F.struct((points[0]["u"] + d * du / n).alias("u"), (points[0]["v"] + d * dv / n).alias("v")) for d in distances))

@@ -4,7 +4,7 @@ import math
 import random
 
 from framewright.operators import masks as M
-from framewright.plans import masks, rasters
+from framewright.plans import masks, rasters, recordings
 
 W, H = 64, 48
 FIVE = [(0, -2), (0, 2)] + [(x, y) for x in range(-2, 3) for y in (-1, 0, 1)]
@@ -102,3 +102,12 @@ def test_point_coverage_equals_cells_without_joins(spark, tmp_path):
     path = embeddings(spark, tmp_path, [(0, i, [(rng.gauss(0, 0.3), rng.gauss(0, 0.3), 1.0)] * 21) for i in range(20)])
     plan = masks.coverage_leakage(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_markers_of_palms_with_a_knuckle_in_the_camera_plane(spark, tmp_path):
+    hand = [(0.1 * i, 0.05 * i, 1.0) for i in range(21)]
+    hand[13] = (1.0, 1.0, 0.0)
+    got = recordings.palm_markers(spark, embeddings(spark, tmp_path, [(0, 5, hand)])).orderBy("marker").collect()
+    u, v = (300.0 * 0.1 * 31 / 3, 300.0 * 0.05 * 31 / 3)  # of the knuckles 5, 9 and 17, from the wrist
+    n = math.hypot(u, v)
+    assert [(r["u"], r["v"]) for r in got] == [(round(640 - d * u / n, 3), round(360 - d * v / n, 3)) for d in (30.0, 80.0, 140.0)]
