@@ -2,12 +2,16 @@
 
 Means and projections in which each row needs the one before it have no plan of
 windows. Rows are sorted inside partitions, cut into whole groups, and all groups
-of about the same length advance together, one NumPy step for each frame.
+of about the same length advance together, one NumPy step for each frame. Where
+they are few (long recordings), a NumPy step costs more than its numbers, and
+projections go through each group in plain floats.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Rows that are worked on together (a longer group is a table of its own).
 TOGETHER = 1 << 16
+#: Fewer groups of a length class than this are projected one by one.
+FEW = 32
 
 
 def group_starts(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
@@ -47,10 +53,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, together: int = T
         yield held
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df dealt out by keys for work that its bytes do not show.
+
+    Partitions made by bytes would be too few, and so they would be for a repartition to the session's own number, which Spark leaves out where a window has dealt the rows before.
+    """
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[f"`{k}`" for k in keys])
+
+
 def by_groups(df: DataFrame, keys: Sequence[str], order: str, kernel: Callable[[pa.Table, np.ndarray], pa.Array], out: str, kind: str) -> DataFrame:
     """df and the column `out` that the kernel makes of whole groups (a table sorted by keys and order, and the first row of each group)."""
     columns = [*keys, order, *(c for c in df.columns if c not in (*keys, order, out))]
-    rows = df.select(*[f"`{c}`" for c in columns]).repartition(*[f"`{k}`" for k in keys]).sortWithinPartitions(*[f"`{k}`" for k in (*keys, order)])
+    rows = dealt(df.select(*[f"`{c}`" for c in columns]), keys).sortWithinPartitions(*[f"`{k}`" for k in (*keys, order)])
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +118,21 @@ class Slab:
         if over.any():
             rows -= np.multiply.outer(self.shares, over)
 
-    def worst(self, y: np.ndarray, lengths: np.ndarray) -> float:
-        return max((float(np.abs(np.where(lengths >= i + self.width, self.excess(y[i : i + self.width]), 0.0)).max(initial=0)) for i in range(len(y) - self.width + 1)), default=0.0)
+    def sweep(self, y: list[float], places: Iterable[int]) -> None:
+        """One group's values, corrected in place, window after window."""
+        pattern, shares, bound, width = self.pattern.tolist(), list(enumerate(self.shares.tolist())), self.bound, self.width
+        for i in places:
+            value = sum(map(mul, pattern, y[i : i + width]))
+            if not -bound <= value <= bound:
+                over = value - (bound if value > bound else -bound)
+                for j, share in shares:
+                    y[i + j] -= share * over
+
+    def over(self, y: np.ndarray) -> np.ndarray:
+        """By how much each window of sequences (frame, ..) is outside."""
+        n = len(y) - self.width + 1
+        value = sum(p * y[j : n + j] for j, p in enumerate(self.pattern))
+        return np.abs(value) - self.bound
 
 
 class Arc:
@@ -139,8 +166,40 @@ class Arc:
             a, b, share = rows[0][wide], rows[1][wide], (turn[wide] - self.bound) / (2 * turn[wide])
             rows[0][wide], rows[1][wide] = self.along(a, b, share), self.along(a, b, 1 - share)
 
-    def worst(self, y: np.ndarray, lengths: np.ndarray) -> float:
-        return max((float(np.where(lengths >= i + 2, self.angle(y[i], y[i + 1]) - self.bound, 0.0).max(initial=0)) for i in range(len(y) - 1)), default=0.0)
+    def sweep(self, y: list[list[float]], places: Iterable[int]) -> None:
+        """One group's quaternions, corrected in place, pair after pair."""
+        bound, acos, sin, sqrt = self.bound, math.acos, math.sin, math.sqrt
+        for i in places:
+            a0, a1, a2, a3 = y[i]
+            b0, b1, b2, b3 = y[i + 1]
+            d = a0 * b0 + a1 * b1 + a2 * b2 + a3 * b3
+            if d < 0:
+                d, b0, b1, b2, b3 = -d, -b0, -b1, -b2, -b3
+            theta = acos(d if d < 1.0 else 1.0)
+            if 2 * theta - bound > 1e-10:
+                share = (2 * theta - bound) / (4 * theta)
+                if d > 0.9995:
+                    near, far = 1 - share, share
+                else:
+                    bend = sin(theta)
+                    near, far = sin((1 - share) * theta) / bend, sin(share * theta) / bend
+                c0, c1, c2, c3 = near * a0 + far * b0, near * a1 + far * b1, near * a2 + far * b2, near * a3 + far * b3
+                n = sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3)
+                y[i] = [c0 / n, c1 / n, c2 / n, c3 / n]
+                c0, c1, c2, c3 = far * a0 + near * b0, far * a1 + near * b1, far * a2 + near * b2, far * a3 + near * b3
+                n = sqrt(c0 * c0 + c1 * c1 + c2 * c2 + c3 * c3)
+                y[i + 1] = [c0 / n, c1 / n, c2 / n, c3 / n]
+
+    def over(self, y: np.ndarray) -> np.ndarray:
+        """By how much each pair of sequences (frame, .., 4) is too far apart."""
+        return self.angle(y[:-1], y[1:]) - self.bound
+
+
+def broken(rule: Slab | Arc, y: np.ndarray, lengths: np.ndarray, tolerance: float) -> bool:
+    """Whether a window that lies in its sequence breaks the rule."""
+    if len(y) < rule.width:
+        return False
+    return bool(((rule.over(y) > tolerance) & (lengths >= np.arange(len(y) - rule.width + 1)[:, None] + rule.width)).any())
 
 
 def projected(y: np.ndarray, lengths: np.ndarray, rules: Sequence[Slab | Arc], low: np.ndarray | float = -np.inf, high: np.ndarray | float = np.inf, rounds: int = 96, tolerance: float = 1e-10) -> np.ndarray:
@@ -159,16 +218,41 @@ def projected(y: np.ndarray, lengths: np.ndarray, rules: Sequence[Slab | Arc], l
                 rule.correct(y[i : i + rule.width], lengths >= i + rule.width)
         if boxed:
             np.clip(y, low, high, out=y)
-        if all(rule.worst(y, lengths) <= tolerance for rule in rules):
+        if not any(broken(rule, y, lengths, tolerance) for rule in rules):
             break
     return y
 
 
+def projected_one(y: np.ndarray, rules: Sequence[Slab | Arc], low: float = -math.inf, high: float = math.inf, rounds: int = 96, tolerance: float = 1e-10) -> np.ndarray:
+    """`projected` for one sequence, in plain floats: about a microsecond a window and sweep, whatever its length."""
+    boxed, n = not (low == -math.inf and high == math.inf), np.array([len(y)])
+    values, shown = y.tolist(), y[:, None]
+    clip = lambda v: low if v < low else high if v > high else v
+    for _ in range(rounds):
+        if boxed:
+            values = list(map(clip, values))
+        for rule in rules:
+            places = range(len(values) - rule.width + 1)
+            rule.sweep(values, places)
+            rule.sweep(values, reversed(places))
+        if boxed:
+            values = list(map(clip, values))
+        shown = np.array(values, float)[:, None]
+        if not any(broken(rule, shown, n, tolerance) for rule in rules):
+            break
+    return shown[:, 0]
+
+
 def projected_groups(x: np.ndarray, starts: np.ndarray, rules: Sequence[Slab | Arc], low: np.ndarray | None = None, high: np.ndarray | None = None, rounds: int = 96) -> np.ndarray:
     """`projected` for each group of rows; low and high are values of each group."""
     out = x.copy()
     place = {s: i for i, s in enumerate(starts.tolist())}
     for first, lengths in length_classes(starts, len(x)):
+        if len(first) < FEW:
+            for s, n in zip(first.tolist(), lengths.tolist(), strict=True):
+                bounds = (-math.inf if low is None else float(low[place[s]]), math.inf if high is None else float(high[place[s]]))
+                out[s : s + n] = projected_one(x[s : s + n], rules, *bounds, rounds=rounds)
+            continue
         at = first[None, :] + np.minimum(np.arange(lengths.max())[:, None], lengths[None, :] - 1)
         own = [place[s] for s in first.tolist()]
         bounds = (-np.inf if low is None else low[own], np.inf if high is None else high[own])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framewright.operators import batch as B
 from framewright.operators import geometry as G
 from framewright.operators import intervals as I
+from framewright.operators import kernels as K
 from framewright.operators import masks as M
 from framewright.operators import smoothing as S
 
@@ -174,6 +175,18 @@ def test_derivative_limits(spark):
         S.derivative_limits(df, ["ep"], "f", "x", 0.0, 6.0, 60.0)
 
 
+def test_few_long_groups_are_projected_as_many_short_ones_are(spark):
+    rng = np.random.default_rng(5)
+    turn = lambda n: (lambda q: q / np.linalg.norm(q, axis=1, keepdims=True))(rng.normal(size=(n, 4)))
+    for x, rules, bounds in ((rng.normal(size=40), [K.Slab((-1, 1), 0.2), K.Slab((1, -2, 1), 0.1)], (-1.0, 1.0)), (rng.normal(size=2), [K.Slab((1, -2, 1), 0.1)], (-np.inf, np.inf)), (turn(30), [K.Arc(0.3)], (-np.inf, np.inf))):
+        many = K.projected(np.stack([x, x], 1), np.array([len(x), len(x)]), rules, *bounds, rounds=20)
+        assert np.allclose(K.projected_one(x, rules, *bounds, rounds=20) if x.ndim == 1 else K.projected_one(x, rules, rounds=20), many[:, 0], atol=1e-12)
+    assert np.isnan(K.projected_one(np.array([0.0, np.nan, 9.0]), [K.Slab((-1, 1), 1.0)])).any()
+    seen = S.derivative_limits(spark.createDataFrame([(e, i, float(i % 2)) for e in range(9) for i in range(9)], "ep long, f long, x double"), ["ep"], "f", "x", 1.0, 0.5, 9.0)
+    with_work = seen.select("ep", F.spark_partition_id().alias("p")).distinct()
+    assert with_work.select("p").distinct().count() > 1  # not in one task, however few the bytes
+
+
 def quats(spark, q):
     return spark.createDataFrame([(1, i, [float(v) for v in row]) for i, row in enumerate(q)], "ep long, f long, q array<double>")
 
