@@ -13,12 +13,17 @@ A frame's data are bounded by its image, so nothing here meets a group of unboun
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framewright.operators import kernels as K
 from framewright.operators.masks import BONES
 from framewright.sources.checkpoints import settled
 
@@ -293,6 +298,41 @@ def cleaned(lines: DataFrame, keys: list[str], width: int, height: int, seeds: C
 
 # --- distances
 
+#: Lines whose arrays a task holds at once.
+LINES = 1 << 12
+
+
+def by_frames(lines: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]], out: Sequence[str]) -> DataFrame:
+    """lines and the columns `out` (array<double>) that a NumPy kernel makes of whole frames: a table sorted by keys and line, and each row's place in its frame, to matrices (row, column).
+
+    The places are a window's, so rows are dealt and sorted as any window's are, and no shuffle is added to a chain of them.
+    """
+    rows = lines.withColumn("__fw_line", F.row_number().over(W.partitionBy(*keys).orderBy("y")) - 1)
+    rows = rows.select(*keys, *(c for c in rows.columns if c not in keys))
+    made = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in out]
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in out), *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.whole_groups(batches, len(keys), LINES):
+            found = kernel(table, table.column("__fw_line").to_numpy())
+            table = table.drop_columns([c for c in out if c in table.column_names])
+            for name in out:
+                n, width = found[name].shape
+                table = table.append_column(name, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(found[name].reshape(-1))))
+            yield from table.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema).select(*(c for c in lines.columns), *(c for c in out if c not in lines.columns))
+
+
+def drawn(runs: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Runs of lines as a matrix of booleans."""
+    flat = runs.combine_chunks()
+    n = np.asarray(flat.value_lengths().fill_null(0))
+    row, edge = np.repeat(np.arange(len(n)), n), np.zeros((len(n), width + 1), np.int32)
+    for name, step in (("a", 1), ("b", -1)):
+        np.add.at(edge, (row, np.clip(flat.flatten().field(name).to_numpy(), 0, width)), step)
+    return np.cumsum(edge[:, :width], 1) > 0
+
 
 def flags(runs: Column, width: int) -> Column:
     """A line as 0 and 1."""
@@ -310,22 +350,26 @@ def distances(lines: DataFrame, keys: list[str], width: int, clip: float, out: s
 
     Separable and exact: first along columns, by the nearest of `clip` lines above and below, then the lower envelope of the squares along the line.
     """
-    reach, w = math.ceil(clip), W.partitionBy(*keys).orderBy("y")
-    held = lines.withColumn("__fw_m", flags(F.col("runs"), width))
-    held = held.withColumns({f"__fw_{s}{k}": step("__fw_m", k).over(w) for k in range(1, reach + 1) for s, step in (("u", F.lag), ("d", F.lead))})
-    sides = [("__fw_m", 0)] + [(f"__fw_{s}{k}", k) for k in range(1, reach + 1) for s in "ud"]
-
-    def nearest(kind: int) -> Column:
-        return F.transform("__fw_m", lambda _, x: F.least(*(F.when(F.get(c, x) == kind, k) for c, k in sides), F.lit(reach + 1)))
-
-    held = held.withColumns({"__fw_in": nearest(1), "__fw_out": nearest(0)})
-
-    def at(m: Column, x: Column) -> Column:
-        apart = lambda of: F.array_min(F.transform(F.sequence(F.greatest(F.lit(-reach), -x), F.least(F.lit(reach), F.lit(width - 1) - x)), lambda d: d * d + F.get(of, x + d) * F.get(of, x + d)))
-        far = lambda of: F.least(F.lit(float(clip)), F.sqrt(apart(of).cast("double")))
-        return F.when(m == 1, far("__fw_out")).otherwise(-far("__fw_in"))
-
-    return held.withColumn(out, F.transform("__fw_m", at)).drop("__fw_in", "__fw_out", *(c for c, _ in sides))
+    reach = math.ceil(clip)
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, np.ndarray]:
+        on = drawn(table.column("runs"), width)
+        to = {}
+        for kind in (True, False):
+            near = np.where(on == kind, 0, reach + 1)
+            for k in range(1, min(reach, len(on) - 1) + 1):
+                same = line[k:] == line[:-k] + k  # both lines are of one frame
+                for mine, other in ((near[k:], on[:-k]), (near[:-k], on[k:])):
+                    np.minimum(mine, k, out=mine, where=(other == kind) & same[:, None])
+            squares = near * near
+            best = squares.copy()
+            for d in range(1, min(reach, width - 1) + 1):
+                np.minimum(best[:, d:], squares[:, :-d] + d * d, out=best[:, d:])
+                np.minimum(best[:, :-d], squares[:, d:] + d * d, out=best[:, :-d])
+            to[kind] = np.minimum(float(clip), np.sqrt(best))
+        return {out: np.where(on, to[False], -to[True])}
+
+    return by_frames(lines, keys, kernel, [out])
 
 
 def stabilised(
@@ -376,29 +420,46 @@ def resized(rows: DataFrame, keys: list[str], size: tuple[int, int], to: tuple[i
     return held.select(*keys, F.explode("__fw_y").alias("y"), first(F.col("a"), w, w2).alias("a"), first(F.col("b"), w, w2).alias("b")).filter("a < b")
 
 
-def blurred(lines: DataFrame, keys: list[str], columns: list[str], sigma: float, width: int, height: int) -> DataFrame:
-    """Arrays of a line's values under a Gaussian of round(8 sigma + 1) | 1 taps, along the line and across lines; borders are mirrored."""
+def blur(columns: list[str], sigma: float, width: int, height: int) -> Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]]:
+    """The kernel of `blurred`."""
     half = (round(sigma * 8 + 1) | 1) // 2
     if half >= min(width, height):
         raise ValueError("the image is smaller than the kernel")
     taps = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
     taps = [t / sum(taps) for t in taps]
-    fold = lambda x, n: (n - 1) - F.abs((n - 1) - F.abs(x))
-    along = lambda of: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: sum((t * F.get(of, fold(x + k - half, width)) for k, t in enumerate(taps)), F.lit(0.0)))
-    held = lines.withColumns({c: along(c) for c in columns})
-    # the lines that a mirror shows beyond the first and the last
-    images = F.array(F.col("y"), F.when(F.col("y").between(1, half), -F.col("y")), F.when(F.col("y").between(height - 1 - half, height - 2), 2 * (height - 1) - F.col("y")))
-    held = held.withColumn("__fw_y", F.explode(F.filter(images, lambda y: y.isNotNull())))
-    w = W.partitionBy(*keys).orderBy("__fw_y")
-    held = held.withColumns({f"__fw_{c}_{k}": F.col(c) if k == half else F.lag(c, half - k).over(w) for c in columns for k in range(2 * half + 1)})
-    across = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: sum((t * F.get(f"__fw_{c}_{k}", x) for k, t in enumerate(taps)), F.lit(0.0)))
-    out = held.filter(F.col("__fw_y") == F.col("y")).withColumns({c: across(c) for c in columns})
-    return out.drop("__fw_y", *(f"__fw_{c}_{k}" for c in columns for k in range(2 * half + 1)))
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.arange(len(line))
+        first = at - line
+        if len(line) % height or (line != at % height).any():
+            raise ValueError("a frame lacks lines")
+        fold = lambda x, n: (n - 1) - np.abs((n - 1) - np.abs(x))
+        blurs = {}
+        for c in columns:
+            x = table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            padded = np.pad(x, ((0, 0), (half, half)), mode="reflect")
+            x = sum(t * padded[:, k : k + width] for k, t in enumerate(taps))
+            blurs[c] = sum(t * x[first + fold(line + k - half, height)] for k, t in enumerate(taps))
+        return blurs
+
+    return kernel
+
+
+def blurred(lines: DataFrame, keys: list[str], columns: list[str], sigma: float, width: int, height: int) -> DataFrame:
+    """Arrays of a line's values under a Gaussian of round(8 sigma + 1) | 1 taps, along the line and across lines; borders are mirrored."""
+    return by_frames(lines, keys, blur(columns, sigma, width, height), columns)
 
 
 def soft_matte(lines: DataFrame, keys: list[str], colours: list[str], alpha: str, sigma: float, width: int, height: int) -> DataFrame:
     """Premultiplied colours and alpha (arrays of a line) blurred and kept in 0..1; no colour exceeds its alpha."""
-    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    held = blurred(lines, keys, [*colours, alpha], sigma, width, height) if sigma > 0 else lines
-    held = held.withColumn(alpha, F.transform(alpha, unit))
-    return held.withColumns({c: F.zip_with(c, alpha, lambda x, a: F.least(unit(x), a)) for c in colours})
+    if sigma <= 0:
+        unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+        held = lines.withColumn(alpha, F.transform(alpha, unit))
+        return held.withColumns({c: F.zip_with(c, alpha, lambda x, a: F.least(unit(x), a)) for c in colours})
+    soft = blur([*colours, alpha], sigma, width, height)
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, np.ndarray]:
+        made = {c: np.clip(x, 0.0, 1.0) for c, x in soft(table, line).items()}
+        return {c: np.minimum(x, made[alpha]) for c, x in made.items()}
+
+    return by_frames(lines, keys, kernel, [*colours, alpha])

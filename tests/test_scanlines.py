@@ -230,3 +230,17 @@ def test_empty_tables(spark):
     lines = table(spark, [np.zeros((H, W), bool)]).limit(0)
     keys = ["episode", "frame"]
     assert L.cleaned(lines, keys, W, H).count() == 0 and L.distances(lines, keys, W, 3.0).count() == 0 and L.stabilised(lines, ["episode"], "frame", W).count() == 0
+
+
+def test_blurs_and_distances_are_one_pass_over_whole_frames(spark):
+    frames = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    lines = L.lines_of(spark.createDataFrame([(1, 2, 1, 4), (None, 0, 0, 6)], "k int, y int, a int, b int"), ["k"], frames, 6)
+    values = lines.withColumn("v", F.transform(L.flags(F.col("runs"), 6), lambda x: x.cast("double")))
+    soft, far = L.blurred(values, ["k"], ["v"], 0.4, 6, 6), L.distances(lines, ["k"], 6, 2.0)
+    for df in (soft, far):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "lag(" not in plan and "lead(" not in plan  # no column for each line above and below
+    assert abs(sum(x for r in soft.filter("k = 1").collect() for x in r["v"]) - 3.0) < 1e-9
+    assert {(r["k"], r["y"]): r["distance"] for r in far.collect()}[None, 1] == [-1.0] * 6
+    with pytest.raises(Exception, match="a frame lacks lines"):
+        L.blurred(values.filter("y <> 3"), ["k"], ["v"], 0.4, 6, 6).collect()
