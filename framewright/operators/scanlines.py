@@ -2,9 +2,9 @@
 
 A mask is a table (keys, y, runs): one row for each line of its image, `runs` being
 the half-open intervals [a, b) of its pixels, sorted, neither touching nor
-overlapping. All lines of a frame are there, empty ones too, so the lines above
-and below are `lag` and `lead` in the frame's order, and a chain of steps keeps one
-shuffle and one sort by frame. Keys are what names a frame; they may be null and
+overlapping. All lines of a frame are there, empty ones too, so a step meets whole
+frames: rows are dealt and sorted by frame, and small NumPy kernels work on many
+frames at once. Keys are what names a frame; they may be null and
 then name one frame. Rows of a line that repeat are united by `lines_of`.
 
 A frame's data are bounded by its image, so nothing here meets a group of unbounded size.
@@ -13,8 +13,7 @@ A frame's data are bounded by its image, so nothing here meets a group of unboun
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 
 from framewright.operators import kernels as K
 from framewright.operators.masks import BONES
-from framewright.sources.checkpoints import settled
+from framewright.sources.checkpoints import settled  # noqa: F401
 
 RUNS = "array<struct<a: int, b: int>>"
 #: Shares of the smaller side of the image, and bounds in pixels.
@@ -98,25 +97,20 @@ def diamond(radius: int) -> dict[int, int]:
 
 def grown(lines: DataFrame, keys: list[str], window: dict[int, int], width: int, out: str = "runs", source: str = "runs") -> DataFrame:
     """Dilated by a window that is symmetric above and below."""
-    w = W.partitionBy(*keys).orderBy("y")
-    name = lambda dy: f"__fw_l{dy + len(window)}"
-    near = lambda dy: F.col(source) if dy == 0 else F.lag(source, dy).over(w) if dy > 0 else F.lead(source, -dy).over(w)
-    held = lines.withColumns({name(dy): near(dy) for dy in window})
-    wide = lambda dy: F.transform(F.coalesce(name(dy), none()), lambda r: run(F.greatest(F.lit(0), r["a"] - window[dy]), F.least(F.lit(width), r["b"] + window[dy])))
-    return held.withColumn(out, merged(F.flatten(F.array(*map(wide, sorted(window)))))).drop(*map(name, window))
+    kernel = lambda table, line: {out: run_lists(spread(drawn(table.column(source), width), line, window))}
+    return by_frames(lines, keys, kernel, {out: RUNS})
 
 
 def eroded(lines: DataFrame, keys: list[str], window: dict[int, int], width: int) -> DataFrame:
     """What is left where the window fits; outside the image nothing is missing."""
-    inverse = lines.withColumn("runs", gaps(F.col("runs"), width))
-    wide = grown(inverse, keys, window, width)
-    return wide.withColumn("runs", gaps(F.col("runs"), width))
+    kernel = lambda table, line: {"runs": run_lists(~spread(~drawn(table.column("runs"), width), line, window))}
+    return by_frames(lines, keys, kernel, {"runs": RUNS})
 
 
 def closed_opened(lines: DataFrame, keys: list[str], width: int, close: int = 5, open_: int = 3) -> DataFrame:
     """Closed by one ellipse, then opened by another."""
-    closed = eroded(grown(lines, keys, ellipse(close), width), keys, ellipse(close), width)
-    return grown(eroded(closed, keys, ellipse(open_), width), keys, ellipse(open_), width)
+    kernel = lambda table, line: {"runs": run_lists(tidied(drawn(table.column("runs"), width), line, close, open_))}
+    return by_frames(lines, keys, kernel, {"runs": RUNS})
 
 
 def _cut(runs: Column, by: Column) -> Column:
@@ -131,9 +125,13 @@ def _weighted(runs: Column, alpha: float) -> Column:
 
 def feathered(lines: DataFrame, keys: list[str], width: int, grow: int = 10, feather: int = 4) -> DataFrame:
     """(keys, y, alpha array<struct<a, b, alpha>>): 1 on the mask grown by city-block distance, then `feather` rings down to 0, as disjoint runs."""
-    held = lines
-    for k in range(feather + 1):
-        held = grown(held, keys, diamond(grow + k), width, f"__fw_r{k}")
+    names = [f"__fw_r{k}" for k in range(feather + 1)]
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, pa.Array]:
+        on = drawn(table.column("runs"), width)
+        return {name: run_lists(spread(on, line, diamond(grow + k))) for k, name in enumerate(names)}
+
+    held = by_frames(lines, keys, kernel, dict.fromkeys(names, RUNS))
     rings = []
     for k in range(feather + 1):
         ring = _cut(F.col(f"__fw_r{k}"), gaps(F.col(f"__fw_r{k - 1}") if k else none(), width))
@@ -147,38 +145,61 @@ def feathered(lines: DataFrame, keys: list[str], width: int, grow: int = 10, fea
 def capsule_rows(shapes: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
     """(keys, y, a, b) of shapes (keys, au, av, bu, bv, radius): the pixels within radius of each segment (of a point, where both ends agree).
 
+    Runs of neighbouring rows of one frame are united, so that few rows leave a task; the rest is left to `lines_of`.
+    """
+    rows = shapes.select(*keys, *(F.col(x).cast("double").alias(x) for x in ("au", "av", "bu", "bv", "radius")))
+    schema = T.StructType([*rows.select(*keys).schema.fields, *(T.StructField(x, T.IntegerType()) for x in ("y", "a", "b"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = K.group_starts(batch, len(keys))
+            shape, y, a, b = capsules(*(c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keys) :]), width, height)
+            line = (np.searchsorted(starts, shape, "right") - 1) * height + y
+            order = np.argsort(line * (width + 1) + a, kind="stable")
+            first, last = (line * (width + 1) + a)[order], np.maximum.accumulate((line * (width + 1) + b)[order])
+            new = np.flatnonzero(np.append(True, first[1:] > last[:-1])[: len(first)])  # ends never reach the next line
+            line, a, b = line[order][new], a[order][new], last[np.append(new[1:], len(last))[: len(new)] - 1] % (width + 1)
+            own = batch.take(pa.array(starts[line // height]))
+            yield pa.RecordBatch.from_arrays([*own.columns[: len(keys)], *(pa.array(x.astype(np.int32)) for x in (line % height, a, b))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def capsules(au: np.ndarray, av: np.ndarray, bu: np.ndarray, bv: np.ndarray, radius: np.ndarray, width: int, height: int) -> tuple[np.ndarray, ...]:
+    """(shape, y, a, b): the runs of each capsule on the image.
+
     A capsule is convex, so a line holds one interval: the hull of what its two discs and the band between them leave of the line. Pixels at
-    its ends are then tested one by one, so rounding decides nothing. Lines that a shape only comes near have an empty interval.
+    its ends are then tested one by one, so rounding decides nothing.
     """
-    c = F.col
-    held = shapes.withColumn("du", c("bu") - c("au")).withColumn("dv", c("bv") - c("av")).withColumn("n", c("du") * c("du") + c("dv") * c("dv"))
-    low = F.greatest(F.lit(0.0), F.ceil(F.least("av", "bv") - c("radius")).cast("double")).cast("int")
-    high = F.least(F.lit(height - 1.0), F.floor(F.greatest("av", "bv") + c("radius")).cast("double")).cast("int")
-    held = held.filter(low <= high).withColumn("y", F.explode(F.sequence(low, high)))
-    half = lambda v: F.when(F.abs(c("y") - c(v)) <= c("radius"), F.sqrt(c("radius") * c("radius") - (c("y") - c(v)) * (c("y") - c(v))))
-    held = held.withColumn("__fw_ha", half("av")).withColumn("__fw_hb", half("bv")).withColumn("__fw_s", (c("y") - c("av")) * c("dv"))
-    reach = c("radius") * F.sqrt("n") / F.abs("dv")  # of the band, across the segment
-    middle = c("au") + (c("y") - c("av")) * c("du") / c("dv")
-    foot, head = c("au") - c("__fw_s") / c("du"), c("au") + (c("n") - c("__fw_s")) / c("du")  # beside the two ends
-    along = (c("__fw_s") >= 0) & (c("__fw_s") <= c("n"))
-    left = F.when(c("dv") != 0, F.when(c("du") != 0, F.greatest(middle - reach, F.least(foot, head))).when(along, middle - reach))
-    right = F.when(c("dv") != 0, F.when(c("du") != 0, F.least(middle + reach, F.greatest(foot, head))).when(along, middle + reach))
-    held = held.withColumn("__fw_l", left).withColumn("__fw_r", right)
-    band = c("__fw_l") <= c("__fw_r")
-    lo = F.least(c("au") - c("__fw_ha"), c("bu") - c("__fw_hb"), F.when(band, c("__fw_l")))
-    hi = F.greatest(c("au") + c("__fw_ha"), c("bu") + c("__fw_hb"), F.when(band, c("__fw_r")))
-    held = held.withColumn("__fw_lo", F.ceil(lo).cast("int")).withColumn("__fw_hi", F.floor(hi).cast("int"))
-
-    def inside(x: Column) -> Column:
-        t = F.when(c("n") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - c("au")) * c("du") + (c("y") - c("av")) * c("dv")) / c("n")))).otherwise(0.0)
-        return F.pow(x - c("au") - t * c("du"), F.lit(2.0)) + F.pow(c("y") - c("av") - t * c("dv"), F.lit(2.0)) <= c("radius") * c("radius")
-
-    def tested(x: Column, step: int) -> Column:
-        return F.when(inside(x - step), x - step).when(inside(x), x).when(inside(x + step), x + step)
-
-    first, last = tested(c("__fw_lo"), 1), tested(c("__fw_hi"), -1)
-    # no filter here: it would be written out below, with all of the above
-    return held.select(*keys, "y", F.greatest(F.lit(0), F.coalesce(first, F.lit(width))).alias("a"), F.least(F.lit(width), F.coalesce(last + 1, F.lit(0))).alias("b"))
+    with np.errstate(all="ignore"):
+        low, high = np.fmax(0.0, np.ceil(np.fmin(av, bv) - radius)), np.fmin(height - 1.0, np.floor(np.fmax(av, bv) + radius))
+        n = np.where(low <= high, high - low + 1, 0).astype(np.int64)
+        shape = np.repeat(np.arange(len(n)), n)
+        y = low[shape] + (np.arange(len(shape)) - np.repeat(np.cumsum(n) - n, n))
+        au, av, bu, bv, radius = (x[shape] for x in (au, av, bu, bv, radius))
+        du, dv = bu - au, bv - av
+        square, s = du * du + dv * dv, (y - av) * dv
+        half = lambda v: np.where(np.abs(y - v) <= radius, np.sqrt(radius * radius - (y - v) * (y - v)), np.nan)
+        reach = radius * np.sqrt(square) / np.abs(dv)  # of the band, across the segment
+        middle = au + (y - av) * du / dv
+        foot, head = au - s / du, au + (square - s) / du  # beside the two ends
+        along = np.where((s >= 0) & (s <= square), 0.0, np.nan)
+        left = np.where(du != 0, np.maximum(middle - reach, np.minimum(foot, head)), middle - reach + along)
+        right = np.where(du != 0, np.minimum(middle + reach, np.maximum(foot, head)), middle + reach + along)
+        band = np.where((dv != 0) & (left <= right), 0.0, np.nan)
+        lo = np.fmin(np.fmin(au - half(av), bu - half(bv)), left + band)
+        hi = np.fmax(np.fmax(au + half(av), bu + half(bv)), right + band)
+
+        def inside(x: np.ndarray) -> np.ndarray:
+            t = np.where(square > 0, np.minimum(1.0, np.maximum(0.0, ((x - au) * du + (y - av) * dv) / square)), 0.0)
+            return (x - au - t * du) ** 2 + (y - av - t * dv) ** 2 <= radius * radius
+
+        def tested(x: np.ndarray, step: int) -> np.ndarray:
+            return np.where(inside(x - step), x - step, np.where(inside(x), x, np.where(inside(x + step), x + step, np.nan)))
+
+        a, b = np.maximum(0.0, tested(np.ceil(lo), 1)), np.minimum(width, tested(np.floor(hi), -1) + 1)
+    own = a < b
+    return shape[own], *(x[own].astype(np.int64) for x in (y, a, b))
 
 
 def bone_shapes(df: DataFrame, keys: list[str], u: str, v: str, ok: Column, radius: Column | float, rounded: bool = True) -> DataFrame:
@@ -247,69 +268,83 @@ def sleeve_shapes(df: DataFrame, keys: list[str], axis: str, radii: str, scale:
 # --- parts
 
 
-def joined(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, u, v): the smallest node v that each other node u of the edges (keys, u, v) reaches, by alternating star contraction inside frames."""
-    edges = settled(edges.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("x")).first()
-    was, least = mark(edges), F.min("v").over(W.partitionBy(*keys, "u"))
-    while was["n"]:
-        # each larger neighbour of u goes to the smallest of u and its neighbours, then u and its smaller neighbours to the smallest of them
-        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("m", F.least("u", least))
-        large = both.filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct().withColumn("m", least)
-        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = settled(large.select(*keys, F.inline(pairs)).filter("u <> v").distinct())
-        if (now := mark(edges)) == was:
-            break
-        was = now
-    return edges
+def part_roots(row: np.ndarray, a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The first run of each run's 8-connected part; runs are sorted by row and column, line is each row's place in its frame."""
+    below = np.append(line[1:] == line[:-1] + 1, False)  # the next row is of the same frame
+    m = int(b.max(initial=0)) + 2
+    low, high = np.searchsorted(row * m + b, (row + 1) * m + a, "left"), np.searchsorted(row * m + a, (row + 1) * m + b, "right")
+    n = np.where(below[row], high - low, 0)
+    u = np.repeat(np.arange(len(row)), n)
+    v = np.arange(len(u)) + np.repeat(low - (np.cumsum(n) - n), n)
+    root = np.arange(len(row))
+    while (root[u] != root[v]).any():
+        p, q = root[u], root[v]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
 
 
 def parts(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, a, b, part): the runs of each 8-connected part; part is its first run's number, by line and column."""
-    number = lambda y, r: y.cast("long") * F.lit(1 << 24) + r["a"]
-    w = W.partitionBy(*keys).orderBy("y")
-    below = lines.withColumn("__fw_next", F.coalesce(F.lead("runs").over(w), none()))
-    touch = F.flatten(F.transform("runs", lambda r: F.transform(F.filter("__fw_next", lambda s: (s["a"] <= r["b"]) & (r["a"] <= s["b"])), lambda s: F.struct(number(F.col("y"), r).alias("u"), number(F.col("y") + 1, s).alias("v")))))
-    roots = joined(below.select(*keys, F.inline(touch)), keys)
-    rows = lines.select(*keys, "y", F.inline("runs")).withColumn("u", F.col("y").cast("long") * F.lit(1 << 24) + F.col("a"))
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "u"]]
-    met = rows.alias("r").join(roots.alias("o"), reduce(lambda a, b: a & b, same), "left")
-    return met.select(*(F.col(f"r.{x}").alias(x) for x in [*keys, "y", "a", "b"]), F.coalesce("o.v", "r.u").alias("part"))
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, pa.Array]:
+        row, a, b = flat_runs(table.column("runs"))
+        number = table.column("y").to_numpy().astype(np.int64)[row] * (1 << 24) + a
+        return {"__fw_parts": listed(row, len(line), pa.array(number[part_roots(row, a, b, line)]))}
+
+    rows = by_frames(lines, keys, kernel, {"__fw_parts": "array<bigint>"})
+    each = F.zip_with("runs", "__fw_parts", lambda r, p: F.struct(r["a"].alias("a"), r["b"].alias("b"), p.alias("part")))
+    return rows.select(*keys, "y", F.inline(each))
+
+
+def _wanted(width: int, height: int, seeds: Column | None, edge: int, near: int) -> Column:
+    """Where a line's runs make their part a wanted one."""
+    strips = F.array(run(F.when(F.col("y") >= height - edge, 0).otherwise(max(0, width - edge)), F.lit(width)))
+    if seeds is None:
+        return strips
+    spot = lambda x, size: F.least(F.lit(size - 1.0), F.greatest(F.lit(0.0), F.rint(x)))
+    close = F.filter(seeds, lambda s: ~F.isnan(s["u"]) & ~F.isnan(s["v"]) & (F.abs(F.col("y") - spot(s["v"], height)) <= near))
+    return F.concat(strips, F.transform(close, lambda s: run(spot(s["u"], width) - near, spot(s["u"], width) + near + 1)))
+
+
+def _kept(on: np.ndarray, line: np.ndarray, wanted: np.ndarray, least: int) -> pa.ListArray:
+    """The runs of the parts of at least `least` pixels that have a wanted one."""
+    runs = run_lists(on)
+    row, a, b = flat_runs(runs)
+    root = part_roots(row, a, b, line)
+    seen = np.pad(np.cumsum(wanted, 1), ((0, 0), (1, 0)))
+    met = np.bincount(root, seen[row, b] > seen[row, a], len(row)) > 0
+    own = (met & (np.bincount(root, b - a, len(row)) >= least))[root]
+    return listed(row[own], len(line), runs.flatten().filter(pa.array(own)))
 
 
 def keep_parts(lines: DataFrame, keys: list[str], width: int, height: int, least: int, seeds: Column | None = None, edge: int = 3, near: int = 5) -> DataFrame:
     """Parts of at least `least` pixels that touch the bottom or right strip of the image, or the window around a seed (a literal array<struct<u, v>>), which is drawn into the image."""
-    lines = settled(lines)
-    rows = parts(lines, keys)
-    wanted = (F.col("y") >= height - edge) | (F.col("b") > width - edge)
-    if seeds is not None:
-        spot = lambda x, size: F.least(F.lit(size - 1.0), F.greatest(F.lit(0.0), F.rint(x)))
-        close = lambda s: (F.abs(F.col("y") - spot(s["v"], height)) <= near) & (F.col("a") <= spot(s["u"], width) + near) & (F.col("b") > spot(s["u"], width) - near)
-        wanted |= F.exists(seeds, lambda s: F.coalesce(~F.isnan(s["u"]) & ~F.isnan(s["v"]) & close(s), F.lit(False)))
-    w = W.partitionBy(*keys, "part")
-    kept = rows.withColumn("__fw_n", F.sum(F.col("b") - F.col("a")).over(w)).withColumn("__fw_want", F.max(wanted).over(w)).filter((F.col("__fw_n") >= least) & F.col("__fw_want"))
-    return _gathered(kept.select(*keys, "y", F.struct("a", "b").alias("run")), lines.select(*keys, "y", F.lit(None).cast("struct<a: int, b: int>").alias("run")), keys)
+    kernel = lambda table, line: {"runs": _kept(drawn(table.column("runs"), width), line, drawn(table.column("__fw_wanted"), width), least)}
+    return by_frames(lines.withColumn("__fw_wanted", _wanted(width, height, seeds, edge, near)), keys, kernel, {"runs": RUNS}).drop("__fw_wanted")
 
 
 def cleaned(lines: DataFrame, keys: list[str], width: int, height: int, seeds: Column | None = None, least: int = 128) -> DataFrame:
-    """Masks without streaks and stray parts."""
-    return keep_parts(closed_opened(lines, keys, width), keys, width, height, least, seeds)
+    """Masks without streaks and stray parts: closed_opened and keep_parts in one pass."""
+    kernel = lambda table, line: {"runs": _kept(tidied(drawn(table.column("runs"), width), line), line, drawn(table.column("__fw_wanted"), width), least)}
+    return by_frames(lines.withColumn("__fw_wanted", _wanted(width, height, seeds, 3, 5)), keys, kernel, {"runs": RUNS}).drop("__fw_wanted")
 
 
-# --- distances
+# --- kernels over whole frames
 
 #: Lines whose arrays a task holds at once.
 LINES = 1 << 12
 
 
-def by_frames(lines: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]], out: Sequence[str]) -> DataFrame:
-    """lines and the columns `out` (array<double>) that a NumPy kernel makes of whole frames: a table sorted by keys and line, and each row's place in its frame, to matrices (row, column).
+def by_frames(lines: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray | pa.Array]], out: Mapping[str, str]) -> DataFrame:
+    """lines and the columns `out` (name, type) that a NumPy kernel makes of whole frames: a table sorted by keys and line, and each row's place in its frame, to lists or matrices (row, column).
 
-    The places are a window's, so rows are dealt and sorted as any window's are, and no shuffle is added to a chain of them.
+    The places are a window's, so rows are dealt and sorted as any window's are. What a kernel has made is dealt again for the next one: steps that follow each other belong in one kernel.
     """
     rows = lines.withColumn("__fw_line", F.row_number().over(W.partitionBy(*keys).orderBy("y")) - 1)
     rows = rows.select(*keys, *(c for c in rows.columns if c not in keys))
-    made = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in out]
+    made = [T.StructField(c, T._parse_datatype_string(kind)) for c, kind in out.items()]
     schema = T.StructType([*(f for f in rows.schema.fields if f.name not in out), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,21 +352,70 @@ def by_frames(lines: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.
             found = kernel(table, table.column("__fw_line").to_numpy())
             table = table.drop_columns([c for c in out if c in table.column_names])
             for name in out:
-                n, width = found[name].shape
-                table = table.append_column(name, pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(found[name].reshape(-1))))
+                made = found[name]
+                if isinstance(made, np.ndarray):
+                    made = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.reshape(-1)))
+                table = table.append_column(name, made)
             yield from table.combine_chunks().to_batches()
 
     return rows.mapInArrow(run, schema).select(*(c for c in lines.columns), *(c for c in out if c not in lines.columns))
 
 
-def drawn(runs: pa.ChunkedArray, width: int) -> np.ndarray:
+def listed(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Values of sorted rows as n lists."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=n))).astype(np.int32)), values)
+
+
+def flat_runs(runs: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of the runs of lines."""
+    lists = runs.combine_chunks() if isinstance(runs, pa.ChunkedArray) else runs
+    n = np.asarray(lists.value_lengths().fill_null(0))
+    a, b = (lists.flatten().field(x).to_numpy().astype(np.int64) for x in ("a", "b"))
+    return np.repeat(np.arange(len(n)), n), a, b
+
+
+def drawn(runs: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Runs of lines as a matrix of booleans."""
-    flat = runs.combine_chunks()
-    n = np.asarray(flat.value_lengths().fill_null(0))
-    row, edge = np.repeat(np.arange(len(n)), n), np.zeros((len(n), width + 1), np.int32)
-    for name, step in (("a", 1), ("b", -1)):
-        np.add.at(edge, (row, np.clip(flat.flatten().field(name).to_numpy(), 0, width)), step)
-    return np.cumsum(edge[:, :width], 1) > 0
+    row, a, b = flat_runs(runs)
+    edges = lambda x: np.bincount(row * (width + 1) + np.clip(x, 0, width), minlength=len(runs) * (width + 1))
+    return np.cumsum((edges(a) - edges(b)).reshape(len(runs), width + 1)[:, :width], 1) > 0
+
+
+def run_lists(on: np.ndarray) -> pa.ListArray:
+    """A matrix of booleans as runs of lines."""
+    edge = np.diff(on.astype(np.int8), axis=1, prepend=0, append=0)
+    (row, a), b = np.nonzero(edge > 0), np.nonzero(edge < 0)[1]
+    return listed(row, len(on), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (a, b)], ["a", "b"]))
+
+
+def spread(on: np.ndarray, line: np.ndarray, window: dict[int, int]) -> np.ndarray:
+    """Dilated inside each frame by a window that is symmetric above and below."""
+    wide, out = [on], np.zeros_like(on)
+    for w in range(1, max(window.values()) + 1):
+        near = wide[-1].copy()
+        near[:, w:] |= on[:, :-w]
+        near[:, :-w] |= on[:, w:]
+        wide.append(near)
+    for dy, w in window.items():
+        k = abs(dy)
+        if k == 0:
+            out |= wide[w]
+        elif k < len(on):
+            same = (line[k:] == line[:-k] + k)[:, None]  # both lines are of one frame
+            if dy > 0:
+                out[k:] |= wide[w][:-k] & same
+            else:
+                out[:-k] |= wide[w][k:] & same
+    return out
+
+
+def tidied(on: np.ndarray, line: np.ndarray, close: int = 5, open_: int = 3) -> np.ndarray:
+    """Closed by one ellipse, then opened by another."""
+    closed = ~spread(~spread(on, line, ellipse(close)), line, ellipse(close))
+    return spread(~spread(~closed, line, ellipse(open_)), line, ellipse(open_))
+
+
+# --- distances
 
 
 def flags(runs: Column, width: int) -> Column:
@@ -345,31 +429,32 @@ def runs_of(on: Column, width: int) -> Column:
     return F.zip_with(places(on, -1), places(on, 1), lambda a, b: run(a, b + 1))
 
 
-def distances(lines: DataFrame, keys: list[str], width: int, clip: float, out: str = "distance") -> DataFrame:
-    """lines with an array of clipped Euclidean distances to the border: positive inside, negative outside, constant where there is none.
+def field(on: np.ndarray, line: np.ndarray, clip: float) -> np.ndarray:
+    """Clipped Euclidean distances to the border, as `distances` has them.
 
     Separable and exact: first along columns, by the nearest of `clip` lines above and below, then the lower envelope of the squares along the line.
     """
-    reach = math.ceil(clip)
+    reach, width = math.ceil(clip), on.shape[1]
+    to = {}
+    for kind in (True, False):
+        near = np.where(on == kind, 0, reach + 1)
+        for k in range(1, min(reach, len(on) - 1) + 1):
+            same = line[k:] == line[:-k] + k  # both lines are of one frame
+            for mine, other in ((near[k:], on[:-k]), (near[:-k], on[k:])):
+                np.minimum(mine, k, out=mine, where=(other == kind) & same[:, None])
+        squares = near * near
+        best = squares.copy()
+        for d in range(1, min(reach, width - 1) + 1):
+            np.minimum(best[:, d:], squares[:, :-d] + d * d, out=best[:, d:])
+            np.minimum(best[:, :-d], squares[:, d:] + d * d, out=best[:, :-d])
+        to[kind] = np.minimum(float(clip), np.sqrt(best))
+    return np.where(on, to[False], -to[True])
 
-    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, np.ndarray]:
-        on = drawn(table.column("runs"), width)
-        to = {}
-        for kind in (True, False):
-            near = np.where(on == kind, 0, reach + 1)
-            for k in range(1, min(reach, len(on) - 1) + 1):
-                same = line[k:] == line[:-k] + k  # both lines are of one frame
-                for mine, other in ((near[k:], on[:-k]), (near[:-k], on[k:])):
-                    np.minimum(mine, k, out=mine, where=(other == kind) & same[:, None])
-            squares = near * near
-            best = squares.copy()
-            for d in range(1, min(reach, width - 1) + 1):
-                np.minimum(best[:, d:], squares[:, :-d] + d * d, out=best[:, d:])
-                np.minimum(best[:, :-d], squares[:, d:] + d * d, out=best[:, :-d])
-            to[kind] = np.minimum(float(clip), np.sqrt(best))
-        return {out: np.where(on, to[False], -to[True])}
-
-    return by_frames(lines, keys, kernel, [out])
+
+def distances(lines: DataFrame, keys: list[str], width: int, clip: float, out: str = "distance") -> DataFrame:
+    """lines with an array of clipped Euclidean distances to the border: positive inside, negative outside, constant where there is none."""
+    kernel = lambda table, line: {out: field(drawn(table.column("runs"), width), line, clip)}
+    return by_frames(lines, keys, kernel, {out: "array<double>"})
 
 
 def stabilised(
@@ -378,25 +463,36 @@ def stabilised(
     """Each run of usable masks (with pixels inside and outside) of a recording (keys) made steady; other frames come out empty, a run of one frame stays.
 
     A mask's signed distance is averaged with those of its neighbours in frame order, closed and opened; the mask stays where its area would change too
-    much. before and after are the neighbours as lines (keys, frame, y, runs) brought to this frame's place, where motion is known.
+    much. before and after are the neighbours as lines (keys, frame, y, runs) brought to this frame's place, where motion is known. Further columns of lines stay.
+
+    The neighbours travel as runs; their distances are made where they are used.
     """
-    own = [*keys, frame]
-    per, across = W.partitionBy(*own), W.partitionBy(*keys, "y").orderBy(frame)
-    held = lines.withColumn("__fw_area", F.sum(pixels(F.col("runs"))).over(per)).withColumn("__fw_all", F.count("*").over(per) * width)
-    held = distances(held.withColumn("__fw_ok", (F.col("__fw_area") > 0) & (F.col("__fw_area") < F.col("__fw_all"))), own, width, clip, "__fw_f")
+    own, across = [*keys, frame], W.partitionBy(*keys, "y").orderBy(frame)
+    held, sides = lines, []
     for name, step, moved in (("__fw_p", F.lag, before), ("__fw_n", F.lead, after)):
-        if moved is None:
-            held = held.withColumn(name, F.when(step("__fw_ok").over(across), step("__fw_f").over(across)))
-        else:
-            field = distances(moved, own, width, clip, name).select(*own, "y", name)
-            held = held.withColumn("__fw_had", F.coalesce(step("__fw_ok").over(across), F.lit(False))).join(field, [*own, "y"], "left").withColumn(name, F.when(F.col("__fw_had"), F.col(name))).drop("__fw_had")
-    share = lambda of, x: F.coalesce(side * F.get(of, x), F.lit(0.0))
-    new = F.transform("__fw_f", lambda d, x: d + share("__fw_p", x) + share("__fw_n", x) > 0)
-    held = held.withColumn("__fw_was", F.col("runs")).withColumn("__fw_on", new).withColumn("runs", runs_of(F.col("__fw_on"), width)).drop("__fw_on", "__fw_f")
-    held = closed_opened(held.withColumn("__fw_one", F.col("__fw_p").isNull() & F.col("__fw_n").isNull()).drop("__fw_p", "__fw_n"), own, width)
-    held = held.withColumn("__fw_ratio", F.sum(pixels(F.col("runs"))).over(per) / F.nullif(F.col("__fw_area"), F.lit(0)))
-    steady = F.when(~F.col("__fw_ok"), none()).when(F.col("__fw_one") | ~F.col("__fw_ratio").between(low, high), F.col("__fw_was")).otherwise(F.col("runs"))
-    return held.select(*own, "y", steady.alias("runs"))
+        held = held.withColumn(name, step("runs").over(across))
+        sides.append((name, name if moved is None else f"{name}m"))
+    for (_, name), moved in zip(sides, (before, after), strict=True):
+        if moved is not None:
+            held = held.join(moved.select(*own, "y", F.col("runs").alias(name)), [*own, "y"], "left")
+
+    def kernel(table: pa.Table, line: np.ndarray) -> dict[str, pa.Array]:
+        mask = lambda name: drawn(table.column(name), width)
+        of = np.cumsum(line == 0) - 1
+        area = lambda on: np.bincount(of, on.sum(1))[of]
+        usable = lambda n: (n > 0) & (n < np.bincount(of)[of] * width)
+        on = mask("runs")
+        mean, one, was = field(on, line, clip), np.ones(len(on), bool), area(on)
+        for own_, there in sides:
+            had = usable(area(mask(own_))) & table.column(there).combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+            mean += np.where(had[:, None], side * field(mask(there), line, clip), 0.0)
+            one &= ~had
+        new = tidied(mean > 0, line)
+        ratio = area(new) / np.maximum(was, 1)
+        stays = one | (ratio < low) | (ratio > high)
+        return {"runs": run_lists(np.where(stays[:, None], on, new) & usable(was)[:, None])}
+
+    return by_frames(held, own, kernel, {"runs": RUNS}).select(*lines.columns)
 
 
 # --- moving and mixing
@@ -447,7 +543,7 @@ def blur(columns: list[str], sigma: float, width: int, height: int) -> Callable[
 
 def blurred(lines: DataFrame, keys: list[str], columns: list[str], sigma: float, width: int, height: int) -> DataFrame:
     """Arrays of a line's values under a Gaussian of round(8 sigma + 1) | 1 taps, along the line and across lines; borders are mirrored."""
-    return by_frames(lines, keys, blur(columns, sigma, width, height), columns)
+    return by_frames(lines, keys, blur(columns, sigma, width, height), dict.fromkeys(columns, "array<double>"))
 
 
 def soft_matte(lines: DataFrame, keys: list[str], colours: list[str], alpha: str, sigma: float, width: int, height: int) -> DataFrame:
@@ -462,4 +558,4 @@ def soft_matte(lines: DataFrame, keys: list[str], colours: list[str], alpha: str
         made = {c: np.clip(x, 0.0, 1.0) for c, x in soft(table, line).items()}
         return {c: np.minimum(x, made[alpha]) for c, x in made.items()}
 
-    return by_frames(lines, keys, kernel, [*colours, alpha])
+    return by_frames(lines, keys, kernel, dict.fromkeys([*colours, alpha], "array<double>"))

@@ -228,11 +228,10 @@ def mask_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand shapes of each frame on a 64 x 48 image, closed, opened, cleaned of stray parts and made steady inside an episode: areas before and after."""
     rows = hand_pixels(spark, sf_dir)
     shapes = L.bone_shapes(rows, FRAME, "u", "v", F.transform(F.arrays_zip("u", "v"), lambda p: p["u"].isNotNull() & p["v"].isNotNull()), 2.0, rounded=False)
-    raw = L.settled(L.lines_of(L.capsule_rows(shapes, FRAME, 64, 48), FRAME, rows, 48))
-    clean = L.settled(L.cleaned(raw, FRAME, 64, 48, F.array(F.struct(F.lit(32.0).alias("u"), F.lit(24.0).alias("v"))), 8))
-    steady = L.stabilised(clean, ["episode"], "frame", 64, clip=3.0)
-    sized = lambda df, name: df.groupBy(*FRAME).agg(F.sum(L.pixels(F.col("runs"))).alias(name))
-    return sized(raw, "raw").join(sized(clean, "clean"), FRAME).join(sized(steady, "steady"), FRAME)
+    raw = L.lines_of(L.capsule_rows(shapes, FRAME, 64, 48), FRAME, rows, 48)
+    clean = L.cleaned(raw.withColumn("raw", L.pixels(F.col("runs"))), FRAME, 64, 48, F.array(F.struct(F.lit(32.0).alias("u"), F.lit(24.0).alias("v"))), 8)
+    steady = L.stabilised(clean.withColumn("clean", L.pixels(F.col("runs"))), ["episode"], "frame", 64, clip=3.0)
+    return steady.groupBy(*FRAME).agg(F.sum("raw").alias("raw"), F.sum("clean").alias("clean"), F.sum(L.pixels(F.col("runs"))).alias("steady"))
 
 
 def _cleanup_sql() -> str:

@@ -249,3 +249,42 @@ def test_blurs_and_distances_are_one_pass_over_whole_frames(spark):
     assert {(r["k"], r["y"]): r["distance"] for r in far.collect()}[None, 1] == [-1.0] * 6
     with pytest.raises(Exception, match="a frame lacks lines"):
         L.blurred(values.filter("y <> 3"), ["k"], ["v"], 0.4, 6, 6).collect()
+
+
+def test_parts_and_cleaning_need_no_rounds(spark, tmp_path):
+    # a spiral takes a contraction many rounds of shuffles and checkpoints
+    side = 33
+    spiral, x, y, dx, dy, turned = np.zeros((side, side), bool), 0, 0, 1, 0, 0
+    while turned < 2:
+        spiral[y, x], ahead = True, (x + 2 * dx, y + 2 * dy)
+        if not (0 <= x + dx < side and 0 <= y + dy < side) or (0 <= ahead[0] < side and 0 <= ahead[1] < side and spiral[ahead[1], ahead[0]]):
+            dx, dy, turned = -dy, dx, turned + 1
+        else:
+            x, y, turned = x + dx, y + dy, 0
+    dots = np.zeros((side, side), bool)
+    dots[::2, ::2] = True
+    lines = table(spark, [spiral, dots, spiral.T])
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setJobGroup("rounds", "")
+    try:
+        rows = L.parts(lines, ["episode", "frame"])
+        kept = L.keep_parts(lines, ["episode", "frame"], side, side, 2)
+        steady = L.stabilised(L.cleaned(lines.withColumn("more", F.lit(5)), ["episode", "frame"], side, side), ["episode"], "frame", side)
+        assert jobs() == 0  # nothing runs before an action
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert steady.columns == [*lines.columns, "more"]
+    part = {i: {r["part"] for r in rows.filter(f"frame = {i}").collect()} for i in range(3)}
+    assert part[0] == part[2] == {0} and part[1] == {(1 << 24) * j + i for j in range(0, side, 2) for i in range(0, side, 2)}
+    got = np.zeros((3, side, side), bool)
+    for r in kept.collect():
+        for run in r["runs"]:
+            got[r["frame"], r["y"], run["a"] : run["b"]] = True
+    assert (got == [spiral, np.zeros_like(dots), spiral.T]).all()
+
+
+def test_capsules_of_a_frame_leave_as_united_runs(spark):
+    shapes = [(k, 2.0 + i, 5.0, 9.0 + i, 5.0, 2.0) for k in (1, None) for i in range(6)] + [(2, None, 1.0, 2.0, 1.0, 3.0)]
+    df = spark.createDataFrame(shapes, "k int, au double, av double, bu double, bv double, radius double").coalesce(1)
+    got = sorted(((r["k"], r["y"], r["a"], r["b"]) for r in L.capsule_rows(df, ["k"], W, H).collect()), key=str)
+    assert got == sorted(((k, y, a, b) for k in (1, None) for y, a, b in ((3, 2, 15), (4, 1, 16), (5, 0, 17), (6, 1, 16), (7, 2, 15))), key=str)
