@@ -57,7 +57,10 @@ def choose_hosts(hosts: DataFrame, group: list[str], free: str, index: str, leas
 
 
 def segment_name(index: Column, mode: Column, start: Column, stop: Column) -> Column:
-    return F.format_string("%03d_%s_%05d_%05d", index, mode, start, stop)
+    """The numbers are filled up to three and five digits; a formatter, which is slow, sees only what is null or negative."""
+    filled = lambda x, n: F.concat(F.substring(F.lit("0" * n), 1, n - F.length(x.cast("string"))), x.cast("string"))
+    plain = F.concat_ws("_", filled(index, 3), mode, filled(start, 5), filled(stop, 5))
+    return F.when((index >= 0) & (start >= 0) & (stop >= 0) & mode.isNotNull(), plain).otherwise(F.format_string("%03d_%s_%05d_%05d", index, mode, start, stop))
 
 
 def parse_segments(names: DataFrame, name: str) -> DataFrame:
@@ -170,7 +173,7 @@ def episode_errors(
     segments (episode), the mask backend (episode, backend), chunks (episode, index, mode, start, stop), their provenance (episode, name), numbers of masks
     (episode, name, n), and videos (episode, name, bytes, n), the final ones among them.
 
-    Tables of one grain are united and grouped once, so each is read once, whatever the number of rules.
+    Tables of one grain are united and grouped once, whatever the number of rules; facts of chunks are dealt by run, where their messages meet the run without being dealt again.
     """
     name = segment_name(F.col("index"), F.col("mode"), F.col("start"), F.col("stop"))
     per = [
@@ -182,21 +185,28 @@ def episode_errors(
     facts = per[0]
     for df in per[1:]:
         facts = facts.unionByName(df, allowMissingColumns=True)
-    held = facts.groupBy("episode", "name").agg(*(F.max(x).alias(x) for x in ("length", "provenance", "masks", "bytes", "n")))
+    held = facts.repartition("episode").groupBy("episode", "name").agg(*(F.max(x).alias(x) for x in ("length", "provenance", "masks", "bytes", "n")))
+    final = videos.filter(F.col("name").isin(finals))
+    ends = [(F.col("name") == name, f"{{}}{i}".format) for i, name in enumerate(finals)]
     whole = [
         episodes.select("episode", F.lit(True).alias("listed"), F.col("frames").cast("long").alias("frames")),
         metadata.select("episode", F.lit(True).alias("known"), F.col("total_frames").cast("long").alias("total_frames")),
         skipped.select("episode", F.lit(1).cast("long").alias("skipped")),
-        backends.select("episode", F.lit(True).alias("traced"), "backend"),
-        videos.filter(F.col("name").isin(finals)).select("episode", F.struct("name", F.struct(F.col("bytes").cast("long").alias("bytes"), F.col("n").cast("long").alias("n")).alias("v")).alias("final")),
+        final.select("episode", *(F.when(own, value).alias(at(x)) for own, at in ends for x, value in (("there", F.lit(True)), ("bytes", F.col("bytes").cast("long")), ("n", F.col("n").cast("long"))))),
     ]
     rows = whole[0]
     for df in whole[1:]:
         rows = rows.unionByName(df, allowMissingColumns=True)
+    # numbers and flags only: an aggregate of texts or lists is one of sorted rows
     one = rows.groupBy("episode").agg(
-        *(F.max(x).alias(x) for x in ("listed", "frames", "known", "total_frames", "traced", "backend")), F.sum("skipped").alias("skipped"), F.map_from_entries(F.array_distinct(F.collect_list("final"))).alias("finals")
+        *(F.max(x).alias(x) for x in ("listed", "frames", "known", "total_frames", *(at(x) for _, at in ends for x in ("there", "bytes", "n")))), F.sum("skipped").alias("skipped")
     )
-    return run_errors(one.filter("listed"), held.filter(F.col("length").isNotNull()), finals, backend)
+    entry = lambda name, at: F.when(F.col(at("there")), F.struct(F.lit(name).alias("key"), F.struct(F.col(at("bytes")).alias("bytes"), F.col(at("n")).alias("n")).alias("value")))
+    entries = F.array(*(entry(name, at) for name, (_, at) in zip(finals, ends, strict=True))).cast("array<struct<key: string, value: struct<bytes: bigint, n: bigint>>>")
+    one = one.withColumn("finals", F.map_from_entries(F.filter(entries, lambda x: x.isNotNull())))
+    traced = backends.groupBy("episode").agg(F.lit(True).alias("traced"), F.max("backend").alias("backend"))
+    one = one.filter("listed").join(traced, "episode", "left")
+    return run_errors(one, held.filter(F.col("length").isNotNull()), finals, backend)
 
 
 def inspect_episodes(inputs: DataFrame, videos: DataFrame, tables: DataFrame, required: list[str]) -> DataFrame:

@@ -237,6 +237,30 @@ def test_episode_errors_of_a_broken_run(spark):
     ]
 
 
+def test_facts_of_runs_are_dealt_once(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    name, videos = "000_left_00000_00010", [("e", "000_left_00000_00010", 9, 9), ("e", "a.mp4", 9, 15), ("e", "b.mp4", 9, None), ("f", "a.mp4", 0, 7)]
+    found = C.episode_errors(
+        t([("e", 15), ("f", 7)], "episode string, frames long"), t([("e", 15), ("f", 7)], "episode string, total_frames long"), t([], "episode string"), t([("f", None)], "episode string, backend string"),
+        t([("e", 0, "left", 0, 10)], "episode string, index int, mode string, start long, stop long"), t([("e", name)], "episode string, name string"), t([("e", name, 10)], "episode string, name string, n long"),
+        t(videos, "episode string, name string, bytes long, n long"), ["a.mp4", "b.mp4", "c.mp4"], "direct",
+    )
+    assert sorted((r["episode"], r["ord"], r["message"]) for r in found.collect()) == [
+        ("e", 5, "missing pipeline provenance"), ("e", 8, f"frame mismatch {name}: expected 10, got 9"), ("e", 10, "missing video: c.mp4"), ("e", 10, "unreadable video b.mp4"),
+        ("f", 6, "mask backend mismatch: expected direct, got none"), ("f", 10, "missing video: a.mp4"), ("f", 10, "missing video: b.mp4"), ("f", 10, "missing video: c.mp4"),
+    ]
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    lists = [line for line in plan if "ObjectHashAggregate" in line]
+    assert lists and all("collect_list(struct(ord" in line for line in lists)  # messages only: lists of videos would sort all facts of runs
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()  # messages meet their runs where they were made
+
+
+def test_segment_names_equal_the_formatter(spark):
+    rows = [(i, m, a, b) for i in (0, 99, 1000, -1, None) for m in ("left", None) for a in (0, 99999, 2**40, -3, None) for b in (1, 1234567, -12, None)]
+    names = spark.createDataFrame(rows, "i int, m string, a long, b long").select(C.segment_name(*map(F.col, "imab")).alias("own"), F.format_string("%03d_%s_%05d_%05d", "i", "m", "a", "b").alias("want"))
+    assert all(r["own"] == r["want"] for r in names.collect())
+
+
 def test_jobs_artifacts_and_first_successes(spark):
     segments = spark.createDataFrame([(1, 10), (2, 20)], "s long, n long")
     frames = spark.createDataFrame([(1, 10), (2, 19)], "s long, n long")
