@@ -8,11 +8,19 @@ with a null key are a recording, a null frame comes first. Column names that beg
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from framewright.operators import kernels as K
 
 
 def bridge_gaps(df: DataFrame, keys: list[str], order: str, flag: str | list[str], gap: int, out: str | None = None) -> DataFrame:
@@ -101,17 +109,11 @@ def frames_to_chunks(frames: DataFrame, chunks: DataFrame, keys: list[str], orde
 
 
 def frames_in_intervals(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, chunk: str, width: int = 4096) -> DataFrame:
-    """frames_to_chunks for intervals of any length: cut at the borders of bins of `width` frames, joined by bin, tested exactly after that.
+    """frames_to_chunks for intervals of any length, whatever their overlaps: one shuffle by keys, in which both sides meet, and no row for a piece of an interval.
 
-    An interval makes one row for each bin that it touches, not for each frame.
+    width, once that of bins, decides nothing any more.
     """
-    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
-    cut = chunks.filter("stop > start").select(*keys, chunk, "start", "stop", F.explode(bins).alias("__fw_bin"))
-    due = frames.select(*keys, order).distinct().withColumn("__fw_bin", F.floor(F.col(order) / width))
-    met = due.join(cut, [*keys, "__fw_bin"]).filter((F.col(order) >= F.col("start")) & (F.col(order) < F.col("stop")))
-    latest = met.groupBy(*keys, order).agg(F.max(F.struct(chunk, "start")).alias("__fw_c"))
-    joined = frames.join(latest, [*keys, order], "left")
-    return joined.withColumn(chunk, F.col(f"__fw_c.{chunk}")).withColumn("local", F.col(order) - F.col("__fw_c.start")).drop("__fw_c")
+    return _covered(frames, chunks, keys, order, [chunk])
 
 
 def labelled_frames(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, chunk: str, label: str, uncovered: str, width: int = 4096) -> DataFrame:
@@ -120,6 +122,37 @@ def labelled_frames(frames: DataFrame, chunks: DataFrame, keys: list[str], order
     return known.withColumn(label, F.when(F.col(chunk).isNull(), F.lit(uncovered)).otherwise(F.col(label)))
 
 
+def _covered(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """frames, `columns` of the chunk that covers each (the first of them tells which one wins: the largest, then the latest start) and `local`, its place there."""
+    known = [F.col(k).isNotNull() for k in keys]
+    more = [c for c in frames.columns if c not in (*keys, order, *columns, "local")]
+    own, of = [f"__fw_f{i}" for i in range(len(more))], [f"__fw_c{i}" for i in range(len(columns))]
+    left = frames.select(*keys, F.col(order).alias("__fw_at"), *(F.col(c).alias(x) for c, x in zip(more, own, strict=True)))
+    right = chunks.filter(reduce(and_, known, F.col("stop") > F.col("start"))).select(*keys, F.col("start").alias("__fw_at"), F.col("stop").alias("__fw_stop"), *(F.col(c).alias(x) for c, x in zip(columns, of, strict=True)))
+    rows = left.unionByName(right, allowMissingColumns=True).select(*keys, "__fw_at", "__fw_stop", *of, *own)
+    rows = K.dealt(rows, keys).sortWithinPartitions(*keys)
+    kinds = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(kinds[c] for c in (*keys, "__fw_at", *own)), *(T.StructField(c, kinds[c].dataType) for c in of), T.StructField("__fw_start", kinds["__fw_at"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.whole_groups(batches, len(keys)):
+            group = np.searchsorted(K.group_starts(table, len(keys)), np.arange(table.num_rows), "right")
+            is_chunk = table.column("__fw_stop").is_valid()
+            due, held = table.filter(pc.invert(is_chunk)), table.filter(is_chunk)
+            chunk_of = is_chunk.to_numpy(zero_copy_only=False)
+            best = pa.array(K.covering(due.column("__fw_at"), group[~chunk_of], held.column("__fw_at"), held.column("__fw_stop"), group[chunk_of], held.column(of[0])))
+            best = pc.if_else(pc.less(best, 0), pa.scalar(None, best.type), best)
+            found = due.select([*keys, "__fw_at", *own])
+            for name in (*of, "__fw_at"):
+                found = found.append_column("__fw_start" if name == "__fw_at" else name, held.column(name).combine_chunks().take(best))
+            yield from found.combine_chunks().to_batches()
+
+    met = rows.mapInArrow(run, schema)
+    at = F.col("__fw_at").cast(dict(frames.dtypes)[order])
+    start = F.col("__fw_start").cast(dict(chunks.dtypes)["start"])
+    return met.select(*keys, at.alias(order), *(F.col(x).alias(c) for c, x in zip(more, own, strict=True)), *(F.col(x).alias(c) for c, x in zip(columns, of, strict=True)), (at - start).alias("local"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], direction: str = "backward", tolerance: Column | float | None = None, at: str = "matched_at") -> DataFrame:
     """left with `columns` of the right row that is last at its time or before (backward), first at it or after (forward), or nearest (before on ties).
 

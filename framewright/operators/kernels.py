@@ -84,6 +84,41 @@ def length_classes(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.
         yield starts[own], lengths[own]
 
 
+def covering(at: pa.ChunkedArray, group: np.ndarray, start: pa.ChunkedArray, stop: pa.ChunkedArray, of: np.ndarray, rank: pa.ChunkedArray) -> np.ndarray:
+    """For each place of its group, which half-open interval [start, stop) of that group covers it (-1: none): the one of the largest rank, then of the latest start.
+
+    Each interval's places, in their order, are two spans of a power of two, and spans hand what they hold down to their halves: no more steps than places and intervals
+    have bits, however they overlap.
+    """
+    best = np.full(len(at), -1)
+    there = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    if not len(there) or not len(start):
+        return best
+    by = pc.sort_indices(pa.table({"rank": rank, "start": start}), sort_keys=[("rank", "ascending"), ("start", "ascending")], null_placement="at_start").to_numpy()
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    values = np.concatenate([start.to_numpy(), stop.to_numpy(), at.drop_null().to_numpy()])
+    due = np.repeat([0, 1], [2 * len(start), len(there)])
+    order = np.lexsort((due, values, np.concatenate([of, of, group[there]])))  # borders stand before the places that they equal
+    before = np.empty(len(order), np.int64)
+    before[order] = np.cumsum(due[order]) - due[order]
+    low, high = before[: len(start)], before[len(start) : 2 * len(start)]
+    level = np.frexp(high - low)[1] - 1  # -1: no place inside
+    held = np.full(len(there), -1)
+    for k in range(int(level.max()), -1, -1):
+        own = level == k
+        for first in (low[own], high[own] - (1 << k)):
+            np.maximum.at(held, first, place[own])
+        if k:
+            half = 1 << (k - 1)
+            lower = held.copy()
+            np.maximum(lower[half:], held[:-half], out=lower[half:])
+            held = lower
+    found = held[before[2 * len(start) :]]
+    best[there] = np.where(found < 0, -1, by[found])
+    return best
+
+
 def exponential_means(x: np.ndarray, starts: np.ndarray, reference: np.ndarray, rate: float) -> np.ndarray:
     """Means from each group's reference row outward, both ways; a missing value keeps the mean."""
     ends = np.append(starts[1:], len(x))

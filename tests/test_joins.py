@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import geometry as G
 from framewright.operators import intervals as I
+from framewright.operators import kernels as K
 from framewright.operators import poses as P
 
 
@@ -66,6 +68,43 @@ def test_long_intervals_equal_unrolled_ones(spark):
     assert {r["f"]: r["local"] for r in seen} == {4_999_999_999: 4_999_999_994, 5_000_000_000: None, 4: None}
 
 
+def test_frames_and_intervals_meet_in_one_shuffle(spark):
+    rng = random.Random(8)
+    key = lambda: rng.choice([1, 2, None])
+    frames = [(key(), rng.choice([None, *range(40)]), i) for i in range(300)] + [(7, 3, 300)]
+    chunks = [(key(), rng.choice([None, *range(9)]), s, s + rng.randint(-3, 30), rng.choice(["l", "r", None])) for s in [rng.randint(-5, 40) for _ in range(60)]] + [(8, 1, 0, 9, "l"), (1, 3, None, 9, "l"), (1, 3, 1, None, "l")]
+    a, b = spark.createDataFrame(frames, "e int, f int, more long"), spark.createDataFrame(chunks, "e int, c int, start long, stop long, side string")
+    low = lambda x: (x is not None, x or 0)  # noqa: E731 - nulls first
+    want = []
+    for e, f, more in frames:
+        own = [(low(c), s, c) for k, c, s, t, _ in chunks if None not in (e, f, s, t) and k == e and s <= f < t]
+        best = max(own, default=None)
+        want.append((e, f, more, best and best[2], best and f - best[1]))
+    got = I.frames_in_intervals(a, b, ["e"], "f", "c")
+    assert got.dtypes == [("e", "int"), ("f", "int"), ("more", "bigint"), ("c", "int"), ("local", "bigint")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    named = I.labelled_frames(a, b, ["e"], "f", "c", "side", "source")
+    assert named.columns == ["e", "c", "f", "more", "local", "side"]
+    assert sorted(((r["e"], r["f"], r["more"], r["c"], r["local"]) for r in named.collect()), key=str) == sorted(want, key=str)
+    assert all((r["side"] == "source") == (r["c"] is None) for r in named.collect())
+    assert I.frames_in_intervals(a, b.limit(0), ["e"], "f", "c").filter("c is null").count() == len(frames) and I.frames_in_intervals(a.limit(0), b, ["e"], "f", "c").count() == 0
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_covering_equals_loops(dense):
+    rng = np.random.default_rng(3)
+    n, m = (400, 300) if dense else (30, 500)
+    start = rng.integers(0, 1000, n)
+    stop, rank, of = start + rng.integers(1, 900 if dense else 20, n), rng.integers(0, 50, n), np.sort(rng.integers(0, 3, n))
+    at, group = rng.integers(0, 1100, m), np.sort(rng.integers(0, 3, m))
+    best = K.covering(pa.chunked_array([at]), group, *(pa.chunked_array([x]) for x in (start, stop)), of, pa.chunked_array([rank]))
+    for i in range(m):
+        own = [(rank[j], start[j]) for j in range(n) if of[j] == group[i] and start[j] <= at[i] < stop[j]]
+        assert (best[i] < 0) == (not own) and (not own or (rank[best[i]], start[best[i]]) == max(own))
+
+
 def test_distance_anti_join_equals_loops(spark):
     rng = random.Random(9)
     spot = lambda: float(rng.randint(-30, 30))
