@@ -118,8 +118,9 @@ def frames_in_intervals(frames: DataFrame, chunks: DataFrame, keys: list[str], o
 
 def labelled_frames(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, chunk: str, label: str, uncovered: str, width: int = 4096) -> DataFrame:
     """frames with the chunk that covers each, its label, and `uncovered` as the label of frames that none covers."""
-    known = frames_in_intervals(frames, chunks, keys, order, chunk, width).join(chunks.select(*keys, chunk, label).dropDuplicates([*keys, chunk]), [*keys, chunk], "left")
-    return known.withColumn(label, F.when(F.col(chunk).isNull(), F.lit(uncovered)).otherwise(F.col(label)))
+    known = _covered(frames, chunks, keys, order, [chunk, label])
+    known = known.withColumn(label, F.when(F.col(chunk).isNull(), F.lit(uncovered)).otherwise(F.col(label)))
+    return known.select(*keys, chunk, *(c for c in known.columns if c not in (*keys, chunk, label)), label)
 
 
 def _covered(frames: DataFrame, chunks: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:

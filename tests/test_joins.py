@@ -87,6 +87,8 @@ def test_frames_and_intervals_meet_in_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     named = I.labelled_frames(a, b, ["e"], "f", "c", "side", "source")
     assert named.columns == ["e", "c", "f", "more", "local", "side"]
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the label comes along with its interval
     assert sorted(((r["e"], r["f"], r["more"], r["c"], r["local"]) for r in named.collect()), key=str) == sorted(want, key=str)
     assert all((r["side"] == "source") == (r["c"] is None) for r in named.collect())
     assert I.frames_in_intervals(a, b.limit(0), ["e"], "f", "c").filter("c is null").count() == len(frames) and I.frames_in_intervals(a.limit(0), b, ["e"], "f", "c").count() == 0
