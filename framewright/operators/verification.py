@@ -132,12 +132,12 @@ def _video(name: Column, size: Column, n: Column, frames: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) == 0, F.concat(F.lit("missing video: "), name)).when(n.isNull(), F.concat(F.lit("unreadable video "), name)).when(n != frames, other)
 
 
-def run_errors(episodes: DataFrame, chunks: DataFrame, finals: list[str], backend: str | None = None) -> DataFrame:
+def run_errors(episodes: DataFrame, chunks: DataFrame, finals: list[str], backend: str | None = None, checked: DataFrame | None = None) -> DataFrame:
     """(episode, ord, message): the broken rules of runs whose facts stand in one row each.
 
     episodes: episode, frames, known (its metadata are there), total_frames (null where they cannot be read), skipped, backend, traced (its backend is recorded),
     finals map<name, struct<bytes, n>>; chunks: episode, name, length, provenance, bytes and n of its video, masks. Without metadata nothing else is checked.
-    Both tables are read once; what is wrong with the chunks of a run, bounded by their number, meets the run in one join.
+    What is wrong with chunks needs no more of their run than that it is known: `checked` (episode) are the runs whose chunks count, by default the known ones of episodes.
     """
     known, c = F.coalesce("known", F.lit(False)), F.col
     rules: list[tuple[int, Column, Column | str]] = [
@@ -160,10 +160,9 @@ def run_errors(episodes: DataFrame, chunks: DataFrame, finals: list[str], backen
         (8, own.isNotNull(), own),
         (9, masks != c("length"), F.concat(F.lit("mask count mismatch "), c("name"), F.lit(": expected "), c("length").cast("string"), F.lit(", got "), masks.cast("string"))),
     ]
-    broken = unfolded(chunks, ["episode"], per).groupBy("episode").agg(F.collect_list(F.struct("ord", "message")).alias("__fw_broken"))
-    none = F.array().cast("array<struct<ord: int, message: string>>")
-    more = F.concat(F.filter(last, lambda x: x["message"].isNotNull()), F.coalesce("__fw_broken", none))
-    return unfolded(episodes.join(broken, "episode", "left"), ["episode"], rules, F.when(known, more))
+    checked = episodes.filter(known) if checked is None else checked
+    broken = unfolded(chunks, ["episode"], per).join(checked.select("episode"), "episode", "left_semi")
+    return unfolded(episodes, ["episode"], rules, F.when(known, F.filter(last, lambda x: x["message"].isNotNull()))).unionByName(broken)
 
 
 def episode_errors(
@@ -173,7 +172,7 @@ def episode_errors(
     segments (episode), the mask backend (episode, backend), chunks (episode, index, mode, start, stop), their provenance (episode, name), numbers of masks
     (episode, name, n), and videos (episode, name, bytes, n), the final ones among them.
 
-    Tables of one grain are united and grouped once, whatever the number of rules; facts of chunks are dealt by run, where their messages meet the run without being dealt again.
+    Tables of one grain are united and grouped once, whatever the number of rules; facts of chunks are dealt by run, where their messages meet the known runs without being dealt again.
     """
     name = segment_name(F.col("index"), F.col("mode"), F.col("start"), F.col("stop"))
     per = [
@@ -206,7 +205,8 @@ def episode_errors(
     one = one.withColumn("finals", F.map_from_entries(F.filter(entries, lambda x: x.isNotNull())))
     traced = backends.groupBy("episode").agg(F.lit(True).alias("traced"), F.max("backend").alias("backend"))
     one = one.filter("listed").join(traced, "episode", "left")
-    return run_errors(one, held.filter(F.col("length").isNotNull()), finals, backend)
+    checked = episodes.select("episode").join(metadata.select("episode"), "episode", "left_semi")
+    return run_errors(one, held.filter(F.col("length").isNotNull()), finals, backend, checked)
 
 
 def inspect_episodes(inputs: DataFrame, videos: DataFrame, tables: DataFrame, required: list[str]) -> DataFrame:

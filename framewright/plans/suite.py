@@ -1,4 +1,4 @@
-"""One verification suite over a batch: every table is read once, and all rules of a row come out together."""
+"""One verification suite over a batch: every table is read once (runs twice, also for their chunks), and all rules of a row come out together."""
 
 from __future__ import annotations
 
